@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from html.entities import html5 as _html5
 
 from pyspark.sql import Column
@@ -23,6 +24,11 @@ def clean_text(c: Column) -> Column:
 # names that are also recognised without it.
 _NAMED = {k: v for k, v in _html5.items() if k.endswith(";")}
 _LEGACY = {k: v for k, v in _html5.items() if not k.endswith(";")}
+_NAMED_JSON = json.dumps(_NAMED)
+_LEGACY_JSON = json.dumps(_LEGACY)
+# The most frequent references, decoded without a map lookup.
+COMMON_ENTITIES = [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
+                   ("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7")]
 
 # A reference, a bare '&', or a run of other characters.
 _RUNS = r"&(?:#[xX][0-9a-fA-F]{1,8};?|#[0-9]{1,10};?|[A-Za-z][A-Za-z0-9]{0,31};?)|&|[^&]+"
@@ -52,8 +58,10 @@ def decode_entities(c: Column) -> Column:
     Strings without '&' pass through untouched; others are split into runs
     and each reference run is replaced. Unknown names stay as written.
     """
-    named = F.create_map(*[F.lit(x) for kv in _NAMED.items() for x in kv])
-    legacy = F.create_map(*[F.lit(x) for kv in _LEGACY.items() for x in kv])
+    # One JSON literal per table: the optimizer folds it into a single map constant,
+    # instead of thousands of literal nodes in every plan that decodes text.
+    named = F.from_json(F.lit(_NAMED_JSON), "map<string,string>")
+    legacy = F.from_json(F.lit(_LEGACY_JSON), "map<string,string>")
 
     def one(r: Column) -> Column:
         body = F.regexp_replace(F.substring(r, 2, 64), ";$", "")
@@ -62,8 +70,12 @@ def decode_entities(c: Column) -> Column:
         num = F.when(is_hex, F.conv(F.substring(body, 3, 16), 16, 10)).otherwise(F.substring(body, 2, 16)).cast("long")
         name_val = F.when(r.endswith(";"), F.element_at(named, F.substring(r, 2, 64))).otherwise(
             F.element_at(legacy, body))
+        common = F.lit(None).cast("string")
+        for ent, ch in COMMON_ENTITIES:
+            common = F.when(r == ent, F.lit(ch)).otherwise(common)
         return (
             F.when(~r.startswith("&") | (r == "&"), r)
+            .when(common.isNotNull(), common)
             .when(is_hex | is_dec, _code_point_char(num))
             .otherwise(F.coalesce(name_val, r))
         )

@@ -211,10 +211,14 @@ def with_url_parts(df: DataFrame, url: str, base: str | Column | None = None, pr
     })
     opaque = F.col(f"{p}_opaque")
     praw = F.col(f"{p}_praw")
+    # Each path stage is its own column so no stage's expression is copied into the next.
     hier = F.when(special & (praw == ""), F.lit("/")).when(
         ~praw.startswith("/") & (praw != ""), F.concat(F.lit("/"), praw)).otherwise(praw)
-    path = F.when(opaque, praw).otherwise(
-        F.when(hier == "", hier).otherwise(pct_encode(remove_dot_segments(hier), PATH_SAFE)))
+    df = df.withColumn(f"{p}_hier", hier)
+    hier = F.col(f"{p}_hier")
+    df = df.withColumn(f"{p}_dots", F.when(opaque | (hier == ""), hier).otherwise(remove_dot_segments(hier)))
+    df = df.withColumn(f"{p}_pathx", F.when(opaque, praw).otherwise(pct_encode(F.col(f"{p}_dots"), PATH_SAFE)))
+    path = F.col(f"{p}_pathx")
     ok = F.when(absolute, F.col(f"{p}_nauthok") | ~use_new).otherwise(
         b_ok & ~F.coalesce(F.col(f"{b}_opaque") if b else F.lit(True), F.lit(True))
         & (F.col(f"{p}_nauthok") | ~use_new))
@@ -230,7 +234,7 @@ def with_url_parts(df: DataFrame, url: str, base: str | Column | None = None, pr
         f"{p}_ok": F.coalesce(ok, F.lit(False)),
     })
     drop = [f"{p}_{x}" for x in ("s", "hs", "rest", "pre", "q0", "f0", "newauth", "nap", "nuser", "nhost", "nport",
-                                  "nportn", "nauthok", "praw", "bsrc")]
+                                  "nportn", "nauthok", "praw", "bsrc", "hier", "dots", "pathx")]
     df = df.drop(*drop)
     if b:
         df = df.drop(*[c for c in df.columns if c.startswith(f"{b}_")])

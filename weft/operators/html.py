@@ -158,28 +158,33 @@ def _page_aggregate(pages: DataFrame) -> DataFrame:
     t = _element_rows(pages)
     is_open = F.col("kind") == "open"
     tag = F.col("tag")
-    href = _attr(F.col("tok"), "href")
+    # Materialise href and element kind once; they are referenced many times below.
+    t = t.withColumn("href", F.when(is_open & (tag == "a"), _attr(F.col("tok"), "href")))
     ekind = (
         F.when(is_open & (tag == "p"), F.lit("p"))
         .when(is_open & tag.isin(*HEADINGS), F.lit("h"))
-        .when(is_open & (tag == "a") & href.isNotNull(), F.lit("a"))
+        .when(is_open & (tag == "a") & F.col("href").isNotNull(), F.lit("a"))
         .when(is_open & tag.isin(*LIST_TAGS), F.lit("list"))
         .when(is_open & tag.isin(*ITEM_TAGS), F.lit("item"))
         .when(is_open & tag.isin("table", "tr", "td", "th"), tag)
     )
+    t = t.withColumn("ekind", ekind)
+    k = F.col("ekind")
     end = (
-        F.when(ekind == "p", F.col("end_p")).when(ekind == "h", F.col("end_h")).when(ekind == "a", F.col("end_a"))
-        .when(ekind == "item", F.col("end_item")).when(ekind == "table", F.col("end_table"))
-        .when(ekind == "tr", F.col("end_tr")).when(ekind.isin("td", "th"), F.col("end_cell"))
+        F.when(k == "p", F.col("end_p")).when(k == "h", F.col("end_h")).when(k == "a", F.col("end_a"))
+        .when(k == "item", F.col("end_item")).when(k == "table", F.col("end_table"))
+        .when(k == "tr", F.col("end_tr")).when(k.isin("td", "th"), F.col("end_cell"))
     )
-    elem = F.when(ekind.isNotNull(), F.struct(
-        F.col("pos").alias("pos"), ekind.alias("kind"), tag.alias("tag"),
+    t = t.withColumn("endx", end)
+    end = F.col("endx")
+    elem = F.when(k.isNotNull(), F.struct(
+        F.col("pos").alias("pos"), k.alias("kind"), tag.alias("tag"),
         F.col("tc").alias("a"), end["tc"].alias("b"),
         F.col("gd").alias("gd"), F.col("ld_key").alias("depth"),
         F.col("n_td").alias("td0"), end["n_td"].alias("td1"),
         F.col("n_th").alias("th0"), end["n_th"].alias("th1"),
         F.col("n_tr").alias("tr0"), end["n_tr"].alias("tr1"),
-        F.when(ekind == "a", href).alias("href"),
+        F.when(k == "a", F.col("href")).alias("href"),
     ))
     title_text = F.when(F.col("kind") == "title",
                         F.struct(F.col("pos"), decode_entities(F.regexp_extract("tok", r"(?is)^<title\b[^>]*>(.*)</title\s*>$", 1)).alias("t")))

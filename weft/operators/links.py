@@ -13,14 +13,25 @@ from weft.functions.urls import with_canonical
 from weft.operators.html import anchors, html_elements
 from weft.operators.rules import with_allowed
 from weft.operators.urls import filter_media_links
+from weft.session import checkpoint_dir
 
 
-def page_links(pages: DataFrame, elements: DataFrame | None = None) -> DataFrame:
-    """L1: ``page_id, src_url, pos, href, text`` (anchors with non-empty href and text)."""
+def page_links(pages: DataFrame, elements: DataFrame | None = None, materialize: bool = True) -> DataFrame:
+    """L1: ``page_id, src_url, pos, href, text`` (anchors with non-empty href and text).
+
+    The link table is the HTML job's product that L2-L4 and the frontier all
+    read, so by default it is written once to the cluster's checkpoint folder
+    (reliable ``checkpoint``): later URL work plans against a short lineage and
+    a lost executor does not re-run the HTML job.
+    """
     e = elements if elements is not None else html_elements(pages)
     a = anchors(e)
     urls = pages.select("page_id", F.col("url").alias("src_url"))
-    return a.join(urls, "page_id").select("page_id", "src_url", "pos", "href", "text")
+    out = a.join(urls, "page_id").select("page_id", "src_url", "pos", "href", "text")
+    if materialize:
+        checkpoint_dir(out.sparkSession)
+        out = out.checkpoint()
+    return out
 
 
 def filter_valid_links(links: DataFrame, rules: DataFrame | None = None, base: str = "src_url",
@@ -28,7 +39,8 @@ def filter_valid_links(links: DataFrame, rules: DataFrame | None = None, base: s
     """L2: keep anchors whose href canonicalises against ``base`` (the original job URL)
     and, with rules, is allowed; the stored href stays raw."""
     c = with_canonical(links, "href", base, "_canon")
-    c = c.filter(F.col("_canon").isNotNull())
+    checkpoint_dir(c.sparkSession)
+    c = c.checkpoint().filter(F.col("_canon").isNotNull())
     if rules is not None:
         c = with_allowed(c, rules, "_canon", crawl, "_ok").filter(F.col("_ok")).drop("_ok")
     return c.drop("_canon")
@@ -48,6 +60,10 @@ def outlinks(links: DataFrame, rules: DataFrame | None = None, src: str = "src_u
         df = df.filter(F.col(depth) < F.col(max_depth))
     df = with_canonical(df, src, None, "_page_canon")
     df = with_canonical(df, "href", "_page_canon", "dst_url").drop("_page_canon")
+    # Materialise the canonical targets: the filters and the window below would otherwise
+    # inline the whole canonicalisation expression into every predicate.
+    checkpoint_dir(df.sparkSession)
+    df = df.checkpoint()
     df = df.filter(F.col("dst_url").isNotNull())
     w = Window.partitionBy("page_id", "dst_url").orderBy("pos")
     df = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
@@ -59,4 +75,6 @@ def outlinks(links: DataFrame, rules: DataFrame | None = None, src: str = "src_u
 def renormalize(links: DataFrame, url: str = "dst_url") -> DataFrame:
     """L4: canonicalise once more with no base (drops NULLs); only stacked ``www.www.`` hosts change."""
     c = with_canonical(links, url, None, "_again")
+    checkpoint_dir(c.sparkSession)
+    c = c.checkpoint()
     return c.filter(F.col("_again").isNotNull()).withColumn(url, F.col("_again")).drop("_again")
