@@ -53,7 +53,7 @@ def robots_allowed(urls: DataFrame, robots: DataFrame, url: str = "url", out: st
     p = p.withColumns({"_origin": origin, "_target": target})
     r = robots_rules(robots)
     j = p.join(r, p["_origin"] == r["origin"], "left")
-    hits = F.filter(F.coalesce(F.col("rules"), F.array()), lambda x: F.col("_target").rlike(x["regex"]))
+    hits = F.filter(F.col("rules"), lambda x: F.regexp(F.col("_target"), x["regex"]))
     best = F.aggregate(hits, F.struct(F.lit(-1).alias("len"), F.lit(True).alias("allow")),
                        lambda acc, x: F.when((x["len"] > acc["len"]) | ((x["len"] == acc["len"]) & x["allow"]),
                                              F.struct(x["len"].alias("len"), x["allow"].alias("allow"))).otherwise(acc))

@@ -541,7 +541,7 @@ def q_page_stats(spark, sf):
 
 @query("page_volume", wq([], [TOKENS, _RAW], """
     SELECT p.page_id, CAST(strlen(p.html) AS BIGINT) AS total_size_bytes,
-        CAST(len(regexp_extract_all(r.raw_text, '\w+|[^\w\s]')) AS BIGINT) AS token_count
+        CAST(len(regexp_extract_all(r.raw_text, '\\w+|[^\\w\\s]')) AS BIGINT) AS token_count
     FROM pages p JOIN raw r ON r.page_id = p.page_id"""))
 def q_page_volume(spark, sf):
     p = _pages(spark, sf)
@@ -616,7 +616,7 @@ def q_domain_link_summary(spark, sf):
 _LINK_RULES = [f"""lr AS (SELECT l.*, (['c_net', 'c_one', 'c_free', 'c_nopath'])[l.page_id % 4 + 1] AS crawl_id FROM page_links l)""",
                canon_cte("lr", "page_id, pos, crawl_id", "href", base="src_url", name="lc"),
                """h AS (SELECT crawl_id, page_id, pos, url_canon AS url,
-        regexp_replace(lower(regexp_extract(url_canon, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1)), '^www\.', '') AS host,
+        regexp_replace(lower(regexp_extract(url_canon, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1)), '^www\\.', '') AS host,
         CASE WHEN regexp_extract(url_canon, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) = '' THEN '/'
              ELSE regexp_extract(url_canon, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) END AS path FROM lc)"""]
 
@@ -648,3 +648,21 @@ def q_upsert_pages(spark, sf):
     tgt = T.read_pages(spark, T.responses(spark, sf)).select(F.lit("c0").alias("crawl_id"), "url", "page_id")
     new = _pages(spark, sf).select(F.lit("c0").alias("crawl_id"), "url", "page_id")
     return PG.upsert_pages(tgt, new, key=("crawl_id", "url"), order="page_id")
+
+
+# ======================= streaming ===================================================================
+
+@query("throughput", wq(["fx_job_events"], [], """
+    SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS window_start, state, count(*) AS n FROM fx_job_events GROUP BY 1, 2"""))
+def q_throughput(spark, sf):
+    """R5 run as a Structured Streaming query over the events table (availableNow), equal to the batch count."""
+    from weft.streaming.live import stream_throughput_table
+    return stream_throughput_table(spark, sf)
+
+
+@query("dedupe_urls", wq(["fx_job_events"], [], "SELECT DISTINCT crawl_id, job_id AS url FROM fx_job_events"))
+def q_dedupe_urls(spark, sf):
+    """R3 in batch form (the streaming form keeps the first row per key within the 24 h watermark)."""
+    from weft.streaming.live import dedupe_urls
+    ev = T.job_events(spark, sf).select("crawl_id", F.col("job_id").alias("url"), "ts")
+    return dedupe_urls(ev).select("crawl_id", "url")
