@@ -7,6 +7,7 @@ SparkSession. ``get_spark`` is for tests, the bench and command-line use.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -38,18 +39,17 @@ def get_spark(app: str = "weft", cpus: str | int = "*", shuffle_partitions: int
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster.
+    """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``, or the context's own setting).
 
-    Read ``spark.checkpoint.dir`` (or an already-set SparkContext folder). Only
-    when neither is set -- local tests and the bench -- a fresh folder under the
-    system temp dir is made and registered.
+    Where none is set, a local session gets a fresh folder under the system temp dir; on a cluster, where executors
+    would not see such a folder, that is an error.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="weft-ckpt-")
-    sc.setCheckpointDir(conf_dir)
-    return sc.getCheckpointDir() or conf_dir
+    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="weft-ckpt-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
+    return folder
