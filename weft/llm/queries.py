@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .credentials import op3_secrets
+from .quality import op6_quality
 from .sharding import op1_sharding
 from .topk import OP2_SQL, op2_topk
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_topk": op2_topk}
+QUERIES = {"op1_sharding": op1_sharding, "op2_topk": op2_topk, "op3_secrets": op3_secrets, "op6_quality": op6_quality}
 ORACLE = {"op2_topk": OP2_SQL}
