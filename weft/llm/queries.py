@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from .chat import op7_chat
 from .credentials import op3_secrets
+from .lines import OP9_SQL, op9_lines
 from .quality import op6_quality
 from .sharding import op1_sharding
 from .topk import OP2_SQL, op2_topk
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_topk": op2_topk, "op3_secrets": op3_secrets, "op6_quality": op6_quality}
-ORACLE = {"op2_topk": OP2_SQL}
+QUERIES = {"op1_sharding": op1_sharding, "op2_topk": op2_topk, "op3_secrets": op3_secrets, "op6_quality": op6_quality,
+           "op7_chat": op7_chat, "op9_lines": op9_lines}
+ORACLE = {"op2_topk": OP2_SQL, "op9_lines": OP9_SQL}
