@@ -91,13 +91,16 @@ def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     return mix((prefix[end] - prefix[start]) * powers(len(prefix))[1][start] + (end - start).astype(np.uint64))
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of packed texts: (64-bit hash, text's number, start byte, end byte)."""
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of packed texts, A-Z lower-cased: (64-bit hash, text's number, start byte, end byte).
+
+    between: which bytes part words; by default a word is ``[^\\x20\\x09-\\x0D]+``.
+    """
     n = len(data)
     if n == 0:
         z = np.zeros(0, np.int64)
         return z.astype(np.uint64), z, z, z
-    space = _SPACE[data]
+    space = between[data]
     before, after = np.empty(n, bool), np.empty(n, bool)
     before[0], after[-1] = True, True
     before[1:], after[:-1] = space[:-1], space[1:]
@@ -106,7 +109,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     after[cut[cut > 0] - 1] = True
     start, end = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
     doc = np.searchsorted(offsets, start, side="right") - 1
-    return span_hashes(prefix_hashes(_LOWER[data] if lower else data), start, end), doc, start, end
+    return span_hashes(prefix_hashes(_LOWER[data]), start, end), doc, start, end
 
 
 def shingles(word: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

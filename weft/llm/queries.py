@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import op7_chat
 from .credentials import op3_secrets
+from .decontaminate import op8_decontaminate
 from .lines import OP9_SQL, op9_lines
 from .mixing import OP10_SQL, op10_mixing
 from .quality import op6_quality
@@ -11,5 +12,5 @@ from .sharding import op1_sharding
 from .topk import OP2_SQL, op2_topk
 
 QUERIES = {"op1_sharding": op1_sharding, "op2_topk": op2_topk, "op3_secrets": op3_secrets, "op6_quality": op6_quality,
-           "op7_chat": op7_chat, "op9_lines": op9_lines, "op10_mixing": op10_mixing}
+           "op7_chat": op7_chat, "op8_decontaminate": op8_decontaminate, "op9_lines": op9_lines, "op10_mixing": op10_mixing}
 ORACLE = {"op2_topk": OP2_SQL, "op9_lines": OP9_SQL, "op10_mixing": OP10_SQL}
