@@ -10,8 +10,9 @@ from .mixing import OP10_SQL, op10_mixing
 from .neardup import op4_neardup
 from .quality import op6_quality
 from .sharding import op1_sharding
+from .substrings import op5_substrings
 from .topk import OP2_SQL, op2_topk
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_topk": op2_topk, "op3_secrets": op3_secrets, "op4_neardup": op4_neardup, "op6_quality": op6_quality,
+QUERIES = {"op1_sharding": op1_sharding, "op2_topk": op2_topk, "op3_secrets": op3_secrets, "op4_neardup": op4_neardup, "op5_substrings": op5_substrings, "op6_quality": op6_quality,
            "op7_chat": op7_chat, "op8_decontaminate": op8_decontaminate, "op9_lines": op9_lines, "op10_mixing": op10_mixing}
 ORACLE = {"op2_topk": OP2_SQL, "op9_lines": OP9_SQL, "op10_mixing": OP10_SQL}
