@@ -69,4 +69,4 @@ def test_query(spark):
 def test_cases(spark):
     df = spark.createDataFrame([(1, 0, "user", None, 5), (1, 0, None, "x" * 200_000, 5), (1, None, "assistant", "a", 5), (1, 0, "user", None, 5), (None, 1, "user", "y", 5)], "conv_id long, turn long, role string, text string, leaf int")
     out = {r.conv_id: r for r in digests(format_paths(spark, chained(df))).collect()}
-    assert out[1].n_turns == 4 and out[1].loss_chars == 1
+    assert set(out) == {1} and out[1].n_turns == 4 and out[1].loss_chars == 1

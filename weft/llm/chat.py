@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -59,30 +60,32 @@ def paths(spark: SparkSession, messages: DataFrame, branches: int | None = None)
 
     up: steps from the leaf. A parent that is null, missing or the message itself makes a root. Branches of a conversation
     are ranked by the summed score of their messages (null: 0), highest first, ties to the smaller leaf; ``branches`` of them
-    are taken, or all. Messages in a ring of replies hang on no root and are on no path. (conv_id, msg_id) must be distinct.
+    are taken, or all. Messages in a ring of replies, or replying to one, hang on no root and are on no path, and neither are
+    rows without conv_id or msg_id. (conv_id, msg_id) must be distinct.
     """
+    messages = messages.filter(F.col("conv_id").isNotNull() & F.col("msg_id").isNotNull())
     ids = messages.select("conv_id", "msg_id")
     parents = ids.withColumnRenamed("msg_id", "parent_id")
     known = messages.filter(F.col("msg_id") != F.col("parent_id")).join(parents, ["conv_id", "parent_id"], "left_semi").select("conv_id", "msg_id", F.col("parent_id").alias("to"))
     step = written(spark, messages.select("conv_id", "msg_id", F.coalesce("score", F.lit(0.0)).cast("double").alias("total"))
                    .join(known, ["conv_id", "msg_id"], "left"), "step0")
-    steps = []
-    while True:  # after i rounds ``to`` is the ancestor 2**i steps up, total the score from there (without it) down
+    # after i rounds ``to`` is the ancestor 2**i steps up, total the score from there (without it) down; who has none is done
+    done, steps, left = [step.filter(F.col("to").isNull())], [], None
+    step = step.filter(F.col("to").isNotNull())
+    while (now := step.count()) and now != left:  # a round that ends no path finds only rings
+        left = now
         steps.append(step)
-        if step.filter(F.col("to").isNotNull()).isEmpty() or len(steps) > 40:
-            break
-        up = step.select("conv_id", F.col("msg_id").alias("to"), F.col("to").alias("next"), F.col("total").alias("more"))
-        step = written(spark, step.join(up, ["conv_id", "to"], "left").select(
-            "conv_id", "msg_id", (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), F.col("next").alias("to")), f"step{len(steps)}")
-        if len(steps) >= 2 and step.filter(F.col("to").isNotNull()).count() == steps[-1].filter(F.col("to").isNotNull()).count() == steps[-2].filter(F.col("to").isNotNull()).count():
-            break  # only rings are left
-    leaves = step.filter(F.col("to").isNull()).join(known.select("conv_id", F.col("to").alias("msg_id")), ["conv_id", "msg_id"], "left_anti")
+        up = reduce(DataFrame.unionByName, done, step).select("conv_id", F.col("msg_id").alias("to"), F.col("to").alias("next"), F.col("total").alias("more"))
+        step = written(spark, step.join(up, ["conv_id", "to"]).select("conv_id", "msg_id", (F.col("total") + F.col("more")).alias("total"), F.col("next").alias("to")), f"step{len(steps)}")
+        done.append(step.filter(F.col("to").isNull()))
+        step = step.filter(F.col("to").isNotNull())
+    leaves = reduce(DataFrame.unionByName, done).join(known.select("conv_id", F.col("to").alias("msg_id")), ["conv_id", "msg_id"], "left_anti")
     ranked = leaves.withColumn("rank", F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("total"), "msg_id")))
     if branches is not None:
         ranked = ranked.filter(F.col("rank") <= branches)
     path = written(spark, ranked.select("conv_id", F.col("msg_id").alias("leaf"), "rank", "msg_id", F.lit(0).cast("long").alias("up")), "leaves")
     for i, step in enumerate(steps):
-        pointer = step.filter(F.col("to").isNotNull()).select("conv_id", "msg_id", "to")
+        pointer = step.select("conv_id", "msg_id", "to")
         higher = path.join(pointer, ["conv_id", "msg_id"]).select("conv_id", "leaf", "rank", F.col("to").alias("msg_id"), (F.col("up") + (1 << i)).alias("up"))
         path = written(spark, path.unionByName(higher), f"path{i}")
     return path
@@ -124,10 +127,10 @@ def digests(formatted: DataFrame) -> DataFrame:
 def chained(conversations: DataFrame) -> DataFrame:
     """Plain conversations as trees: each row replies to the one before it by turn (null turns first; ties by role, text).
 
-    Rows without conv_id are one conversation with a null id, numbered like the others.
+    Rows without conv_id belong to no conversation. Repeated rows are turns of their own.
     """
     order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = conversations.select("conv_id", F.row_number().over(order).cast("long").alias("msg_id"), "role", "text", F.lit(1.0).alias("score"))
+    rows = conversations.filter(F.col("conv_id").isNotNull()).select("conv_id", F.row_number().over(order).cast("long").alias("msg_id"), "role", "text", F.lit(1.0).alias("score"))
     return rows.withColumn("parent_id", F.when(F.col("msg_id") > 1, F.col("msg_id") - 1))
 
 
