@@ -223,7 +223,8 @@ def _merged(by_doc: DataFrame) -> DataFrame:
         for b in batches:
             flat, off = _lists(b.column(2))
             at, lo, hi = _unpack(flat.to_numpy(zero_copy_only=False).astype(np.int64))
-            spans = [_union((at - hi)[x:y], (at - lo + SIZE)[x:y]) for x, y in zip(off[:-1], off[1:])]
+            begin, end = at - hi, at - lo + SIZE
+            spans = [_union(begin[x:y], end[x:y]) for x, y in zip(off[:-1], off[1:])]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([[{"start": x, "end": y} for x, y in zip(*z)] for z in spans], _SPANS), b.column(3), b.column(4)],
                                              names=["doc", "version", "settled", "members", "crowded"])
 
