@@ -30,8 +30,11 @@ _LEGACY_JSON = json.dumps(_LEGACY)
 COMMON_ENTITIES = [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
                    ("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7")]
 
-# A reference, a bare '&', or a run of other characters.
-_RUNS = r"&(?:#[xX][0-9a-fA-F]{1,8};?|#[0-9]{1,10};?|[A-Za-z][A-Za-z0-9]{0,31};?)|&|[^&]+"
+# What numeric references from 128 to 159 stand for (Windows-1252; unassigned ones stay).
+_C1 = "\u20ac\x81\u201a\u0192\u201e\u2026\u2020\u2021\u02c6\u2030\u0160\u2039\u0152\x8d\u017d\x8f\x90\u2018\u2019\u201c\u201d\u2022\u2013\u2014\u02dc\u2122\u0161\u203a\u0153\x9d\u017e\u0178"
+
+# A reference (with a following '=', which matters in attributes), a bare '&', or a run of other characters.
+_RUNS = r"&(?:#[xX][0-9a-fA-F]++;?|#[0-9]++;?|[A-Za-z][A-Za-z0-9]*+[;=]?)|&|[^&]+"
 
 
 def _hex2(x: Column) -> Column:
@@ -40,6 +43,7 @@ def _hex2(x: Column) -> Column:
 
 def _code_point_char(cp: Column) -> Column:
     """UTF-8 character for a code point (U+FFFD for 0, surrogates and out-of-range values)."""
+    cp = F.when((cp >= 128) & (cp < 160), F.ascii(F.substring(F.lit(_C1), cp.cast("int") - 127, 1))).otherwise(cp)
     bad = (cp <= 0) | (cp > 0x10FFFF) | ((cp >= 0xD800) & (cp <= 0xDFFF))
     c = F.when(bad, F.lit(0xFFFD)).otherwise(cp)
     b6 = lambda shift: _hex2(F.shiftright(c, shift).bitwiseAND(0x3F).bitwiseOR(0x80))
@@ -52,11 +56,13 @@ def _code_point_char(cp: Column) -> Column:
     return F.decode(F.unhex(utf8), "UTF-8")
 
 
-def decode_entities(c: Column) -> Column:
+def decode_entities(c: Column, attribute: bool = False) -> Column:
     """Decode HTML character references natively (numeric, and every HTML5 name).
 
     Strings without '&' pass through untouched; others are split into runs
-    and each reference run is replaced. Unknown names stay as written.
+    and each reference run is replaced. Unknown names stay as written, and in an
+    attribute so do names without ';' before '=' (a letter or digit after a name
+    makes it another name).
     """
     # One JSON literal per table: the optimizer folds it into a single map constant,
     # instead of thousands of literal nodes in every plan that decodes text.
@@ -64,19 +70,23 @@ def decode_entities(c: Column) -> Column:
     legacy = F.from_json(F.lit(_LEGACY_JSON), "map<string,string>")
 
     def one(r: Column) -> Column:
-        body = F.regexp_replace(F.substring(r, 2, 64), ";$", "")
-        is_hex = r.rlike("^&#[xX]")
-        is_dec = r.rlike("^&#[0-9]")
-        num = F.when(is_hex, F.conv(F.substring(body, 3, 16), 16, 10)).otherwise(F.substring(body, 2, 16)).cast("long")
-        name_val = F.when(r.endswith(";"), F.element_at(named, F.substring(r, 2, 64))).otherwise(
-            F.element_at(legacy, body))
+        digits = F.regexp_extract(r, "^&#[xX]?0*([0-9a-fA-F]*)", 1)
+        big = F.length(digits) > 7
+        value = F.when(r.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+        num = F.when(digits == "", F.lit(0)).when(big, F.lit(0x110000)).otherwise(value)
+        body = F.regexp_extract(r, "^&([^;=]*)", 1)
+        rest = F.when(r.endswith("="), F.lit("=")).otherwise(F.lit(""))
+        name_val = F.when(r.endswith(";"), F.element_at(named, F.concat(body, F.lit(";")))).otherwise(
+            F.concat(F.element_at(legacy, body), rest))
+        if attribute:
+            name_val = F.when(~r.endswith("="), name_val)
         common = F.lit(None).cast("string")
         for ent, ch in COMMON_ENTITIES:
             common = F.when(r == ent, F.lit(ch)).otherwise(common)
         return (
             F.when(~r.startswith("&") | (r == "&"), r)
             .when(common.isNotNull(), common)
-            .when(is_hex | is_dec, _code_point_char(num))
+            .when(r.startswith("&#"), _code_point_char(num))
             .otherwise(F.coalesce(name_val, r))
         )
 

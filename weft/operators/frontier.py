@@ -12,40 +12,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.operators.jobs import DEFAULT_MAX_DEPTH
 from weft.session import checkpoint_dir
 
 
 def crawl_frontier(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``crawl_id, url, depth, parent_url`` of every page reached from the seeds.
 
-    seeds: ``crawl_id, url[, max_depth]``; edges: ``src_url, dst_url`` (links of
-    successfully fetched pages). Depth is the BFS (minimum) depth; the parent is
-    the smallest URL of the previous layer linking to the page; a page reached
-    once never changes. Expansion stops at ``max_depth`` (per crawl when the
-    seeds carry it) or when a layer is empty.
+    seeds: ``crawl_id, url[, max_depth]``; edges: ``crawl_id, src_url, dst_url``
+    (links of successfully fetched pages, kept by the crawl's own rules). Depth is
+    the BFS (minimum) depth; the parent is the smallest URL of the previous layer
+    linking to the page; a page reached once never changes. Expansion stops at the
+    crawl's ``max_depth`` (default 3), further limited by the argument where given,
+    or when a layer is empty.
+
+    Edges are written once, partitioned by the join keys, and layers are separate
+    written pieces: no round rewrites what earlier rounds found.
     """
-    checkpoint_dir(seeds.sparkSession)
-    has_md = "max_depth" in seeds.columns
-    limits = seeds.select("crawl_id", (F.col("max_depth") if has_md else F.lit(max_depth)).cast("int").alias("max_depth")) \
-        .groupBy("crawl_id").agg(F.max("max_depth").alias("max_depth"))
-    top = max_depth if max_depth is not None else limits.agg(F.max("max_depth")).first()[0]
+    spark = seeds.sparkSession
+    checkpoint_dir(spark)
+    own = F.col("max_depth") if "max_depth" in seeds.columns else F.lit(None)
+    limit = F.coalesce(own, F.lit(max_depth), F.lit(DEFAULT_MAX_DEPTH)).cast("int")
+    if max_depth is not None:
+        limit = F.least(limit, F.lit(max_depth))
+    limits = seeds.groupBy("crawl_id").agg(F.max(limit).alias("max_depth")).checkpoint()
     layer = seeds.select("crawl_id", "url").distinct().select(
         "crawl_id", "url", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent_url")).checkpoint()
-    visited = layer
-    e = edges.select(F.col("src_url").alias("url"), F.col("dst_url").alias("_dst")).distinct()
-    d = 0
-    while top is not None and d < top:
-        grow = layer.join(limits, "crawl_id").filter(F.col("depth") < F.coalesce(F.col("max_depth"), F.lit(top)))
-        cand = grow.join(e, "url").select("crawl_id", F.col("_dst").alias("url"), F.col("url").alias("parent_url"))
-        new = (cand.join(visited.select("crawl_id", "url"), ["crawl_id", "url"], "left_anti")
-               .groupBy("crawl_id", "url").agg(F.min("parent_url").alias("parent_url"))
-               .select("crawl_id", "url", F.lit(d + 1).alias("depth"), "parent_url")).checkpoint()
-        if new.isEmpty():
-            break
-        visited = visited.unionByName(new).checkpoint()
-        layer = new
-        d += 1
-    return visited
+    e = (edges.select("crawl_id", F.col("src_url").alias("url"), F.col("dst_url").alias("_dst")).distinct()
+         .repartition("crawl_id", "url").checkpoint())
+    visited, depth = layer, 0
+    while True:
+        grow = layer.join(limits, "crawl_id").filter(F.col("depth") < F.col("max_depth"))
+        cand = grow.join(e, ["crawl_id", "url"]).select("crawl_id", F.col("_dst").alias("url"), F.col("url").alias("parent_url"))
+        depth += 1
+        layer = (cand.groupBy("crawl_id", "url").agg(F.min("parent_url").alias("parent_url"))
+                 .join(visited.select("crawl_id", "url"), ["crawl_id", "url"], "left_anti")
+                 .select("crawl_id", "url", F.lit(depth).alias("depth"), "parent_url")).checkpoint()
+        if layer.isEmpty():
+            return visited
+        visited = visited.unionByName(layer)
 
 
 def unvisited(urls: DataFrame, visited: DataFrame) -> DataFrame:
@@ -88,6 +93,7 @@ def fetch_plan(frontier: DataFrame, rate: int = 20, partitions: int | None = Non
     and joined back (a table bounded by the partition count), and the rank is
     offset + position within the partition. Adds ``rank`` (from 0) and ``start_ms``.
     """
+    checkpoint_dir(frontier.sparkSession)
     prio = F.coalesce(F.col("priority"), F.lit(1)) if "priority" in frontier.columns else F.lit(1)
     df = frontier.withColumn("priority", prio.cast("int"))
     keys = [F.col("priority").desc(), F.col("depth").asc(), F.col("crawl_id").asc(), F.col("url").asc()]

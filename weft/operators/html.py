@@ -14,9 +14,9 @@ Plan (per page; pages are hash-partitioned by ``page_id`` exactly once):
    running text counters at the element's start and end. Nested elements
    (lists in list items, tables in cells) are handled by the same slices, so
    no element is ever compared with every other element of its page.
-4. The elements are exploded to one row per element (``html_elements``);
-   ``documents`` nests them back per page with one more aggregate on the same
-   partitioning.
+4. The elements of the kinds asked for are exploded to one row per element
+   (``html_elements``); ``documents`` nests them back per page with one more
+   aggregate on the same partitioning.
 
 Known deviations from a full HTML5 tree builder (documented in the README):
 misnested formatting elements are not re-opened (adoption agency), table
@@ -49,10 +49,12 @@ P_CLOSING_OPEN = ["address", "article", "aside", "blockquote", "center", "detail
                   "summary", "table", "ul", "li", "dd", "dt", "listing", "plaintext", "xmp", "search"]
 BLOCK_CLOSE = P_CLOSING_OPEN + ["body", "html", "td", "th", "tr", "caption", "tbody", "thead", "tfoot"]
 HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
+HEADING_CLOSE = ["body", "html", "td", "th", "tr", "table", "li"]
 LIST_TAGS = ["ul", "ol", "dl"]
 ITEM_TAGS = ["li", "dt", "dd"]
 ROW_GROUP_TAGS = ["tbody", "thead", "tfoot"]
-NOT_STRUCTURAL = VOID_TAGS + PHRASING_TAGS + ["p", "li", "dt", "dd", "html", "head", "body"]
+FOREIGN_TAGS = ["svg", "math"]  # inside these, '/>' closes a tag and unknown names are no HTML
+NOT_STRUCTURAL = VOID_TAGS + PHRASING_TAGS + ["p", "li", "dt", "dd", "html", "head", "body"] + LIST_TAGS + FOREIGN_TAGS
 
 
 def _repartition_pages(pages: DataFrame) -> DataFrame:
@@ -84,12 +86,16 @@ def html_tokens(pages: DataFrame) -> DataFrame:
 
 
 def _attr(tok: Column, name: str) -> Column:
-    """Value of attribute ``name`` in an open tag (decoded), NULL if absent."""
-    m = rf"(?is)^<[a-z][^\s/>]*(?:\s+[^\s=>]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+))?)*?\s+{name}(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?(?=[\s/>])"
-    present = tok.rlike(m)
+    """Value of attribute ``name`` in an open tag (decoded), NULL if absent; the first of several counts.
+
+    Attributes before it are skipped one by one with possessive steps, so a tag takes one pass whatever is in it.
+    """
+    value = r"(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+))?+"
+    m = (rf"(?is)^<[a-z][^\s/>]*+(?:[\s/]*+(?!{name}[\s=/>])[^\s=/>\"'][^\s=/>]*+{value})*+[\s/]*+{name}(?=[\s=/>])"
+         r"(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+))?+")
     raw = F.regexp_extract(tok, m, 1)
     unq = F.regexp_replace(raw, r"^[\"']|[\"']$", "")
-    return F.when(present, decode_entities(unq))
+    return F.when(tok.rlike(m), decode_entities(unq, attribute=True))
 
 
 def _end_struct(cond: Column) -> Column:
@@ -109,7 +115,7 @@ def _element_rows(pages: DataFrame) -> DataFrame:
         "is_text": (F.col("kind") == "text").cast("int"),
         "d_list": F.when(is_open & tag.isin(*LIST_TAGS), one).when(is_close & tag.isin(*LIST_TAGS), F.lit(-1)).otherwise(zero),
         "d_tab": F.when(is_open & (tag == "table"), one).when(is_close & (tag == "table"), F.lit(-1)).otherwise(zero),
-        "d_gd": F.when(is_open & ~tag.isin(*NOT_STRUCTURAL), one).when(is_close & ~tag.isin(*NOT_STRUCTURAL), F.lit(-1)).otherwise(zero),
+        "d_for": F.when(is_open & tag.isin(*FOREIGN_TAGS) & ~F.endswith("tok", F.lit("/>")), one).when(is_close & tag.isin(*FOREIGN_TAGS), F.lit(-1)).otherwise(zero),
         "o_td": (is_open & (tag == "td")).cast("int"),
         "o_th": (is_open & (tag == "th")).cast("int"),
         "o_tr": (is_open & (tag == "tr")).cast("int"),
@@ -119,7 +125,7 @@ def _element_rows(pages: DataFrame) -> DataFrame:
         "tc": F.sum("is_text").over(run),
         "ld": F.sum("d_list").over(run),
         "tdp": F.sum("d_tab").over(run),
-        "gd": F.sum("d_gd").over(run),
+        "fd": F.sum("d_for").over(run),
         "n_td": F.sum("o_td").over(run),
         "n_th": F.sum("o_th").over(run),
         "n_tr": F.sum("o_tr").over(run),
@@ -131,7 +137,7 @@ def _element_rows(pages: DataFrame) -> DataFrame:
     # Nearest following closer: order descending and look at the rows already seen.
     after = Window.partitionBy("page_id").orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, -1)
     closes_p = (is_open & tag.isin(*P_CLOSING_OPEN)) | (is_close & tag.isin(*BLOCK_CLOSE))
-    closes_h = (is_open & tag.isin(*HEADINGS)) | (is_close & tag.isin(*BLOCK_CLOSE))
+    closes_h = (is_open & tag.isin(*HEADINGS)) | (is_close & tag.isin(*HEADINGS, *HEADING_CLOSE))
     closes_a = (is_open | is_close) & (tag == "a")
     t = t.withColumns({
         "end_p": F.last(_end_struct(closes_p), ignorenulls=True).over(after),
@@ -140,6 +146,19 @@ def _element_rows(pages: DataFrame) -> DataFrame:
     })
     nest = Window.partitionBy("page_id", "ld_key", "tdp_key").orderBy(F.col("pos").desc()).rowsBetween(
         Window.unboundedPreceding, -1)
+    nest_up = Window.partitionBy("page_id", "ld_key", "tdp_key").orderBy("pos")
+    # Open structural elements within a list's level. What an item opens and does not close ends with the item's end tag,
+    # so tokens between an item's start and end tags do not count; neither does foreign content.
+    is_item = tag.isin(*ITEM_TAGS)
+    edge = F.when((is_open | is_close) & is_item, is_open)
+    t = t.withColumns({
+        "_before": F.last(edge, ignorenulls=True).over(nest_up.rowsBetween(Window.unboundedPreceding, -1)),
+        "_after": F.last(edge, ignorenulls=True).over(nest),
+    })
+    in_item = F.coalesce(F.col("_before") & ~F.col("_after"), F.lit(False))
+    counted = ~in_item & (F.col("fd") == 0) & ~tag.isin(*NOT_STRUCTURAL)
+    t = t.withColumn("gd", F.sum(F.when(is_open & counted, one).when(is_close & counted, F.lit(-1)).otherwise(zero)).over(
+        nest_up.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_before", "_after")
     closes_item = ((is_open | is_close) & tag.isin(*ITEM_TAGS)) | (is_close & tag.isin(*LIST_TAGS))
     closes_table = is_close & (tag == "table")
     closes_tr = ((is_open | is_close) & tag.isin("tr", *ROW_GROUP_TAGS)) | closes_table
@@ -200,18 +219,20 @@ def _page_aggregate(pages: DataFrame) -> DataFrame:
     )
 
 
-def html_elements(pages: DataFrame) -> DataFrame:
-    """One row per extracted element of every page.
+KINDS = ("title", "raw_text", "heading", "paragraph", "list", "table", "anchor")
+
+
+def html_elements(pages: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """One row per extracted element of the given kinds of every page.
 
     Columns: ``page_id, kind, pos, level, content, href, list_type, items, headers, rows``.
     kinds: ``title`` (first title, raw), ``raw_text`` (H3), ``heading``, ``paragraph``,
     ``list``, ``table``, ``anchor``. ``pos`` orders elements of one kind in
-    document order (headings are ordered by level first, see ``headings``).
+    document order (headings are ordered by level first, see ``headings``). Only
+    what the kinds need is built.
     """
     g = _page_aggregate(pages)
-    texts = F.transform(F.col("texts"), lambda x: x["text"])
-    g = g.select("page_id", "title_raw", "body_tc", "head_tc", "n_text", "n_td", "n_th", "n_tr", "elems",
-                 texts.alias("tx"))
+    g = g.withColumn("tx", F.transform(F.col("texts"), lambda x: x["text"])).drop("texts")
 
     def seg(a: Column, b: Column) -> Column:
         return F.array_join(F.slice(F.col("tx"), a + 1, F.greatest(b - a, F.lit(0))), "")
@@ -238,103 +259,101 @@ def html_elements(pages: DataFrame) -> DataFrame:
         )
 
     el = F.col("elems")
-    # raw text (H3): body text, split on '\n', each line cleaned, empty lines dropped.
-    start = F.coalesce(F.col("body_tc"), F.col("head_tc"), F.lit(0))
-    body = seg(start, F.col("n_text"))
-    raw = F.array_join(F.filter(F.transform(F.split(body, "\n"), clean_text), lambda x: x != ""), "\n")
-    title_row = F.array(row("title", F.lit(0), content=F.nullif(F.col("title_raw"), F.lit(""))))
-    raw_row = F.array(row("raw_text", F.lit(0), content=raw))
-    heads = F.transform(F.filter(el, lambda e: e["kind"] == "h"),
-                        lambda e: row("heading", e["pos"], level=F.substring(e["tag"], 2, 1).cast("int"),
-                                      content=clean_text(etext(e))))
-    paras = F.filter(F.transform(F.filter(el, lambda e: e["kind"] == "p"),
-                                 lambda e: row("paragraph", e["pos"], content=clean_text(etext(e)))),
-                     lambda r: r["content"] != "")
-    anchors = F.filter(F.transform(F.filter(el, lambda e: e["kind"] == "a"),
-                                   lambda e: row("anchor", e["pos"], content=clean_text(etext(e)), href=e["href"])),
-                       lambda r: (r["content"] != "") & (r["href"] != ""))
-    # Lists: containers and items sorted by (depth, pos); a container is followed by the items of its level.
-    lst = F.array_sort(F.transform(F.filter(el, lambda e: e["kind"].isin("list", "item")),
-                                   lambda e: F.struct(e["depth"].alias("depth"), e["pos"].alias("pos"),
-                                                      e["kind"].alias("kind"), e["tag"].alias("tag"),
-                                                      e["gd"].alias("gd"), clean_text(F.when(e["kind"] == "item", etext(e))).alias("text"))))
-    g = g.withColumn("lst", lst)
-    n_l = F.size(F.col("lst"))
-    cidx = F.filter(F.sequence(F.lit(1), F.greatest(n_l, F.lit(1))),
-                    lambda i: (n_l > 0) & (F.element_at(F.col("lst"), i)["kind"] == "list"))
-
-    def list_row(ci, j):
-        c = F.element_at(F.col("lst"), ci)
-        nxt = F.coalesce(F.try_element_at(cidx, j + 2), n_l + 1)
-        members = F.slice(F.col("lst"), ci + 1, nxt - ci - 1)
-        want = F.when(c["tag"] == "dl", F.array(F.lit("dt"), F.lit("dd"))).otherwise(F.array(F.lit("li")))
-        items = F.transform(F.filter(members, lambda m: (m["kind"] == "item") & (m["gd"] == c["gd"])
-                                     & F.array_contains(want, m["tag"])), lambda m: m["text"])
-        ltype = F.when(c["tag"] == "ol", F.lit("ordered")).when(c["tag"] == "dl", F.lit("definition")).otherwise(F.lit("unordered"))
-        return row("list", c["pos"], content=F.array_join(items, "\n"), list_type=ltype, items=items)
-
-    lists = F.transform(cidx, list_row)
-    # Tables: cells, rows and tables are slices of page-level arrays by running counters.
-    td_txt = F.transform(F.filter(el, lambda e: e["kind"] == "td"), lambda e: clean_text(etext(e)))
-    th_txt = F.transform(F.filter(el, lambda e: e["kind"] == "th"), lambda e: clean_text(etext(e)))
-    g = g.withColumns({"td_txt": td_txt, "th_txt": th_txt})
-    tr_cells = F.transform(F.filter(el, lambda e: e["kind"] == "tr"),
-                           lambda e: F.slice(F.col("td_txt"), e["td0"] + 1, F.greatest(bnd(e, "td1", "n_td") - e["td0"], F.lit(0))))
-    g = g.withColumn("tr_cells", tr_cells)
-    tables = F.transform(
-        F.filter(el, lambda e: e["kind"] == "table"),
-        lambda e: row("table", e["pos"], content=F.lit(""),
-                      headers=F.slice(F.col("th_txt"), e["th0"] + 1, F.greatest(bnd(e, "th1", "n_th") - e["th0"], F.lit(0))),
-                      rows=F.filter(F.slice(F.col("tr_cells"), e["tr0"] + 1, F.greatest(bnd(e, "tr1", "n_tr") - e["tr0"], F.lit(0))),
-                                    lambda r: F.size(r) > 0)))
-    allrows = F.concat(title_row, raw_row, heads, paras, lists, tables, anchors)
-    out = g.select("page_id", F.explode(allrows).alias("e")).select("page_id", "e.*")
-    return out
-
-
-def _pages_in(pages_or_elements: DataFrame) -> DataFrame:
-    return pages_or_elements if "kind" in pages_or_elements.columns else html_elements(pages_or_elements)
+    built = []
+    if "title" in kinds:
+        built.append(F.array(row("title", F.lit(0), content=F.nullif(F.col("title_raw"), F.lit("")))))
+    if "raw_text" in kinds:  # H3: body text, split on '\n', each line cleaned, empty lines dropped
+        start = F.coalesce(F.col("body_tc"), F.col("head_tc"), F.lit(0))
+        raw = F.array_join(F.filter(F.transform(F.split(seg(start, F.col("n_text")), "\n"), clean_text), lambda x: x != ""), "\n")
+        built.append(F.array(row("raw_text", F.lit(0), content=raw)))
+    if "heading" in kinds:
+        built.append(F.transform(F.filter(el, lambda e: e["kind"] == "h"),
+                                 lambda e: row("heading", e["pos"], level=F.substring(e["tag"], 2, 1).cast("int"), content=clean_text(etext(e)))))
+    if "paragraph" in kinds:
+        built.append(F.filter(F.transform(F.filter(el, lambda e: e["kind"] == "p"), lambda e: row("paragraph", e["pos"], content=clean_text(etext(e)))),
+                              lambda r: r["content"] != ""))
+    if "list" in kinds:
+        # Containers and items sorted by (depth, pos): a container is followed by the items of its level. The places of
+        # the containers are a column of their own, made once for each page.
+        g = g.withColumn("lst", F.array_sort(F.transform(
+            F.filter(el, lambda e: e["kind"].isin("list", "item")),
+            lambda e: F.struct(e["depth"].alias("depth"), e["pos"].alias("pos"), e["kind"].alias("kind"), e["tag"].alias("tag"),
+                               e["gd"].alias("gd"), clean_text(F.when(e["kind"] == "item", etext(e))).alias("text")))))
+        g = g.withColumn("places", F.filter(F.transform("lst", lambda e, i: F.when(e["kind"] == "list", i + 1)), lambda i: i.isNotNull()))
+
+        def list_row(ci, j):
+            c = F.element_at(F.col("lst"), ci)
+            nxt = F.coalesce(F.try_element_at("places", j + 2), F.size("lst") + 1)
+            members = F.slice(F.col("lst"), ci + 1, nxt - ci - 1)
+            want = F.when(c["tag"] == "dl", F.array(F.lit("dt"), F.lit("dd"))).otherwise(F.array(F.lit("li")))
+            items = F.transform(F.filter(members, lambda m: (m["gd"] == c["gd"]) & F.array_contains(want, m["tag"])), lambda m: m["text"])
+            ltype = F.when(c["tag"] == "ol", F.lit("ordered")).when(c["tag"] == "dl", F.lit("definition")).otherwise(F.lit("unordered"))
+            return row("list", c["pos"], content=F.array_join(items, "\n"), list_type=ltype, items=items)
+
+        built.append(F.transform("places", list_row))
+    if "table" in kinds:  # cells, rows and tables are slices of page-level arrays by running counters
+        def cells(tag):
+            return F.transform(F.filter(el, lambda e: e["kind"] == tag), lambda e: clean_text(etext(e)))
+
+        g = g.withColumns({"td_txt": cells("td"), "th_txt": cells("th")})
+        g = g.withColumn("tr_cells", F.transform(
+            F.filter(el, lambda e: e["kind"] == "tr"),
+            lambda e: F.slice(F.col("td_txt"), e["td0"] + 1, F.greatest(bnd(e, "td1", "n_td") - e["td0"], F.lit(0)))))
+        built.append(F.transform(
+            F.filter(el, lambda e: e["kind"] == "table"),
+            lambda e: row("table", e["pos"], content=F.lit(""),
+                          headers=F.slice(F.col("th_txt"), e["th0"] + 1, F.greatest(bnd(e, "th1", "n_th") - e["th0"], F.lit(0))),
+                          rows=F.filter(F.slice(F.col("tr_cells"), e["tr0"] + 1, F.greatest(bnd(e, "tr1", "n_tr") - e["tr0"], F.lit(0))),
+                                        lambda r: F.size(r) > 0))))
+    if "anchor" in kinds:
+        built.append(F.filter(F.transform(F.filter(el, lambda e: e["kind"] == "a"), lambda e: row("anchor", e["pos"], content=clean_text(etext(e)), href=e["href"])),
+                              lambda r: (r["content"] != "") & (r["href"] != "")))
+    return g.select("page_id", F.explode(F.concat(*built) if len(built) > 1 else built[0]).alias("e")).select("page_id", "e.*")
+
+
+def _pages_in(pages_or_elements: DataFrame, kind: str) -> DataFrame:
+    return pages_or_elements if "kind" in pages_or_elements.columns else html_elements(pages_or_elements, (kind,))
 
 
 def raw_text(pages: DataFrame) -> DataFrame:
     """H3: ``page_id, raw_text``."""
-    e = _pages_in(pages)
+    e = _pages_in(pages, "raw_text")
     return e.filter(F.col("kind") == "raw_text").select("page_id", F.col("content").alias("raw_text"))
 
 
 def titles(pages: DataFrame) -> DataFrame:
     """H4: ``page_id, title`` (first title, not cleaned, NULL if empty or absent)."""
-    e = _pages_in(pages)
+    e = _pages_in(pages, "title")
     return e.filter(F.col("kind") == "title").select("page_id", F.col("content").alias("title"))
 
 
 def headings(pages: DataFrame) -> DataFrame:
     """H5: ``page_id, pos, level, content``; document order is (level, pos)."""
-    e = _pages_in(pages)
+    e = _pages_in(pages, "heading")
     return e.filter(F.col("kind") == "heading").select("page_id", "pos", "level", "content")
 
 
 def paragraphs(pages: DataFrame) -> DataFrame:
     """H6: ``page_id, pos, content`` (non-empty, cleaned)."""
-    e = _pages_in(pages)
+    e = _pages_in(pages, "paragraph")
     return e.filter(F.col("kind") == "paragraph").select("page_id", "pos", "content")
 
 
 def lists(pages: DataFrame) -> DataFrame:
     """H7: ``page_id, pos, list_type, items, content``."""
-    e = _pages_in(pages)
+    e = _pages_in(pages, "list")
     return e.filter(F.col("kind") == "list").select("page_id", "pos", "list_type", "items", "content")
 
 
 def tables(pages: DataFrame) -> DataFrame:
     """H8: ``page_id, pos, headers, rows``."""
-    e = _pages_in(pages)
+    e = _pages_in(pages, "table")
     return e.filter(F.col("kind") == "table").select("page_id", "pos", "headers", "rows")
 
 
 def anchors(pages: DataFrame) -> DataFrame:
     """H9: ``page_id, pos, href, text`` (href raw, text cleaned, both non-empty, not deduplicated)."""
-    e = _pages_in(pages)
+    e = _pages_in(pages, "anchor")
     return e.filter(F.col("kind") == "anchor").select("page_id", "pos", "href", F.col("content").alias("text"))
 
 
@@ -344,9 +363,12 @@ def _picker(fields):
     return pick
 
 
-def documents(pages: DataFrame, links_filter=None) -> DataFrame:
+def documents(pages: DataFrame, links_filter=None, extractor=None) -> DataFrame:
     """One nested row per page (``page_id, title, raw_text, headings, paragraphs, lists, tables, links``).
 
+    ``extractor(tokens) -> (page_id, ...)`` (X1) is a custom extractor over the token rows of ``html_tokens``; its columns
+    are added to each page's document (NULL where it gives no row; at most one row for each page).
+
     ``links_filter(elements) -> elements`` may drop anchor rows (L2's valid-link
     rule); it runs on the element rows, so the document is still built by one
     aggregate on the page partitioning.
@@ -379,4 +401,5 @@ def documents(pages: DataFrame, links_filter=None) -> DataFrame:
     cols = [F.col("page_id"), F.col("title"), F.coalesce(F.col("raw_text"), F.lit("")).alias("raw_text")]
     for name, (src, fields) in strip.items():
         cols.append(F.transform(F.col(src), _picker(fields)).alias(name))
-    return agg.select(*cols)
+    out = agg.select(*cols)
+    return out if extractor is None else out.join(extractor(html_tokens(pages)), "page_id", "left")

@@ -22,6 +22,7 @@ REPORTED_STATES = ["waiting", "active", "completed", "failed"]
 CLEARED_STATES = ["waiting", "active", "delayed", "failed"]
 TERMINAL_STATES = ["completed", "failed"]
 OPEN_STATES = ["waiting", "active", "delayed"]
+# Defaults of a crawl request.
 DEFAULT_MAX_DEPTH = 3
 DEFAULT_EXCLUDED_PATHS = ["/admin", "/private", "/wp-admin", "/login", "/logout"]
 
@@ -32,8 +33,8 @@ def _cnt(cond: Column) -> Column:
 
 # ---- S2-S5, S7 -------------------------------------------------------------------------------
 
-def job_by_id(jobs: DataFrame, job_id, check: bool = False) -> DataFrame:
-    """The job row with ``id = job_id``; with ``check`` raise unless exactly one row exists."""
+def job_by_id(jobs: DataFrame, job_id, check: bool = True) -> DataFrame:
+    """The job row with ``id = job_id``; raises unless exactly one row exists (``check=False``: whatever is there)."""
     out = jobs.filter(F.col("id") == F.lit(job_id))
     if check:
         n = out.limit(2).count()
@@ -87,22 +88,19 @@ def with_job_ids(accepted: DataFrame) -> DataFrame:
 
 
 def update_jobs(jobs: DataFrame, changes: DataFrame) -> DataFrame:
-    """Apply status changes ``(id, status, ts[, completed_at])``; the latest change per id wins.
+    """Apply changes ``(id, ts, status and any other job fields)``.
 
-    Changes are reduced to one row per id before the join (partial aggregation),
-    so the join sees at most one change per job.
+    Only fields that a change gives (non-NULL) are set; of several changes the
+    latest that gives a field wins, ties going to the larger value. A field that
+    ``jobs`` lacks becomes a new column, NULL elsewhere. Changes are reduced to
+    one row per id before the join (partial aggregation).
     """
-    extra = [c for c in changes.columns if c not in ("id", "status", "ts")]
-    latest = changes.groupBy("id").agg(
-        F.max_by(F.struct("status", *extra), F.struct("ts", "status")).alias("_c"))
+    fields = [c for c in changes.columns if c not in ("id", "ts")]
+    latest = changes.groupBy("id").agg(*[
+        F.max(F.when(F.col(c).isNotNull(), F.struct("ts", F.col(c).alias("v"))))["v"].alias(f"_new_{c}") for c in fields])
     j = jobs.join(latest, "id", "left")
-    cols = []
-    for c in jobs.columns:
-        if c == "status" or c in extra:
-            cols.append(F.coalesce(F.col(f"_c.{c}"), F.col(c)).alias(c))
-        else:
-            cols.append(F.col(c))
-    return j.select(*cols)
+    kept = [F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in fields else F.col(c) for c in jobs.columns]
+    return j.select(*kept, *[F.col(f"_new_{c}").alias(c) for c in fields if c not in jobs.columns])
 
 
 # ---- J4-J6, J8 -------------------------------------------------------------------------------
@@ -210,16 +208,16 @@ def retain(queue: DataFrame, now: Column | None = None, keep: int = 1000,
     """Finished jobs kept by the queue: completed within 24 h and the newest 1000,
     failed within 7 days and the newest 1000. ``now`` defaults to the newest event time.
 
-    ``row_number() <= keep`` with a literal ``keep`` is planned as a group limit,
-    so each mapper ships at most ``keep`` rows per state.
+    One sort with a limit for each state: whatever ``keep`` is, a mapper ships its
+    newest rows only and no state is sorted in one window.
     """
     now = now if now is not None else queue.select(F.max("event_ts")).scalar()
-    st = F.col("state")
-    fresh = ((st == "completed") & (F.col("event_ts") >= now - F.expr(f"INTERVAL {completed_age}"))) | (
-        (st == "failed") & (F.col("event_ts") >= now - F.expr(f"INTERVAL {failed_age}")))
-    w = Window.partitionBy("state").orderBy(F.col("event_ts").desc(), F.col("job_id").asc())
-    return (queue.filter(st.isin(*TERMINAL_STATES) & fresh)
-            .withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= keep).drop("_rn"))
+
+    def newest(state, age):
+        fresh = queue.filter((F.col("state") == state) & (F.col("event_ts") >= now - F.expr(f"INTERVAL {age}")))
+        return fresh.orderBy(F.col("event_ts").desc(), F.col("job_id").asc()).limit(keep)
+
+    return newest("completed", completed_age).unionByName(newest("failed", failed_age))
 
 
 # ---- A1-A6, A9-A11 -------------------------------------------------------------------------
@@ -241,9 +239,18 @@ def queue_status(queue: DataFrame) -> DataFrame:
         F.count("*").cast("bigint").alias("total"))
 
 
+def queue_job_list(queue: DataFrame, crawl_id=None) -> DataFrame:
+    """A2/J6 job lists: ``crawl_id, job_id, state`` and, where the queue has them, ``url, depth, max_depth``."""
+    q = queue.filter(F.col("state").isin(*REPORTED_STATES))
+    if crawl_id is not None:
+        q = q.filter(F.col("crawl_id") == F.lit(crawl_id))
+    return q.select("crawl_id", "job_id", "state", *[c for c in ("url", "depth", "max_depth") if c in queue.columns])
+
+
 def clear_summary(queue: DataFrame) -> DataFrame:
     """A3: one row: crawls affected (grouped over waiting/active/completed/failed) and
-    jobs cleared (waiting/active/delayed/failed). Two filtered aggregates, one pass."""
+    jobs cleared (waiting/active/delayed/failed). Two filtered aggregates, one pass.
+    The affected crawl ids are the rows of ``clear_updates``."""
     st = F.col("state")
     return queue.agg(
         F.count_distinct(F.when(st.isin(*REPORTED_STATES), F.col("crawl_id"))).cast("bigint").alias("total_crawls_affected"),
@@ -257,6 +264,12 @@ def clear_updates(queue: DataFrame) -> DataFrame:
         .select("id", F.lit("stopped").alias("status"), "cleared_job_count")
 
 
+def reset_updates(queue: DataFrame, at: Column) -> DataFrame:
+    """A4: job-table changes of a reset at time ``at`` (input of ``update_jobs``):
+    ``id, ts, status 'stopped', stop_requested_at, reset_at, cleared_job_count``."""
+    return clear_updates(queue).select("id", at.alias("ts"), "status", at.alias("stop_requested_at"), at.alias("reset_at"), "cleared_job_count")
+
+
 def reset_summary(queue: DataFrame) -> DataFrame:
     """A4: jobs by state plus the total row (state NULL), with the crawls affected, via ``rollup``."""
     q = queue.filter(F.col("state").isin(*REPORTED_STATES))
@@ -265,11 +278,22 @@ def reset_summary(queue: DataFrame) -> DataFrame:
 
 
 def stop_summary(queue: DataFrame, crawl_id=None) -> DataFrame:
-    """A5: per crawl (or one crawl): active+waiting jobs stopped; response status 'stopped'."""
+    """A5: per crawl (or one crawl): active+waiting jobs, of these the jobs stopped, response status 'stopped'.
+
+    A queue column ``removable`` (False: the queue could not remove the job) takes jobs out of ``jobs_stopped``.
+    """
     q = queue if crawl_id is None else queue.filter(F.col("crawl_id") == F.lit(crawl_id))
-    st = F.col("state")
-    return q.groupBy("crawl_id").agg(_cnt(st.isin("active", "waiting")).alias("total_jobs")) \
-        .select("crawl_id", "total_jobs", F.col("total_jobs").alias("jobs_stopped"), F.lit("stopped").alias("status"))
+    mine = F.col("state").isin("active", "waiting")
+    gone = mine & F.coalesce(F.col("removable"), F.lit(True)) if "removable" in queue.columns else mine
+    return q.groupBy("crawl_id").agg(_cnt(mine).alias("total_jobs"), _cnt(gone).alias("jobs_stopped")) \
+        .select("crawl_id", "total_jobs", "jobs_stopped", F.lit("stopped").alias("status"))
+
+
+def stop_updates(queue: DataFrame, at: Column, crawl_id=None) -> DataFrame:
+    """A5: job-table changes of a stop at time ``at``, in order: 'stopping', then 'crawled'
+    (``id, ts, step, status, completed_at``; ``step`` orders changes with equal times)."""
+    ids = stop_summary(queue, crawl_id).select(F.col("crawl_id").alias("id"))
+    return ids.select("id", at.alias("ts"), F.posexplode(F.array(F.lit("stopping"), F.lit("crawled"))).alias("step", "status"), at.alias("completed_at"))
 
 
 def shutdown_summary(queue: DataFrame) -> DataFrame:
@@ -282,16 +306,14 @@ def shutdown_summary(queue: DataFrame) -> DataFrame:
 def outcomes(events: DataFrame) -> DataFrame:
     """Job outcomes from events: latest state per job with ``inserted``, ``failed``, ``error_code``.
 
-    A job that ended completed inserted its page; failed jobs carry an error
-    code (``QuotaExceededError`` when the job id says so).
+    A job that ended completed inserted its page; failed jobs carry the error code
+    of their last event (``error_code`` column of the events, else ``CrawlError``).
     """
-    s = latest_job_state(events)
-    return s.select("crawl_id", "job_id", "state", "last_ts",
-                    (F.col("state") == "completed").alias("inserted"),
-                    (F.col("state") == "failed").alias("failed"),
-                    F.when((F.col("state") == "failed") & F.col("job_id").contains("quota"),
-                           F.lit("QuotaExceededError")).when(F.col("state") == "failed", F.lit("CrawlError"))
-                    .alias("error_code"))
+    given = F.col("error_code") if "error_code" in events.columns else F.lit(None).cast("string")
+    s = events.groupBy("crawl_id", "job_id").agg(F.max_by(F.struct("state", given.alias("code"), F.col("ts").alias("last_ts")), F.struct("ts", "event_id")).alias("l"))
+    failed = F.col("l.state") == "failed"
+    return s.select("crawl_id", "job_id", "l.state", "l.last_ts", (F.col("l.state") == "completed").alias("inserted"), failed.alias("failed"),
+                    F.when(failed, F.coalesce("l.code", F.lit("CrawlError"))).alias("error_code"))
 
 
 def progress(outc: DataFrame) -> DataFrame:
@@ -328,22 +350,23 @@ def within_quota(page_events: DataFrame, quotas: DataFrame, salt_buckets: int =
     """Monthly page quota per user.
 
     Rows: ``user_id, url, ts, month, n (running count, only within quota),
-    within_quota, remaining``. Pages are counted per (user, month) in (ts, url)
-    order. A hot user is split into ``salt_buckets`` buckets: only the first
-    ``quota`` rows of each bucket can be among the first ``quota`` rows of the
-    user, so the exact ranking runs on those candidates only.
+    within_quota, remaining``, one for each input row. Pages are counted per (user,
+    month) in (ts, url) order, repeated rows one by one; a user without a quota row
+    has none left. A hot user is split into ``salt_buckets`` buckets: only the first
+    ``quota`` rows of each bucket can be among the user's first ``quota`` rows, so
+    only those candidates are ranked; all others are over the quota as they are.
     """
     q = quotas.select("user_id", F.col("monthly_quota").alias("quota"))
     pe = page_events.withColumn("month", F.date_trunc("month", "ts")).join(q, "user_id", "left")
-    pe = pe.withColumn("_salt", F.pmod(F.xxhash64("url", "ts"), F.lit(salt_buckets)))
+    pe = pe.withColumn("quota", F.coalesce("quota", F.lit(0))).withColumn("_salt", F.pmod(F.xxhash64("url", "ts"), F.lit(salt_buckets)))
     order = [F.col("ts").asc(), F.col("url").asc()]
     w_local = Window.partitionBy("user_id", "month", "_salt").orderBy(*order)
-    cand = pe.withColumn("_ln", F.row_number().over(w_local)).filter(F.col("_ln") <= F.coalesce(F.col("quota"), F.lit(0)))
+    local = pe.withColumn("_ln", F.row_number().over(w_local))
     w_user = Window.partitionBy("user_id", "month").orderBy(*order)
-    ranked = cand.withColumn("n", F.row_number().over(w_user)).filter(F.col("n") <= F.col("quota")) \
-        .select("user_id", "month", "url", "ts", "n")
-    out = pe.join(ranked, ["user_id", "month", "url", "ts"], "left")
-    return out.select("user_id", "url", "ts", "month", F.col("n").cast("bigint").alias("n"),
-                      F.col("n").isNotNull().alias("within_quota"),
-                      F.when(F.col("n").isNotNull(), F.col("quota") - F.col("n")).otherwise(F.lit(0)).cast("bigint")
-                      .alias("remaining"))
+    ranked = local.filter(F.col("_ln") <= F.col("quota")).withColumn("n", F.row_number().over(w_user))
+    both = ranked.withColumn("n", F.when(F.col("n") <= F.col("quota"), F.col("n"))).unionByName(
+        local.filter(F.col("_ln") > F.col("quota")).withColumn("n", F.lit(None).cast("int")))
+    return both.select("user_id", "url", "ts", "month", F.col("n").cast("bigint").alias("n"),
+                       F.col("n").isNotNull().alias("within_quota"),
+                       F.when(F.col("n").isNotNull(), F.col("quota") - F.col("n")).otherwise(F.lit(0)).cast("bigint")
+                       .alias("remaining"))

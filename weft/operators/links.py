@@ -24,7 +24,7 @@ def page_links(pages: DataFrame, elements: DataFrame | None = None, materialize:
     (reliable ``checkpoint``): later URL work plans against a short lineage and
     a lost executor does not re-run the HTML job.
     """
-    e = elements if elements is not None else html_elements(pages)
+    e = elements if elements is not None else html_elements(pages, ("anchor",))
     a = anchors(e)
     urls = pages.select("page_id", F.col("url").alias("src_url"))
     out = a.join(urls, "page_id").select("page_id", "src_url", "pos", "href", "text")

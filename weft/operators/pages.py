@@ -19,13 +19,19 @@ def page_stats(docs: DataFrame, pages: DataFrame | None = None) -> DataFrame:
         F.size("lists").cast("bigint").alias("lists_count"),
         F.size("tables").cast("bigint").alias("tables_count"),
         F.size("links").cast("bigint").alias("links_count"),
-        F.lit(True).alias("extraction_success"),
+        F.col("raw_text").isNotNull().alias("extraction_success"),
     )
     if pages is not None:
         d = d.join(pages.select("page_id", F.length("html").cast("bigint").alias("response_size")), "page_id")
     return d
 
 
+def crawl_volume(volume: DataFrame, pages: DataFrame) -> DataFrame:
+    """A8 per crawl: sums of ``page_volume`` over the crawl's pages (``page_id, crawl_id``)."""
+    return volume.join(pages.select("page_id", "crawl_id"), "page_id").groupBy("crawl_id").agg(
+        F.sum("total_size_bytes").alias("total_size_bytes"), F.sum("token_count").alias("token_count"), F.count("*").cast("bigint").alias("pages"))
+
+
 def page_volume(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """Per page UTF-8 bytes of the response and an approximate token count of the raw text."""
     v = pages.select("page_id", F.octet_length("html").cast("bigint").alias("total_size_bytes"))
@@ -37,17 +43,33 @@ def upsert_pages(target: DataFrame, new: DataFrame, key=("crawl_id", "url"), ord
     """Insert-or-update page rows by ``key``; the last version of a key in ``new`` wins.
 
     Returns the new table with ``inserted`` (True where the key was not in
-    ``target`` before). On parquet there is no MERGE: write the result to a new
-    versioned folder and switch readers to it (``write_versioned``).
+    ``target`` before). ``new`` is reduced to one row per key by a partial
+    aggregate, then one full outer join builds the table. On parquet there is no
+    MERGE: write the result to a new versioned folder and switch readers to it
+    (``write_versioned``).
+    """
+    key, cols = list(key), target.columns
+    rest = [c for c in cols if c not in key]
+    by = F.col(order) if order in new.columns else F.lit(0)
+    latest = new.groupBy(*key).agg(F.max_by(F.struct(*rest), by).alias("_new")).withColumn("_in", F.lit(True))
+    old = target.select(*key, F.struct(*rest).alias("_old")).withColumn("_was", F.lit(True))
+    j = old.join(latest, key, "full_outer")
+    return j.select(*[F.col(c) if c in key else F.when(F.col("_in"), F.col(f"_new.{c}")).otherwise(F.col(f"_old.{c}")).alias(c) for c in cols],
+                    F.col("_was").isNull().alias("inserted"))
+
+
+def upsert_outcomes(upserted: DataFrame, new: DataFrame, jobs: DataFrame, quotas: DataFrame, key=("crawl_id", "url")) -> DataFrame:
+    """S6 answers: for each row of ``new`` (``crawl_id, url, ts``): ``inserted, quota_exceeded, pages_remaining``.
+
+    Pages count against the crawl's user by month (W3); a page over the quota is not charged.
     """
-    key = list(key)
-    w = Window.partitionBy(*key).orderBy(F.col(order).desc()) if order in new.columns else Window.partitionBy(*key).orderBy(*key)
-    latest = new.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
-    existing = target.select(*key).distinct().withColumn("_seen", F.lit(True))
-    flagged = latest.join(existing, key, "left").withColumn("inserted", F.col("_seen").isNull()).drop("_seen")
-    cols = [c for c in target.columns]
-    kept = target.join(latest.select(*key), key, "left_anti").withColumn("inserted", F.lit(False))
-    return kept.select(*cols, "inserted").unionByName(flagged.select(*cols, "inserted"))
+    from weft.operators.jobs import within_quota
+    owned = new.join(jobs.select(F.col("id").alias("crawl_id"), "user_id"), "crawl_id")
+    charged = within_quota(owned.select("user_id", F.to_json(F.struct(*key)).alias("url"), "ts"), quotas)
+    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in new.select(*key).schema)
+    charged = charged.select(F.from_json("url", keys).alias("k"), "user_id", "ts", "within_quota", "remaining").select("k.*", "user_id", "ts", "within_quota", "remaining")
+    return charged.join(upserted.select(*key, "inserted"), list(key)).select(
+        *key, "user_id", "ts", "inserted", (~F.col("within_quota")).alias("quota_exceeded"), F.col("remaining").alias("pages_remaining"))
 
 
 def write_versioned(df: DataFrame, root: str, version: int) -> str:
@@ -70,14 +92,21 @@ def rejects_to_logs(rejects: DataFrame, id_col: str = "crawl_id") -> DataFrame:
                           F.current_timestamp().alias("ts"))
 
 
-def nest_documents(docs: DataFrame) -> DataFrame:
-    """The stored page row: ``extracted = {raw_text, structured{title, headings, ...}}``."""
-    return docs.select(
+def nest_documents(docs: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """The stored page row: ``extracted = {raw_text, structured{title, headings, ...}}``.
+
+    With ``pages`` (``page_id, crawl_id, url, depth``) also the crawl, address, depth and status 'completed'.
+    """
+    out = docs.select(
         "page_id", "title", F.col("raw_text").alias("content_text"),
         F.struct(F.col("raw_text").alias("raw_text"),
                  F.struct("title", "headings", "paragraphs", "lists", "tables", "links").alias("structured")).alias("extracted"))
+    if pages is None:
+        return out
+    where = pages.select("page_id", "crawl_id", "url", "depth")
+    return where.join(out, "page_id").select("crawl_id", "url", "title", "content_text", "extracted", "depth", F.lit("completed").alias("processing_status"))
 
 
-def write_documents(docs: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_documents(docs: DataFrame, path: str, pages: DataFrame | None = None, mode: str = "errorifexists") -> None:
     """Write nested documents as parquet."""
-    nest_documents(docs).write.mode(mode).parquet(path)
+    nest_documents(docs, pages).write.mode(mode).parquet(path)

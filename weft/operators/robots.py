@@ -19,12 +19,24 @@ from pyspark.sql import functions as F
 from weft.functions.urls import with_url_parts
 
 
+def _as_path(c):
+    """A rule or URL path in one spelling: non-ASCII and blanks percent-encoded, all escapes in lower case."""
+    runs = F.regexp_extract_all(c, F.lit(r"%[0-9A-Fa-f]{2}|[\x21-\x24\x26-\x7E]+|%|[^\x21-\x7E]+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^[\x21-\x24\x26-\x7E]"), r).when(r.startswith("%"), F.lower(r)).otherwise(
+        F.lower(F.replace(F.url_encode(r), F.lit("+"), F.lit("%20"))))), "")
+
+
 def robots_rules(robots: DataFrame) -> DataFrame:
-    """``origin, rules ARRAY<STRUCT<len INT, allow BOOLEAN, regex STRING>>`` for the ``*`` group."""
-    lines = robots.select("origin", F.posexplode(F.split(F.coalesce("body", F.lit("")), r"\r\n|\r|\n")).alias("ln", "line"))
-    lines = lines.withColumn("line", F.trim(F.regexp_replace("line", "#.*$", "")))
-    key = F.lower(F.trim(F.regexp_extract("line", r"^([^:]*):", 1)))
-    val = F.trim(F.regexp_extract("line", r"^[^:]*:(.*)$", 1))
+    """``origin, rules ARRAY<STRUCT<len INT, allow BOOLEAN, anchored BOOLEAN, parts ARRAY<STRING>>>`` for the ``*`` group.
+
+    A leading byte order mark and any whitespace around fields are dropped. ``parts``
+    is the rule split at its wildcards.
+    """
+    body = F.regexp_replace(F.coalesce("body", F.lit("")), "^\ufeff", "")
+    lines = robots.select("origin", F.posexplode(F.split(body, r"\r\n|\r|\n")).alias("ln", "line"))
+    lines = lines.withColumn("line", F.regexp_replace(F.regexp_replace("line", "#.*$", ""), r"^\s+|\s+$", ""))
+    key = F.lower(F.regexp_extract("line", r"^([^:]*?)\s*:", 1))
+    val = F.regexp_extract("line", r"^[^:]*:\s*(.*)$", 1)
     lines = lines.withColumns({"key": key, "val": val}).filter(F.col("key").isin("user-agent", "allow", "disallow"))
     w = Window.partitionBy("origin").orderBy("ln")
     is_ua = F.col("key") == "user-agent"
@@ -33,27 +45,38 @@ def robots_rules(robots: DataFrame) -> DataFrame:
     lines = lines.withColumn("grp", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     star = lines.filter(is_ua).groupBy("origin", "grp").agg(F.bool_or(F.col("val") == "*").alias("star"))
     rules = lines.filter(~is_ua & (F.col("val") != "")).join(star.filter("star"), ["origin", "grp"], "left_semi")
-    pat = F.col("val")
-    anchored = pat.endswith("$")
-    core = F.when(anchored, F.expr("substring(val, 1, length(val) - 1)")).otherwise(pat)
-    esc = F.regexp_replace(core, r"([\\^$.|?+()\[\]{}])", r"\\$1")
-    regex = F.concat(F.lit("^"), F.regexp_replace(esc, r"\*", ".*"), F.when(anchored, F.lit("$")).otherwise(F.lit("")))
+    anchored = F.col("val").endswith("$")
+    core = _as_path(F.when(anchored, F.expr("substring(val, 1, length(val) - 1)")).otherwise(F.col("val")))
     rules = rules.select("origin", F.struct(F.length(core).alias("len"), (F.col("key") == "allow").alias("allow"),
-                                            regex.alias("regex")).alias("r"))
+                                            anchored.alias("anchored"), F.split(core, r"\*+", -1).alias("parts")).alias("r"))
     return rules.groupBy("origin").agg(F.collect_list("r").alias("rules"))
 
 
+def _matches(target, r):
+    """Whether a rule matches: its first part starts the target, the others follow in order (each at its first place,
+    so a rule takes one pass and never backtracks), and with '$' the last part ends the target."""
+    parts = r["parts"]
+    n = F.size(parts)
+    last = F.element_at(parts, -1)
+    inner = F.when(r["anchored"] & (n > 1), F.slice(parts, 2, F.greatest(n - 2, F.lit(0)))).otherwise(F.slice(parts, 2, F.greatest(n - 1, F.lit(0))))
+    end = F.aggregate(inner, F.when(F.startswith(target, parts[0]), F.length(parts[0])).otherwise(F.lit(-1)),
+                      lambda at, p: F.when(at < 0, at).otherwise(
+                          F.when(F.call_function("locate", p, target, at + 1) > 0, F.call_function("locate", p, target, at + 1) - 1 + F.length(p)).otherwise(F.lit(-1))))
+    closed = F.when(n == 1, target == parts[0]).otherwise((F.length(target) - F.length(last) >= end) & F.endswith(target, last))
+    return (end >= 0) & (~r["anchored"] | closed)
+
+
 def robots_allowed(urls: DataFrame, robots: DataFrame, url: str = "url", out: str = "robots_allowed") -> DataFrame:
-    """Add ``out``: whether the origin's robots.txt allows ``url`` for any user agent."""
+    """Add ``out``: whether the origin's robots.txt allows ``url`` (canonical, as requests are made) for any user agent."""
     p = with_url_parts(urls, url, None, prefix="_o")
     origin = F.concat(F.col("_o_scheme"), F.lit("://"), F.col("_o_host"),
                       F.when(F.col("_o_port") != "", F.concat(F.lit(":"), F.col("_o_port"))).otherwise(F.lit("")))
     target = F.concat(F.col("_o_path"), F.when(F.col("_o_query").isNotNull(),
                                                F.concat(F.lit("?"), F.col("_o_query"))).otherwise(F.lit("")))
-    p = p.withColumns({"_origin": origin, "_target": target})
+    p = p.withColumns({"_origin": origin, "_target": _as_path(target)})
     r = robots_rules(robots)
     j = p.join(r, p["_origin"] == r["origin"], "left")
-    hits = F.filter(F.col("rules"), lambda x: F.regexp(F.col("_target"), x["regex"]))
+    hits = F.filter(F.col("rules"), lambda x: _matches(F.col("_target"), x))
     best = F.aggregate(hits, F.struct(F.lit(-1).alias("len"), F.lit(True).alias("allow")),
                        lambda acc, x: F.when((x["len"] > acc["len"]) | ((x["len"] == acc["len"]) & x["allow"]),
                                              F.struct(x["len"].alias("len"), x["allow"].alias("allow"))).otherwise(acc))

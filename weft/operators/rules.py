@@ -10,15 +10,7 @@ from weft.operators.jobs import DEFAULT_EXCLUDED_PATHS
 
 # Error codes in the order a page is checked.
 ERROR_CODES = ["INVALID_URL_FORMAT", "DOMAIN_NOT_ALLOWED", "DENIED_BY_ROBOTS_TXT", "HTTP_ERROR",
-               "CONTENT_EXTRACTION_FAILED", "EXTRACTED_CONTENT_EMPTY"]
-MAX_BROADCAST_RULE_ROWS = 100_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only when it provably has at most ``max_rows`` rows (checked with a bounded count)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
+               "CONTENT_EXTRACTION_FAILED", "EXTRACTED_CONTENT_FAILED_VERIFICATION"]
 
 def make_rules(requests: DataFrame) -> DataFrame:
     """One rule row per crawl with defaults: subdomains allowed, paths checked,
@@ -36,19 +28,18 @@ def make_rules(requests: DataFrame) -> DataFrame:
 
 
 def with_allowed(urls: DataFrame, rules: DataFrame, url: str = "url", crawl: str = "crawl_id",
-                 out: str = "allowed", max_broadcast_rows: int = MAX_BROADCAST_RULE_ROWS) -> DataFrame:
+                 out: str = "allowed") -> DataFrame:
     """D2 as a flag: add ``out`` (False for invalid URLs).
 
     (b) no allowed domains: allowed, path check skipped; (c) host equals an
     allowed domain, or ends with ``.domain`` when subdomains are allowed;
     (d) unless paths are ignored, the lower-cased path must not start with an
-    excluded path. Rules are joined by crawl id; they are broadcast only when
-    the rule table is provably small.
+    excluded path. Rules are joined by crawl id; Spark's own statistics choose the
+    join.
     """
     r = rules.select(F.col("crawl_id").alias("_rc"), F.col("allowed_domains").alias("_ad"),
                      F.col("allow_subdomains").alias("_as"), F.col("ignore_paths").alias("_ip"),
                      F.col("excluded_paths").alias("_ep"))
-    r = broadcast_if_small(r, max_broadcast_rows)
     p = with_url_parts(urls, url, None, prefix="_a")
     p = p.join(r, p[crawl] == r["_rc"], "left")
     host = effective_domain(F.col("_a_host"))
@@ -82,22 +73,30 @@ def validate_requests(df: DataFrame, rules: DataFrame, url: str = "url", crawl:
 def classify_outcomes(df: DataFrame) -> DataFrame:
     """``error_code, error_message`` of the first failing step.
 
-    Expects boolean/int columns ``url_canon`` (NULL = bad URL), ``allowed``,
-    ``robots_allowed``, ``status``, ``extracted`` (extraction succeeded) and
-    ``has_content`` (E2). Passing rows get NULLs.
+    Expects ``url, url_canon`` (NULL = bad URL), booleans ``allowed``,
+    ``robots_allowed``, ``extracted`` (extraction succeeded) and ``has_content``
+    (E2), ``status`` and optionally ``status_text`` and ``title``. A step whose
+    flag or status is NULL did not succeed, so it fails there. Passing rows get NULLs.
     """
+    def failed(c):
+        return ~F.coalesce(F.col(c), F.lit(False))
+
+    def text(c, default=""):
+        return F.coalesce(F.col(c), F.lit(default)) if c in df.columns else F.lit(default)
+
     code = (F.when(F.col("url_canon").isNull(), "INVALID_URL_FORMAT")
-            .when(~F.col("allowed"), "DOMAIN_NOT_ALLOWED")
-            .when(~F.col("robots_allowed"), "DENIED_BY_ROBOTS_TXT")
-            .when(F.col("status") != 200, "HTTP_ERROR")
-            .when(~F.col("extracted"), "CONTENT_EXTRACTION_FAILED")
-            .when(~F.col("has_content"), "EXTRACTED_CONTENT_EMPTY"))
-    msg = (F.when(code == "INVALID_URL_FORMAT", F.concat(F.lit("Invalid URL format: "), F.coalesce(F.col("url"), F.lit(""))))
-           .when(code == "DOMAIN_NOT_ALLOWED", F.concat(F.lit("Domain not allowed: "), F.col("url_canon")))
-           .when(code == "DENIED_BY_ROBOTS_TXT", F.concat(F.lit("Denied by robots.txt: "), F.col("url_canon")))
-           .when(code == "HTTP_ERROR", F.concat(F.lit("HTTP "), F.col("status").cast("string")))
+            .when(failed("allowed"), "DOMAIN_NOT_ALLOWED")
+            .when(failed("robots_allowed"), "DENIED_BY_ROBOTS_TXT")
+            .when(F.coalesce(F.col("status"), F.lit(0)) != 200, "HTTP_ERROR")
+            .when(failed("extracted"), "CONTENT_EXTRACTION_FAILED")
+            .when(failed("has_content"), "EXTRACTED_CONTENT_FAILED_VERIFICATION"))
+    # Message prefixes.
+    msg = (F.when(code == "INVALID_URL_FORMAT", F.concat(F.lit("INVALID_URL_FORMAT: "), text("url")))
+           .when(code == "DOMAIN_NOT_ALLOWED", F.concat(F.lit("DOMAIN_NOT_ALLOWED: "), F.col("url_canon")))
+           .when(code == "DENIED_BY_ROBOTS_TXT", F.concat(F.lit("DENIED_BY_ROBOTS_TXT: "), F.col("url_canon")))
+           .when(code == "HTTP_ERROR", F.concat(F.lit("HTTP "), F.coalesce(F.col("status").cast("string"), F.lit("")), F.lit(": "), text("status_text")))
            .when(code == "CONTENT_EXTRACTION_FAILED", F.lit("Content extraction failed"))
-           .when(code == "EXTRACTED_CONTENT_EMPTY", F.lit("Extraction succeeded but no content was extracted")))
+           .when(code == "EXTRACTED_CONTENT_FAILED_VERIFICATION", F.concat(F.lit("EXTRACTED_CONTENT_FAILED_VERIFICATION: "), text("title"))))
     return df.withColumns({"error_code": code, "error_message": msg})
 
 
@@ -105,6 +104,3 @@ def drop_empty_documents(docs: DataFrame) -> DataFrame:
     """Keep documents with raw text or at least one paragraph."""
     return docs.filter((F.coalesce(F.col("raw_text"), F.lit("")) != "") | (F.size("paragraphs") > 0))
 
-
-def has_content(raw_text, paragraphs):
-    return (F.coalesce(raw_text, F.lit("")) != "") | (F.size(paragraphs) > 0)

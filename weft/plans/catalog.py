@@ -8,10 +8,13 @@ are flat scalar columns (counts as BIGINT) so the two can be compared.
 from __future__ import annotations
 
 from collections.abc import Callable
+import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weft.session import checkpoint_dir
 from weft.operators import frontier as FR
 from weft.operators import html as H
 from weft.operators import jobs as J
@@ -20,7 +23,7 @@ from weft.operators import pages as PG
 from weft.operators import robots as RB
 from weft.operators import rules as RU
 from weft.operators import urls as U
-from weft.plans.oracle import (BLOCK_CLOSE, BLOCK_OPEN, TOKENS, _decode, canon_cte, clean, element_text_cte, href_expr, wq)
+from weft.plans.oracle import (FX, BLOCK_CLOSE, BLOCK_OPEN, TOKENS, _decode, _enc_path, canon_cte, clean, element_text_cte, href_expr, wq)
 from weft.sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,7 +40,8 @@ def query(name: str, sql: str | None = None):
 
 
 def _pages(spark, sf):
-    return T.read_table(spark, sf, "pages")
+    """S1 at the head of every query on pages."""
+    return T.read_pages(spark, T.read_table(spark, sf, "pages"))
 
 
 # ======================= sources =================================================================
@@ -65,7 +69,7 @@ def q_queue_by_crawl(spark, sf):
 @query("job_by_id", wq(["fx_crawl_jobs"], [], "SELECT * FROM fx_crawl_jobs WHERE id = (SELECT max(id) FROM fx_crawl_jobs)"))
 def q_job_by_id(spark, sf):
     j = T.crawl_jobs(spark, sf)
-    return J.job_by_id(j, j.select(F.max("id")).scalar())
+    return J.job_by_id(j, j.agg(F.max("id")).first()[0])
 
 
 _VALID_SQL = ("(regexp_matches(url, '^[a-zA-Z][a-zA-Z0-9+.-]*:') AND NOT (regexp_matches(lower(url), '^(https?|wss?|ftp):') "
@@ -89,12 +93,15 @@ def q_crawl_requests_rejected(spark, sf):
 
 
 @query("update_jobs", wq(["fx_crawl_jobs", "fx_job_events", "fx_latest", "fx_final"], [], """
-    SELECT j.id, j.user_id, j.created_at, coalesce(f.status, j.status) AS status, j.max_depth
+    SELECT j.id, j.user_id, j.created_at, CASE WHEN f.crawl_id IS NULL THEN j.status WHEN j.id % 2 = 0 THEN 'stopped' ELSE f.status END AS status,
+        j.max_depth, f.completed_at
     FROM fx_crawl_jobs j LEFT JOIN fx_final f ON f.crawl_id = j.id"""))
 def q_update_jobs(spark, sf):
-    fin = J.final_status(T.job_events(spark, sf))
-    changes = fin.select(F.col("crawl_id").alias("id"), "status", F.col("completed_at").alias("ts"))
-    return J.update_jobs(T.crawl_jobs(spark, sf), changes)
+    """Each finished crawl's status and end; a later change of every second one gives only another status."""
+    fin = J.final_status(T.job_events(spark, sf)).select(F.col("crawl_id").alias("id"), "status", "completed_at", F.col("completed_at").alias("ts"))
+    later = fin.filter(F.col("id") % 2 == 0).select("id", F.lit("stopped").alias("status"), F.lit(None).cast("timestamp").alias("completed_at"),
+                                                    (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("ts"))
+    return J.update_jobs(T.crawl_jobs(spark, sf), fin.unionByName(later))
 
 
 # ======================= jobs, queue, events =====================================================
@@ -163,14 +170,43 @@ def q_next_pending(spark, sf):
     return J.next_pending(T.crawl_jobs(spark, sf), T.queue_jobs(spark, sf))
 
 
-@query("next_pending_idle", wq(["fx_crawl_jobs", "fx_queue"], [], """
-    SELECT * FROM fx_crawl_jobs WHERE status = 'pending'
-        AND NOT EXISTS (SELECT 1 FROM fx_queue WHERE state = 'active' AND priority > 7)
+@query("next_pending_idle", wq(["fx_crawl_jobs", "fx_queue"], ["idle AS (SELECT * FROM fx_queue WHERE state <> 'active')"], """
+    SELECT * FROM fx_crawl_jobs WHERE status = 'pending' AND NOT EXISTS (SELECT 1 FROM idle WHERE state = 'active')
     ORDER BY created_at ASC, id ASC LIMIT 1"""))
 def q_next_pending_idle(spark, sf):
-    """T2 with the queue restricted to priorities above 7 (none active), so the guard lets a job through."""
-    q = T.queue_jobs(spark, sf).filter(F.col("priority") > 7)
-    return J.next_pending(T.crawl_jobs(spark, sf), q)
+    """T2 on the queue once its active jobs are done, so the guard lets a job through."""
+    return J.next_pending(T.crawl_jobs(spark, sf), T.queue_jobs(spark, sf).filter(F.col("state") != "active"))
+
+
+@query("retain_all_ages", wq(["fx_queue"], [], """
+    SELECT job_id, crawl_id, state, priority, event_ts FROM (
+        SELECT *, row_number() OVER (PARTITION BY state ORDER BY event_ts DESC, job_id ASC) AS rn FROM fx_queue
+        WHERE state IN ('completed', 'failed')) WHERE rn <= 1000"""))
+def q_retain_all_ages(spark, sf):
+    """T3 without an age limit in effect, so that the newest 1000 of each state are what decides."""
+    return J.retain(T.queue_jobs(spark, sf), completed_age="100 years", failed_age="100 years")
+
+
+@query("queue_job_list", wq(["fx_queue"], [], "SELECT crawl_id, job_id, state FROM fx_queue WHERE state IN ('waiting','active','completed','failed')"))
+def q_queue_job_list(spark, sf):
+    return J.queue_job_list(T.queue_jobs(spark, sf))
+
+
+@query("reset_updates", wq(["fx_queue"], [], """
+    SELECT crawl_id AS id, (SELECT max(event_ts) FROM fx_queue) AS ts, 'stopped' AS status, (SELECT max(event_ts) FROM fx_queue) AS stop_requested_at,
+        (SELECT max(event_ts) FROM fx_queue) AS reset_at, count(*) AS cleared_job_count
+    FROM fx_queue WHERE state IN ('waiting','active','completed','failed') GROUP BY crawl_id"""))
+def q_reset_updates(spark, sf):
+    q = T.queue_jobs(spark, sf)
+    return J.reset_updates(q, q.select(F.max("event_ts")).scalar())
+
+
+@query("stop_updates", wq(["fx_queue"], [], """
+    SELECT crawl_id AS id, (SELECT max(event_ts) FROM fx_queue) AS ts, s AS step, CASE s WHEN 0 THEN 'stopping' ELSE 'crawled' END AS status,
+        (SELECT max(event_ts) FROM fx_queue) AS completed_at FROM (SELECT DISTINCT crawl_id FROM fx_queue), (VALUES (0), (1)) v(s)"""))
+def q_stop_updates(spark, sf):
+    q = T.queue_jobs(spark, sf)
+    return J.stop_updates(q, q.select(F.max("event_ts")).scalar())
 
 
 @query("retain", wq(["fx_queue"], ["now AS (SELECT max(event_ts) AS t FROM fx_queue)"], """
@@ -222,10 +258,11 @@ def q_reset_summary(spark, sf):
 
 @query("stop_summary", wq(["fx_queue"], [], """
     SELECT crawl_id, count(*) FILTER (WHERE state IN ('active','waiting')) AS total_jobs,
-        count(*) FILTER (WHERE state IN ('active','waiting')) AS jobs_stopped, 'stopped' AS status
+        count(*) FILTER (WHERE state IN ('active','waiting') AND priority <> 2) AS jobs_stopped, 'stopped' AS status
     FROM fx_queue GROUP BY crawl_id"""))
 def q_stop_summary(spark, sf):
-    return J.stop_summary(T.queue_jobs(spark, sf))
+    """A5 where jobs of priority 2 could not be removed."""
+    return J.stop_summary(T.queue_jobs(spark, sf).withColumn("removable", F.col("priority") != 2))
 
 
 @query("shutdown_summary", wq(["fx_queue"], [], """
@@ -237,7 +274,7 @@ def q_shutdown_summary(spark, sf):
 
 @query("progress", wq(["fx_job_events", "fx_latest"], [], """
     SELECT crawl_id, count(*) FILTER (WHERE state = 'completed') AS pages_crawled,
-        count(*) FILTER (WHERE state = 'failed' AND NOT contains(job_id, 'quota')) AS errors
+        count(*) FILTER (WHERE state = 'failed' AND NOT quota) AS errors
     FROM fx_latest GROUP BY crawl_id"""))
 def q_progress(spark, sf):
     return J.progress(J.outcomes(T.job_events(spark, sf)))
@@ -257,10 +294,11 @@ def q_queue_health(spark, sf):
     return J.queue_health(T.queue_jobs(spark, sf))
 
 
-@query("within_quota", wq(["fx_page_events"], [], """
-    SELECT user_id, url, ts, date_trunc('month', ts) AS month,
-        CASE WHEN n <= 1 THEN n END AS n, n <= 1 AS within_quota, CASE WHEN n <= 1 THEN 1 - n ELSE 0 END AS remaining
-    FROM (SELECT *, row_number() OVER (PARTITION BY user_id, date_trunc('month', ts) ORDER BY ts, url) AS n FROM fx_page_events)"""))
+@query("within_quota", wq(["fx_page_events", "fx_quota"], [], """
+    SELECT user_id, url, ts, month, CASE WHEN n <= quota THEN n END AS n, n <= quota AS within_quota, CASE WHEN n <= quota THEN quota - n ELSE 0 END AS remaining
+    FROM (SELECT e.*, date_trunc('month', ts) AS month, coalesce(q.quota, 0) AS quota,
+            row_number() OVER (PARTITION BY e.user_id, date_trunc('month', ts) ORDER BY ts, url) AS n
+          FROM fx_page_events e LEFT JOIN fx_quota q ON q.user_id = e.user_id)"""))
 def q_within_quota(spark, sf):
     return J.within_quota(T.page_events(spark, sf), T.quotas(spark, sf))
 
@@ -301,20 +339,29 @@ def q_mark_visited(spark, sf):
     return FR.mark_visited(_cand_spark(spark, sf), _vis_spark(spark, sf))
 
 
-_FRONTIER_SQL = wq(["fx_edges"], ["""walk(url, depth, parent_url) AS (
-        SELECT url, 0, CAST(NULL AS VARCHAR) FROM pages WHERE page_id = (SELECT min(page_id) FROM pages)
-        UNION SELECT e.dst_url, w.depth + 1, w.url FROM walk w JOIN fx_edges e ON e.src_url = w.url WHERE w.depth < 8)"""], """
-    SELECT 'c0' AS crawl_id, url, depth, parent_url FROM (
-        SELECT url, depth, min(parent_url) AS parent_url, rank() OVER (PARTITION BY url ORDER BY depth) AS r
-        FROM walk GROUP BY url, depth) WHERE r = 1""").replace("WITH ", "WITH RECURSIVE ", 1)
+_FRONTIER_SQL = wq(["fx_edges"], ["""seeds AS (SELECT 'c0' AS crawl_id, url, 8 AS max_depth FROM pages WHERE page_id = (SELECT min(page_id) FROM pages)
+        UNION ALL SELECT 'c1', url, 5 FROM pages WHERE page_id = (SELECT max(page_id) FROM pages)
+        UNION ALL SELECT 'c2', url, 3 FROM pages WHERE page_id % 25 = 1)""",
+    """ce AS (SELECT c AS crawl_id, e.* FROM fx_edges e, (VALUES ('c0'), ('c1'), ('c2')) v(c) WHERE c <> 'c1' OR pos = 0)""",
+    """walk(crawl_id, url, depth, parent_url, max_depth) AS (
+        SELECT crawl_id, url, 0, CAST(NULL AS VARCHAR), max_depth FROM seeds
+        UNION SELECT w.crawl_id, e.dst_url, w.depth + 1, w.url, w.max_depth FROM walk w
+            JOIN ce e ON e.src_url = w.url AND e.crawl_id = w.crawl_id WHERE w.depth < w.max_depth)"""], """
+    SELECT crawl_id, url, depth, parent_url FROM (
+        SELECT crawl_id, url, depth, min(parent_url) AS parent_url, rank() OVER (PARTITION BY crawl_id, url ORDER BY depth) AS r
+        FROM walk GROUP BY crawl_id, url, depth) WHERE r = 1""").replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 @query("crawl_frontier", _FRONTIER_SQL)
 def q_crawl_frontier(spark, sf):
-    p = _pages(spark, sf)
-    seeds = p.filter(F.col("page_id") == p.select(F.min("page_id")).scalar()).select(F.lit("c0").alias("crawl_id"), "url")
-    edges = T.link_edges(spark, sf).select("src_url", "dst_url")
-    return FR.crawl_frontier(seeds, edges, max_depth=8)
+    """Three crawls with their own seeds, depths and links (c1 follows only first links; c2 has the default depth)."""
+    p = _pages(spark, sf).select("page_id", "url")
+    ends = p.agg(F.min("page_id"), F.max("page_id")).first()
+    seeds = reduce(DataFrame.unionByName, (
+        p.filter(where).select(F.lit(c).alias("crawl_id"), "url", F.lit(d).cast("int").alias("max_depth"))
+        for c, d, where in (("c0", 8, F.col("page_id") == ends[0]), ("c1", 5, F.col("page_id") == ends[1]), ("c2", None, F.col("page_id") % 25 == 1))))
+    e = T.link_edges(spark, sf).withColumn("crawl_id", F.explode(F.array(F.lit("c0"), F.lit("c1"), F.lit("c2"))))
+    return FR.crawl_frontier(seeds, e.filter((F.col("crawl_id") != "c1") | (F.col("pos") == 0)).select("crawl_id", "src_url", "dst_url"))
 
 
 @query("fetch_offsets", wq(["fx_edges"], [], """
@@ -351,10 +398,16 @@ def q_canonicalize_urls(spark, sf):
     return U.canonicalize_urls(_pages(spark, sf).select("page_id", "url")).select("page_id", "url_canon")
 
 
-@query("duplicate_url_groups", wq([], [canon_cte("pages", "page_id", "url")], """
+@query("duplicate_url_groups", wq([], ["""two AS (SELECT page_id, url FROM pages UNION ALL
+        SELECT page_id + 1000000, regexp_replace(url, '^(https?)://', '\\1://www.') FROM pages WHERE page_id % 2 = 0 AND NOT url LIKE '%://www.%')""",
+                                       canon_cte("two", "page_id", "url")], """
     SELECT url_canon, count(*) AS n_urls, min(page_id) AS first_page_id FROM canon GROUP BY url_canon"""))
 def q_duplicate_url_groups(spark, sf):
-    return U.duplicate_url_groups(_pages(spark, sf))
+    """U8 on the page URLs and, for every second page, the same URL on a ``www.`` host."""
+    p = _pages(spark, sf).select("page_id", "url")
+    www = p.filter((F.col("page_id") % 2 == 0) & ~F.col("url").contains("://www.")).select(
+        (F.col("page_id") + 1000000).alias("page_id"), F.regexp_replace("url", "^(https?)://", "$1://www.").alias("url"))
+    return U.duplicate_url_groups(p.unionByName(www))
 
 
 @query("pages_by_domain", """
@@ -418,25 +471,64 @@ def q_filter_allowed(spark, sf):
     return RU.filter_allowed(T.crawl_urls(spark, sf), T.crawl_rules(spark))
 
 
-@query("make_rules", wq(["fx_rules"], [], """
-    SELECT crawl_id, array_to_string(allowed_domains, ',') AS allowed_domains, allow_subdomains, ignore_paths,
-        array_to_string(excluded_paths, ',') AS excluded_paths FROM fx_rules"""))
+@query("make_rules", wq(["fx_rule_requests"], [], """
+    SELECT crawl_id, array_to_string(list_transform(allowed_domains, lambda d: regexp_replace(regexp_replace('www.' || d, '^www\\.', ''), '^$', '')), ',') AS allowed_domains,
+        allow_subdomains, ignore_paths, array_to_string(excluded_paths, ',') AS excluded_paths FROM fx_rule_requests"""))
 def q_make_rules(spark, sf):
-    """D1 over the rule rows (ids from the page URLs' rule sets), lists flattened to text."""
-    r = RU.make_rules(T.crawl_rules(spark).join(T.crawl_urls(spark, sf).select("crawl_id").distinct(), "crawl_id", "left_semi"))
+    """D1 over one request per page, with fields left out in turn; lists flattened to text."""
+    r = RU.make_rules(T.rule_requests(spark, sf))
     return r.withColumn("allowed_domains", F.array_join("allowed_domains", ",")) \
         .withColumn("excluded_paths", F.array_join("excluded_paths", ","))
 
 
 @query("validate_requests", wq(["fx_rules", "fx_crawl_urls"], [_HOSTPATH], f"""
-    SELECT h.crawl_id, h.page_id, h.url, CASE WHEN {_ALLOWED_SQL} THEN NULL ELSE 'DOMAIN_NOT_ALLOWED' END AS error_code
+    SELECT h.crawl_id, h.page_id, CASE WHEN h.page_id % 11 = 0 THEN 'no url ' || h.url ELSE h.url END AS url,
+        CASE WHEN h.page_id % 11 = 0 THEN 'INVALID_URL_FORMAT' WHEN {_ALLOWED_SQL} THEN NULL ELSE 'DOMAIN_NOT_ALLOWED' END AS error_code
     FROM h JOIN fx_rules r ON r.crawl_id = h.crawl_id"""))
 def q_validate_requests(spark, sf):
-    ok, bad = RU.validate_requests(T.crawl_urls(spark, sf), T.crawl_rules(spark))
+    """D3 where every eleventh request has no valid URL."""
+    urls = T.crawl_urls(spark, sf).withColumn("url", F.when(F.col("page_id") % 11 == 0, F.concat(F.lit("no url "), F.col("url"))).otherwise(F.col("url")))
+    ok, bad = RU.validate_requests(urls, T.crawl_rules(spark))
     return ok.select("crawl_id", "page_id", "url", F.lit(None).cast("string").alias("error_code")).unionByName(
         bad.select("crawl_id", "page_id", "url", "error_code"))
 
 
+_OUTCOME_SQL = wq(["fx_rules", "fx_crawl_urls", "fx_responses"], [canon_cte("pages", "page_id", "url"), _HOSTPATH], f"""
+    SELECT page_id, error_code, CASE error_code WHEN 'INVALID_URL_FORMAT' THEN 'INVALID_URL_FORMAT: no url ' || url
+        WHEN 'DOMAIN_NOT_ALLOWED' THEN 'DOMAIN_NOT_ALLOWED: ' || url_canon WHEN 'DENIED_BY_ROBOTS_TXT' THEN 'DENIED_BY_ROBOTS_TXT: ' || url_canon
+        WHEN 'HTTP_ERROR' THEN 'HTTP ' || status || ': ' || status_text
+        WHEN 'EXTRACTED_CONTENT_FAILED_VERIFICATION' THEN 'EXTRACTED_CONTENT_FAILED_VERIFICATION: ' END AS error_message FROM (
+      SELECT h.page_id, h.url, c.url_canon, s.status, CASE s.status WHEN 404 THEN 'Not Found' ELSE 'Internal Server Error' END AS status_text,
+        CASE WHEN h.page_id % 11 = 0 THEN 'INVALID_URL_FORMAT' WHEN NOT {_ALLOWED_SQL} THEN 'DOMAIN_NOT_ALLOWED'
+            WHEN h.page_id % 13 = 0 THEN 'DENIED_BY_ROBOTS_TXT' WHEN s.status <> 200 THEN 'HTTP_ERROR'
+            WHEN s.html = '' THEN 'EXTRACTED_CONTENT_FAILED_VERIFICATION' END AS error_code
+      FROM h JOIN fx_rules r ON r.crawl_id = h.crawl_id JOIN canon c ON c.page_id = h.page_id JOIN fx_responses s ON s.page_id = h.page_id)""")
+
+
+def _classified(spark, sf):
+    """E1's input: every eleventh URL invalid, every thirteenth page denied, statuses and bodies of fx_responses."""
+    r = T.responses(spark, sf).withColumn("status_text", F.when(F.col("status") == 404, "Not Found").when(F.col("status") == 500, "Internal Server Error"))
+    r = r.join(T.crawl_urls(spark, sf).select("page_id", "crawl_id"), "page_id").withColumn(
+        "url", F.when(F.col("page_id") % 11 == 0, F.concat(F.lit("no url "), F.col("url"))).otherwise(F.col("url")))
+    c = U.canonicalize_urls(r)
+    c = RU.with_allowed(c, T.crawl_rules(spark), "url_canon")
+    return RU.classify_outcomes(c.withColumns({"robots_allowed": F.col("page_id") % 13 != 0, "extracted": F.lit(True), "has_content": F.col("html") != ""}))
+
+
+@query("classify_outcomes", _OUTCOME_SQL)
+def q_classify_outcomes(spark, sf):
+    return _classified(spark, sf).select("page_id", "error_code", "error_message")
+
+
+@query("append_logs", _OUTCOME_SQL.replace("SELECT page_id, error_code, CASE", "SELECT crawl_job_id, level, message FROM (SELECT CAST(page_id AS VARCHAR) AS crawl_job_id, 'error' AS level, error_code, CASE", 1)
+       .replace("END AS error_message FROM (", "END AS message FROM (", 1) + ") WHERE error_code IS NOT NULL")
+def q_append_logs(spark, sf):
+    """The rejects' log rows, appended to a log table in the shared folder and read from it."""
+    path = f"{checkpoint_dir(spark)}/weft-logs/{uuid.uuid4().hex}"
+    PG.append_logs(PG.rejects_to_logs(_classified(spark, sf).filter(F.col("error_code").isNotNull()), "page_id"), path)
+    return spark.read.schema("crawl_job_id string, level string, message string, metadata string, ts timestamp, date date").parquet(path).select("crawl_job_id", "level", "message")
+
+
 # ======================= HTML =====================================================================
 
 @query("html_tokens", wq([], [TOKENS], "SELECT page_id, pos, kind, tag FROM tk"))
@@ -452,7 +544,7 @@ def q_clean_text(spark, sf):
 
 _TITLE_INNER = _decode("regexp_extract(tok, '(?is)^<title\\b[^>]*>(.*)</title\\s*>$', 1)")
 _HEADS = element_text_cte("hd", "kind = 'open' AND tag IN ('h1','h2','h3','h4','h5','h6')",
-                          f"(kind = 'open' AND tag IN ('h1','h2','h3','h4','h5','h6')) OR (kind = 'close' AND tag IN ({BLOCK_CLOSE}))")
+                          "(kind IN ('open', 'close') AND tag IN ('h1','h2','h3','h4','h5','h6')) OR (kind = 'close' AND tag IN ('body','html','td','th','tr','table','li'))")
 _PARAS = element_text_cte("pa", "kind = 'open' AND tag = 'p'",
                           f"(kind = 'open' AND tag IN ({BLOCK_OPEN})) OR (kind = 'close' AND tag IN ({BLOCK_CLOSE}))")
 _ANCH = element_text_cte("an", "kind = 'open' AND tag = 'a' AND regexp_matches(tok, '(?is)\\shref')",
@@ -509,19 +601,33 @@ def q_lists(spark, sf):
                                              F.size("items").cast("bigint").alias("n_items"))
 
 
-@query("tables", None)
+@query("tables", """
+    SELECT page_id, k AS table_no, CASE WHEN k = 0 THEN 'Page|Host' ELSE '' END AS headers,
+        CASE WHEN k = 0 THEN CAST(page_id AS VARCHAR) || '|' || regexp_extract(url, '://([^/?#]*)', 1) || ';cell in|in;in' ELSE 'in' END AS rows
+    FROM pages, (VALUES (0), (1)) v(k)""")
 def q_tables(spark, sf):
-    """H8 (rows-only: the driver pages have no tables; golden tests cover nesting)."""
-    t = H.tables(_pages(spark, sf))
-    return t.select("page_id", "pos", F.size("headers").cast("bigint").alias("n_headers"),
-                    F.size("rows").cast("bigint").alias("n_rows"))
-
-
-@query("documents", None)
+    """H8 on every page with a table (and one nested in it) built from its own id and host put before its body's end."""
+    host = F.regexp_extract("url", "://([^/?#]*)", 1)
+    made = F.concat(F.lit("</p><table><tr><th>Page</th><th>Host</th></tr><tr><td>"), F.col("page_id").cast("string"), F.lit("</td><td>"), host,
+                    F.lit("</td></tr><tr></tr><tr><td>cell <table><tr><td>in</td></tr></table></td></tr></table></body></html>"))
+    t = H.tables(_pages(spark, sf).withColumn("html", F.concat(F.lit("<html><body><p>"), F.regexp_replace("html", "(?is)<[^>]*>|[<>]", " "), made)))
+    return t.select("page_id", (F.row_number().over(Window.partitionBy("page_id").orderBy("pos")) - 1).alias("table_no"), F.array_join("headers", "|").alias("headers"),
+                    F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), ";").alias("rows"))
+
+
+@query("documents", wq([], [TOKENS, _RAW, _HEADS, _PARAS, _ANCH, _ANCHORS], f"""
+    SELECT p.page_id, t.title, CAST(length(r.raw_text) AS BIGINT) AS raw_text_length, md5(r.raw_text) AS content_md5,
+        (SELECT count(*) FROM hd WHERE hd.page_id = p.page_id) AS n_headings,
+        (SELECT count(*) FROM pa WHERE pa.page_id = p.page_id AND {clean('pa.content_raw')} <> '') AS n_paragraphs,
+        (SELECT count(*) FROM tk WHERE tk.page_id = p.page_id AND kind = 'open' AND tag IN ('ul','ol','dl')) AS n_lists,
+        (SELECT count(*) FROM tk WHERE tk.page_id = p.page_id AND kind = 'open' AND tag = 'table') AS n_tables,
+        (SELECT count(*) FROM anchors_ok a WHERE a.page_id = p.page_id) AS n_links
+    FROM pages p JOIN raw r ON r.page_id = p.page_id LEFT JOIN (
+        SELECT page_id, nullif(arg_min({_TITLE_INNER}, pos), '') AS title FROM tk WHERE kind = 'title' GROUP BY page_id) t ON t.page_id = p.page_id"""))
 def q_documents(spark, sf):
-    """H10 flattened to one row per page with element counts (rows-only check)."""
+    """H10 flattened to one row per page: element counts and a hash of the text."""
     d = H.documents(_pages(spark, sf))
-    return d.select("page_id", "title", F.length("raw_text").cast("bigint").alias("raw_text_length"),
+    return d.select("page_id", "title", F.length("raw_text").cast("bigint").alias("raw_text_length"), F.md5(F.col("raw_text").cast("binary")).alias("content_md5"),
                     *[F.size(c).cast("bigint").alias(f"n_{c}") for c in ("headings", "paragraphs", "lists", "tables", "links")])
 
 
@@ -568,7 +674,7 @@ def q_page_links(spark, sf):
 
 
 _RESOLVE_SQL = (f"regexp_extract(src_url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) || "
-                f"{__import__('weft.plans.oracle', fromlist=['_enc_path'])._enc_path('href')}")
+                f"{_enc_path('href')}")
 
 
 @query("resolve_links", wq([], [TOKENS, _ANCH, _ANCHORS, _PAGE_LINKS], f"""
@@ -582,7 +688,7 @@ _OUTLINKS = [canon_cte("pages", "page_id", "url", name="pc"),
              canon_cte("pl", "page_id, pos", "href", base="page_canon", name="hc"),
              """outl AS (SELECT page_id, pos, url_canon AS dst_url FROM (
                  SELECT *, row_number() OVER (PARTITION BY page_id, url_canon ORDER BY pos) AS rn FROM hc WHERE url_canon IS NOT NULL)
-               WHERE rn = 1 AND NOT regexp_matches(url_canon, '(?i)\.(jpg|jpeg|png|gif|pdf|zip|exe)$'))"""]
+               WHERE rn = 1 AND NOT regexp_matches(url_canon, '(?i)[.](jpg|jpeg|png|gif|pdf|zip|exe)$'))"""]
 
 
 @query("outlinks", wq([], [TOKENS, _ANCH, _ANCHORS, _PAGE_LINKS, *_OUTLINKS], "SELECT page_id, pos, dst_url FROM outl"))
@@ -590,9 +696,14 @@ def q_outlinks(spark, sf):
     return L.outlinks(L.page_links(_pages(spark, sf))).select("page_id", "pos", "dst_url")
 
 
-@query("renormalize", wq([], [TOKENS, _ANCH, _ANCHORS, _PAGE_LINKS, *_OUTLINKS], "SELECT page_id, pos, dst_url FROM outl"))
+@query("renormalize", wq([], [TOKENS, _ANCH, _ANCHORS, _PAGE_LINKS, *_OUTLINKS,
+                               "rn AS (SELECT page_id, pos, CASE WHEN pos % 2 = 0 THEN replace(dst_url, '://', '://www.www.') ELSE dst_url END AS u FROM outl)",
+                               canon_cte("rn", "page_id, pos", "u", name="rc")], "SELECT page_id, pos, url_canon AS dst_url FROM rc"))
 def q_renormalize(spark, sf):
-    return L.renormalize(L.outlinks(L.page_links(_pages(spark, sf)))).select("page_id", "pos", "dst_url")
+    """L4 on the outlinks, every second one moved to a ``www.www.`` host."""
+    o = L.outlinks(L.page_links(_pages(spark, sf)))
+    o = o.withColumn("dst_url", F.when(F.col("pos") % 2 == 0, F.replace("dst_url", F.lit("://"), F.lit("://www.www."))).otherwise(F.col("dst_url")))
+    return L.renormalize(o).select("page_id", "pos", "dst_url")
 
 
 @query("domain_link_summary", wq([], [TOKENS, _ANCH, _ANCHORS, _PAGE_LINKS, *_OUTLINKS], f"""
@@ -631,15 +742,14 @@ def q_filter_valid_links(spark, sf):
 
 # ======================= robots, outcomes, upserts ==================================================
 
-@query("robots_allowed", """
-    SELECT page_id, url, CASE
-        WHEN regexp_extract(lower(url), '://([^/?#]+)', 1) LIKE 'www.%' THEN false
-        WHEN regexp_extract(lower(url), '://([^/?#]+)', 1) LIKE 'blog.%' THEN
-            NOT starts_with(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^#]*)', 1), '/fr/')
-            OR starts_with(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^#]*)', 1), '/fr/2')
-        ELSE true END AS robots_allowed FROM pages""")
+@query("robots_allowed", wq([], [canon_cte("pages", "page_id", "url"),
+    """o AS (SELECT page_id, url_canon, regexp_extract(url_canon, '://([^/?#]+)', 1) AS host, regexp_extract(url_canon, '://[^/?#]+([^#]*)', 1) AS rest FROM canon)"""], """
+    SELECT page_id, url_canon AS url, CASE WHEN host LIKE 'blog.%' THEN NOT starts_with(rest, '/fr/') OR starts_with(rest, '/fr/2')
+        WHEN host LIKE 'm.%' THEN true WHEN substr(host, 2, 1) = 'h' THEN NOT (rest LIKE '/%e%') ELSE true END AS robots_allowed FROM o"""))
 def q_robots_allowed(spark, sf):
-    return RB.robots_allowed(_pages(spark, sf).select("page_id", "url"), T.robots_files(spark, sf))
+    checkpoint_dir(spark)
+    urls = U.canonicalize_urls(_pages(spark, sf).select("page_id", "url")).select("page_id", F.col("url_canon").alias("url")).checkpoint()
+    return RB.robots_allowed(urls, T.robots_files(spark, sf)).select("page_id", "url", "robots_allowed")
 
 
 @query("upsert_pages", wq(["fx_responses"], ["tgt AS (SELECT 'c0' AS crawl_id, url, page_id FROM fx_responses WHERE status = 200)"], """
@@ -662,7 +772,44 @@ def q_throughput(spark, sf):
 
 @query("dedupe_urls", wq(["fx_job_events"], [], "SELECT DISTINCT crawl_id, job_id AS url FROM fx_job_events"))
 def q_dedupe_urls(spark, sf):
-    """R3 in batch form (the streaming form keeps the first row per key within the 24 h watermark)."""
-    from weft.streaming.live import dedupe_urls
-    ev = T.job_events(spark, sf).select("crawl_id", F.col("job_id").alias("url"), "ts")
-    return dedupe_urls(ev).select("crawl_id", "url")
+    """R3 run as a stream over the events table."""
+    from weft.streaming.live import stream_unique_urls_table
+    return stream_unique_urls_table(spark, sf)
+
+
+@query("live_queue_stats", wq(["fx_job_events", "fx_latest"], [], """
+    SELECT count(*) FILTER (WHERE state = 'waiting') AS waiting_count, count(*) FILTER (WHERE state = 'active') AS active_count,
+        count(*) FILTER (WHERE state = 'completed') AS completed_count, count(*) FILTER (WHERE state = 'failed') AS failed_count FROM fx_latest"""))
+def q_live_queue_stats(spark, sf):
+    from weft.streaming import live
+    return live.stream_stat_table(spark, "queue", lambda root, now: live.live_queue_stats(live.job_event_stream(spark, sf), root, now))
+
+
+@query("live_crawl_stats", ORACLE["crawl_stats"].replace("WITH fx_crawl_jobs AS", "WITH fx_job_events AS (" + FX["fx_job_events"] + "),\nfx_latest AS ("
+                                                         + FX["fx_latest"] + "),\nfx_crawl_jobs AS", 1).replace("FROM fx_queue WHERE", "FROM fx_latest WHERE"))
+def q_live_crawl_stats(spark, sf):
+    from weft.streaming import live
+    jobs = T.crawl_jobs(spark, sf)
+    return live.stream_stat_table(spark, "crawls", lambda root, now: live.live_crawl_stats(live.job_event_stream(spark, sf), jobs, root, 200, now))
+
+
+@query("track_active", wq(["fx_job_events", "fx_latest", "fx_final"], [], """
+    SELECT a.crawl_id, a.active, f.status, f.completed_at FROM (
+        SELECT crawl_id, count(*) FILTER (WHERE state IN ('waiting','active','delayed')) AS active FROM fx_latest GROUP BY crawl_id) a
+    LEFT JOIN fx_final f ON f.crawl_id = a.crawl_id"""))
+def q_track_active(spark, sf):
+    from weft.streaming import live
+    return live.stream_stat_table(spark, "active", lambda root, now: live.track_active(live.job_event_stream(spark, sf), root, now))
+
+
+@query("stream_documents", wq([], [TOKENS, _RAW, _PARAS, _HEADS, _ANCH, _ANCHORS], f"""
+    SELECT p.page_id, CAST(length(r.raw_text) AS BIGINT) AS raw_text_length, md5(r.raw_text) AS content_md5,
+        (SELECT count(*) FROM hd WHERE hd.page_id = p.page_id) AS n_headings, (SELECT count(*) FROM anchors_ok a WHERE a.page_id = p.page_id) AS n_links
+    FROM pages p JOIN raw r ON r.page_id = p.page_id
+    WHERE r.raw_text <> '' OR EXISTS (SELECT 1 FROM pa WHERE pa.page_id = p.page_id AND {clean('pa.content_raw')} <> '')"""))
+def q_stream_documents(spark, sf):
+    """R6 run as a stream over the pages table: the stored documents."""
+    from weft.streaming.live import stream_documents_table
+    return stream_documents_table(spark, sf).select(
+        "page_id", F.length("content_text").cast("bigint").alias("raw_text_length"), F.md5(F.col("content_text").cast("binary")).alias("content_md5"),
+        F.size("extracted.structured.headings").cast("bigint").alias("n_headings"), F.size("extracted.structured.links").cast("bigint").alias("n_links"))

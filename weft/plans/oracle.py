@@ -21,9 +21,12 @@ FX = {
             WHEN 'OA' THEN 'active' WHEN 'ON' THEN 'waiting' WHEN 'OR' THEN 'delayed' END AS state,
         l_linenumber AS priority, l_shipdate AS event_ts FROM lineitem""",
     "fx_job_events": """SELECT event_id, user_id AS crawl_id, CAST(user_id AS VARCHAR) || ':' || props AS job_id,
-        CASE event_type WHEN 'view' THEN 'waiting' WHEN 'click' THEN 'active' WHEN 'purchase' THEN 'completed'
-            WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'delayed' END AS state, ts FROM events""",
-    "fx_latest": """SELECT crawl_id, job_id, arg_max(state, (ts, event_id)) AS state, min(ts) AS added_at, max(ts) AS last_ts
+        CASE WHEN event_type = 'purchase' THEN 'completed' WHEN event_type = 'error' THEN 'failed'
+            WHEN user_id % 3 = 0 THEN CASE event_type WHEN 'signup' THEN 'failed' ELSE 'completed' END
+            WHEN event_type = 'view' THEN 'waiting' WHEN event_type = 'click' THEN 'active' WHEN event_type = 'signup' THEN 'delayed' END AS state,
+        ts, event_id % 4 = 0 AS quota FROM events""",
+    "fx_latest": """SELECT crawl_id, job_id, arg_max(state, (ts, event_id)) AS state, min(ts) AS added_at, max(ts) AS last_ts,
+            arg_max(quota, (ts, event_id)) AS quota
         FROM fx_job_events GROUP BY crawl_id, job_id""",
     "fx_final": """SELECT crawl_id,
             CASE WHEN arg_max(state, (last_ts, job_id)) FILTER (WHERE state IN ('completed','failed')) = 'completed'
@@ -48,14 +51,15 @@ FX = {
             ('c_nopath', ['example.com'], true, true, ['/admin', '/private', '/wp-admin', '/login', '/logout']))
         t(crawl_id, allowed_domains, allow_subdomains, ignore_paths, excluded_paths)""",
     "fx_crawl_urls": """SELECT (['c_net', 'c_one', 'c_free', 'c_nopath'])[page_id % 4 + 1] AS crawl_id, page_id, url FROM pages""",
-    "fx_robots": """SELECT DISTINCT origin, body FROM (
-            SELECT regexp_extract(lower(url), '^([a-z][a-z0-9+.\\-]*://[^/?#]+)', 1) AS origin,
-                CASE WHEN regexp_extract(lower(url), '://([^/?#]+)', 1) LIKE 'www.%' THEN 'User-agent: *' || chr(10) || 'Disallow: /'
-                     WHEN regexp_extract(lower(url), '://([^/?#]+)', 1) LIKE 'blog.%' THEN 'User-agent: *' || chr(10) || 'Disallow: /fr/' || chr(10) || 'Allow: /fr/2'
-                     WHEN regexp_extract(lower(url), '://([^/?#]+)', 1) LIKE 'm.%' THEN NULL
-                     ELSE 'User-agent: *' || chr(10) || 'Allow: /' END AS body FROM pages) WHERE body IS NOT NULL""",
+    "fx_rule_requests": """SELECT page_id AS crawl_id,
+            CASE WHEN page_id % 3 > 0 THEN [regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1)), '^$', '')] ELSE [] END AS allowed_domains,
+            CASE WHEN page_id % 2 = 0 THEN page_id % 4 = 0 ELSE true END AS allow_subdomains,
+            CASE WHEN page_id % 5 = 0 THEN page_id % 10 = 0 ELSE false END AS ignore_paths,
+            CASE WHEN page_id % 7 = 0 THEN ['/fr'] ELSE ['/admin', '/private', '/wp-admin', '/login', '/logout'] END AS excluded_paths FROM pages""",
+    "fx_quota": "SELECT c_custkey AS user_id, c_custkey % 3 + 1 AS quota FROM customer WHERE c_custkey % 10 <> 0",
     "fx_page_events": """SELECT o_custkey AS user_id, 'https://example.com/o/' || CAST(o_orderkey AS VARCHAR) AS url,
-        o_orderdate AS ts FROM orders""",
+        o_orderdate AS ts FROM orders UNION ALL
+        SELECT o_custkey, 'https://example.com/o/' || CAST(o_orderkey AS VARCHAR), o_orderdate FROM orders WHERE o_orderkey % 4 = 0""",
 }
 
 # ---- URL pieces in SQL (absolute http(s) URLs of the driver data) ----------------------------------

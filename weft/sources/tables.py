@@ -50,31 +50,49 @@ def queue_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.col("l_linenumber").alias("priority"), F.col("l_shipdate").alias("event_ts"))
 
 
-def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fx_job_events from events: event_id, crawl_id, job_id, state, ts."""
-    e = read_table(spark, sf_dir, "events")
-    state = (F.when(F.col("event_type") == "view", "waiting").when(F.col("event_type") == "click", "active")
-             .when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed")
-             .when(F.col("event_type") == "signup", "delayed"))
+def job_event_columns(e: DataFrame) -> DataFrame:
+    """Raw events as job events. Crawls with an id divisible by 3 are over: their jobs end in every event."""
+    over = F.col("user_id") % 3 == 0
+    kind = F.col("event_type")
+    state = (F.when(kind == "purchase", "completed").when(kind == "error", "failed")
+             .when(over, F.when(kind == "signup", "failed").otherwise("completed"))
+             .when(kind == "view", "waiting").when(kind == "click", "active").when(kind == "signup", "delayed"))
+    code = F.when(F.col("state") == "failed", F.when(F.col("event_id") % 4 == 0, "QuotaExceededError").otherwise("CrawlError"))
     return e.select("event_id", F.col("user_id").alias("crawl_id"),
                     F.concat(F.col("user_id").cast("string"), F.lit(":"), F.col("props")).alias("job_id"),
-                    state.alias("state"), "ts")
+                    state.alias("state"), "ts").withColumn("error_code", code)
+
+
+def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fx_job_events from events: event_id, crawl_id, job_id, state, ts, error_code."""
+    return job_event_columns(read_table(spark, sf_dir, "events"))
 
 
 def quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fx_quota from customer: user_id, monthly_quota (1)."""
-    c = read_table(spark, sf_dir, "customer")
-    return c.select(F.col("c_custkey").alias("user_id"), F.lit(1).alias("monthly_quota"))
+    """fx_quota from customer: user_id, monthly_quota (1 to 3; every tenth user has none)."""
+    c = read_table(spark, sf_dir, "customer").filter(F.col("c_custkey") % 10 != 0)
+    return c.select(F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % 3 + 1).cast("int").alias("monthly_quota"))
 
 
 def page_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages charged to users: orders as (user_id, url, ts)."""
+    """Pages charged to users: orders as (user_id, url, ts); every fourth order is charged twice."""
     o = read_table(spark, sf_dir, "orders")
+    o = o.unionByName(o.filter(F.col("o_orderkey") % 4 == 0))
     return o.select(F.col("o_custkey").alias("user_id"),
                     F.concat(F.lit("https://example.com/o/"), F.col("o_orderkey").cast("string")).alias("url"),
                     F.col("o_orderdate").alias("ts"))
 
 
+def rule_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fx_rule_requests: one request per page with some fields left out: crawl_id, allowed_domains, allow_subdomains, ignore_paths, excluded_paths."""
+    p = read_table(spark, sf_dir, "pages")
+    host = F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)", 1)
+    i = F.col("page_id")
+    return p.select(i.alias("crawl_id"), F.when(i % 3 > 0, F.array(F.concat(F.lit(" WWW."), F.upper(host)))).alias("allowed_domains"),
+                    F.when(i % 2 == 0, i % 4 == 0).alias("allow_subdomains"), F.when(i % 5 == 0, i % 10 == 0).alias("ignore_paths"),
+                    F.when(i % 7 == 0, F.array(F.lit("/fr"))).alias("excluded_paths"))
+
+
 # Four crawl rule sets used with the page URLs (fx_rules).
 RULES_ROWS = [
     ("c_net", ["example.net"], True, False, ["/fr"]),
@@ -99,13 +117,14 @@ def crawl_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def robots_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fx_robots: one robots.txt per origin of the page URLs (m. hosts: none = fetch failed)."""
+    """fx_robots: one robots.txt per origin of the pages' canonical URLs (m. hosts: none = fetch failed). Hosts with an 'h'
+    after the first letter deny everything, with a byte order mark and tabs as some files have them."""
     p = read_table(spark, sf_dir, "pages")
-    origin = F.regexp_extract(F.lower("url"), r"^([a-z][a-z0-9+.\-]*://[^/?#]+)", 1)
+    origin = F.regexp_replace(F.regexp_extract(F.lower("url"), r"^([a-z][a-z0-9+.\-]*://[^/?#]+)", 1), r"://www\.", "://")
     host = F.regexp_extract(origin, r"://(.*)$", 1)
-    body = (F.when(host.startswith("www."), F.lit("User-agent: *\nDisallow: /"))
-            .when(host.startswith("blog."), F.lit("User-agent: *\nDisallow: /fr/\nAllow: /fr/2"))
+    body = (F.when(host.startswith("blog."), F.lit("User-agent: *\nDisallow: /fr/\nAllow: /fr/2"))
             .when(host.startswith("m."), F.lit(None))
+            .when(host.substr(2, 1) == "h", F.lit("\ufeffUser-agent:\t*\nDisallow:\t/*e # all with an e"))
             .otherwise(F.lit("User-agent: *\nAllow: /")))
     return p.select(origin.alias("origin"), body.alias("body")).filter(F.col("body").isNotNull()).distinct()
 

@@ -1,34 +1,36 @@
 """Structured Streaming operators.
 
-Job events arrive as a stream (``event_id, crawl_id, job_id, state, ts``).
-A job changes state, so counting events overcounts: every live statistic is
-computed from the *latest* state per job. ``foreachBatch`` keeps that latest
-state as a table (anti-join + union per micro-batch, written as a new version
-under the checkpoint folder) and recomputes the batch statistic from it, so
-the streamed result equals the batch operator on the same events.
+Job events arrive as a stream (``event_id, crawl_id, job_id, state, ts``). A job
+changes state, so counting events overcounts: every live statistic comes from the
+*latest* state per job, which a streaming aggregation keeps in Spark's own state
+store. A restart from the checkpoint goes on where the query stopped, and a replayed
+micro-batch overwrites its own output (``v=<epoch>``), so each counts once.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.operators import jobs as J
 from weft.session import checkpoint_dir
+from weft.sources.tables import job_event_columns
 
 EVENT_SCHEMA = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
+PAGE_SCHEMA = "page_id BIGINT, url STRING, html STRING"
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str, schema: str, max_files_per_trigger: int = 1) -> DataFrame:
+    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+            .option("maxFilesPerTrigger", max_files_per_trigger).parquet(sf_dir))
 
 
 def job_event_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int = 1) -> DataFrame:
     """The driver's ``events`` table read as a stream and mapped to job events (as ``sources.tables.job_events``)."""
-    raw = (spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", "events.parquet")
-           .option("maxFilesPerTrigger", max_files_per_trigger).parquet(sf_dir))
-    state = (F.when(F.col("event_type") == "view", "waiting").when(F.col("event_type") == "click", "active")
-             .when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed")
-             .when(F.col("event_type") == "signup", "delayed"))
-    return raw.select("event_id", F.col("user_id").alias("crawl_id"),
-                      F.concat(F.col("user_id").cast("string"), F.lit(":"), F.col("props")).alias("job_id"),
-                      state.alias("state"), "ts")
+    return job_event_columns(table_stream(spark, sf_dir, "events", EVENT_SCHEMA, max_files_per_trigger))
 
 
 def throughput(events: DataFrame, width: str = "5 minutes", watermark: str = "10 minutes") -> DataFrame:
@@ -38,112 +40,108 @@ def throughput(events: DataFrame, width: str = "5 minutes", watermark: str = "10
             .select(F.col("window.start").alias("window_start"), "state", "n"))
 
 
-def dedupe_urls(urls: DataFrame, expiry: str = "24 hours") -> DataFrame:
-    """Process a URL once per crawl; on a stream keys expire after ``expiry`` of event time."""
-    if not urls.isStreaming:
+def dedupe_urls(urls: DataFrame, expiry: str | None = None) -> DataFrame:
+    """Process a URL once per crawl. With ``expiry`` a stream forgets keys after that much event time."""
+    if not urls.isStreaming or expiry is None:
         return urls.dropDuplicates(["crawl_id", "url"])
     return urls.withWatermark("ts", expiry).dropDuplicatesWithinWatermark(["crawl_id", "url"])
 
 
-class LatestStateSink:
-    """``foreachBatch`` sink keeping the latest state per job and a derived statistic.
-
-    Each micro-batch is reduced to one row per job, merged with the stored
-    state (newer event wins), written as a new version under ``root`` and the
-    statistic ``stat(latest_state) -> DataFrame`` is written next to it.
-    """
-
-    def __init__(self, root: str, stat=None):
-        self.root = root
-        self.stat = stat
-        self.version = 0
-
-    def state_path(self, v: int) -> str:
-        return f"{self.root}/state/v={v:08d}"
-
-    def __call__(self, batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        b = batch.groupBy("crawl_id", "job_id").agg(
-            F.max_by(F.struct("state", "ts", "event_id"), F.struct("ts", "event_id")).alias("s"),
-            F.min("ts").alias("added_at")).select("crawl_id", "job_id", "s.state", "s.ts", "s.event_id", "added_at")
-        if self.version > 0:
-            old = spark.read.parquet(self.state_path(self.version))
-            both = old.unionByName(b)
-            merged = both.groupBy("crawl_id", "job_id").agg(
-                F.max_by(F.struct("state", "ts", "event_id"), F.struct("ts", "event_id")).alias("s"),
-                F.min("added_at").alias("added_at")).select("crawl_id", "job_id", "s.state", "s.ts", "s.event_id", "added_at")
+def _start(stream: DataFrame, root: str, write: Callable[[DataFrame, int], None], mode: str, trigger: dict | None):
+    return (stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{root}/_checkpoint")
+            .trigger(**(trigger or {"processingTime": "5 seconds"})).start())
+
+
+def publish_stats(events: DataFrame, root: str, stat: Callable[[DataFrame], DataFrame], trigger: dict | None = None,
+                  sink: Callable[[DataFrame, int], None] | None = None):
+    """``stat(latest job states)`` after every micro-batch, given to ``sink(rows, epoch)`` or written to ``root/stat``."""
+    def write(latest: DataFrame, epoch: int) -> None:
+        rows = stat(latest)
+        if sink is not None:
+            sink(rows, epoch)
         else:
-            merged = b
-        self.version += 1
-        merged.write.mode("overwrite").parquet(self.state_path(self.version))
-        if self.stat is not None:
-            cur = spark.read.parquet(self.state_path(self.version))
-            self.stat(cur).write.mode("overwrite").parquet(f"{self.root}/stat/v={self.version:08d}")
+            rows.write.mode("overwrite").parquet(f"{root}/stat/v={epoch}")
 
-    def latest_state(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(self.state_path(self.version))
+    return _start(J.latest_job_state(events), root, write, "complete", trigger)
 
-    def latest_stat(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.root}/stat/v={self.version:08d}")
 
+def latest_stat(spark: SparkSession, root: str) -> DataFrame:
+    """The rows that ``publish_stats`` wrote last."""
+    every = spark.read.parquet(f"{root}/stat")
+    return every.filter(F.col("v") == every.select(F.max("v")).scalar()).drop("v")
 
-def live_queue_stats(events: DataFrame, root: str, trigger: dict | None = None):
-    """R2: A1 counts over the latest state of every job, refreshed per micro-batch.
 
-    Returns ``(query, sink)``; ``sink.latest_stat(spark)`` is the current row.
-    """
-    sink = LatestStateSink(root, stat=J.queue_stats)
-    q = (events.writeStream.foreachBatch(sink)
-         .option("checkpointLocation", f"{root}/_checkpoint")
-         .trigger(**(trigger or {"processingTime": "5 seconds"})).start())
-    return q, sink
+def live_queue_stats(events: DataFrame, root: str, trigger: dict | None = None):
+    """R2: A1 counts over the latest state of every job, refreshed per micro-batch."""
+    return publish_stats(events, root, J.queue_stats, trigger)
 
 
 def live_crawl_stats(events: DataFrame, jobs: DataFrame, root: str, n: int = 10, trigger: dict | None = None):
     """J5 recomputed after every micro-batch from the latest job states."""
-    def stat(latest):
-        return J.crawl_stats(jobs, latest.select("crawl_id", "job_id", "state"), n)
-    sink = LatestStateSink(root, stat=stat)
-    q = (events.writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/_checkpoint")
-         .trigger(**(trigger or {"processingTime": "5 seconds"})).start())
-    return q, sink
+    return publish_stats(events, root, lambda latest: J.crawl_stats(jobs, latest.select("crawl_id", "job_id", "state"), n), trigger)
 
 
 def track_active(events: DataFrame, root: str, trigger: dict | None = None):
-    """Open jobs per crawl and the final status of crawls whose open jobs reached 0 (A10)."""
-    def stat(latest):
-        ev = latest.select("event_id", "crawl_id", "job_id", "state", "ts")
-        return J.final_status(ev)
-    sink = LatestStateSink(root, stat=stat)
-    q = (events.writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/_checkpoint")
-         .trigger(**(trigger or {"processingTime": "5 seconds"})).start())
-    return q, sink
+    """Open jobs per crawl, and for crawls without any the final status (A10)."""
+    def stat(latest: DataFrame) -> DataFrame:
+        as_events = latest.select(F.lit(0).alias("event_id"), "crawl_id", "job_id", "state", F.col("last_ts").alias("ts"))
+        return J.active_job_counts(as_events).join(J.final_status(as_events), "crawl_id", "left")
+
+    return publish_stats(events, root, stat, trigger)
 
 
 def stream_documents(pages: DataFrame, root: str, trigger: dict | None = None):
-    """Extract documents from each micro-batch of pages (batch H10 per micro-batch) and append them."""
+    """Extract the documents of each micro-batch of pages (S1, H10, E2) and store them (S6 by batch: ``root/documents/v=<epoch>``)."""
     from weft.operators.html import documents
     from weft.operators.pages import nest_documents
+    from weft.operators.rules import drop_empty_documents
+    from weft.sources.tables import read_pages
 
-    def write(batch: DataFrame, epoch_id: int) -> None:
-        nest_documents(documents(batch)).write.mode("append").parquet(f"{root}/documents")
+    def write(batch: DataFrame, epoch: int) -> None:
+        nest_documents(drop_empty_documents(documents(read_pages(batch.sparkSession, batch)))).write.mode("overwrite").parquet(f"{root}/documents/v={epoch}")
 
-    return (pages.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/_checkpoint")
-            .trigger(**(trigger or {"processingTime": "5 seconds"})).start())
+    return _start(pages, root, write, "append", trigger)
+
+
+# ---- to completion (availableNow), as tables ------------------------------------------------------
+
+def _root(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/weft-stream-{name}/{uuid.uuid4().hex}"
+
+
+NOW = {"availableNow": True}
+
+
+def stream_stat_table(spark: SparkSession, name: str, start: Callable) -> DataFrame:
+    """Run ``start(root, trigger)`` of a ``publish_stats`` query over all there is and return its last rows."""
+    root = _root(spark, name)
+    start(root, NOW).awaitTermination()
+    return latest_stat(spark, root)
 
 
 def stream_throughput_table(spark: SparkSession, sf_dir: str, width: str = "5 minutes") -> DataFrame:
-    """Run R5 over the events stream to completion (availableNow) and return the result table."""
-    root = checkpoint_dir(spark).rstrip("/") + "/weft-stream-throughput"
-    import uuid
-    run = f"{root}/{uuid.uuid4().hex}"
-    agg = throughput(job_event_stream(spark, sf_dir), width)
-
-    def write(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{run}/out")
-
-    # Complete mode: every micro-batch rewrites the full window table (bounded by the time span).
-    q = (agg.writeStream.outputMode("complete").foreachBatch(write)
-         .option("checkpointLocation", f"{run}/_checkpoint").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.schema("window_start TIMESTAMP, state STRING, n BIGINT").parquet(f"{run}/out")
+    """R5 over the events stream. Update mode: a batch writes the windows it changed; the last one of each counts, and
+    the watermark lets Spark drop the state of windows that are over."""
+    root = _root(spark, "throughput")
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/v={epoch}")
+
+    _start(throughput(job_event_stream(spark, sf_dir), width), root, write, "update", NOW).awaitTermination()
+    every = spark.read.schema("window_start TIMESTAMP, state STRING, n BIGINT, v INT").parquet(f"{root}/out")
+    return every.groupBy("window_start", "state").agg(F.max_by("n", "v").alias("n"))
+
+
+def stream_unique_urls_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R3 over the events stream, written by the file sink (exactly once)."""
+    root = _root(spark, "urls")
+    urls = job_event_stream(spark, sf_dir).select("crawl_id", F.col("job_id").alias("url"), "ts")
+    (dedupe_urls(urls).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/_checkpoint")
+     .trigger(**NOW).start().awaitTermination())
+    return spark.read.schema("crawl_id BIGINT, url STRING, ts TIMESTAMP").parquet(f"{root}/out").select("crawl_id", "url")
+
+
+def stream_documents_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _root(spark, "documents")
+    stream_documents(table_stream(spark, sf_dir, "pages", PAGE_SCHEMA), root, NOW).awaitTermination()
+    return spark.read.parquet(f"{root}/documents").drop("v")
