@@ -75,7 +75,7 @@ def test_families_chains_and_cases(spark):
         rows.append((1000 + c, " ".join(chain)))
     rows += [(2000, None), (2001, ""), (2002, " \n"), (2003, "one two"), (2004, "ONE\ttwo"), (2005, "One three"), (2006, "x " * 40_000), (2007, "x x x x x x"), (2008, rows[0][1]), (2008, rows[60][1]), (2009, rows[0][1])]
     df = spark.createDataFrame([(i, t, True) for i, t in rows], "doc_id long, text string, kept boolean")
-    assert rows_of(near_duplicates(spark, df, k=5)) == brute(rows, 5, 80)
+    assert rows_of(near_duplicates(spark, df, k=5)) == brute(rows, 5, 80) == rows_of(near_duplicates(spark, df, k=5, block=10))
     assert near_duplicates(spark, df.limit(0)).count() == 0
     odd = near_duplicates(spark, spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f")], "doc_id long, text string")).collect()
     assert {tuple(x) for x in odd} == {(None, 2, None, True), (1, 2, 1, True)}

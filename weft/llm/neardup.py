@@ -7,8 +7,10 @@ similarity of a candidate pair is first estimated by maximum likelihood from the
 pairs that are not far below the threshold are verified on the full sets.
 
 Equal sets count once. Members of a band's bucket are not all paired: each is compared with the bucket's centre (the member
-that shares most buckets with others, so the original of a family of edited copies). Only members that are then still in
-different components are compared with each other.
+that shares most buckets with others, so the original of a family of edited copies). Buckets whose members are then still in
+several components go on as blocks of bounded size: a task compares the registers of members of different components, verifies
+the close ones on their sets (both as matrices), and emits only links that join components. A pair is looked at in the first
+band where it meets, so once.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from .graph import components
 REGISTERS, BAND, BASE, RATE = 128, 4, 1.001, 20.0
 #: How far below the threshold an estimate may be (over 5 standard errors at 0.8).
 SLACK = 0.2
+#: Members and set elements of a block of a bucket; two blocks meet in a task.
+BLOCK, ELEMENTS = 2048, 1_000_000
 _DRAW = np.random.default_rng(20240607)
 _ODD = _DRAW.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _DRAW.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
@@ -112,7 +116,75 @@ def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int)
     return both.filter(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, star_rounds: int = 2) -> DataFrame:
+def _common(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets[rows] with sets[cols], by products of their incidence matrices."""
+    used = np.union1d(rows, cols)
+    place = np.full(len(sets), -1)
+    place[used] = np.arange(len(used))
+    owner = np.repeat(np.arange(len(used)), [len(sets[i]) for i in used])
+    _, element, n = np.unique(np.concatenate([sets[i] for i in used]), return_inverse=True, return_counts=True)
+    several = n > 1  # an element of one set alone is in no intersection
+    element, owner = (np.cumsum(several) - 1)[element[several[element]]], owner[several[element]]
+    order = np.argsort(element, kind="stable")
+    element, owner = element[order], owner[order]
+    out, step = np.zeros((len(rows), len(cols)), np.float32), max(256, (8 << 20) // (4 * len(used)))
+    for first in range(0, int(several.sum()), step):
+        a, b = np.searchsorted(element, [first, first + step])
+        m = np.zeros((len(used), step), np.float32)
+        m[owner[a:b], element[a:b] - first] = 1
+        out += m[place[rows]] @ m[place[cols]].T
+    return out
+
+
+def _joining(percent: int):
+    """Links between members of different components within two blocks of a bucket, none that joins what is joined already."""
+    def solve(t: pa.Table) -> pa.Table:
+        ids, comp, block = (t.column(c).to_numpy() for c in ("id", "component", "block"))
+        band, (i, j) = t.column("band")[0].as_py(), (t.column(c)[0].as_py() for c in ("i", "j"))
+        keys = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        regs = np.ascontiguousarray(keys).view("<u2").reshape(len(ids), -1)
+        flat = t.column("set").combine_chunks()
+        off, flat = np.asarray(flat.offsets), flat.values.to_numpy()
+        sets, n = [flat[a:b] for a, b in zip(off[:-1], off[1:])], np.diff(off)
+        root, links = {}, []
+
+        def find(x):
+            while (up := root.get(x, x)) != x:
+                root[x] = root.get(up, up)
+                x = up
+            return x
+
+        for first in range(0, len(ids), 128):
+            rows = np.arange(first, min(first + 128, len(ids)))
+            near = (comp[rows][:, None] != comp[None, :]) & (ids[rows][:, None] < ids[None, :])
+            near &= 100 * np.minimum(n[rows][:, None], n[None, :]) >= percent * np.maximum(n[rows][:, None], n[None, :])
+            if i != j:
+                near &= block[rows][:, None] != block[None, :]
+            for b in range(band):
+                near &= keys[rows, b][:, None] != keys[None, :, b]
+            x, y = np.nonzero(near)
+            if not len(x):
+                continue
+            same = np.concatenate([(regs[rows[x[k : k + 8192]]] == regs[y[k : k + 8192]]).sum(1) for k in range(0, len(x), 8192)])
+            close = same >= REGISTERS * (percent / 100 - SLACK)  # registers agree at least as often as the sets are similar
+            x, y = rows[x[close]], y[close]
+            if not len(x):
+                continue
+            ux, px = np.unique(x, return_inverse=True)
+            uy, py = np.unique(y, return_inverse=True)
+            both = _common(sets, ux, uy)[px, py]
+            true = 100 * both >= percent * (n[x] + n[y] - both)
+            for a, b in zip(x[true], y[true]):
+                p, q = find(comp[a]), find(comp[b])
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    links.append((ids[a], ids[b]))
+        return pa.table({"a": pa.array([int(a) for a, _ in links], pa.int64()), "b": pa.array([int(b) for _, b in links], pa.int64())})
+
+    return solve
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """One row for each document (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Documents whose sets of k-word shingles have a similarity of at least ``percent`` are linked; component_id is the
@@ -135,30 +207,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     twice = some.groupBy("doc_id").agg(F.min("s1").alias("x"), F.max("s1").alias("y")).filter("x <> y").select("doc_id")
     links = some.join(twice, "doc_id").join(reps.select("s1", "s2", "id"), ["s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
 
-    def star(of: DataFrame, centres: DataFrame, extra=()) -> DataFrame:
-        return of.join(centres, ["band", "key"]).filter("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"), *extra)
-
     best = F.max(F.struct("weight", (-F.col("id")).alias("id")))
     centres = members.groupBy("band", "key").agg((-best.id).alias("centre"))
-    tried = written(spark, star(members, centres).distinct(), "pairs")
-    links = written(spark, links.unionByName(_verified(tried, reps, sets, percent)), "links")
-    for turn in range(star_rounds):
-        found = components(spark, links)
-        now = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        open_ = now.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("band", "key")
-        now = written(spark, now.join(open_, ["band", "key"]), "open")
-        if now.isEmpty():
-            break
-        if turn + 1 < star_rounds:  # a centre outside the bucket's largest component
-            largest = now.groupBy("band", "key", "component").agg(F.count("*").alias("n")).groupBy("band", "key").agg(F.max(F.struct("n", "component")).component.alias("largest"))
-            centres = now.join(largest, ["band", "key"]).filter("component <> largest").groupBy("band", "key").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"), "component")).alias("c"))
-            pairs = star(now, centres.select("band", "key", (-F.col("c.id")).alias("centre"), F.col("c.component").alias("other")).alias("c"), ("component", "other")).filter("component <> other").select("a", "b")
-        else:  # whatever is still apart
-            p, q = (now.select("band", "key", F.col("id").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
-            pairs = p.join(q, ["band", "key"]).filter("a < b AND ca <> cb").select("a", "b")
-        pairs = written(spark, pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = written(spark, links.unionByName(_verified(pairs, reps, sets, percent)), "links")
-        tried = tried.unionByName(pairs)
+    star = members.join(centres, ["band", "key"]).filter("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+    links = written(spark, links.unionByName(_verified(star, reps, sets, percent)), "links")
+    now = members.join(components(spark, links), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    now = written(spark, now.select("band", "key", "id", "component"), "assigned")
+    open_ = now.join(reps.select("id", "n"), "id").groupBy("band", "key").agg(
+        F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members"), F.sum("n").alias("elements")).filter("x <> y")
+    parts = F.ceil(F.greatest(F.col("members") / block, F.col("elements") / ELEMENTS)).cast("int")
+    now = now.join(open_.select("band", "key", parts.alias("parts")), ["band", "key"])
+    now = now.withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    now = now.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    now = now.join(reps.select("id", "bands"), "id").join(sets, "id").select("band", "key", "i", "j", "block", "id", "component", "bands", "set")
+    links = written(spark, links.unionByName(now.groupBy("band", "key", "i", "j").applyInArrow(_joining(percent), "a long, b long")), "links")
     found = components(spark, links)
     return (sk.select("doc_id", "n_shingles", "s1", "s2").join(reps.select("s1", "s2", "id"), ["s1", "s2"], "left").join(found, "id", "left")
             .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.least("doc_id", F.coalesce("component", "id"))).otherwise(F.col("doc_id")).alias("component_id"))
