@@ -26,14 +26,15 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near duplicates; of rows that share a doc_id one (by the hash of
     its text). Rows without doc_id and texts without words are in no group."""
-    found = neardup.near_duplicates(spark, docs, WORDS, PERCENT)
-    ids = written(spark, found.filter(F.col("kept") & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")), "kept")
-    rows = docs.filter(F.col("doc_id").isNotNull()).join(ids, F.col("doc_id") == F.col("_id"))
-    out = docs.filter(F.col("doc_id").isNull()).unionByName(rows.filter(F.col("_n") == 1).select(docs.columns))
-    if ids.filter(F.col("_n") > 1).isEmpty():
+    found = written(spark, neardup.near_duplicates(spark, docs, WORDS, PERCENT).filter(F.col("doc_id").isNotNull()).select("doc_id", "kept"), "found")
+    # those that go are few: joining with them leaves the texts where they are for longer than joining with those that stay
+    gone = written(spark, found.filter(~F.col("kept")).select("doc_id").distinct(), "gone")
+    out = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    again = written(spark, found.filter("kept").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "again")
+    if again.isEmpty():
         return out
-    again = rows.filter(F.col("_n") > 1).groupBy("_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("_row"))
-    return out.unionByName(again.select("_row.*"))
+    one = out.join(again, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("_row"))
+    return out.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(one.select("_row.*"))
 
 
 def unseen_by_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
