@@ -340,8 +340,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, with_text: bool = True,
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
                        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("version"))
     every = records(docs.select("doc", "version", "text"))  # made twice: cheaper than keeping a row for every 70 bytes
-    anchors = (every.groupBy("anchor").agg(F.count("*").alias("n"), F.min("covered").alias("x"), F.max("covered").alias("y")).filter("n > 1")
-               .select("anchor", (F.col("x") != F.col("y")).alias("mixed")))
+    anchors = written(spark, every.groupBy("anchor").agg(F.count("*").alias("n"), F.min("covered").alias("x"), F.max("covered").alias("y")).filter("n > 1")
+                      .select("anchor", (F.col("x") != F.col("y")).alias("mixed")), "anchors")  # a table, so that Spark can split the skewed join
     repeated = written(spark, every.join(anchors, "anchor"), "repeated")
     place = F.struct("doc", "version", "place")
     classes = written(spark, repeated.filter("mixed").groupBy("anchor", "covered").agg(F.count("*").alias("n"), F.min(place).alias("head")), "classes")
