@@ -2,7 +2,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from weft.llm.mixing import DIMS, OP10_SQL, mix, op10_mixing, topic, tokens
+from weft.llm.mixing import DIMS, LEAST_SHARE, OP10_SQL, bounded, marginals, mix, mixed, op10_mixing, tempered, topic, tokens
 
 SF = "/root/testdata/sf0.01"
 
@@ -39,3 +39,24 @@ def test_cases(spark):
     out = mix(spark, docs).collect()
     assert sorted(r.tokens for r in out) == [1, 1, 1, 3, 100_001] and len({(r.doc_id, r.drawn) for r in out if r.doc_id == 3}) == 1
     assert mix(spark, docs.limit(0)).count() == 0
+
+
+CELLS = "source string, lang string, topic string, tokens long"
+
+
+def test_contradicting_targets_drop_no_cell(spark):
+    rows = [(f"s{i}", "en", "a", 200) for i in range(100)] + [("big", "en", "a", 1000), ("big", "de", "a", 79_000)]
+    cells = tempered(spark.createDataFrame(rows, CELLS))
+    with pytest.warns(UserWarning, match="contradict"):
+        out = mixed(spark, cells)
+    got, met = out.toPandas(), marginals(out).filter("dim != 'topic'").toPandas()
+    assert got.probability.min() > 0.01 and (got.probability * got.tokens).sum() == pytest.approx(LEAST_SHARE * 100_000)
+    assert 0.01 < met.error.max() < 0.5 and met.expected.sum() == pytest.approx(2 * LEAST_SHARE * 100_000)
+
+
+def test_small_probabilities_are_not_cut(spark):
+    # a target that asks for a billionth of the hot cell: met, so its probability is small, but not 0
+    docs = spark.createDataFrame([("hot", "en", "a", 10**12), ("s", "en", "a", 10**3)], CELLS)
+    cells = tempered(docs, temper=0.0)
+    assert 0 < min(r.probability for r in bounded(spark, cells, 1e-9).collect()) < 1e-6
+

@@ -7,6 +7,7 @@ again, until all are met. Documents are then sampled with a probability in propo
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,9 @@ DIMS = ("source", "lang", "topic")
 TEMPER, ROUNDS = 0.8, 40
 #: Cells up to this many rows are broadcast to the documents; more are joined by shuffling the documents' keys.
 BROADCAST_CELLS = 50_000
+#: Least expected share of the tokens in the sample, how far a marginal may be off its target, the power of the factors where
+#: the targets contradict each other, and the relative change in a round at which bounded raking ends.
+LEAST_SHARE, MET, FIRM, STILL = 0.3, 0.01, 0.8, 1e-9
 
 
 def topic(text: str = "text") -> F.Column:
@@ -64,17 +68,91 @@ def rake(spark: SparkSession, cells: DataFrame, dims=DIMS, rounds: int = ROUNDS,
     return cells
 
 
+def _fitted(at: str, *by: str) -> F.Column:
+    """The factor f for which the cells with the same ``by`` have ``at`` expected tokens at probability least(1, g * f).
+
+    With the cells in order of g, f is the largest (at - tokens of the cells after this one) / (g * tokens up to this one).
+    """
+    own = W.partitionBy(*(by or (F.lit(1),)))
+    upto = own.orderBy("g", "tokens").rowsBetween(W.unboundedPreceding, 0)
+    return (F.col(at) - (F.sum("tokens").over(own) - F.sum("tokens").over(upto))) / F.sum(F.col("g") * F.col("tokens")).over(upto)
+
+
+def bounded(spark: SparkSession, cells: DataFrame, share: float, dims=DIMS, rounds: int = ROUNDS, firm: float = 1.0, at_once: int = 2) -> DataFrame:
+    """cells (dims, tokens, t_<dim>) with ``probability``, at most 1, so that ``share`` of all tokens are expected to be drawn.
+
+    A value that has fewer tokens than its target at that size is asked for all it has, and the other values of the dimension
+    share the rest in proportion to their targets (columns a_<dim>). Cells that reach probability 1 stay there and the others
+    are raked on. With ``firm`` below 1 targets are wishes: each value's factor is raised to that power, which settles between
+    targets that contradict each other instead of driving cells to 0.
+    """
+    every = W.partitionBy(F.lit(1))
+    cells = cells.coalesce(1).withColumn("_size", share * F.sum("tokens").over(every))
+    for d in dims:
+        cells = cells.withColumn("g", F.col(f"t_{d}") / F.sum("tokens").over(W.partitionBy(d))).withColumn("_f", _fitted("_size"))
+        cells = cells.withColumn("_f", F.max("_f").over(every)).withColumn(f"a_{d}", F.sum("tokens").over(W.partitionBy(d)) * F.least(F.lit(1.0), F.col("g") * F.col("_f")))
+    cells = written(spark, cells.withColumn("g", F.lit(float(share))).select("*", *(F.lit(1.0).alias(f"u_{d}") for d in dims)), "bounds")
+    for done in range(0, rounds, at_once):
+        cells = cells.coalesce(1)
+        for _ in range(min(at_once, rounds - done)):
+            cells = cells.withColumn("_before", F.col("g"))
+            for d in dims:
+                cells = cells.withColumn("_f", _fitted(f"a_{d}", d)).withColumn("_f", F.pow(F.col(f"u_{d}") * F.max("_f").over(W.partitionBy(d)), F.lit(firm)))
+                cells = cells.withColumn("g", F.col("g") / F.col(f"u_{d}") * F.col("_f")).withColumn(f"u_{d}", F.col("_f"))
+        cells = written(spark, cells, "cells")
+        moved = cells.agg(F.max(F.abs(F.col("g") / F.col("_before") - 1))).first()[0]
+        if moved is None or moved < STILL:
+            break
+    cells = cells.coalesce(1).withColumn("_f", _fitted("_size"))
+    return cells.withColumn("probability", F.least(F.lit(1.0), F.col("g") * F.max("_f").over(every))).drop("_f", "_size", "g", "_before", *(f"u_{d}" for d in dims))
+
+
+def marginals(cells: DataFrame, dims=DIMS) -> DataFrame:
+    """(dim, value, target, expected, error) of cells with a_<dim> and probability: expected tokens of the sample and their
+    relative distance from the target."""
+    parts = [cells.groupBy(F.lit(d).alias("dim"), F.col(d).cast("string").alias("value")).agg(F.max(f"a_{d}").alias("target"), F.sum(F.col("probability") * F.col("tokens")).alias("expected")) for d in dims]
+    return reduce(DataFrame.unionByName, parts).withColumn("error", F.abs(F.col("expected") / F.col("target") - 1))
+
+
+def mixed(spark: SparkSession, cells: DataFrame, dims=DIMS, rounds: int = ROUNDS, share: float | None = None) -> DataFrame:
+    """cells (dims, tokens, t_<dim>) with ``weight``, ``probability`` and a_<dim>, the expected tokens asked for.
+
+    With ``share`` None, probabilities are weights over the largest weight, if the targets are met so; otherwise they are
+    ``bounded`` ones.
+    """
+    every = W.partitionBy(F.lit(1))
+    if share is None:
+        plain = rake(spark, cells, dims, rounds).coalesce(1).withColumn("probability", F.col("weight") / F.max("weight").over(every))
+        plain = written(spark, plain.select("*", *((F.col(f"t_{d}") / F.max("weight").over(every)).alias(f"a_{d}") for d in dims)), "plain")
+        kept, = plain.agg(F.sum(F.col("probability") * F.col("tokens")) / F.sum("tokens")).first()
+        if kept is None or _error(plain, dims) <= MET:
+            return plain
+        share = LEAST_SHARE
+    for firm in (1.0, FIRM):
+        out = written(spark, bounded(spark, cells, share, dims, rounds, firm), "bounded")
+        error = _error(out, dims)
+        if error <= MET:
+            break
+    else:
+        warnings.warn(f"mixing: the targets contradict each other; the worst value is {error:.1%} off its target (see marginals)", stacklevel=2)
+    return out.withColumn("weight", F.col("probability") / share)
+
+
+def _error(cells: DataFrame, dims) -> float:
+    error = marginals(cells, dims).agg(F.max("error")).first()[0]
+    return 0.0 if error is None else error
+
+
 def mix(spark: SparkSession, docs: DataFrame, dims=DIMS, temper: float = TEMPER, rounds: int = ROUNDS, seed: str = "mix") -> DataFrame:
     """``docs`` (doc_id, dims, tokens, any other columns) with ``weight`` and ``probability``, and ``drawn``: whether sampled.
 
-    Probabilities are weights divided by the largest one: no probability is cut off, so the expected tokens of the sample
-    meet all targets. The draw is a hash of doc_id and the seed: repeated rows and re-run tasks draw alike. A null source,
-    language or topic is a value of its own; a null doc_id draws like the text 'null'. An empty table gives no rows.
+    No probability is 0. The draw is a hash of doc_id and the seed: repeated rows and re-run tasks
+    draw alike. A null source, language or topic is a value of its own; a null doc_id draws like the text 'null'. An empty
+    table gives no rows.
     """
     cells = docs.groupBy(*dims).agg(F.sum("tokens").alias("tokens"))
-    cells = rake(spark, written(spark, tempered(written(spark, cells, "margins").coalesce(1), dims, temper), "targets"), dims, rounds)
-    cells = written(spark, cells.coalesce(1).select(*(F.col(d).alias(f"_{d}") for d in dims), "weight",
-                                                    F.round(F.col("weight") / F.max("weight").over(W.partitionBy(F.lit(1))), 6).alias("probability")), "weights")
+    cells = mixed(spark, written(spark, tempered(written(spark, cells, "margins").coalesce(1), dims, temper), "targets"), dims, rounds)
+    cells = written(spark, cells.coalesce(1).select(*(F.col(d).alias(f"_{d}") for d in dims), "weight", "probability"), "weights")
     if cells.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS:
         cells = F.broadcast(cells)
     same = reduce(lambda a, b: a & b, (docs[d].eqNullSafe(cells[f"_{d}"]) for d in dims))
@@ -85,7 +163,8 @@ def mix(spark: SparkSession, docs: DataFrame, dims=DIMS, temper: float = TEMPER,
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", topic().alias("topic"), tokens().alias("tokens"))
     docs = written(spark, docs, "documents")  # ids and cells only: the texts are read once
-    return mix(spark, docs).filter("drawn").select("doc_id", "source", "lang", "topic", "tokens", F.round("weight", 6).alias("weight"), "probability")
+    shown = F.when(F.col("probability") < 5e-7, F.col("probability")).otherwise(F.round("probability", 6)).alias("probability")
+    return mix(spark, docs).filter("drawn").select("doc_id", "source", "lang", "topic", "tokens", F.round("weight", 6).alias("weight"), shown)
 
 
 def _sql() -> str:
