@@ -13,8 +13,9 @@ from weft.llm import decontaminate as bench
 from weft.llm import mixing, neardup, quality, sharding
 from weft.llm.common import table, written
 
-#: A document stays from this score on; near duplicates share this much of their 5-word shingles; number of shards.
-LEAST_SCORE, WORDS, PERCENT, SHARDS = 0.3, 5, 80, 40
+#: A document stays from this score on; near duplicates share this much of their 5-word shingles; number of shards;
+#: share of the tokens that the mix keeps.
+LEAST_SCORE, WORDS, PERCENT, SHARDS, MIX_SHARE = 0.3, 5, 80, 40, 0.4
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +46,7 @@ def unseen_by_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose sources, languages and topics have their target shares of tokens."""
     rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "lang", mixing.topic().alias("topic"), mixing.tokens().alias("tokens"))
-    return mixing.mix(spark, rows).filter("drawn").select("row.*")
+    return mixing.mix(spark, rows, share=MIX_SHARE).filter("drawn").select("row.*")
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

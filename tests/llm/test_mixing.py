@@ -60,3 +60,16 @@ def test_small_probabilities_are_not_cut(spark):
     cells = tempered(docs, temper=0.0)
     assert 0 < min(r.probability for r in bounded(spark, cells, 1e-9).collect()) < 1e-6
 
+
+def test_one_rare_cell_does_not_thin_the_others(spark):
+    rows = [("hot", 50_000_000), *((f"s{i}", 5_000_000) for i in range(19)), ("rare", 1)]
+    cells = tempered(spark.createDataFrame([(s, lang, "a", n) for s, n in rows for lang in ("en", "de")], CELLS))
+    total = 2 * sum(n for _, n in rows)
+    for share, want in ((None, LEAST_SHARE), (0.6, 0.6)):
+        out = mixed(spark, cells, share=share)
+        got = out.toPandas()
+        assert (got.probability * got.tokens).sum() == pytest.approx(want * total) and got.probability.max() == pytest.approx(1)
+        assert got[got.source == "rare"].probability.min() == pytest.approx(1)
+        assert marginals(out).toPandas().error.max() < 0.01
+        hot, other = (got[got.source == s].probability.mean() for s in ("hot", "s1"))
+        assert other / hot == pytest.approx(10**0.2, rel=0.01) or other == pytest.approx(1)

@@ -2,7 +2,8 @@
 
 The corpus is first reduced to a table of cells (one for each combination of source, language and topic, with its tokens).
 Raking multiplies the cells' weights so that the weighted tokens meet the targets of one marginal after the other, again and
-again, until all are met. Documents are then sampled with a probability in proportion to their cell's weight.
+again, until all are met. Documents are then sampled with a probability in proportion to their cell's weight, or raked to an
+expected size of the sample with probabilities up to 1, so that no rare cell thins the others.
 """
 
 from __future__ import annotations
@@ -117,15 +118,15 @@ def marginals(cells: DataFrame, dims=DIMS) -> DataFrame:
 def mixed(spark: SparkSession, cells: DataFrame, dims=DIMS, rounds: int = ROUNDS, share: float | None = None) -> DataFrame:
     """cells (dims, tokens, t_<dim>) with ``weight``, ``probability`` and a_<dim>, the expected tokens asked for.
 
-    With ``share`` None, probabilities are weights over the largest weight, if the targets are met so; otherwise they are
-    ``bounded`` ones.
+    With ``share`` None, probabilities are weights over the largest weight, if the targets are met so and at least
+    ``LEAST_SHARE`` of the tokens are expected; otherwise, and with a ``share``, they are ``bounded`` ones.
     """
     every = W.partitionBy(F.lit(1))
     if share is None:
         plain = rake(spark, cells, dims, rounds).coalesce(1).withColumn("probability", F.col("weight") / F.max("weight").over(every))
         plain = written(spark, plain.select("*", *((F.col(f"t_{d}") / F.max("weight").over(every)).alias(f"a_{d}") for d in dims)), "plain")
         kept, = plain.agg(F.sum(F.col("probability") * F.col("tokens")) / F.sum("tokens")).first()
-        if kept is None or _error(plain, dims) <= MET:
+        if kept is None or (kept >= LEAST_SHARE and _error(plain, dims) <= MET):
             return plain
         share = LEAST_SHARE
     for firm in (1.0, FIRM):
@@ -143,15 +144,16 @@ def _error(cells: DataFrame, dims) -> float:
     return 0.0 if error is None else error
 
 
-def mix(spark: SparkSession, docs: DataFrame, dims=DIMS, temper: float = TEMPER, rounds: int = ROUNDS, seed: str = "mix") -> DataFrame:
+def mix(spark: SparkSession, docs: DataFrame, dims=DIMS, temper: float = TEMPER, rounds: int = ROUNDS, seed: str = "mix", share: float | None = None) -> DataFrame:
     """``docs`` (doc_id, dims, tokens, any other columns) with ``weight`` and ``probability``, and ``drawn``: whether sampled.
 
-    No probability is 0. The draw is a hash of doc_id and the seed: repeated rows and re-run tasks
+    ``share`` is the expected share of all tokens in the sample; without it, it follows from the rarest cell (``mixed``), but
+    is at least ``LEAST_SHARE``. No probability is 0. The draw is a hash of doc_id and the seed: repeated rows and re-run tasks
     draw alike. A null source, language or topic is a value of its own; a null doc_id draws like the text 'null'. An empty
     table gives no rows.
     """
     cells = docs.groupBy(*dims).agg(F.sum("tokens").alias("tokens"))
-    cells = mixed(spark, written(spark, tempered(written(spark, cells, "margins").coalesce(1), dims, temper), "targets"), dims, rounds)
+    cells = mixed(spark, written(spark, tempered(written(spark, cells, "margins").coalesce(1), dims, temper), "targets"), dims, rounds, share)
     cells = written(spark, cells.coalesce(1).select(*(F.col(d).alias(f"_{d}") for d in dims), "weight", "probability"), "weights")
     if cells.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS:
         cells = F.broadcast(cells)
