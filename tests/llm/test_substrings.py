@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 from collections import Counter
 
 import duckdb
@@ -67,3 +68,16 @@ def test_query(spark):
     rows = duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall()
     got = rows_of(op5_substrings(spark, SF))
     assert got == brute(rows) and sum(x[2] for x in got) > 0
+
+
+def test_rows_without_id_and_equal_crc32(spark):
+    r = random.Random(5)
+    block, one, other = ("".join(r.choices("abcdefgh ", k=n)) for n in (400, 100, 600))
+    ends = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=12)) for _ in range(200_000)]
+    by_sum = {zlib.crc32((one + block + e).encode()): one + block + e for e in ends}
+    same = next((by_sum[c], other + e) for e in ends if (c := zlib.crc32((other + e).encode())) in by_sum)
+    for i in (None, 7):
+        rows = [(i, same[0]), (i, same[1]), (8, block)]
+        want = brute(rows)
+        assert sorted(n for _, _, n, _, _ in want) == [0, 400, 400]
+        assert rows_of(remove_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string"))) == want

@@ -337,8 +337,9 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, with_text: bool = True,
     repeat each other. Other columns are ignored; an empty table gives no rows. kept may cut through a UTF-8 character.
     """
     key = ["doc", "version"]
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
-                       F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("version"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # 128 bits in two columns, so that no two texts share a key, also where many rows have a null id or the same one
+    docs = docs.select("*", F.xxhash64("doc_id", "text").alias("doc"), F.xxhash64(F.lit("version"), "text", "doc_id").alias("version"))
     every = records(docs.select("doc", "version", "text"))  # made twice: cheaper than keeping a row for every 70 bytes
     anchors = written(spark, every.groupBy("anchor").agg(F.count("*").alias("n"), F.min("covered").alias("x"), F.max("covered").alias("y")).filter("n > 1")
                       .select("anchor", (F.col("x") != F.col("y")).alias("mixed")), "anchors")  # a table, so that Spark can split the skewed join
