@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
+from .alignment import op11_alignment
 from .chat import op7_chat
 from .credentials import op3_secrets
 from .decontaminate import op8_decontaminate
@@ -16,5 +17,5 @@ from .substrings import op5_substrings
 from .topk import OP2_SQL, op2_topk
 
 QUERIES = {"pipeline": corpus_pipeline.run, "op1_sharding": op1_sharding, "op2_topk": op2_topk, "op3_secrets": op3_secrets, "op4_neardup": op4_neardup, "op5_substrings": op5_substrings, "op6_quality": op6_quality,
-           "op7_chat": op7_chat, "op8_decontaminate": op8_decontaminate, "op9_lines": op9_lines, "op10_mixing": op10_mixing}
+           "op7_chat": op7_chat, "op8_decontaminate": op8_decontaminate, "op9_lines": op9_lines, "op10_mixing": op10_mixing, "op11_alignment": op11_alignment}
 ORACLE = {"op2_topk": OP2_SQL, "op9_lines": OP9_SQL, "op10_mixing": OP10_SQL}
