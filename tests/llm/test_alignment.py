@@ -5,14 +5,25 @@ import duckdb
 from pyspark.sql import functions as F
 
 from weft.llm import alignment
-from weft.llm.alignment import align, aligned_texts, byte_vocabulary, op11_alignment, pair_counts, piece_vocabulary
+from weft.llm.alignment import align, aligned_texts, byte_vocabulary, library_encoder, op11_alignment, pair_counts, piece_vocabulary
 
 SF = "/root/testdata/sf0.001"
 
 
+def test_both_encoders_agree():
+    path = f"{alignment.FOLDER}/{alignment.BYTE_FILE}"
+    encode, entries = byte_vocabulary(path)
+    library = library_encoder(path)
+    assert encode is not library and len(entries) == 50257
+    texts = [t for _, t in CASES if t] + [r[0] for r in duckdb.sql(f"select text from '{SF}/documents.parquet' where text is not null").fetchall()]
+    texts += ["".join(f" a{chr(c)}a 1{chr(c)}1 .{chr(c)}. {chr(c)} \n{chr(c)} \n" for c in range(a, a + 64) if not 0xD800 <= c <= 0xDFFF) for a in range(0, 0x110000, 64 * 11)]
+    assert encode(texts) == library(texts)
+
+
 def tokens(texts):
     """(ids, byte ends) of both tokenizers for each text, by the libraries' own per-token bytes."""
-    (enc_a, bytes_a), (enc_b, bytes_b) = byte_vocabulary(f"{alignment.FOLDER}/{alignment.BYTE_FILE}"), piece_vocabulary(f"{alignment.FOLDER}/{alignment.PIECE_FILE}")
+    bytes_a, enc_a = byte_vocabulary(f"{alignment.FOLDER}/{alignment.BYTE_FILE}")[1], library_encoder(f"{alignment.FOLDER}/{alignment.BYTE_FILE}")
+    enc_b, bytes_b = piece_vocabulary(f"{alignment.FOLDER}/{alignment.PIECE_FILE}")
     out = []
     for t in texts:
         sides = []

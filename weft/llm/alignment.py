@@ -15,6 +15,7 @@ about ``CHUNK_BYTES`` of text, or from one longer text.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 
 import numpy as np
@@ -39,17 +40,42 @@ def _byte_of() -> dict[str, int]:
     return out
 
 
+# Fixed value: how byte-level vocabularies split a text before merging.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 def byte_vocabulary(path: str):
-    """(function from texts to their lists of token ids, bytes of each id) of a byte-level vocabulary; a space goes before a text."""
+    """(function from texts to their lists of token ids, bytes of each id) of a byte-level vocabulary; a space goes before a text.
+
+    Where the ids of merged tokens follow the order of the merges and nothing else is done to a text, merging by smallest id is
+    the same and several times faster (tests compare both over all characters); otherwise the file's own library encodes.
+    """
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    to, model = _byte_of(), file["model"]
+    vocabulary = {**model["vocab"], **{t["content"]: t["id"] for t in file["added_tokens"]}}
+    entries = [b""] * (max(vocabulary.values()) + 1)
+    for entry, i in vocabulary.items():
+        entries[i] = bytes(to[c] for c in entry) if entry in model["vocab"] else entry.encode()
+    merged = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    split = file["pre_tokenizer"] or {}
+    plain = (split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split["add_prefix_space"] and file["normalizer"] is None
+             and not model.get("ignore_merges") and all(a < b for a, b in zip(merged, merged[1:])) and all(c in model["vocab"] for c in to)
+             and len(set(entries)) == len(entries) and len(model["vocab"]) == 256 + len(merged))
+    if plain:
+        import tiktoken
+        ranks = {entries[i]: i for i in model["vocab"].values()}
+        encoding = tiktoken.Encoding(os.path.basename(path), pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: [encoding.encode_ordinary(" " + t) for t in texts], entries
+    return library_encoder(path), entries
+
+
+def library_encoder(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task on each core
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings in a text are then ordinary text
-    to = _byte_of()
-    entries = [b""] * tokenizer.get_vocab_size()
-    for entry, i in tokenizer.get_vocab().items():
-        entries[i] = bytes(to[c] for c in entry) if all(c in to for c in entry) else entry.encode()
-    return lambda texts: [e.ids for e in tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)], entries
+    return lambda texts: [e.ids for e in tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)]
 
 
 def piece_vocabulary(path: str):
