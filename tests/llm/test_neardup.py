@@ -99,3 +99,12 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, 3), (3, 5), (7, 7), (9, 5), (200, 160), (None, 4)] + [(1000, i) for i in range(1001, 1050)]
     got = {r.id: r.component for r in components(spark, spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, 200: 100, 3: 3, 5: 3, 9: 3, **{i: 1000 for i in range(1000, 1050)}}
+
+
+def test_words_that_agree_modulo_a_power_of_two(spark):
+    """The Thue-Morse word and its complement have equal polynomial hashes modulo 2**64, whatever the base."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"one {a} two three four"), (2, f"one {b} two three four")]
+    got = near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 2)]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 from weft.session import checkpoint_dir
@@ -25,6 +27,26 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Sent:
+    """A value sent once to every executor, its classes included: a plain broadcast names classes of this library, which
+    executors need not have."""
+
+    def __init__(self, spark: SparkSession, value):
+        self._held, self._value = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None
+
+    @property
+    def value(self):
+        if self._value is None:
+            self._value = pickle.loads(self._held.value)
+        return self._value
+
+    def __getstate__(self):
+        return {"_held": self._held, "_value": None}
+
+    def unpersist(self) -> None:
+        self._held.unpersist()
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -91,16 +113,40 @@ def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     return mix((prefix[end] - prefix[start]) * powers(len(prefix))[1][start] + (end - start).astype(np.uint64))
 
 
-def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of packed texts, A-Z lower-cased: (64-bit hash, text's number, start byte, end byte).
+#: Prime moduli and bases of word hashes: two residues of 31 bits, so that products fit in 64 bits. (Modulo 2**64, words made
+#: by doubling, such as the Thue-Morse word, agree whatever the base.)
+_PRIMES = ((2147483647, 1654615998), (2147483629, 1097412857))
+_residues = [np.ones((2, 1), np.uint64) for _ in _PRIMES]
+
+
+def _residue_powers(n: int) -> list[np.ndarray]:
+    """For each prime the first n powers of the base and of its inverse (kept between calls), by doubling."""
+    for k, (p, base) in enumerate(_PRIMES):
+        while _residues[k].shape[1] < n:
+            have = _residues[k].shape[1]
+            step = np.array([[pow(base, have, p)], [pow(base, -have, p)]], np.uint64)
+            _residues[k] = np.concatenate([_residues[k], _residues[k] * step % np.uint64(p)], axis=1)
+    return _residues
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes: polynomials modulo two primes, mixed with the length."""
+    out = (end - start).astype(np.uint64)
+    for (p, _), power in zip(_PRIMES, _residue_powers(len(data) + 1)):
+        p = np.uint64(p)
+        prefix = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[0, : len(data)] % p, dtype=np.uint64, out=prefix[1:])
+        out = mix(out) + (prefix[end] - prefix[start]) % p * power[1, start] % p
+    return mix(out)
+
 
-    between: which bytes part words; by default a word is ``[^\\x20\\x09-\\x0D]+``.
-    """
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of packed texts, A-Z lower-cased: (64-bit hash, text's number, start byte, end byte)."""
     n = len(data)
     if n == 0:
         z = np.zeros(0, np.int64)
         return z.astype(np.uint64), z, z, z
-    space = between[data]
+    space = _SPACE[data]
     before, after = np.empty(n, bool), np.empty(n, bool)
     before[0], after[-1] = True, True
     before[1:], after[:-1] = space[:-1], space[1:]
@@ -109,7 +155,7 @@ def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -
     after[cut[cut > 0] - 1] = True
     start, end = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
     doc = np.searchsorted(offsets, start, side="right") - 1
-    return span_hashes(prefix_hashes(_LOWER[data]), start, end), doc, start, end
+    return word_hashes(_LOWER[data], start, end), doc, start, end
 
 
 def shingles(word: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import Sent, table, written
 
 #: Most rows and bytes of the sample from which centroids are fitted; queries by which the number of lists to look into is chosen.
 SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_QUERIES = 20_000, 16 << 20, 100
@@ -272,7 +272,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int
     lists = max(1, min(lists or round(n ** 0.5), max(1, len(sample) // 16)))
     # a hair more than the longest, so that rounding leaves the added component real
     longest *= 1 + 1e-9
-    space = spark.sparkContext.broadcast(Space(dim, longest, sample, lists))
+    space = Sent(spark, Space(dim, longest, sample, lists))
     index = written(spark, distinct.mapInArrow(_indexed(space), "list int, ids array<long>, h1 long, v array<double>, place array<float>"), "index")
     sizes = index.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     queried = written(spark, asked.groupBy("h1", "h2").agg(F.min("v").alias("v"), F.count("*").alias("times")), "queried")
