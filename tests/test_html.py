@@ -1,5 +1,7 @@
 """HTML extraction: small hand-written golden pages."""
 
+from weft.functions import markup
+from weft.functions.text import decode_entities
 from weft.operators import html as H
 
 SMALL = """<html><head><title>Harbour log</title></head><body><h1>Arrivals</h1><p>Two ships came in.</p>
@@ -49,9 +51,80 @@ def test_odd_markup(spark):
 
 
 def test_many_attributes_take_one_pass(spark):
+    d = _doc(spark, "<body><a " + "x y " * 5000 + ">no</a><a " + "b='c' " * 5000 + "href=z>yes</a>")
+    assert [(a["href"], a["text"]) for a in d.links] == [("z", "yes")]
+
+
+# (page, tokens as (kind, tag, text), raw text, paragraphs)
+RAW_STATES = [
+    ("<p>a</p><script>x = '<p>no</p>'", [("open", "p", None), ("text", None, "a"), ("close", "p", None), ("script", None, None)], "a", ["a"]),
+    ("<p>a</p><script>1</script ><p>b", None, "ab", ["a", "b"]),
+    ("<p>a<!-- <p>no", [("open", "p", None), ("text", None, "a"), ("comment", None, None)], "a", ["a"]),
+    ("<p>a<!--> b<!--x--!> c<!---> d", None, "a b c d", ["a b c d"]),
+    ("<body><textarea><p>x &amp; y</p></textarea>z", [("open", "body", None), ("textarea", "textarea", "<p>x & y</p>"), ("text", None, "z")], "<p>x & y</p>z", []),
+    ("<body><textarea>open <p>end", None, "open <p>end", []),
+    ("<title>A &lt;b&gt; <p></title><p>t", [("title", None, None), ("open", "p", None), ("text", None, "t")], "t", ["t"]),
+    ("<body><p>k<iframe><p>in &amp; out</p></iframe>m", [("open", "body", None), ("open", "p", None), ("text", None, "k"), ("raw", "iframe", "<p>in &amp; out</p>"), ("text", None, "m")],
+     "k<p>in &amp; out</p>m", ["k<p>in &amp; out</p>m"]),
+    ("<p>a<xmp><p>x</xmp>b", None, "a<p>xb", ["a"]),
+    ("<noembed><a href=x>no</a></noembed><noframes><p>n</p></noframes>", [("raw", "noembed", "<a href=x>no</a>"), ("raw", "noframes", "<p>n</p>")], "<a href=x>no</a><p>n</p>", []),
+    ("<p>a<plaintext><p>b</plaintext>", [("open", "p", None), ("text", None, "a"), ("raw", "plaintext", "<p>b</plaintext>")], "a<p>b</plaintext>", ["a"]),
+    ("<style>p{}</styles><p>x</p></style><p>y", None, "y", ["y"]),
+    ("<p>a</ p><p>b<p title='>'>c<p class=\"x", None, "abc", ["a", "b", "c"]),
+    ("<p title=a\"b>q</p><p =x>r</p>1 < 2", None, "qr1 < 2", ["q", "r"]),
+    ("<scripty><p>s</scripty>", None, "s", ["s"]),
+    ("<SCRIPT SRC='a>b'>x</Script><P>t</P>", None, "t", ["t"]),
+    ("", [], "", []),
+]
+
+
+def test_raw_text_states(spark):
+    pages = spark.createDataFrame([(i, html) for i, (html, *_) in enumerate(RAW_STATES)], "page_id long, html string")
+    docs, seen = {r.page_id: r for r in H.documents(pages).collect()}, {}
+    for r in sorted(H.html_tokens(pages).collect(), key=lambda r: (r.page_id, r.pos)):
+        seen.setdefault(r.page_id, []).append((r.kind, r.tag, r.text))
+    titles = {r.page_id: r.title for r in H.titles(pages).collect()}
+    for i, (html, tokens, raw, paragraphs) in enumerate(RAW_STATES):
+        assert (docs[i].raw_text, [p["content"] for p in docs[i].paragraphs]) == (raw, paragraphs), html
+        got = seen.get(i, [])
+        assert tokens is None or got == tokens, (html, got)
+        assert len(got) == sum(1 for _ in markup._TOKEN.finditer(html))  # Spark's tokens are those that the fold sees
+        assert titles[i] == docs[i].title
+    assert docs[6].title == "A <b> <p>"
+
+
+def test_references_decode_alike(spark):
+    texts = ["&amp;&lt;x&gt; &copy;&copy &copyz &reg=1 &notit; &#65;&#x41;&#X41 &#0;&#128;&#159;&#xD800;&#x110000;&#99999999999; & &; &unknown; &hellip;", "none", "&", "&#;", "&#x;"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for attribute in (False, True):
+        got = [r[0] for r in df.select(decode_entities(df.t, attribute)).collect()]
+        assert got == [markup.decoded(t, attribute) for t in texts]
+
+
+def test_no_shuffle_and_only_the_work_asked_for(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for df in (H.documents(pages), H.html_tokens(pages), H.raw_text(pages), H.lists(pages), H.anchors(pages), H.html_elements(pages), H.titles(pages)):
+        assert "Exchange" not in plan(df) and "Window" not in plan(df)
+    assert not any("EvalPython" in plan(df) for df in (H.titles(pages), H.html_tokens(pages)))
+    assert plan(H.documents(pages)).count("EvalPython") == 1 and plan(H.raw_text(pages)).count("EvalPython") == 1
+
+
+def test_null_pages_and_named_extractors(spark):
     from pyspark.sql import functions as F
-    df = spark.createDataFrame([("<a " + "x y " * 500 + ">",), ("<a " + "b='c' " * 500 + "href=z>",)], "t string")
-    assert [r[0] for r in df.select(H._attr(F.col("t"), "href")).collect()] == [None, "z"]
+    pages = spark.createDataFrame([(1, SMALL), (2, None), (3, "<p>x")], "page_id long, html string")
+    words = lambda t: t.filter("kind = 'text'").groupBy("page_id").agg(F.sum(F.size(F.split("text", " "))).alias("words"))
+    links = lambda t: t.filter("tag = 'a' and kind = 'open'").groupBy("page_id").agg(F.count("*").alias("n"), F.min("tok").alias("first"))
+    got = {r.page_id: r for r in H.documents(pages, extractors={"words": words, "links_seen": links}).collect()}
+    assert got[1].words.words == 11 and got[1].links_seen.n == 1 and got[1].links_seen.first.startswith("<a href")
+    assert got[3].words.words == 1 and got[3].links_seen is None and got[2].words is None
+    assert got[2].raw_text == "" and got[2].title is None
+
+
+def test_very_large_page(spark):
+    html = "<body>" + "<ul><li>a" * 2000 + "<p>b</p>" * 20000 + "<table>" + "<tr><td>x</td><td>y</td></tr>" * 5000
+    d = _doc(spark, html)
+    assert len(d.lists) == 2000 and len(d.paragraphs) == 20000 and len(d.tables[0]["rows"]) == 5000
 
 
 def test_golden_page(spark):

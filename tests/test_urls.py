@@ -28,6 +28,47 @@ CASES = [
     ("../b/./c", "http://h.com/a/x/y", False, "http://h.com/a/b/c"),
     ("http://exa mple.com", None, False, None),
     ("http://a.com:99999/", None, False, None),
+    # escapes decode one by one
+    ("http://x.com/?a=%C3%BC%zz", None, True, "http://x.com?a=%C3%BC%25zz"),
+    ("http://x.com/?b=1%&a=%2", None, True, "http://x.com?a=%252&b=1%25"),
+    ("http://x.com/?a=%FF+b", None, True, "http://x.com?a=%EF%BF%BD+b"),
+    # a special scheme before a relative reference of the same scheme
+    ("https:foo", "https://a.com/d/x", True, "https://a.com/d/foo"),
+    ("https:/foo", "https://a.com/d/x", True, "https://a.com/foo"),
+    ("https://foo", "https://a.com/d/x", True, "https://foo"),
+    ("http:foo", "https://a.com/d/x", True, "http://foo"),
+    ("https:", "https://a.com/d/x", False, "https://a.com/d/x"),
+    ("https:?q=1", "https://a.com/d/x", False, "https://a.com/d/x?q=1"),
+    # hosts
+    ("https://münchen.de/", None, True, "https://xn--mnchen-3ya.de"),
+    ("https://MÜNCHEN.de/", None, True, "https://xn--mnchen-3ya.de"),
+    ("https://例え.テスト/a", None, True, "https://xn--r8jz45g.xn--zckzah/a"),
+    ("https://faß.de/", None, True, "https://xn--fa-hia.de"),
+    ("https://bücher。ｅｘａｍｐｌｅ/", None, True, "https://xn--bcher-kva.example"),
+    ("https://☃.net/", None, True, "https://xn--n3h.net"),
+    ("https://a%2ecom/", None, True, "https://a.com"),
+    ("https://m%C3%BCnchen.de/", None, True, "https://xn--mnchen-3ya.de"),
+    ("https://a%zz.com/", None, False, None),
+    ("https://a%2fb.com/", None, False, None),
+    ("https://a%ff.com/", None, False, None),
+    ("http://0x7f.1/", None, True, "http://127.0.0.1"),
+    ("http://127.1/", None, True, "http://127.0.0.1"),
+    ("http://2130706433/", None, True, "http://127.0.0.1"),
+    ("http://0300.0250.1/", None, True, "http://192.168.0.1"),
+    ("http://1.2.3.4./", None, True, "http://1.2.3.4"),
+    ("http://256.1.1.1/", None, False, None),
+    ("http://1.2.3.4.5/", None, False, None),
+    ("http://09.1/", None, False, None),
+    ("http://4294967296/", None, False, None),
+    ("http://a.0x/", None, False, None),
+    ("http://1.2.3.com/", None, True, "http://1.2.3.com"),
+    ("http://[::1]:80/x", None, True, "http://[::1]/x"),
+    ("http://a..b/", None, True, "http://a..b"),
+    ("//b.com/x", "https://a.com/", False, "https://b.com/x"),
+    ("#f", "mailto:a@b.c", False, "mailto:a@b.c#f"),
+    ("x", "mailto:a@b.c", False, None),
+    (None, "https://a.com/", False, None),
+    ("http://a.com/" + "x/" * 3000 + "..", None, True, "http://a.com/" + "x/" * 2998 + "x"),
 ]
 
 
@@ -35,6 +76,8 @@ def test_canonical_and_validity(spark):
     df = spark.createDataFrame([(u, b) for u, b, _, _ in CASES], "url string, base string")
     df = U.with_validity(df, "url", "valid")
     df = U.with_canonical(df, "url", "base", "canon")
+    known = U.with_known_canonical(df.select("url", "base"), "url", "base", "canon")
+    assert sorted(r.canon for r in known.collect()) == sorted(c for _, _, _, c in CASES if c is not None)
     got = {(r.url, r.base): (r.valid, r.canon) for r in df.collect()}
     for u, b, valid, canon in CASES:
         assert got[(u, b)] == (valid, canon), (u, b, got[(u, b)])
@@ -47,3 +90,15 @@ def test_canonical_is_idempotent_except_stacked_www(spark):
     rows = twice.collect()
     assert rows[0].c1 == rows[0].c2 and rows[1].c1 == rows[1].c2
     assert rows[2].c1 == "http://www.a.com/x" and rows[2].c2 == "http://a.com/x"
+
+
+def test_punycode_against_the_codec(spark):
+    labels = ["ü", "bücher", "ελληνικά", "中国", "日本語ドメイン", "a中b国c", "😀x", "ñandú-café", "ل" * 20, "zzü" * 15]
+    df = spark.createDataFrame([(x,) for x in labels], "x string")
+    assert [r[0] for r in df.select(U.punycode(df.x)).collect()] == [x.encode("punycode").decode() for x in labels]
+
+
+def test_one_plan_copy(spark):
+    df = spark.createDataFrame([("a", "b")], "u string, b string")
+    plan = U.with_canonical(df, "u", "b", "c")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 100_000, len(plan)

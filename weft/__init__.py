@@ -6,6 +6,13 @@ graph, a depth-bounded frontier, page upserts, and crawl/queue statistics in
 batch and with Structured Streaming.
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 from weft.session import get_spark, checkpoint_dir
 
+# functions that run inside tasks are shipped with the job: executors need no copy of the library
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = ["get_spark", "checkpoint_dir"]

@@ -8,6 +8,8 @@ from html.entities import html5 as _html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weft.functions.markup import C1 as _C1
+
 # The JavaScript \s class (ASCII whitespace, NBSP, Ogham space,
 # U+2000-U+200A, line/paragraph separators, narrow NBSP, math space,
 # ideographic space, BOM).
@@ -30,9 +32,6 @@ _LEGACY_JSON = json.dumps(_LEGACY)
 COMMON_ENTITIES = [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
                    ("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7")]
 
-# What numeric references from 128 to 159 stand for (Windows-1252; unassigned ones stay).
-_C1 = "\u20ac\x81\u201a\u0192\u201e\u2026\u2020\u2021\u02c6\u2030\u0160\u2039\u0152\x8d\u017d\x8f\x90\u2018\u2019\u201c\u201d\u2022\u2013\u2014\u02dc\u2122\u0161\u203a\u0153\x9d\u017e\u0178"
-
 # A reference (with a following '=', which matters in attributes), a bare '&', or a run of other characters.
 _RUNS = r"&(?:#[xX][0-9a-fA-F]++;?|#[0-9]++;?|[A-Za-z][A-Za-z0-9]*+[;=]?)|&|[^&]+"
 

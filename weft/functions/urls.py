@@ -1,22 +1,21 @@
 """URL parsing, resolution and canonicalisation as native Spark expressions.
 
 Everything here builds ``Column`` expressions (regexes, string and higher-order
-array functions), so it runs inside the JVM and whole-stage code generation;
-no Python runs per row.
+array functions), so it runs inside the JVM; no Python runs per row.
 
 The parse follows the WHATWG URL standard closely enough for crawl data:
 scheme, authority (userinfo, host, port), path with dot segments resolved and
-percent-encoding applied, query and fragment. Known gaps (documented in the
-README): IDNA/punycode for non-ASCII hosts (kept lower-cased), IPv4 short
-forms (``0x7f.1``), percent-escapes inside hosts (rejected).
-
-DataFrame-level helpers (``with_url_parts`` and friends) add the parts as
-columns one step at a time, so large expressions are computed once per row
-instead of being inlined wherever they are used.
+percent-encoding applied, query and fragment; hosts of special schemes are
+percent-decoded, mapped and Punycode-encoded, and IPv4 numbers in any form are
+normalised. A URL is one struct-valued expression (``parsed``): each stage is
+bound to a name (``let``) and referenced by it, so no stage's expression is
+copied into the next, and a URL can be parsed inside any other expression.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,14 +29,23 @@ PATH_SAFE = r"!$-;=@-_a-z|~%"          # path set: encodes space " # < > ? ` { }
 QUERY_SAFE = r"!$-&(-;=?-~%"           # special-query set: encodes space " # < > ' and non-ASCII
 FRAGMENT_SAFE = r"!#-;=?-_a-~%"         # fragment set: encodes space " < > ` and non-ASCII
 
-# Hosts may not contain these (WHATWG forbidden domain code points, plus '%').
-FORBIDDEN_HOST = r"[\x00-\x20#%/:<>?@\[\\\]^|\x7f]"
+# Hosts may not contain these (WHATWG forbidden domain code points, plus '%' and the sign of broken UTF-8).
+FORBIDDEN_HOST = r"[\x00-\x20#%/:<>?@\[\\\]^|\x7f\x{FFFD}]"
+
+# What host names are mapped by beside lower case: other full stops, and full-width ASCII.
+_HOST_FROM = "\u3002\uff0e\uff61" + "".join(chr(0xFEE0 + c) for c in range(0x21, 0x7F) if c != 0x2E)
+_HOST_TO = "..." + "".join(chr(c) for c in range(0x21, 0x7F) if c != 0x2E)
 
 SCHEME_RE = r"^([a-zA-Z][a-zA-Z0-9+.\-]*):"
 
 
-def _lit(x):
-    return x if isinstance(x, Column) else F.lit(x)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body refers to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _fields(**columns: Column) -> Column:
+    return F.struct(*(c.alias(name) for name, c in columns.items()))
 
 
 def clean_input(c: Column) -> Column:
@@ -85,183 +93,201 @@ def _split_tail(s: Column):
     pre = F.regexp_extract(s, r"^[^?#]*", 0)
     has_q = F.regexp_extract(s, r"^[^#]*", 0).contains("?")
     query = F.when(has_q, F.regexp_extract(s, r"^[^?#]*\?([^#]*)", 1))
-    frag = F.when(s.contains("#"), F.regexp_extract(s, r"^[^#]*#(.*)$", 1))
+    frag = F.when(s.contains("#"), F.regexp_extract(s, r"(?s)^[^#]*#(.*)$", 1))
     return pre, query, frag
 
 
-def with_url_parts(df: DataFrame, url: str, base: str | Column | None = None, prefix: str = "_u") -> DataFrame:
-    """Add the parsed parts of ``url`` (resolved against ``base``) as columns.
+# ---- hosts ---------------------------------------------------------------------------------------
+
+_DIGITS = "abcdefghijklmnopqrstuvwxyz0123456789"
+# Parameters of Punycode (RFC 3492): base, smallest and largest threshold, skew, damping, first bias, first code point.
+_BASE, _TMIN, _TMAX, _SKEW, _DAMP, _BIAS, _FIRST = 36, 1, 26, 38, 700, 72, 128
+
 
-    Columns: ``{prefix}_ok`` (parses), ``_scheme``, ``_special``, ``_user``,
-    ``_host``, ``_port`` (normalised, default dropped, '' if none),
-    ``_hasauth``, ``_opaque``, ``_path``, ``_query`` (NULL if none),
-    ``_frag`` (NULL if none).
+def _div(a: Column, b: Column | int) -> Column:
+    return F.call_function("div", a, b if isinstance(b, Column) else F.lit(b))
+
+
+def punycode(label: Column) -> Column:
+    """RFC 3492 encoding of one label, without its prefix.
+
+    The characters beyond ASCII are taken by (code point, place); each one's distance from the one before, in steps over all
+    places and code points, is written as a number of variable length.
     """
-    p = prefix
-    cols: dict[str, Column] = {}
-    s = clean_input(F.col(url))
-    df = df.withColumn(f"{p}_s", s)
-    s = F.col(f"{p}_s")
-    scheme_h = F.lower(F.regexp_extract(s, SCHEME_RE, 1))
-    df = df.withColumn(f"{p}_hs", scheme_h)
-    hs = F.col(f"{p}_hs")
-    absolute = hs != ""
-
-    if base is not None:
-        bdf_cols = F.col(base) if isinstance(base, str) else base
-        df = df.withColumn(f"{p}_bsrc", bdf_cols)
-        df = with_url_parts(df, f"{p}_bsrc", None, prefix=f"{p}_b")
-        b = f"{p}_b"
-        b_ok = F.col(f"{b}_ok")
-        b_special = F.col(f"{b}_special")
-    else:
-        b = None
-        b_ok = F.lit(False)
-        b_special = F.lit(False)
-
-    scheme = F.when(absolute, hs).otherwise(F.col(f"{b}_scheme") if b else F.lit(None))
-    special = scheme.isin(*SPECIAL_SCHEMES)
-    df = df.withColumns({f"{p}_scheme": scheme, f"{p}_special": special})
-    scheme = F.col(f"{p}_scheme")
-    special = F.col(f"{p}_special")
-
-    # Everything after "scheme:" for absolute input; the whole input for relative input.
-    rest = F.when(absolute, F.substring(s, F.length(hs) + 2, 1 << 30)).otherwise(s)
-    df = df.withColumn(f"{p}_rest", rest)
-    rest = F.col(f"{p}_rest")
-    pre, query, frag = _split_tail(rest)
-    pre = F.when(special, F.regexp_replace(pre, r"\\", "/")).otherwise(pre)
-    df = df.withColumns({f"{p}_pre": pre, f"{p}_q0": query, f"{p}_f0": frag})
-    pre = F.col(f"{p}_pre")
-    query, frag = F.col(f"{p}_q0"), F.col(f"{p}_f0")
-
-    # Where does the authority come from?
-    #   absolute special: after any run of slashes; absolute non-special: only after '//'
-    #   relative: '//' gives a new authority, anything else keeps the base one.
-    abs_auth = F.when(special, F.lit(True)).otherwise(pre.startswith("//"))
-    rel_auth = pre.startswith("//")
-    has_new_auth = F.when(absolute, abs_auth).otherwise(rel_auth)
-    stripped = F.when(special, F.regexp_replace(pre, r"^/*", "")).otherwise(F.regexp_replace(pre, r"^//", ""))
-    new_auth = F.regexp_extract(stripped, r"^[^/]*", 0)
-    new_path_after_auth = F.substring(stripped, F.length(new_auth) + 1, 1 << 30)
-    opaque_abs = absolute & ~special & ~pre.startswith("/")
-    df = df.withColumns({
-        f"{p}_newauth": F.when(has_new_auth, new_auth),
-        f"{p}_nap": new_path_after_auth,
-        f"{p}_opaque": F.when(absolute, opaque_abs).otherwise(F.col(f"{b}_opaque") if b else F.lit(False)),
-    })
-    auth_src = F.col(f"{p}_newauth")
-
-    # Userinfo / host / port from the new authority.
-    userinfo = F.regexp_extract(auth_src, r"^(.*)@", 1)
-    hostport = F.regexp_replace(auth_src, r"^.*@", "")
-    host = F.when(hostport.startswith("["), F.regexp_extract(hostport, r"^\[[^\]]*\]", 0)).otherwise(
-        F.regexp_extract(hostport, r"^[^:]*", 0))
-    port_part = F.substring(hostport, F.length(host) + 1, 1 << 30)
-    df = df.withColumns({f"{p}_nuser": userinfo, f"{p}_nhost": F.lower(host), f"{p}_nport": port_part})
-    nport = F.col(f"{p}_nport")
-    nhost = F.col(f"{p}_nhost")
-    port_digits = F.regexp_replace(nport, r"^:", "")
-    port_ok = (nport == "") | (nport.rlike(r"^:[0-9]*$") & ((port_digits == "") | (F.length(F.regexp_replace(port_digits, "^0+", "")) <= 5)))
-    port_num = F.when(port_digits != "", F.regexp_replace(port_digits, "^0+(?=.)", ""))
-    port_ok = port_ok & (F.coalesce(port_num.cast("long"), F.lit(0)) <= 65535)
-    default = F.lit(None).cast("string")
-    for sch, prt in DEFAULT_PORTS.items():
-        default = F.when(scheme == sch, F.lit(prt)).otherwise(default)
-    port_norm = F.when(port_num.isNull() | (port_num == default), F.lit("")).otherwise(port_num)
-    host_ok = F.when(special & (scheme != "file"), nhost != "").otherwise(F.lit(True))
-    host_ok = host_ok & F.when(nhost.startswith("["), nhost.rlike(r"^\[[0-9a-f:.]+\]$")).otherwise(
-        ~nhost.rlike(FORBIDDEN_HOST))
-    new_auth_ok = port_ok & host_ok
-    df = df.withColumns({f"{p}_nportn": port_norm, f"{p}_nauthok": new_auth_ok})
-
-    use_new = auth_src.isNotNull()
-    if b:
-        user = F.when(use_new, F.col(f"{p}_nuser")).otherwise(F.col(f"{b}_user"))
-        hostc = F.when(use_new, nhost).otherwise(F.col(f"{b}_host"))
-        portc = F.when(use_new, F.col(f"{p}_nportn")).otherwise(F.col(f"{b}_port"))
-        hasauth = F.when(absolute, use_new).otherwise(use_new | F.col(f"{b}_hasauth"))
-    else:
-        user = F.when(use_new, F.col(f"{p}_nuser")).otherwise(F.lit(""))
-        hostc = F.when(use_new, nhost).otherwise(F.lit(""))
-        portc = F.when(use_new, F.col(f"{p}_nportn")).otherwise(F.lit(""))
-        hasauth = use_new
-
-    # Path selection.
-    abs_path = F.when(use_new, F.col(f"{p}_nap")).otherwise(pre)
-    if b:
-        bpath = F.col(f"{b}_path")
-        merged = F.concat(F.regexp_replace(bpath, r"[^/]*$", ""), pre)
-        rel_path = (
-            F.when(use_new, F.col(f"{p}_nap"))
-            .when(pre.startswith("/"), pre)
-            .when(pre == "", bpath)
-            .otherwise(merged)
-        )
-        path_raw = F.when(absolute, abs_path).otherwise(rel_path)
-        # Empty relative reference keeps the base query; '#f' keeps it too.
-        rel_query = F.when(use_new | (pre != "") | query.isNotNull(), query).otherwise(F.col(f"{b}_query"))
-        q = F.when(absolute, query).otherwise(rel_query)
-    else:
-        path_raw = abs_path
-        q = query
-    df = df.withColumns({
-        f"{p}_user": user, f"{p}_host": hostc, f"{p}_port": portc, f"{p}_hasauth": hasauth,
-        f"{p}_praw": path_raw, f"{p}_query": q,
-    })
-    opaque = F.col(f"{p}_opaque")
-    praw = F.col(f"{p}_praw")
-    # Each path stage is its own column so no stage's expression is copied into the next.
-    hier = F.when(special & (praw == ""), F.lit("/")).when(
-        ~praw.startswith("/") & (praw != ""), F.concat(F.lit("/"), praw)).otherwise(praw)
-    df = df.withColumn(f"{p}_hier", hier)
-    hier = F.col(f"{p}_hier")
-    df = df.withColumn(f"{p}_dots", F.when(opaque | (hier == ""), hier).otherwise(remove_dot_segments(hier)))
-    df = df.withColumn(f"{p}_pathx", F.when(opaque, praw).otherwise(pct_encode(F.col(f"{p}_dots"), PATH_SAFE)))
-    path = F.col(f"{p}_pathx")
-    ok = F.when(absolute, F.col(f"{p}_nauthok") | ~use_new).otherwise(
-        b_ok & ~F.coalesce(F.col(f"{b}_opaque") if b else F.lit(True), F.lit(True))
-        & (F.col(f"{p}_nauthok") | ~use_new))
-    # Fragment-only reference against an opaque base is allowed.
-    if b:
-        frag_only = ~absolute & (pre == "") & query.isNull() & frag.isNotNull()
-        ok = ok | (frag_only & b_ok)
-    ok = ok & s.isNotNull()
-    df = df.withColumns({
-        f"{p}_path": path,
-        f"{p}_query": F.when(F.col(f"{p}_query").isNotNull(), pct_encode(F.col(f"{p}_query"), QUERY_SAFE)),
-        f"{p}_frag": F.when(frag.isNotNull(), pct_encode(frag, FRAGMENT_SAFE)),
-        f"{p}_ok": F.coalesce(ok, F.lit(False)),
-    })
-    drop = [f"{p}_{x}" for x in ("s", "hs", "rest", "pre", "q0", "f0", "newauth", "nap", "nuser", "nhost", "nport",
-                                  "nportn", "nauthok", "praw", "bsrc", "hier", "dots", "pathx")]
-    df = df.drop(*drop)
-    if b:
-        df = df.drop(*[c for c in df.columns if c.startswith(f"{b}_")])
-    return df
-
-
-def serialize(p: str, drop_userinfo: bool = False) -> Column:
-    """WHATWG serialisation of parts added by ``with_url_parts`` (NULL if not ok)."""
-    user = F.col(f"{p}_user")
-    auth = F.concat(
-        F.lit("//"),
-        F.when((user != "") & F.lit(not drop_userinfo), F.concat(F.regexp_replace(user, ":$", ""), F.lit("@"))).otherwise(F.lit("")),
-        F.col(f"{p}_host"),
-        F.when(F.col(f"{p}_port") != "", F.concat(F.lit(":"), F.col(f"{p}_port"))).otherwise(F.lit("")),
-    )
-    out = F.concat(
-        F.col(f"{p}_scheme"), F.lit(":"),
-        F.when(F.col(f"{p}_hasauth"), auth).otherwise(F.lit("")),
-        F.col(f"{p}_path"),
-        F.when(F.col(f"{p}_query").isNotNull(), F.concat(F.lit("?"), F.col(f"{p}_query"))).otherwise(F.lit("")),
-        F.when(F.col(f"{p}_frag").isNotNull(), F.concat(F.lit("#"), F.col(f"{p}_frag"))).otherwise(F.lit("")),
-    )
-    return F.when(F.col(f"{p}_ok"), out)
+    def encode(chars: Column) -> Column:
+        beyond = F.array_sort(F.filter(chars, lambda x: x["c"] >= _FIRST))
+        basic = F.array_join(F.transform(F.filter(chars, lambda x: x["c"] < _FIRST), lambda x: x["s"]), "")
+        start = _fields(n=F.lit(_FIRST).cast("bigint"), i=F.lit(0).cast("bigint"), bias=F.lit(_BIAS).cast("bigint"),
+                        h=F.length(basic).cast("bigint"), out=F.lit(""), first=F.lit(True))
+
+        def digits(delta: Column, bias: Column) -> Column:
+            def step(acc: Column, k: Column) -> Column:
+                t = F.greatest(F.lit(_TMIN).cast("bigint"), F.least(F.lit(_TMAX).cast("bigint"), k * _BASE - bias))
+                last = acc["q"] < t
+                digit = F.when(last, acc["q"]).otherwise(t + F.pmod(acc["q"] - t, F.lit(_BASE) - t))
+                return F.when(acc["done"], acc).otherwise(_fields(q=F.when(last, F.lit(0).cast("bigint")).otherwise(_div(acc["q"] - t, F.lit(_BASE) - t)),
+                                                                  out=F.concat(acc["out"], F.substring(F.lit(_DIGITS), (digit + 1).cast("int"), F.lit(1))), done=last))
+
+            return F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.lit(12).cast("bigint")), _fields(q=delta, out=F.lit(""), done=F.lit(False)), step, lambda acc: acc["out"])
+
+        def adapted(delta: Column, first: Column, points: Column) -> Column:
+            most = (_BASE - _TMIN) * _TMAX // 2
+            d = F.when(first, _div(delta, _DAMP)).otherwise(_div(delta, 2))
+            return F.aggregate(F.sequence(F.lit(1), F.lit(12)), _fields(d=d + _div(d, points), k=F.lit(0).cast("bigint")),
+                               lambda acc, _: F.when(acc["d"] > most, _fields(d=_div(acc["d"], _BASE - _TMIN), k=acc["k"] + _BASE)).otherwise(acc),
+                               lambda acc: acc["k"] + _div(acc["d"] * (_BASE - _TMIN + 1), acc["d"] + _SKEW))
+
+        def step(acc: Column, e: Column) -> Column:
+            place = F.size(F.filter(chars, lambda x: (x["at"] < e["at"]) & (x["c"] <= e["c"]))).cast("bigint")
+            return let(_fields(place=place, delta=(e["c"] - acc["n"]) * (acc["h"] + 1) + place - acc["i"]), lambda v: _fields(
+                n=e["c"], i=v["place"] + 1, bias=adapted(v["delta"], acc["first"], acc["h"] + 1), h=acc["h"] + 1,
+                out=F.concat(acc["out"], digits(v["delta"], acc["bias"])), first=F.lit(False)))
+
+        return F.concat(basic, F.when(basic != "", F.lit("-")).otherwise(F.lit("")), F.aggregate(beyond, start, step, lambda acc: acc["out"]))
+
+    chars = F.transform(F.regexp_extract_all(label, F.lit("(?s)."), F.lit(0)), lambda s, i: _fields(c=F.ascii(s).cast("bigint"), at=i, s=s))
+    return let(chars, encode)
+
+
+def _ipv4(host: Column) -> Column:
+    """A host whose last label is a number, as dotted decimals; NULL if it is no IPv4 address."""
+    def number(x: Column) -> Column:
+        hexadecimal, octal = F.lower(x).startswith("0x"), x.startswith("0") & (F.length(x) > 1)
+        digits = F.regexp_replace(F.when(hexadecimal, F.substring(x, 3, 1 << 30)).otherwise(x), "^0+", "")
+        value = (F.when(hexadecimal, F.when(digits.rlike("^[0-9a-f]{0,8}$"), F.conv(F.concat(F.lit("0"), digits), 16, 10)))
+                 .when(octal, F.when(digits.rlike("^[0-7]{0,11}$"), F.conv(F.concat(F.lit("0"), digits), 8, 10)))
+                 .when(x.rlike("^[0-9]+$") & (F.length(digits) <= 10), F.concat(F.lit("0"), digits)))
+        return value.cast("bigint")
+
+    def address(n: Column) -> Column:
+        size, last = F.size(n), F.element_at(n, -1)
+        fits = (size <= 4) & F.forall(n, lambda x: x.isNotNull()) & F.forall(F.slice(n, 1, F.greatest(size - 1, F.lit(0))), lambda x: x < 256)
+        room = F.element_at(F.array(*(F.lit(1 << 8 * (5 - i)).cast("bigint") for i in range(1, 5))), F.least(size, F.lit(4)))
+        whole = F.aggregate(F.transform(F.slice(n, 1, F.greatest(size - 1, F.lit(0))), lambda x, i: F.call_function("shiftleft", x, 8 * (3 - i))), last, lambda acc, x: acc + x)
+        return F.when(fits & (last < room), let(whole, lambda w: F.concat_ws(".", *(F.call_function("shiftright", w, F.lit(8 * i)).bitwiseAND(255).cast("string") for i in (3, 2, 1, 0)))))
+
+    return let(F.transform(F.split(F.regexp_replace(host, r"\.$", ""), r"\."), number), address)
+
+
+def host_name(raw: Column, special: Column) -> Column:
+    """The host as the URL standard writes it, NULL if it is none: percent-decoded, lower-cased, labels beyond ASCII as
+    Punycode, IPv4 numbers as dotted decimals (special schemes); lower-cased only (others); IPv6 in brackets as it is."""
+    decoded = F.when(raw.contains("%"), F.when(~raw.rlike("%(?![0-9A-Fa-f]{2})"), F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))))).otherwise(raw)
+    mapped = F.lower(F.when(decoded.rlike(r"[^\x00-\x7f]"), F.translate(decoded, _HOST_FROM, _HOST_TO)).otherwise(decoded))
+
+    def ascii_labels(m: Column) -> Column:
+        label = lambda x: F.when(x.rlike(r"[^\x00-\x7f]"), F.concat(F.lit("xn--"), punycode(x))).otherwise(x)
+        broken = m.contains("\ufffd")
+        return F.when(m.rlike(r"[^\x00-\x7f]") & ~broken, F.array_join(F.transform(F.split(m, r"\."), label), ".")).otherwise(m)
+
+    def checked(a: Column) -> Column:
+        return F.when(~a.rlike(FORBIDDEN_HOST), F.when(a.rlike(r"(^|\.)([0-9]+|0x[0-9a-f]*)\.?$"), _ipv4(a)).otherwise(a))
+
+    domain = let(mapped, lambda m: let(ascii_labels(m), checked))
+    plain = F.lower(raw)
+    opaque = F.when(~plain.rlike(FORBIDDEN_HOST), plain)
+    simple = raw.rlike(r"^[A-Za-z0-9.\-_]*[A-Za-z\-_]$")  # nothing to decode, map or compute: the common case
+    return F.when(raw.startswith("["), F.when(plain.rlike(r"^\[[0-9a-f:.]+\]$"), plain)).when(simple & ~plain.rlike(r"(^|\.)0x[0-9a-f]*$"), plain).when(special, domain).otherwise(opaque)
+
+
+# ---- parsing -------------------------------------------------------------------------------------
+
+def parsed(url: Column, base: Column | None = None) -> Column:
+    """A URL as one struct, resolved against ``base`` (another such struct):
+
+    ``ok`` (it parses), ``scheme``, ``special``, ``user``, ``host``, ``port`` (normalised, default dropped, '' if none),
+    ``hasauth``, ``opaque``, ``path``, ``query`` (NULL if none), ``frag`` (NULL if none).
+    """
+    def of_base(field: str, otherwise) -> Column:
+        return F.lit(otherwise) if base is None else base[field]
+
+    def scheme(s: Column) -> Column:
+        own = F.lower(F.regexp_extract(s, SCHEME_RE, 1))
+        return let(_fields(s=s, own=own, special=own.isin(*SPECIAL_SCHEMES)), rest)
+
+    def rest(v: Column) -> Column:
+        s, own = v["s"], v["own"]
+        after = F.substring(s, F.length(own) + 2, 1 << 30)
+        # "https:foo" on an https base is relative
+        same = v["special"] & F.coalesce(of_base("ok", False) & (of_base("scheme", None) == own), F.lit(False)) & ~after.startswith("//")
+        absolute = (own != "") & ~same
+        text = F.when(own != "", after).otherwise(s)
+        name = F.when(absolute, own).otherwise(of_base("scheme", None).cast("string"))
+        special = F.coalesce(name.isin(*SPECIAL_SCHEMES), F.lit(False))
+        pre, query, frag = _split_tail(text)
+        return let(_fields(s=s, absolute=absolute, scheme=name, special=special, pre=pre, query=query, frag=frag), authority)
+
+    def authority(v: Column) -> Column:
+        special, absolute = v["special"], v["absolute"]
+        return let(F.when(special, F.regexp_replace(v["pre"], r"\\", "/")).otherwise(v["pre"]), lambda pre: let(
+            # absolute: special schemes have an authority after any slashes, others only after '//'; relative: '//' begins one
+            _fields(pre=pre, new=F.when(absolute & special, F.lit(True)).otherwise(pre.startswith("//")),
+                    stripped=F.when(special, F.regexp_replace(pre, r"^/*", "")).otherwise(F.regexp_replace(pre, r"^//", ""))),
+            lambda w: let(_fields(pre=w["pre"], new=w["new"], auth=F.regexp_extract(w["stripped"], r"^[^/]*", 0), stripped=w["stripped"]), lambda x: host(v, x))))
+
+    def host(v: Column, x: Column) -> Column:
+        hostport = F.regexp_replace(x["auth"], r"^.*@", "")
+        raw = let(hostport, lambda h: _fields(h=h, raw=F.when(h.startswith("["), F.regexp_extract(h, r"^\[[^\]]*\]", 0)).otherwise(F.regexp_extract(h, r"^[^:]*", 0))))
+        return let(raw, lambda h: let(_fields(user=F.regexp_extract(x["auth"], r"^(.*)@", 1), host=host_name(h["raw"], v["special"]), tail=F.substring(h["h"], F.length(h["raw"]) + 1, 1 << 30)),
+                                      lambda y: port(v, x, y)))
+
+    def port(v: Column, x: Column, y: Column) -> Column:
+        digits = F.regexp_replace(y["tail"], r"^:0*(?=.)|^:", "")
+        default = F.lit(None).cast("string")
+        for name, usual in DEFAULT_PORTS.items():
+            default = F.when(v["scheme"] == name, F.lit(usual)).otherwise(default)
+        fits = y["tail"].rlike(r"^(:[0-9]*)?$") & (F.length(digits) <= 5) & (F.coalesce(digits.cast("long"), F.lit(0)) <= 65535)
+        named = y["host"].isNotNull() & F.when(v["special"] & (v["scheme"] != "file"), y["host"] != "").otherwise(F.lit(True))
+        return let(_fields(ok=F.coalesce(fits, F.lit(False)) & named, port=F.when((digits == "") | F.coalesce(digits == default, F.lit(False)), F.lit("")).otherwise(digits)),
+                   lambda z: whole(v, x, y, z))
+
+    def whole(v: Column, x: Column, y: Column, z: Column) -> Column:
+        absolute, new, pre = v["absolute"], x["new"], x["pre"]
+        after = F.substring(x["stripped"], F.length(x["auth"]) + 1, 1 << 30)
+        opaque = F.when(absolute, ~v["special"] & ~pre.startswith("/")).otherwise(of_base("opaque", False))
+        if base is None:
+            path, query = F.when(new, after).otherwise(pre), v["query"]
+            relative_ok = F.lit(False)
+        else:
+            merged = F.concat(F.regexp_replace(base["path"], r"[^/]*$", ""), pre)
+            relative = F.when(new, after).when(pre.startswith("/"), pre).when(pre == "", base["path"]).otherwise(merged)
+            path = F.when(absolute, F.when(new, after).otherwise(pre)).otherwise(relative)
+            # an empty relative reference keeps the base's query, and so does '#f'
+            query = F.when(absolute | new | (pre != "") | v["query"].isNotNull(), v["query"]).otherwise(base["query"])
+            only_fragment = (pre == "") & v["query"].isNull() & v["frag"].isNotNull()
+            relative_ok = base["ok"] & ((~base["opaque"] & (z["ok"] | ~new)) | only_fragment)
+        hier = F.when(v["special"] & (path == ""), F.lit("/")).when(~path.startswith("/") & (path != ""), F.concat(F.lit("/"), path)).otherwise(path)
+        ok = F.when(absolute, z["ok"] | ~new).otherwise(relative_ok) & v["s"].isNotNull()
+        taken = lambda field, mine, none: F.when(new, mine).otherwise(of_base(field, none))
+        return let(_fields(opaque=opaque, path=path, hier=hier, query=query), lambda w: _fields(
+            ok=F.coalesce(ok, F.lit(False)), scheme=v["scheme"], special=v["special"], user=taken("user", y["user"], ""), host=taken("host", y["host"], ""),
+            port=taken("port", z["port"], ""), hasauth=F.when(absolute, new).otherwise(new | of_base("hasauth", False)), opaque=w["opaque"],
+            path=F.when(w["opaque"], w["path"]).otherwise(let(F.when(w["hier"] == "", w["hier"]).otherwise(remove_dot_segments(w["hier"])), lambda p: pct_encode(p, PATH_SAFE))),
+            query=F.when(w["query"].isNotNull(), pct_encode(w["query"], QUERY_SAFE)),
+            frag=F.when(v["frag"].isNotNull(), pct_encode(v["frag"], FRAGMENT_SAFE))))
+
+    return let(clean_input(url), scheme)
+
+
+def _tail(u: Column) -> Column:
+    return F.concat(F.when(u["query"].isNotNull(), F.concat(F.lit("?"), u["query"])).otherwise(F.lit("")),
+                    F.when(u["frag"].isNotNull(), F.concat(F.lit("#"), u["frag"])).otherwise(F.lit("")))
+
+
+def _host_port(u: Column) -> Column:
+    return F.concat(u["host"], F.when(u["port"] != "", F.concat(F.lit(":"), u["port"])).otherwise(F.lit("")))
+
+
+def serialized(u: Column) -> Column:
+    """WHATWG serialisation of a parsed URL (NULL if it did not parse)."""
+    user = F.when(u["user"] != "", F.concat(F.regexp_replace(u["user"], ":$", ""), F.lit("@"))).otherwise(F.lit(""))
+    authority = F.when(u["hasauth"], F.concat(F.lit("//"), user, _host_port(u))).otherwise(F.lit(""))
+    return F.when(u["ok"], F.concat(u["scheme"], F.lit(":"), authority, u["path"], _tail(u)))
 
 
 def _form_decode(x: Column) -> Column:
-    return F.coalesce(F.try_url_decode(x), F.replace(x, F.lit("+"), F.lit(" ")))
+    """Decoded escape by escape: a '%' before anything but two hexadecimal digits stands for itself."""
+    return F.try_url_decode(F.when(x.contains("%"), F.regexp_replace(x, "%(?![0-9A-Fa-f]{2})", "%25")).otherwise(x))
 
 
 def sorted_query(q: Column) -> Column:
@@ -284,9 +310,8 @@ def sorted_query(q: Column) -> Column:
     return F.when(F.size(pieces) > 0, text)
 
 
-def with_canonical(df: DataFrame, url: str, base: str | Column | None = None, out: str = "url_canon",
-                   prefix: str = "_c") -> DataFrame:
-    """Add ``out``: canonical form of ``url`` (resolved against ``base``), NULL if it does not parse.
+def canonical(u: Column) -> Column:
+    """Canonical form of a parsed URL (NULL if it did not parse).
 
     Rules: host lower-cased with one leading ``www.`` removed; default port
     dropped; non-empty query re-serialised with pairs sorted; path
@@ -295,50 +320,58 @@ def with_canonical(df: DataFrame, url: str, base: str | Column | None = None, ou
     ``scheme://host[:port]`` + query + fragment (userinfo dropped).
     Opaque URLs (``mailto:``) keep their path.
     """
-    p = prefix
-    df = with_url_parts(df, url, base, prefix=p)
-    opaque = F.col(f"{p}_opaque")
-    host = F.col(f"{p}_host")
-    q = F.col(f"{p}_query")
-    path = F.col(f"{p}_path")
-    lowered = F.regexp_replace(F.lower(path), "/{2,}", "/")
-    trimmed = F.when((lowered != "/") & lowered.endswith("/"), F.expr("substring(_lp, 1, length(_lp) - 1)".replace("_lp", f"{p}_lp")))
-    df = df.withColumns({
-        f"{p}_host": F.when(opaque, host).otherwise(F.regexp_replace(host, r"^www\.", "")),
-        f"{p}_query": F.when(q.isNotNull() & (q != ""), sorted_query(q)).otherwise(q),
-        f"{p}_lp": F.when(opaque, path).otherwise(lowered),
-    })
-    df = df.withColumn(f"{p}_path", F.when(opaque, F.col(f"{p}_lp")).otherwise(F.coalesce(trimmed, F.col(f"{p}_lp"))))
-    root = F.when(F.col(f"{p}_ok"), F.concat(
-        F.col(f"{p}_scheme"), F.lit("://"), host_port(p),
-        F.when(F.col(f"{p}_query").isNotNull(), F.concat(F.lit("?"), F.col(f"{p}_query"))).otherwise(F.lit("")),
-        F.when(F.col(f"{p}_frag").isNotNull(), F.concat(F.lit("#"), F.col(f"{p}_frag"))).otherwise(F.lit("")),
-    ))
-    is_root = ~opaque & (F.col(f"{p}_path") == "/") & F.col(f"{p}_hasauth")
-    df = df.withColumn(out, F.when(is_root, root).otherwise(serialize(p)))
-    return df.drop(*[c for c in df.columns if c.startswith(f"{p}_")])
-
-
-def host_port(p: str) -> Column:
-    return F.concat(
-        F.col(f"{p}_host"),
-        F.when(F.col(f"{p}_port") != "", F.concat(F.lit(":"), F.col(f"{p}_port"))).otherwise(F.lit("")),
-    )
+    lowered = F.regexp_replace(F.lower(u["path"]), "/{2,}", "/")
+    trimmed = F.when(lowered != "/", F.regexp_replace(lowered, "/$", "")).otherwise(lowered)
+
+    def whole(path: Column) -> Column:
+        w = _fields(ok=u["ok"], scheme=u["scheme"], user=u["user"], host=F.when(u["opaque"], u["host"]).otherwise(F.regexp_replace(u["host"], r"^www\.", "")),
+                    port=u["port"], hasauth=u["hasauth"], path=path, frag=u["frag"],
+                    query=F.when(u["query"].isNotNull() & (u["query"] != ""), sorted_query(u["query"])).otherwise(u["query"]))
+        return let(w, lambda v: F.when(u["ok"] & ~u["opaque"] & (path == "/") & u["hasauth"], F.concat(v["scheme"], F.lit("://"), _host_port(v), _tail(v))).otherwise(serialized(v)))
+
+    return let(F.when(u["opaque"], u["path"]).otherwise(trimmed), whole)
+
+
+def _column(x: str | Column) -> Column:
+    return F.col(x) if isinstance(x, str) else x
+
+
+def parsed_against(url: str | Column, base: str | Column | None, then: Callable[[Column], Column]) -> Column:
+    """``then(parsed URL)`` for a URL resolved against the text of a base URL, if any."""
+    if base is None:
+        return let(parsed(_column(url)), then)
+    return let(parsed(_column(base)), lambda b: let(parsed(_column(url), b), then))
+
+
+def canonical_url(url: str | Column, base: str | Column | None = None) -> Column:
+    return parsed_against(url, base, canonical)
+
+
+# ---- as columns of a table -----------------------------------------------------------------------
+
+def with_url_parts(df: DataFrame, url: str, base: str | Column | None = None, prefix: str = "_u") -> DataFrame:
+    """Add ``prefix``: the struct of ``parsed`` (resolved against ``base``)."""
+    return df.withColumn(prefix, parsed_against(url, base, lambda u: u))
+
+
+def with_canonical(df: DataFrame, url: str, base: str | Column | None = None, out: str = "url_canon") -> DataFrame:
+    """Add ``out``: canonical form of ``url`` (resolved against ``base``), NULL if it does not parse."""
+    return df.withColumn(out, canonical_url(url, base))
+
+
+def with_known_canonical(df: DataFrame, url: str, base: str | Column | None = None, out: str = "url_canon") -> DataFrame:
+    """As ``with_canonical``, without the rows that do not parse; computed once, also where filters on ``out`` follow."""
+    return df.select("*", F.explode(F.filter(F.array(canonical_url(url, base)), lambda x: x.isNotNull())).alias(out))
 
 
-def with_resolved(df: DataFrame, url: str, base: str | Column | None = None, out: str = "url_abs",
-                  prefix: str = "_r") -> DataFrame:
+def with_resolved(df: DataFrame, url: str, base: str | Column | None = None, out: str = "url_abs") -> DataFrame:
     """Add ``out``: ``url`` resolved against ``base`` and serialised (WHATWG href), NULL if invalid."""
-    df = with_url_parts(df, url, base, prefix=prefix)
-    df = df.withColumn(out, serialize(prefix))
-    return df.drop(*[c for c in df.columns if c.startswith(f"{prefix}_")])
+    return df.withColumn(out, parsed_against(url, base, serialized))
 
 
-def with_validity(df: DataFrame, url: str, out: str = "is_valid", prefix: str = "_v") -> DataFrame:
+def with_validity(df: DataFrame, url: str, out: str = "is_valid") -> DataFrame:
     """Add ``out``: True iff ``url`` parses as an absolute URL on its own."""
-    df = with_url_parts(df, url, None, prefix=prefix)
-    df = df.withColumn(out, F.col(f"{prefix}_ok") & F.col(f"{prefix}_scheme").isNotNull() & (F.col(f"{prefix}_scheme") != ""))
-    return df.drop(*[c for c in df.columns if c.startswith(f"{prefix}_")])
+    return df.withColumn(out, parsed_against(url, None, lambda u: u["ok"] & F.coalesce(u["scheme"] != "", F.lit(False))))
 
 
 # ---- cheap column functions on URLs that are already absolute and canonical ----------------------

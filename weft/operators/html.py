@@ -1,405 +1,204 @@
-"""HTML pages to structured documents, as one partition-local Spark job.
-
-Plan (per page; pages are hash-partitioned by ``page_id`` exactly once):
-
-1. ``html_tokens``: ``regexp_extract_all`` + ``posexplode`` gives one row per
-   token (comment, script, style, title, open tag, close tag, text).
-2. Three window passes over the token rows (all partitioned by ``page_id``,
-   so they reuse the single shuffle):
-   running counters and nesting depths (ascending), the implied end of
-   ``p``/headings/anchors (descending, nearest following closer), and the
-   end of list items and table parts within their own nesting level.
-3. One aggregate per page collects the ordered text tokens and the element
-   boundaries; element text is a ``slice`` of the text array between the
-   running text counters at the element's start and end. Nested elements
-   (lists in list items, tables in cells) are handled by the same slices, so
-   no element is ever compared with every other element of its page.
-4. The elements of the kinds asked for are exploded to one row per element
-   (``html_elements``); ``documents`` nests them back per page with one more
-   aggregate on the same partitioning.
+"""HTML pages to structured documents, page by page where the pages are: no shuffle.
+
+* ``html_tokens`` and ``titles`` are Spark expressions: one regular expression
+  cuts a page into its array of tokens.
+* Elements need running state over a page's tokens (nesting, implied ends),
+  which no built-in function keeps in linear time. One Arrow function folds
+  each page once (``weft.functions.markup``) and returns all kinds asked for
+  as one struct column; the page's other columns do not go through Python.
 
 Known deviations from a full HTML5 tree builder (documented in the README):
 misnested formatting elements are not re-opened (adoption agency), table
-foster-parenting is not done, and ``noscript``/``textarea`` are plain markup.
+foster-parenting is not done, and escaped script data ends at its first end tag.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.functions.text import clean_text, decode_entities
-
-# Token pattern: comments, script/style/title bodies, doctype and other <!...>/<?...>,
-# tags (quoted attributes may hold '>'), text runs, a lone '<'.
-TOKEN_RE = (
-    r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<title\b.*?</title\s*>"
-    r"|<[!?][^>]*>|</?[a-z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^<]+|<"
-)
-
-# HTML tag groups used for implied ends and nesting.
-VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track",
-             "wbr", "param", "keygen", "frame"]
-PHRASING_TAGS = ["a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "dfn", "em", "font", "i", "kbd",
-                 "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strong", "sub", "sup", "time",
-                 "u", "var", "label", "button", "select", "option", "textarea", "nobr", "big", "tt", "strike"]
-P_CLOSING_OPEN = ["address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div",
-                  "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5",
-                  "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "section",
-                  "summary", "table", "ul", "li", "dd", "dt", "listing", "plaintext", "xmp", "search"]
-BLOCK_CLOSE = P_CLOSING_OPEN + ["body", "html", "td", "th", "tr", "caption", "tbody", "thead", "tfoot"]
-HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
-HEADING_CLOSE = ["body", "html", "td", "th", "tr", "table", "li"]
-LIST_TAGS = ["ul", "ol", "dl"]
-ITEM_TAGS = ["li", "dt", "dd"]
-ROW_GROUP_TAGS = ["tbody", "thead", "tfoot"]
-FOREIGN_TAGS = ["svg", "math"]  # inside these, '/>' closes a tag and unknown names are no HTML
-NOT_STRUCTURAL = VOID_TAGS + PHRASING_TAGS + ["p", "li", "dt", "dd", "html", "head", "body"] + LIST_TAGS + FOREIGN_TAGS
-
-
-def _repartition_pages(pages: DataFrame) -> DataFrame:
-    """Hash-partition pages by ``page_id`` once; every later window and aggregate reuses it."""
-    return pages.repartition("page_id")
+from weft.functions import markup
+from weft.functions.text import decode_entities
+
+_RAW = "|".join((*markup.DECODED_ELEMENTS, *markup.RAW_ELEMENTS, "plaintext"))
+
+
+def _token_array(html: Column) -> Column:
+    return F.regexp_extract_all(html, F.lit(markup.TOKEN_RE), F.lit(0))
 
 
 def html_tokens(pages: DataFrame) -> DataFrame:
-    """H1: one row per token: ``page_id, pos, kind, tag, tok, text`` (text decoded, only for text tokens).
+    """H1: one row per token: ``page_id, pos, kind, tag, tok, text``.
 
-    ``kind`` is one of comment, script, style, title, open, close, text.
+    ``kind`` is one of comment (also declarations and tags cut off by the page's end), script, style, title, textarea, raw
+    (iframe, xmp, noembed, noframes, plaintext), open, close, text. ``tag`` is set for open, close, textarea and raw; ``text``
+    for text, textarea (both decoded) and raw.
     """
-    t = _repartition_pages(pages.select("page_id", "html")).select(
-        "page_id", F.posexplode(F.regexp_extract_all("html", F.lit(TOKEN_RE), F.lit(0))).alias("pos", "tok"))
-    low = F.lower(F.substring("tok", 1, 9))
+    t = pages.select("page_id", _token_array(F.col("html")).alias("toks")).select("page_id", F.size("toks").alias("n"), F.posexplode("toks").alias("pos", "tok"))
+    raw = F.lower(F.regexp_extract("tok", rf"(?i)^<({_RAW})(?=[ \t\n\f\r/>])", 1))
+    name = F.lower(F.regexp_extract("tok", r"^</?([A-Za-z][^ \t\n\f\r/>]*)", 1))
+    whole = (F.col("pos") < F.col("n") - 1) | F.col("tok").rlike(markup.TAG_RE)  # only the last token can be cut off
     kind = (
-        F.when(F.col("tok").startswith("<!") | F.col("tok").startswith("<?"), F.lit("comment"))
-        .when(low.rlike(r"^<script\b") & F.col("tok").rlike(r"(?is)</script\s*>$"), F.lit("script"))
-        .when(low.rlike(r"^<style\b") & F.col("tok").rlike(r"(?is)</style\s*>$"), F.lit("style"))
-        .when(low.rlike(r"^<title\b") & F.col("tok").rlike(r"(?is)</title\s*>$"), F.lit("title"))
-        .when(F.col("tok").rlike(r"^</[A-Za-z]"), F.lit("close"))
-        .when(F.col("tok").rlike(r"^<[A-Za-z]"), F.lit("open"))
-        .otherwise(F.lit("text"))
+        F.when(~F.col("tok").startswith("<") | (F.col("tok") == "<"), F.lit("text"))
+        .when((name == "") | ~whole, F.lit("comment"))
+        .when(raw.isin("script", "style", "title", "textarea"), raw)
+        .when(raw != "", F.lit("raw"))
+        .when(F.col("tok").startswith("</"), F.lit("close"))
+        .otherwise(F.lit("open"))
     )
-    t = t.withColumn("kind", kind)
-    t = t.withColumn("tag", F.when(F.col("kind").isin("open", "close"),
-                                   F.lower(F.regexp_extract("tok", r"^</?([A-Za-z][^\s/>]*)", 1))))
-    return t.withColumn("text", F.when(F.col("kind") == "text", decode_entities(F.col("tok"))))
+    t = t.withColumns({"kind": kind, "_name": name})
+    inner = F.regexp_replace(F.regexp_replace("tok", markup.TAG_RE, ""), rf"(?is)</(?!plaintext)(?:{_RAW})(?=[ \t\n\f\r/>])[^>]*>?$", "")
+    text = F.when(F.col("kind") == "text", decode_entities(F.col("tok"))).when(F.col("kind") == "textarea", decode_entities(inner)).when(F.col("kind") == "raw", inner)
+    return t.select("page_id", "pos", "kind", F.when(F.col("kind").isin("open", "close", "textarea", "raw"), F.col("_name")).alias("tag"), "tok", text.alias("text"))
 
 
-def _attr(tok: Column, name: str) -> Column:
-    """Value of attribute ``name`` in an open tag (decoded), NULL if absent; the first of several counts.
+# -- elements ------------------------------------------------------------------------------------
 
-    Attributes before it are skipped one by one with possessive steps, so a tag takes one pass whatever is in it.
-    """
-    value = r"(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+))?+"
-    m = (rf"(?is)^<[a-z][^\s/>]*+(?:[\s/]*+(?!{name}[\s=/>])[^\s=/>\"'][^\s=/>]*+{value})*+[\s/]*+{name}(?=[\s=/>])"
-         r"(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+))?+")
-    raw = F.regexp_extract(tok, m, 1)
-    unq = F.regexp_replace(raw, r"^[\"']|[\"']$", "")
-    return F.when(tok.rlike(m), decode_entities(unq, attribute=True))
-
-
-def _end_struct(cond: Column) -> Column:
-    return F.when(cond, F.struct(F.col("pos").alias("pos"), F.col("tc").alias("tc"), F.col("n_td").alias("n_td"),
-                                 F.col("n_th").alias("n_th"), F.col("n_tr").alias("n_tr")))
-
-
-def _element_rows(pages: DataFrame) -> DataFrame:
-    """Token rows annotated with counters, depths and element ends; one pipeline, no extra shuffle."""
-    t = html_tokens(pages)
-    is_open = F.col("kind") == "open"
-    is_close = F.col("kind") == "close"
-    tag = F.col("tag")
-    one = F.lit(1)
-    zero = F.lit(0)
-    t = t.withColumns({
-        "is_text": (F.col("kind") == "text").cast("int"),
-        "d_list": F.when(is_open & tag.isin(*LIST_TAGS), one).when(is_close & tag.isin(*LIST_TAGS), F.lit(-1)).otherwise(zero),
-        "d_tab": F.when(is_open & (tag == "table"), one).when(is_close & (tag == "table"), F.lit(-1)).otherwise(zero),
-        "d_for": F.when(is_open & tag.isin(*FOREIGN_TAGS) & ~F.endswith("tok", F.lit("/>")), one).when(is_close & tag.isin(*FOREIGN_TAGS), F.lit(-1)).otherwise(zero),
-        "o_td": (is_open & (tag == "td")).cast("int"),
-        "o_th": (is_open & (tag == "th")).cast("int"),
-        "o_tr": (is_open & (tag == "tr")).cast("int"),
-    })
-    run = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = t.withColumns({
-        "tc": F.sum("is_text").over(run),
-        "ld": F.sum("d_list").over(run),
-        "tdp": F.sum("d_tab").over(run),
-        "fd": F.sum("d_for").over(run),
-        "n_td": F.sum("o_td").over(run),
-        "n_th": F.sum("o_th").over(run),
-        "n_tr": F.sum("o_tr").over(run),
-    })
-    t = t.withColumns({
-        "ld_key": F.col("ld") + F.when(is_close & tag.isin(*LIST_TAGS), one).otherwise(zero),
-        "tdp_key": F.col("tdp") + F.when(is_close & (tag == "table"), one).otherwise(zero),
-    })
-    # Nearest following closer: order descending and look at the rows already seen.
-    after = Window.partitionBy("page_id").orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    closes_p = (is_open & tag.isin(*P_CLOSING_OPEN)) | (is_close & tag.isin(*BLOCK_CLOSE))
-    closes_h = (is_open & tag.isin(*HEADINGS)) | (is_close & tag.isin(*HEADINGS, *HEADING_CLOSE))
-    closes_a = (is_open | is_close) & (tag == "a")
-    t = t.withColumns({
-        "end_p": F.last(_end_struct(closes_p), ignorenulls=True).over(after),
-        "end_h": F.last(_end_struct(closes_h), ignorenulls=True).over(after),
-        "end_a": F.last(_end_struct(closes_a), ignorenulls=True).over(after),
-    })
-    nest = Window.partitionBy("page_id", "ld_key", "tdp_key").orderBy(F.col("pos").desc()).rowsBetween(
-        Window.unboundedPreceding, -1)
-    nest_up = Window.partitionBy("page_id", "ld_key", "tdp_key").orderBy("pos")
-    # Open structural elements within a list's level. What an item opens and does not close ends with the item's end tag,
-    # so tokens between an item's start and end tags do not count; neither does foreign content.
-    is_item = tag.isin(*ITEM_TAGS)
-    edge = F.when((is_open | is_close) & is_item, is_open)
-    t = t.withColumns({
-        "_before": F.last(edge, ignorenulls=True).over(nest_up.rowsBetween(Window.unboundedPreceding, -1)),
-        "_after": F.last(edge, ignorenulls=True).over(nest),
-    })
-    in_item = F.coalesce(F.col("_before") & ~F.col("_after"), F.lit(False))
-    counted = ~in_item & (F.col("fd") == 0) & ~tag.isin(*NOT_STRUCTURAL)
-    t = t.withColumn("gd", F.sum(F.when(is_open & counted, one).when(is_close & counted, F.lit(-1)).otherwise(zero)).over(
-        nest_up.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_before", "_after")
-    closes_item = ((is_open | is_close) & tag.isin(*ITEM_TAGS)) | (is_close & tag.isin(*LIST_TAGS))
-    closes_table = is_close & (tag == "table")
-    closes_tr = ((is_open | is_close) & tag.isin("tr", *ROW_GROUP_TAGS)) | closes_table
-    closes_cell = ((is_open | is_close) & tag.isin("td", "th")) | closes_tr
-    t = t.withColumns({
-        "end_item": F.last(_end_struct(closes_item), ignorenulls=True).over(nest),
-        "end_table": F.last(_end_struct(closes_table), ignorenulls=True).over(nest),
-        "end_tr": F.last(_end_struct(closes_tr), ignorenulls=True).over(nest),
-        "end_cell": F.last(_end_struct(closes_cell), ignorenulls=True).over(nest),
-    })
-    return t
-
-
-def _page_aggregate(pages: DataFrame) -> DataFrame:
-    """One row per page: ordered text tokens, element boundaries, title, body start and totals."""
-    t = _element_rows(pages)
-    is_open = F.col("kind") == "open"
-    tag = F.col("tag")
-    # Materialise href and element kind once; they are referenced many times below.
-    t = t.withColumn("href", F.when(is_open & (tag == "a"), _attr(F.col("tok"), "href")))
-    ekind = (
-        F.when(is_open & (tag == "p"), F.lit("p"))
-        .when(is_open & tag.isin(*HEADINGS), F.lit("h"))
-        .when(is_open & (tag == "a") & F.col("href").isNotNull(), F.lit("a"))
-        .when(is_open & tag.isin(*LIST_TAGS), F.lit("list"))
-        .when(is_open & tag.isin(*ITEM_TAGS), F.lit("item"))
-        .when(is_open & tag.isin("table", "tr", "td", "th"), tag)
-    )
-    t = t.withColumn("ekind", ekind)
-    k = F.col("ekind")
-    end = (
-        F.when(k == "p", F.col("end_p")).when(k == "h", F.col("end_h")).when(k == "a", F.col("end_a"))
-        .when(k == "item", F.col("end_item")).when(k == "table", F.col("end_table"))
-        .when(k == "tr", F.col("end_tr")).when(k.isin("td", "th"), F.col("end_cell"))
-    )
-    t = t.withColumn("endx", end)
-    end = F.col("endx")
-    elem = F.when(k.isNotNull(), F.struct(
-        F.col("pos").alias("pos"), k.alias("kind"), tag.alias("tag"),
-        F.col("tc").alias("a"), end["tc"].alias("b"),
-        F.col("gd").alias("gd"), F.col("ld_key").alias("depth"),
-        F.col("n_td").alias("td0"), end["n_td"].alias("td1"),
-        F.col("n_th").alias("th0"), end["n_th"].alias("th1"),
-        F.col("n_tr").alias("tr0"), end["n_tr"].alias("tr1"),
-        F.when(k == "a", F.col("href")).alias("href"),
-    ))
-    title_text = F.when(F.col("kind") == "title",
-                        F.struct(F.col("pos"), decode_entities(F.regexp_extract("tok", r"(?is)^<title\b[^>]*>(.*)</title\s*>$", 1)).alias("t")))
-    body_start = (is_open & (tag == "body")) | ((F.col("kind") == "close") & (tag == "head"))
-    return t.groupBy("page_id").agg(
-        F.sort_array(F.collect_list(F.when(F.col("is_text") == 1, F.struct("pos", "text")))).alias("texts"),
-        F.sort_array(F.collect_list(elem)).alias("elems"),
-        F.min(title_text)["t"].alias("title_raw"),
-        F.min(F.when(is_open & (tag == "body"), F.col("tc"))).alias("body_tc"),
-        F.min(F.when(body_start, F.col("tc"))).alias("head_tc"),
-        F.max("tc").alias("n_text"), F.max("n_td").alias("n_td"), F.max("n_th").alias("n_th"),
-        F.max("n_tr").alias("n_tr"),
-    )
+# kind of element: (field of the struct, its method, (field, type)...); every one begins with ``pos``
+_FIELDS = {
+    "heading": ("headings", "heading_rows", ("level", pa.int32()), ("content", pa.string())),
+    "paragraph": ("paragraphs", "paragraph_rows", ("content", pa.string())),
+    "list": ("lists", "list_rows", ("list_type", pa.string()), ("content", pa.string()), ("items", pa.list_(pa.string()))),
+    "table": ("tables", "table_rows", ("content", pa.string()), ("headers", pa.list_(pa.string())), ("rows", pa.list_(pa.list_(pa.string())))),
+    "anchor": ("links", "anchor_rows", ("content", pa.string()), ("href", pa.string())),
+}
+_SQL = {pa.int32(): "int", pa.string(): "string", pa.list_(pa.string()): "array<string>", pa.list_(pa.list_(pa.string())): "array<array<string>>"}
+KINDS = ("title", "raw_text", *_FIELDS)
 
 
-KINDS = ("title", "raw_text", "heading", "paragraph", "list", "table", "anchor")
+def page_elements(html: str | Column, kinds: tuple[str, ...] = KINDS) -> Column:
+    """The elements of a page as one struct: ``title``, ``raw_text`` and an array for each other kind (``headings``,
+    ``paragraphs``, ``lists``, ``tables``, ``links``), whose structs begin with ``pos``, the place of the element's token.
 
-
-def html_elements(pages: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    Only the kinds asked for are built. A NULL page gives NULL.
+    """
+    plain = [k for k in ("title", "raw_text") if k in kinds]
+    nested = {k: f for k, f in _FIELDS.items() if k in kinds}
+
+    def fold(column: pa.Array) -> pa.Array:
+        pages = [None if html is None else markup.Page(html) for html in column.to_pylist()]
+        arrays, names = [], []
+        for k in plain:
+            arrays.append(pa.array([None if p is None else p.title or None if k == "title" else p.raw_text() for p in pages], pa.string()))
+            names.append(k)
+        for name, method, *fields in nested.values():
+            ends, flat = [0], []
+            for p in pages:
+                if p is not None:
+                    flat.extend(getattr(p, method)())
+                ends.append(len(flat))
+            columns = list(zip(*flat)) if flat else [()] * (len(fields) + 1)
+            parts = [pa.array(c, t) for c, t in zip(columns, [pa.int32(), *(t for _, t in fields)])]
+            arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, ["pos", *(n for n, _ in fields)])))
+            names.append(name)
+        return pa.StructArray.from_arrays(arrays, names, mask=pa.array([p is None for p in pages]))
+
+    structs = [f"{name}: array<struct<pos: int, {', '.join(f'{n}: {_SQL[t]}' for n, t in fields)}>>" for name, _, *fields in nested.values()]
+    schema = f"struct<{', '.join([f'{k}: string' for k in plain] + structs)}>"
+    return F.arrow_udf(fold, schema)(F.col(html) if isinstance(html, str) else html)
+
+
+def html_elements(pages: DataFrame, kinds: tuple[str, ...] = KINDS, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per extracted element of the given kinds of every page.
 
-    Columns: ``page_id, kind, pos, level, content, href, list_type, items, headers, rows``.
-    kinds: ``title`` (first title, raw), ``raw_text`` (H3), ``heading``, ``paragraph``,
-    ``list``, ``table``, ``anchor``. ``pos`` orders elements of one kind in
-    document order (headings are ordered by level first, see ``headings``). Only
-    what the kinds need is built.
+    Columns: ``page_id``, the page's columns named by ``keep``, and ``kind, pos, level, content, href, list_type, items,
+    headers, rows``. kinds: ``title`` (first title, raw), ``raw_text`` (H3), ``heading``, ``paragraph``, ``list``, ``table``,
+    ``anchor``. ``pos`` orders elements of one kind in document order (headings are ordered by level first).
     """
-    g = _page_aggregate(pages)
-    g = g.withColumn("tx", F.transform(F.col("texts"), lambda x: x["text"])).drop("texts")
-
-    def seg(a: Column, b: Column) -> Column:
-        return F.array_join(F.slice(F.col("tx"), a + 1, F.greatest(b - a, F.lit(0))), "")
-
-    def bnd(e, k: str, total: str) -> Column:
-        return F.coalesce(e[k], F.col(total))
-
-    def etext(e) -> Column:
-        return seg(e["a"], bnd(e, "b", "n_text"))
-
-    empty_s = F.array().cast("array<string>")
-    empty_ss = F.array().cast("array<array<string>>")
-
-    def row(kind, pos, level=None, content=None, href=None, list_type=None, items=None, headers=None, rows=None):
-        return F.struct(
-            F.lit(kind).alias("kind"), pos.cast("int").alias("pos"),
-            (level if level is not None else F.lit(None)).cast("int").alias("level"),
-            (content if content is not None else F.lit(None)).cast("string").alias("content"),
-            (href if href is not None else F.lit(None)).cast("string").alias("href"),
-            (list_type if list_type is not None else F.lit(None)).cast("string").alias("list_type"),
-            (items if items is not None else F.lit(None)).cast("array<string>").alias("items"),
-            (headers if headers is not None else F.lit(None)).cast("array<string>").alias("headers"),
-            (rows if rows is not None else F.lit(None)).cast("array<array<string>>").alias("rows"),
-        )
-
-    el = F.col("elems")
-    built = []
-    if "title" in kinds:
-        built.append(F.array(row("title", F.lit(0), content=F.nullif(F.col("title_raw"), F.lit("")))))
-    if "raw_text" in kinds:  # H3: body text, split on '\n', each line cleaned, empty lines dropped
-        start = F.coalesce(F.col("body_tc"), F.col("head_tc"), F.lit(0))
-        raw = F.array_join(F.filter(F.transform(F.split(seg(start, F.col("n_text")), "\n"), clean_text), lambda x: x != ""), "\n")
-        built.append(F.array(row("raw_text", F.lit(0), content=raw)))
-    if "heading" in kinds:
-        built.append(F.transform(F.filter(el, lambda e: e["kind"] == "h"),
-                                 lambda e: row("heading", e["pos"], level=F.substring(e["tag"], 2, 1).cast("int"), content=clean_text(etext(e)))))
-    if "paragraph" in kinds:
-        built.append(F.filter(F.transform(F.filter(el, lambda e: e["kind"] == "p"), lambda e: row("paragraph", e["pos"], content=clean_text(etext(e)))),
-                              lambda r: r["content"] != ""))
-    if "list" in kinds:
-        # Containers and items sorted by (depth, pos): a container is followed by the items of its level. The places of
-        # the containers are a column of their own, made once for each page.
-        g = g.withColumn("lst", F.array_sort(F.transform(
-            F.filter(el, lambda e: e["kind"].isin("list", "item")),
-            lambda e: F.struct(e["depth"].alias("depth"), e["pos"].alias("pos"), e["kind"].alias("kind"), e["tag"].alias("tag"),
-                               e["gd"].alias("gd"), clean_text(F.when(e["kind"] == "item", etext(e))).alias("text")))))
-        g = g.withColumn("places", F.filter(F.transform("lst", lambda e, i: F.when(e["kind"] == "list", i + 1)), lambda i: i.isNotNull()))
-
-        def list_row(ci, j):
-            c = F.element_at(F.col("lst"), ci)
-            nxt = F.coalesce(F.try_element_at("places", j + 2), F.size("lst") + 1)
-            members = F.slice(F.col("lst"), ci + 1, nxt - ci - 1)
-            want = F.when(c["tag"] == "dl", F.array(F.lit("dt"), F.lit("dd"))).otherwise(F.array(F.lit("li")))
-            items = F.transform(F.filter(members, lambda m: (m["gd"] == c["gd"]) & F.array_contains(want, m["tag"])), lambda m: m["text"])
-            ltype = F.when(c["tag"] == "ol", F.lit("ordered")).when(c["tag"] == "dl", F.lit("definition")).otherwise(F.lit("unordered"))
-            return row("list", c["pos"], content=F.array_join(items, "\n"), list_type=ltype, items=items)
-
-        built.append(F.transform("places", list_row))
-    if "table" in kinds:  # cells, rows and tables are slices of page-level arrays by running counters
-        def cells(tag):
-            return F.transform(F.filter(el, lambda e: e["kind"] == tag), lambda e: clean_text(etext(e)))
-
-        g = g.withColumns({"td_txt": cells("td"), "th_txt": cells("th")})
-        g = g.withColumn("tr_cells", F.transform(
-            F.filter(el, lambda e: e["kind"] == "tr"),
-            lambda e: F.slice(F.col("td_txt"), e["td0"] + 1, F.greatest(bnd(e, "td1", "n_td") - e["td0"], F.lit(0)))))
-        built.append(F.transform(
-            F.filter(el, lambda e: e["kind"] == "table"),
-            lambda e: row("table", e["pos"], content=F.lit(""),
-                          headers=F.slice(F.col("th_txt"), e["th0"] + 1, F.greatest(bnd(e, "th1", "n_th") - e["th0"], F.lit(0))),
-                          rows=F.filter(F.slice(F.col("tr_cells"), e["tr0"] + 1, F.greatest(bnd(e, "tr1", "n_tr") - e["tr0"], F.lit(0))),
-                                        lambda r: F.size(r) > 0))))
-    if "anchor" in kinds:
-        built.append(F.filter(F.transform(F.filter(el, lambda e: e["kind"] == "a"), lambda e: row("anchor", e["pos"], content=clean_text(etext(e)), href=e["href"])),
-                              lambda r: (r["content"] != "") & (r["href"] != "")))
-    return g.select("page_id", F.explode(F.concat(*built) if len(built) > 1 else built[0]).alias("e")).select("page_id", "e.*")
-
-
-def _pages_in(pages_or_elements: DataFrame, kind: str) -> DataFrame:
-    return pages_or_elements if "kind" in pages_or_elements.columns else html_elements(pages_or_elements, (kind,))
+    types = {"content": "string", **{n: _SQL[t] for _, _, *fields in _FIELDS.values() for n, t in fields}}
+    order = ("level", "content", "href", "list_type", "items", "headers", "rows")
+
+    def row(kind: str, pos: Column, **values: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), pos.alias("pos"), *(values.get(c, F.lit(None)).cast(types[c]).alias(c) for c in order))
+
+    def rows_of(kind: str, names: list[str]) -> Callable[[Column], Column]:
+        return lambda x: row(kind, x["pos"], **{n: x[n] for n in names})
+
+    e = pages.select("page_id", *keep, page_elements("html", kinds).alias("d"))
+    built = [F.array(row(k, F.lit(0), content=F.col(f"d.{k}"))) for k in ("title", "raw_text") if k in kinds]
+    for k, (name, _, *fields) in _FIELDS.items():
+        if k in kinds:
+            built.append(F.transform(f"d.{name}", rows_of(k, [n for n, _ in fields])))
+    return e.select("page_id", *keep, F.explode(F.concat(*built) if len(built) > 1 else built[0]).alias("e")).select("page_id", *keep, "e.*")
 
 
 def raw_text(pages: DataFrame) -> DataFrame:
     """H3: ``page_id, raw_text``."""
-    e = _pages_in(pages, "raw_text")
-    return e.filter(F.col("kind") == "raw_text").select("page_id", F.col("content").alias("raw_text"))
+    return pages.select("page_id", page_elements("html", ("raw_text",))["raw_text"].alias("raw_text"))
 
 
 def titles(pages: DataFrame) -> DataFrame:
     """H4: ``page_id, title`` (first title, not cleaned, NULL if empty or absent)."""
-    e = _pages_in(pages, "title")
-    return e.filter(F.col("kind") == "title").select("page_id", F.col("content").alias("title"))
+    token = F.get(F.filter(_token_array(F.col("html")), lambda x: x.rlike(r"(?i)^<title[ \t\n\f\r/>]")), F.lit(0))
+    inner = F.regexp_replace(F.regexp_replace(token, markup.TAG_RE, ""), r"(?is)</title(?=[ \t\n\f\r/>])[^>]*>?$", "")
+    return pages.select("page_id", F.nullif(decode_entities(F.when(token.rlike(markup.TAG_RE), inner)), F.lit("")).alias("title"))
+
+
+def _rows(pages: DataFrame, kind: str, *columns: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    name = _FIELDS[kind][0]
+    one = pages.select("page_id", *keep, F.explode(page_elements("html", (kind,))[name]).alias("e"))
+    return one.select("page_id", *keep, *(f"e.{c}" for c in columns))
 
 
 def headings(pages: DataFrame) -> DataFrame:
     """H5: ``page_id, pos, level, content``; document order is (level, pos)."""
-    e = _pages_in(pages, "heading")
-    return e.filter(F.col("kind") == "heading").select("page_id", "pos", "level", "content")
+    return _rows(pages, "heading", "pos", "level", "content")
 
 
 def paragraphs(pages: DataFrame) -> DataFrame:
     """H6: ``page_id, pos, content`` (non-empty, cleaned)."""
-    e = _pages_in(pages, "paragraph")
-    return e.filter(F.col("kind") == "paragraph").select("page_id", "pos", "content")
+    return _rows(pages, "paragraph", "pos", "content")
 
 
 def lists(pages: DataFrame) -> DataFrame:
     """H7: ``page_id, pos, list_type, items, content``."""
-    e = _pages_in(pages, "list")
-    return e.filter(F.col("kind") == "list").select("page_id", "pos", "list_type", "items", "content")
+    return _rows(pages, "list", "pos", "list_type", "items", "content")
 
 
 def tables(pages: DataFrame) -> DataFrame:
     """H8: ``page_id, pos, headers, rows``."""
-    e = _pages_in(pages, "table")
-    return e.filter(F.col("kind") == "table").select("page_id", "pos", "headers", "rows")
+    return _rows(pages, "table", "pos", "headers", "rows")
 
 
-def anchors(pages: DataFrame) -> DataFrame:
+def anchors(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """H9: ``page_id, pos, href, text`` (href raw, text cleaned, both non-empty, not deduplicated)."""
-    e = _pages_in(pages, "anchor")
-    return e.filter(F.col("kind") == "anchor").select("page_id", "pos", "href", F.col("content").alias("text"))
+    return _rows(pages, "anchor", "pos", "href", "content", keep=keep).withColumnRenamed("content", "text")
 
 
-def _picker(fields):
-    def pick(x):
-        return F.struct(*[x[f].alias(f) for f in fields])
-    return pick
+# fields of each nested element as stored, ``type`` first
+_STORED = {"headings": ("heading", "level", "content"), "paragraphs": ("paragraph", "content"), "lists": ("list", "list_type", "content", "items"),
+           "tables": ("table", "content", "headers", "rows"), "links": ("link", "content", "href", "text")}
 
 
-def documents(pages: DataFrame, links_filter=None, extractor=None) -> DataFrame:
-    """One nested row per page (``page_id, title, raw_text, headings, paragraphs, lists, tables, links``).
+def documents(pages: DataFrame, valid_link: Callable[[Column], Column] | None = None, extractors: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
+              keep: tuple[str, ...] = ()) -> DataFrame:
+    """One nested row per page (``page_id, title, raw_text, headings, paragraphs, lists, tables, links``), with the
+    page's columns named by ``keep`` and ``extraction_success`` (false for a page without a body: NULL instead of HTML).
 
-    ``extractor(tokens) -> (page_id, ...)`` (X1) is a custom extractor over the token rows of ``html_tokens``; its columns
-    are added to each page's document (NULL where it gives no row; at most one row for each page).
+    ``valid_link(href) -> boolean`` drops links where it is not true (L2's rule); it may use the page's kept columns.
 
-    ``links_filter(elements) -> elements`` may drop anchor rows (L2's valid-link
-    rule); it runs on the element rows, so the document is still built by one
-    aggregate on the page partitioning.
+    ``extractors`` (X1) are custom extractors by name: each is a function from the token rows of ``html_tokens`` to rows of
+    ``page_id`` and its own columns, at most one for each page; they become a struct column of that name (NULL where it gives
+    no row).
     """
-    e = html_elements(pages)
-    if links_filter is not None:
-        e = links_filter(e)
-    k = F.col("kind")
-
-    def coll(kind, *fields, order=("pos",)):
-        s = F.struct(*[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], *fields)
-        return F.sort_array(F.collect_list(F.when(k == kind, s)))
-
-    agg = e.groupBy("page_id").agg(
-        F.max(F.when(k == "title", F.col("content"))).alias("title"),
-        F.max(F.when(k == "raw_text", F.col("content"))).alias("raw_text"),
-        coll("heading", F.lit("heading").alias("type"), "level", "content", order=("level", "pos")).alias("_h"),
-        coll("paragraph", F.lit("paragraph").alias("type"), "content").alias("_p"),
-        coll("list", F.lit("list").alias("type"), "list_type", "content", "items").alias("_l"),
-        coll("table", F.lit("table").alias("type"), "content", "headers", "rows").alias("_t"),
-        coll("anchor", F.lit("link").alias("type"), "content", "href", F.col("content").alias("text")).alias("_a"),
-    )
-    strip = {
-        "headings": ("_h", ["type", "level", "content"]),
-        "paragraphs": ("_p", ["type", "content"]),
-        "lists": ("_l", ["type", "list_type", "content", "items"]),
-        "tables": ("_t", ["type", "content", "headers", "rows"]),
-        "links": ("_a", ["type", "content", "href", "text"]),
-    }
-    cols = [F.col("page_id"), F.col("title"), F.coalesce(F.col("raw_text"), F.lit("")).alias("raw_text")]
-    for name, (src, fields) in strip.items():
-        cols.append(F.transform(F.col(src), _picker(fields)).alias(name))
-    out = agg.select(*cols)
-    return out if extractor is None else out.join(extractor(html_tokens(pages)), "page_id", "left")
+    e = pages.select("page_id", *keep, page_elements("html").alias("d"))
+
+    def nested(name: str) -> Column:
+        kind, *fields = _STORED[name]
+        source = F.col(f"d.{name}")
+        if name == "links" and valid_link is not None:
+            source = F.filter(source, lambda x: F.coalesce(valid_link(x["href"]), F.lit(False)))
+        value = lambda x, f: x["content" if f == "text" else f].alias(f)
+        return F.transform(source, lambda x: F.struct(F.lit(kind).alias("type"), *(value(x, f) for f in fields))).alias(name)
+
+    out = e.select("page_id", *keep, F.col("d.title"), F.coalesce("d.raw_text", F.lit("")).alias("raw_text"), *map(nested, _STORED),
+                   F.col("d").isNotNull().alias("extraction_success"))
+    tokens = html_tokens(pages) if extractors else None
+    for name, extract in (extractors or {}).items():
+        own = extract(tokens)
+        rest = [c for c in own.columns if c != "page_id"]
+        out = out.join(own.select("page_id", F.struct(*rest).alias(name)), "page_id", "left")
+    return out

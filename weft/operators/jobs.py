@@ -66,11 +66,11 @@ def crawl_requests(requests: DataFrame):
     from weft.functions.urls import effective_domain, with_url_parts
 
     df = with_url_parts(requests, "url", None, prefix="_q")
-    df = df.withColumn("_valid", F.col("_q_ok") & (F.coalesce(F.col("_q_scheme"), F.lit("")) != ""))
+    df = df.withColumn("_valid", F.col("_q.ok") & (F.coalesce(F.col("_q.scheme"), F.lit("")) != ""))
     ok = F.col("url").isNotNull() & (F.col("url") != "") & F.col("_valid")
     allowed = (F.transform(F.col("allowed_domains"), effective_domain) if "allowed_domains" in requests.columns
                else F.lit(None).cast("array<string>"))
-    host_rule = F.array(effective_domain(F.col("_q_host")))
+    host_rule = F.array(effective_domain(F.col("_q.host")))
     accepted = df.filter(ok).select(
         F.col("url").alias("start_url"),
         F.coalesce(F.col("max_depth"), F.lit(DEFAULT_MAX_DEPTH)).alias("max_depth"),

@@ -1,7 +1,9 @@
 """Link graph operators (L1-L4).
 
-Links stay partitioned by page: the anchors come out of the page-partitioned
-HTML job and the within-page dedupe window is partitioned by the same key.
+Links come out of the page's own fold, with the page's address, so the HTML is
+neither shuffled nor joined. A canonical URL is one expression, computed once
+by a generator that also drops what does not parse; only the link rows that
+are left move, for the first occurrence within a page.
 """
 
 from __future__ import annotations
@@ -9,38 +11,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.functions.urls import with_canonical
-from weft.operators.html import anchors, html_elements
+from weft.functions.urls import with_canonical, with_known_canonical
+from weft.operators.html import anchors
 from weft.operators.rules import with_allowed
 from weft.operators.urls import filter_media_links
-from weft.session import checkpoint_dir
 
 
-def page_links(pages: DataFrame, elements: DataFrame | None = None, materialize: bool = True) -> DataFrame:
-    """L1: ``page_id, src_url, pos, href, text`` (anchors with non-empty href and text).
-
-    The link table is the HTML job's product that L2-L4 and the frontier all
-    read, so by default it is written once to the cluster's checkpoint folder
-    (reliable ``checkpoint``): later URL work plans against a short lineage and
-    a lost executor does not re-run the HTML job.
-    """
-    e = elements if elements is not None else html_elements(pages, ("anchor",))
-    a = anchors(e)
-    urls = pages.select("page_id", F.col("url").alias("src_url"))
-    out = a.join(urls, "page_id").select("page_id", "src_url", "pos", "href", "text")
-    if materialize:
-        checkpoint_dir(out.sparkSession)
-        out = out.checkpoint()
-    return out
+def page_links(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """L1: ``page_id, src_url, pos, href, text`` (anchors with non-empty href and text), and the page's columns named by ``keep``."""
+    a = anchors(pages, keep=("url", *keep))
+    return a.select("page_id", F.col("url").alias("src_url"), "pos", "href", "text", *keep)
 
 
 def filter_valid_links(links: DataFrame, rules: DataFrame | None = None, base: str = "src_url",
                        crawl: str = "crawl_id") -> DataFrame:
     """L2: keep anchors whose href canonicalises against ``base`` (the original job URL)
     and, with rules, is allowed; the stored href stays raw."""
-    c = with_canonical(links, "href", base, "_canon")
-    checkpoint_dir(c.sparkSession)
-    c = c.checkpoint().filter(F.col("_canon").isNotNull())
+    c = with_known_canonical(links, "href", base, "_canon")
     if rules is not None:
         c = with_allowed(c, rules, "_canon", crawl, "_ok").filter(F.col("_ok")).drop("_ok")
     return c.drop("_canon")
@@ -59,12 +46,7 @@ def outlinks(links: DataFrame, rules: DataFrame | None = None, src: str = "src_u
     if depth is not None and max_depth is not None:
         df = df.filter(F.col(depth) < F.col(max_depth))
     df = with_canonical(df, src, None, "_page_canon")
-    df = with_canonical(df, "href", "_page_canon", "dst_url").drop("_page_canon")
-    # Materialise the canonical targets: the filters and the window below would otherwise
-    # inline the whole canonicalisation expression into every predicate.
-    checkpoint_dir(df.sparkSession)
-    df = df.checkpoint()
-    df = df.filter(F.col("dst_url").isNotNull())
+    df = with_known_canonical(df, "href", "_page_canon", "dst_url").drop("_page_canon")
     w = Window.partitionBy("page_id", "dst_url").orderBy("pos")
     df = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
     if rules is not None:
@@ -74,7 +56,4 @@ def outlinks(links: DataFrame, rules: DataFrame | None = None, src: str = "src_u
 
 def renormalize(links: DataFrame, url: str = "dst_url") -> DataFrame:
     """L4: canonicalise once more with no base (drops NULLs); only stacked ``www.www.`` hosts change."""
-    c = with_canonical(links, url, None, "_again")
-    checkpoint_dir(c.sparkSession)
-    c = c.checkpoint()
-    return c.filter(F.col("_again").isNotNull()).withColumn(url, F.col("_again")).drop("_again")
+    return with_known_canonical(links, url, None, "_again").withColumn(url, F.col("_again")).drop("_again")

@@ -2,41 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: approximate token rule (words and single punctuation marks).
 TOKEN_PATTERN = r"\w+|[^\w\s]"
 
 
-def page_stats(docs: DataFrame, pages: DataFrame | None = None) -> DataFrame:
-    """Per page raw text length, element counts, response length (characters) and step flags."""
-    d = docs.select(
-        "page_id",
-        F.length("raw_text").cast("bigint").alias("raw_text_length"),
-        F.size("headings").cast("bigint").alias("headings_count"),
-        F.size("paragraphs").cast("bigint").alias("paragraphs_count"),
-        F.size("lists").cast("bigint").alias("lists_count"),
-        F.size("tables").cast("bigint").alias("tables_count"),
-        F.size("links").cast("bigint").alias("links_count"),
-        F.col("raw_text").isNotNull().alias("extraction_success"),
-    )
-    if pages is not None:
-        d = d.join(pages.select("page_id", F.length("html").cast("bigint").alias("response_size")), "page_id")
-    return d
-
-
-def crawl_volume(volume: DataFrame, pages: DataFrame) -> DataFrame:
-    """A8 per crawl: sums of ``page_volume`` over the crawl's pages (``page_id, crawl_id``)."""
-    return volume.join(pages.select("page_id", "crawl_id"), "page_id").groupBy("crawl_id").agg(
-        F.sum("total_size_bytes").alias("total_size_bytes"), F.sum("token_count").alias("token_count"), F.count("*").cast("bigint").alias("pages"))
+def utf16_length(text: str | Column) -> Column:
+    """Length in UTF-16 units, as JavaScript counts characters."""
+    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("bigint")
+
+
+def measured(pages: DataFrame) -> DataFrame:
+    """Pages with ``response_size`` (characters) and ``total_size_bytes`` (UTF-8 bytes) of their HTML, to be kept by ``documents``."""
+    return pages.withColumns({"response_size": utf16_length("html"), "total_size_bytes": F.octet_length("html").cast("bigint")})
+
+
+def page_stats(docs: DataFrame) -> DataFrame:
+    """Per page raw text length, element counts, response length (all lengths in UTF-16 units) and the step flag.
+
+    docs: ``documents`` of ``measured`` pages that kept ``response_size``. Of a page that could not be extracted nothing is
+    counted.
+    """
+    def if_extracted(value: Column) -> Column:
+        return F.when(F.col("extraction_success"), value.cast("bigint"))
 
+    counts = [if_extracted(F.size(c)).alias(f"{c}_count") for c in ("headings", "paragraphs", "lists", "tables", "links")]
+    return docs.select("page_id", if_extracted(utf16_length("raw_text")).alias("raw_text_length"), *counts, "extraction_success", "response_size")
 
-def page_volume(pages: DataFrame, docs: DataFrame) -> DataFrame:
-    """Per page UTF-8 bytes of the response and an approximate token count of the raw text."""
-    v = pages.select("page_id", F.octet_length("html").cast("bigint").alias("total_size_bytes"))
-    t = docs.select("page_id", F.regexp_count("raw_text", F.lit(TOKEN_PATTERN)).cast("bigint").alias("token_count"))
-    return v.join(t, "page_id")
+
+def page_volume(docs: DataFrame) -> DataFrame:
+    """Per page UTF-8 bytes of the response and an approximate token count of the raw text (and the crawl, where kept).
+
+    docs: ``documents`` of ``measured`` pages that kept ``total_size_bytes``.
+    """
+    crawl = [c for c in ("crawl_id",) if c in docs.columns]
+    return docs.select("page_id", *crawl, "total_size_bytes", F.regexp_count("raw_text", F.lit(TOKEN_PATTERN)).cast("bigint").alias("token_count"))
+
+
+def crawl_volume(volume: DataFrame) -> DataFrame:
+    """A8 per crawl: sums of ``page_volume`` over the crawl's pages."""
+    return volume.groupBy("crawl_id").agg(
+        F.sum("total_size_bytes").alias("total_size_bytes"), F.sum("token_count").alias("token_count"), F.count("*").cast("bigint").alias("pages"))
 
 
 def upsert_pages(target: DataFrame, new: DataFrame, key=("crawl_id", "url"), order: str = "ts") -> DataFrame:

@@ -1,10 +1,9 @@
 """robots.txt rules per origin.
 
 Each robots file is parsed once per origin (lines exploded, groups found with a
-running count over user-agent lines), the ``*`` group's rules are gathered
-into one array per origin, and URLs are matched by an equi-join on origin:
-every URL meets exactly one rule array, so no URL x rule pairs are emitted.
-A hot origin is handled by AQE's skew-join split of the URL side.
+running count over user-agent lines), and URLs meet only the rules whose
+literal head begins their path, by an equi-join on (origin, head). Equal paths
+of an origin are matched once; a hot origin spreads over its paths.
 
 Choices (the reference leaves them to a library): RFC 9309 longest match,
 Allow wins ties, ``*`` and ``$`` wildcards, the path includes the query;
@@ -16,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.functions.urls import with_url_parts
+from weft.functions.urls import parsed_against
 
 
 def _as_path(c):
@@ -27,10 +26,10 @@ def _as_path(c):
 
 
 def robots_rules(robots: DataFrame) -> DataFrame:
-    """``origin, rules ARRAY<STRUCT<len INT, allow BOOLEAN, anchored BOOLEAN, parts ARRAY<STRING>>>`` for the ``*`` group.
+    """One row for each rule of the ``*`` group: ``origin, len, allow, anchored, parts ARRAY<STRING>, head``.
 
     A leading byte order mark and any whitespace around fields are dropped. ``parts``
-    is the rule split at its wildcards.
+    is the rule split at its wildcards, ``head`` the first of them.
     """
     body = F.regexp_replace(F.coalesce("body", F.lit("")), "^\ufeff", "")
     lines = robots.select("origin", F.posexplode(F.split(body, r"\r\n|\r|\n")).alias("ln", "line"))
@@ -47,9 +46,8 @@ def robots_rules(robots: DataFrame) -> DataFrame:
     rules = lines.filter(~is_ua & (F.col("val") != "")).join(star.filter("star"), ["origin", "grp"], "left_semi")
     anchored = F.col("val").endswith("$")
     core = _as_path(F.when(anchored, F.expr("substring(val, 1, length(val) - 1)")).otherwise(F.col("val")))
-    rules = rules.select("origin", F.struct(F.length(core).alias("len"), (F.col("key") == "allow").alias("allow"),
-                                            anchored.alias("anchored"), F.split(core, r"\*+", -1).alias("parts")).alias("r"))
-    return rules.groupBy("origin").agg(F.collect_list("r").alias("rules"))
+    return rules.select("origin", F.length(core).alias("len"), (F.col("key") == "allow").alias("allow"), anchored.alias("anchored"),
+                        F.split(core, r"\*+", -1).alias("parts")).withColumn("head", F.col("parts")[0]).distinct()
 
 
 def _matches(target, r):
@@ -67,18 +65,25 @@ def _matches(target, r):
 
 
 def robots_allowed(urls: DataFrame, robots: DataFrame, url: str = "url", out: str = "robots_allowed") -> DataFrame:
-    """Add ``out``: whether the origin's robots.txt allows ``url`` (canonical, as requests are made) for any user agent."""
-    p = with_url_parts(urls, url, None, prefix="_o")
-    origin = F.concat(F.col("_o_scheme"), F.lit("://"), F.col("_o_host"),
-                      F.when(F.col("_o_port") != "", F.concat(F.lit(":"), F.col("_o_port"))).otherwise(F.lit("")))
-    target = F.concat(F.col("_o_path"), F.when(F.col("_o_query").isNotNull(),
-                                               F.concat(F.lit("?"), F.col("_o_query"))).otherwise(F.lit("")))
-    p = p.withColumns({"_origin": origin, "_target": _as_path(target)})
-    r = robots_rules(robots)
-    j = p.join(r, p["_origin"] == r["origin"], "left")
-    hits = F.filter(F.col("rules"), lambda x: _matches(F.col("_target"), x))
-    best = F.aggregate(hits, F.struct(F.lit(-1).alias("len"), F.lit(True).alias("allow")),
-                       lambda acc, x: F.when((x["len"] > acc["len"]) | ((x["len"] == acc["len"]) & x["allow"]),
-                                             F.struct(x["len"].alias("len"), x["allow"].alias("allow"))).otherwise(acc))
-    j = j.withColumn(out, F.when(F.col("rules").isNull(), F.lit(True)).otherwise(best["allow"]))
-    return j.drop("origin", "rules", "_origin", "_target", *[c for c in j.columns if c.startswith("_o_")])
+    """Add ``out``: whether the origin's robots.txt allows ``url`` (canonical, as requests are made) for any user agent.
+
+    A rule can only match a path that begins with its head. Each different path of an origin gives its beginnings of the lengths
+    that the origin's heads have, and those are looked up among the heads: an equi-join on (origin, head). Only the rules found
+    there are matched further, so an origin with many rules costs its matches, not rules times URLs.
+    """
+    def parts(u):
+        origin = F.concat(u["scheme"], F.lit("://"), u["host"], F.when(u["port"] != "", F.concat(F.lit(":"), u["port"])).otherwise(F.lit("")))
+        target = F.concat(u["path"], F.when(u["query"].isNotNull(), F.concat(F.lit("?"), u["query"])).otherwise(F.lit("")))
+        return F.struct(origin.alias("origin"), _as_path(target).alias("target"))
+
+    p = urls.withColumn("_o", parsed_against(url, None, parts)).withColumns({"_origin": F.col("_o.origin"), "_target": F.col("_o.target")}).drop("_o")
+    rules = robots_rules(robots)
+    lengths = rules.groupBy("origin").agg(F.collect_set(F.length("head")).alias("lengths"))
+    asked = p.filter("_origin is not null").select(F.col("_origin").alias("origin"), F.col("_target").alias("target")).distinct().join(lengths, "origin")
+    heads = asked.select("origin", "target", F.explode(F.filter("lengths", lambda n: n <= F.length("target"))).alias("n")).select(
+        "origin", "target", F.substring(F.col("target"), F.lit(1), F.col("n")).alias("head"))
+    hits = heads.join(rules, ["origin", "head"]).filter(_matches(F.col("target"), {c: F.col(c) for c in ("parts", "anchored")}))
+    # the longest rule decides, and of equally long ones an Allow
+    best = hits.groupBy("origin", "target").agg(F.max(F.struct("len", "allow")).alias("best")).select(
+        F.col("origin").alias("_origin"), F.col("target").alias("_target"), F.col("best.allow").alias("_allow"))
+    return p.join(best, ["_origin", "_target"], "left").withColumn(out, F.coalesce("_allow", F.lit(True))).select(*urls.columns, out)

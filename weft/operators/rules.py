@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.functions.urls import effective_domain, with_canonical, with_url_parts
+from weft.functions.urls import effective_domain, parsed_against, with_canonical
 from weft.operators.jobs import DEFAULT_EXCLUDED_PATHS
 
 # Error codes in the order a page is checked.
@@ -27,30 +27,40 @@ def make_rules(requests: DataFrame) -> DataFrame:
     )
 
 
+def _allowed_hosts(hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """The (crawl, host) pairs that equal one of the crawl's domains, or lie below one where subdomains are allowed.
+
+    The host and what follows each of its dots are looked up in the domains: an equi-join on (crawl, domain), so a crawl with
+    many domains costs its matches only.
+    """
+    domains = rules.select(F.col("crawl_id").alias("_c"), F.col("allow_subdomains").alias("_below"), F.explode("allowed_domains").alias("_domain")).distinct()
+    labels = F.split("_host", r"\.", -1)
+    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct((i > 1).alias("below"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("end")))
+    asked = hosts.select("_c", "_host", F.explode(ends).alias("_e")).select("_c", "_host", "_e.below", F.col("_e.end").alias("_domain"))
+    return asked.join(domains, ["_c", "_domain"]).filter(~F.col("below") | F.col("_below")).select("_c", "_host").distinct()
+
+
 def with_allowed(urls: DataFrame, rules: DataFrame, url: str = "url", crawl: str = "crawl_id",
                  out: str = "allowed") -> DataFrame:
     """D2 as a flag: add ``out`` (False for invalid URLs).
 
-    (b) no allowed domains: allowed, path check skipped; (c) host equals an
+    (b) no allowed domains (or no rules for the crawl): allowed, path check skipped; (c) host equals an
     allowed domain, or ends with ``.domain`` when subdomains are allowed;
     (d) unless paths are ignored, the lower-cased path must not start with an
-    excluded path. Rules are joined by crawl id; Spark's own statistics choose the
-    join.
+    excluded path. Rules are joined by crawl id and hosts by (crawl, host); each host is
+    looked up once. Spark's own statistics choose the joins.
     """
-    r = rules.select(F.col("crawl_id").alias("_rc"), F.col("allowed_domains").alias("_ad"),
-                     F.col("allow_subdomains").alias("_as"), F.col("ignore_paths").alias("_ip"),
-                     F.col("excluded_paths").alias("_ep"))
-    p = with_url_parts(urls, url, None, prefix="_a")
-    p = p.join(r, p[crawl] == r["_rc"], "left")
-    host = effective_domain(F.col("_a_host"))
-    dom_ok = F.exists(F.col("_ad"), lambda d: (host == d) | (F.col("_as") & host.endswith(F.concat(F.lit("."), d))))
-    path = F.lower(F.col("_a_path"))
-    path_ok = F.col("_ip") | ~F.exists(F.coalesce(F.col("_ep"), F.array().cast("array<string>")),
-                                       lambda e: path.startswith(F.lower(e)))
-    flag = F.col("_a_ok") & F.when(F.size(F.coalesce(F.col("_ad"), F.array().cast("array<string>"))) == 0, F.lit(True)).otherwise(
-        dom_ok & F.coalesce(path_ok, F.lit(True)))
-    p = p.withColumn(out, F.coalesce(flag, F.lit(False)))
-    return p.drop("_rc", "_ad", "_as", "_ip", "_ep", *[c for c in p.columns if c.startswith("_a_")])
+    no_paths = F.array().cast("array<string>")
+    r = rules.select(F.col("crawl_id").alias("_rc"), (F.size(F.coalesce("allowed_domains", no_paths)) > 0).alias("_bound"),
+                     F.when(F.coalesce("ignore_paths", F.lit(False)), no_paths).otherwise(F.transform(F.coalesce("excluded_paths", no_paths), F.lower)).alias("_ep"))
+    parts = lambda u: F.struct(u["ok"].alias("ok"), effective_domain(u["host"]).alias("host"), F.lower(u["path"]).alias("path"))
+    p = urls.withColumn("_a", parsed_against(url, None, parts)).withColumns({"_host": F.col("_a.host"), "_c": F.col(crawl)})
+    found = _allowed_hosts(p.filter("_a.ok").select("_c", "_host").distinct(), rules).withColumn("_in", F.lit(True))
+    p = p.join(r, p["_c"] == r["_rc"], "left").join(found, ["_c", "_host"], "left")
+    barred = F.exists(F.coalesce("_ep", no_paths), lambda e: F.col("_a.path").startswith(e))
+    bound = F.coalesce("_bound", F.lit(False))
+    flag = F.col("_a.ok") & (~bound | (F.coalesce("_in", F.lit(False)) & ~barred))
+    return p.withColumn(out, F.coalesce(flag, F.lit(False))).select(*urls.columns, out)
 
 
 def filter_allowed(urls: DataFrame, rules: DataFrame, url: str = "url", crawl: str = "crawl_id") -> DataFrame:

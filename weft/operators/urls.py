@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.functions.urls import (effective_domain, url_host, with_canonical, with_resolved, with_url_parts,
-                                 with_validity)
+from weft.functions.urls import effective_domain, parsed_against, with_canonical, with_resolved, with_url_parts, with_validity
 
 # File extensions that are never crawled (U4), and the frontier's media filter.
 NON_CRAWLABLE_EXT = ["jpg", "jpeg", "png", "gif", "ico", "pdf", "doc", "docx", "xls", "xlsx", "zip", "tar", "gz",
@@ -37,9 +36,9 @@ def filter_crawlable(df: DataFrame, url: str = "url") -> DataFrame:
     """U4: http(s) URLs whose path does not end (any case) in a non-crawlable extension."""
     p = with_url_parts(df, url, None, prefix="_k")
     ext = "|".join(NON_CRAWLABLE_EXT)
-    keep = (F.col("_k_ok") & F.col("_k_scheme").isin("http", "https")
-            & ~F.col("_k_path").rlike(rf"(?i)\.({ext})$"))
-    return p.filter(keep).drop(*[c for c in p.columns if c.startswith("_k_")])
+    keep = (F.col("_k.ok") & F.col("_k.scheme").isin("http", "https")
+            & ~F.col("_k.path").rlike(rf"(?i)\.({ext})$"))
+    return p.filter(keep).drop("_k")
 
 
 def filter_media_links(df: DataFrame, url: str = "url") -> DataFrame:
@@ -50,10 +49,8 @@ def filter_media_links(df: DataFrame, url: str = "url") -> DataFrame:
 
 def with_domain(df: DataFrame, url: str = "url", out: str = "domain") -> DataFrame:
     """Add ``out`` = effective domain of ``url`` (host, lower-case, one ``www.`` removed; NULL if invalid)."""
-    p = with_url_parts(df, url, None, prefix="_d")
-    dom = F.when(F.col("_d_ok") & F.col("_d_hasauth"), effective_domain(F.col("_d_host")))
-    p = p.withColumn(out, F.when(dom != "", dom))
-    return p.drop(*[c for c in p.columns if c.startswith("_d_")])
+    known = lambda u: F.nullif(F.when(u["ok"] & u["hasauth"], effective_domain(u["host"])), F.lit(""))
+    return df.withColumn(out, parsed_against(url, None, known))
 
 
 def pages_by_domain(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -78,6 +75,3 @@ def duplicate_url_groups(pages: DataFrame, url: str = "url") -> DataFrame:
     return c.groupBy("url_canon").agg(F.count("*").cast("bigint").alias("n_urls"),
                                       F.min("page_id").alias("first_page_id"))
 
-
-def url_host_of(url: Column) -> Column:
-    return url_host(url)

@@ -631,27 +631,41 @@ def q_documents(spark, sf):
                     *[F.size(c).cast("bigint").alias(f"n_{c}") for c in ("headings", "paragraphs", "lists", "tables", "links")])
 
 
+_UTF16 = "CAST(length({x}) + len(regexp_extract_all({x}, '[\\x{{10000}}-\\x{{10FFFF}}]')) AS BIGINT)"
+
+
 @query("page_stats", wq([], [TOKENS, _RAW, _HEADS, _PARAS, _ANCH, _ANCHORS], f"""
-    SELECT p.page_id, CAST(length(r.raw_text) AS BIGINT) AS raw_text_length,
-        (SELECT count(*) FROM hd WHERE hd.page_id = p.page_id) AS headings_count,
-        (SELECT count(*) FROM pa WHERE pa.page_id = p.page_id AND {clean('pa.content_raw')} <> '') AS paragraphs_count,
-        (SELECT count(*) FROM tk WHERE tk.page_id = p.page_id AND kind = 'open' AND tag IN ('ul','ol','dl')) AS lists_count,
-        (SELECT count(*) FROM tk WHERE tk.page_id = p.page_id AND kind = 'open' AND tag = 'table') AS tables_count,
-        (SELECT count(*) FROM anchors_ok a WHERE a.page_id = p.page_id) AS links_count,
-        true AS extraction_success, CAST(length(p.html) AS BIGINT) AS response_size
+    SELECT p.page_id, p.page_id % 10 <> 9 AS extraction_success, CASE WHEN p.page_id % 10 <> 9 THEN {_UTF16.format(x='r.raw_text')} END AS raw_text_length,
+        CASE WHEN p.page_id % 10 <> 9 THEN (SELECT count(*) FROM hd WHERE hd.page_id = p.page_id) END AS headings_count,
+        CASE WHEN p.page_id % 10 <> 9 THEN (SELECT count(*) FROM pa WHERE pa.page_id = p.page_id AND {clean('pa.content_raw')} <> '') END AS paragraphs_count,
+        CASE WHEN p.page_id % 10 <> 9 THEN (SELECT count(*) FROM tk WHERE tk.page_id = p.page_id AND kind = 'open' AND tag IN ('ul','ol','dl')) END AS lists_count,
+        CASE WHEN p.page_id % 10 <> 9 THEN (SELECT count(*) FROM tk WHERE tk.page_id = p.page_id AND kind = 'open' AND tag = 'table') END AS tables_count,
+        CASE WHEN p.page_id % 10 <> 9 THEN (SELECT count(*) FROM anchors_ok a WHERE a.page_id = p.page_id) END AS links_count,
+        CASE WHEN p.page_id % 10 <> 9 THEN {_UTF16.format(x='p.html')} END AS response_size
     FROM pages p JOIN raw r ON r.page_id = p.page_id"""))
 def q_page_stats(spark, sf):
-    p = _pages(spark, sf)
-    return PG.page_stats(H.documents(p), p)
+    """A7 on responses of which every tenth has no body."""
+    p = _pages(spark, sf).withColumn("html", F.when(F.col("page_id") % 10 != 9, F.col("html")))
+    return PG.page_stats(H.documents(PG.measured(p), keep=("response_size",)))
 
 
-@query("page_volume", wq([], [TOKENS, _RAW], """
-    SELECT p.page_id, CAST(strlen(p.html) AS BIGINT) AS total_size_bytes,
+_VOLUME = """SELECT p.page_id, CAST(strlen(p.html) AS BIGINT) AS total_size_bytes,
         CAST(len(regexp_extract_all(r.raw_text, '\\w+|[^\\w\\s]')) AS BIGINT) AS token_count
-    FROM pages p JOIN raw r ON r.page_id = p.page_id"""))
+    FROM pages p JOIN raw r ON r.page_id = p.page_id"""
+
+
+@query("page_volume", wq([], [TOKENS, _RAW], _VOLUME))
 def q_page_volume(spark, sf):
-    p = _pages(spark, sf)
-    return PG.page_volume(p, H.documents(p))
+    return PG.page_volume(H.documents(PG.measured(_pages(spark, sf)), keep=("total_size_bytes",)))
+
+
+@query("crawl_volume", wq([], [TOKENS, _RAW, f"v AS ({_VOLUME})"], """
+    SELECT 'c' || CAST(page_id % 4 AS VARCHAR) AS crawl_id, CAST(sum(total_size_bytes) AS BIGINT) AS total_size_bytes, CAST(sum(token_count) AS BIGINT) AS token_count,
+        count(*) AS pages FROM v GROUP BY 1"""))
+def q_crawl_volume(spark, sf):
+    """A8 per crawl: four crawls share the pages."""
+    p = _pages(spark, sf).withColumn("crawl_id", F.concat(F.lit("c"), (F.col("page_id") % 4).cast("string")))
+    return PG.crawl_volume(PG.page_volume(H.documents(PG.measured(p), keep=("crawl_id", "total_size_bytes"))))
 
 
 @query("drop_empty_documents", wq(["fx_responses"], [TOKENS.replace("FROM pages)", "FROM fx_responses WHERE status = 200)", 1),
@@ -747,8 +761,7 @@ def q_filter_valid_links(spark, sf):
     SELECT page_id, url_canon AS url, CASE WHEN host LIKE 'blog.%' THEN NOT starts_with(rest, '/fr/') OR starts_with(rest, '/fr/2')
         WHEN host LIKE 'm.%' THEN true WHEN substr(host, 2, 1) = 'h' THEN NOT (rest LIKE '/%e%') ELSE true END AS robots_allowed FROM o"""))
 def q_robots_allowed(spark, sf):
-    checkpoint_dir(spark)
-    urls = U.canonicalize_urls(_pages(spark, sf).select("page_id", "url")).select("page_id", F.col("url_canon").alias("url")).checkpoint()
+    urls = U.canonicalize_urls(_pages(spark, sf).select("page_id", "url")).select("page_id", F.col("url_canon").alias("url"))
     return RB.robots_allowed(urls, T.robots_files(spark, sf)).select("page_id", "url", "robots_allowed")
 
 
