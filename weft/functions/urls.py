@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -349,29 +350,70 @@ def canonical_url(url: str | Column, base: str | Column | None = None) -> Column
 
 # ---- as columns of a table -----------------------------------------------------------------------
 
-def with_url_parts(df: DataFrame, url: str, base: str | Column | None = None, prefix: str = "_u") -> DataFrame:
+_FORMS: dict[str, Callable[[Column], Column]] = {
+    "parts": lambda u: u,
+    "canonical": canonical,
+    "resolved": serialized,
+    "valid": lambda u: u["ok"] & F.coalesce(u["scheme"] != "", F.lit(False)),
+}
+_built: dict[tuple, Column] = {}
+
+
+def _form(form: str, df: DataFrame, url: str | Column, base: str | Column | None) -> tuple[DataFrame, Column]:
+    """``df`` with the URL and the base under fixed names, and the expression over those names.
+
+    Building an expression of this size takes seconds of calls into the JVM, so each is built once and shared by all tables.
+    """
+    key = (form, base is not None, id(SparkContext._jvm))
+    if key not in _built:
+        _built[key] = parsed_against("_weft_url", None if base is None else "_weft_base", _FORMS[form])
+    named = {"_weft_url": _column(url)} if base is None else {"_weft_url": _column(url), "_weft_base": _column(base)}
+    return df.withColumns(named), _built[key]
+
+
+def with_once(df: DataFrame, value: Column, out: str, known: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Add ``out`` = ``value``, computed once for each row; with ``known`` only rows where that is true of it.
+
+    The optimizer copies an expression into every filter on it, also into those that it infers from joins; what a generator puts
+    out it only refers to.
+    """
+    one = F.array(value)
+    return df.select("*", F.explode(one if known is None else F.filter(one, known)).alias(out))
+
+
+def _with_form(form: str, df: DataFrame, url: str | Column, base: str | Column | None, out: str, known: Callable[[Column], Column] | None = None) -> DataFrame:
+    named, value = _form(form, df, url, base)
+    return with_once(named, value, out, known).drop("_weft_url", "_weft_base")
+
+
+def with_url_parts(df: DataFrame, url: str | Column, base: str | Column | None = None, prefix: str = "_u") -> DataFrame:
     """Add ``prefix``: the struct of ``parsed`` (resolved against ``base``)."""
-    return df.withColumn(prefix, parsed_against(url, base, lambda u: u))
+    return _with_form("parts", df, url, base, prefix)
 
 
-def with_canonical(df: DataFrame, url: str, base: str | Column | None = None, out: str = "url_canon") -> DataFrame:
+def with_canonical(df: DataFrame, url: str | Column, base: str | Column | None = None, out: str = "url_canon") -> DataFrame:
     """Add ``out``: canonical form of ``url`` (resolved against ``base``), NULL if it does not parse."""
-    return df.withColumn(out, canonical_url(url, base))
+    return _with_form("canonical", df, url, base, out)
+
+
+def with_known_canonical(df: DataFrame, url: str | Column, base: str | Column | None = None, out: str = "url_canon") -> DataFrame:
+    """As ``with_canonical``, without the rows that do not parse."""
+    return _with_form("canonical", df, url, base, out, lambda x: x.isNotNull())
 
 
-def with_known_canonical(df: DataFrame, url: str, base: str | Column | None = None, out: str = "url_canon") -> DataFrame:
-    """As ``with_canonical``, without the rows that do not parse; computed once, also where filters on ``out`` follow."""
-    return df.select("*", F.explode(F.filter(F.array(canonical_url(url, base)), lambda x: x.isNotNull())).alias(out))
+def with_known_parts(df: DataFrame, url: str | Column, base: str | Column | None = None, prefix: str = "_u") -> DataFrame:
+    """As ``with_url_parts``, without the rows that do not parse."""
+    return _with_form("parts", df, url, base, prefix, lambda x: x["ok"])
 
 
-def with_resolved(df: DataFrame, url: str, base: str | Column | None = None, out: str = "url_abs") -> DataFrame:
+def with_resolved(df: DataFrame, url: str | Column, base: str | Column | None = None, out: str = "url_abs") -> DataFrame:
     """Add ``out``: ``url`` resolved against ``base`` and serialised (WHATWG href), NULL if invalid."""
-    return df.withColumn(out, parsed_against(url, base, serialized))
+    return _with_form("resolved", df, url, base, out)
 
 
-def with_validity(df: DataFrame, url: str, out: str = "is_valid") -> DataFrame:
+def with_validity(df: DataFrame, url: str | Column, out: str = "is_valid") -> DataFrame:
     """Add ``out``: True iff ``url`` parses as an absolute URL on its own."""
-    return df.withColumn(out, parsed_against(url, None, lambda u: u["ok"] & F.coalesce(u["scheme"] != "", F.lit(False))))
+    return _with_form("valid", df, url, None, out)
 
 
 # ---- cheap column functions on URLs that are already absolute and canonical ----------------------

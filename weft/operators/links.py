@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from weft.functions.urls import with_canonical, with_known_canonical
 from weft.operators.html import anchors
-from weft.operators.rules import with_allowed
+from weft.operators.rules import filter_allowed
 from weft.operators.urls import filter_media_links
 
 
@@ -29,7 +29,7 @@ def filter_valid_links(links: DataFrame, rules: DataFrame | None = None, base: s
     and, with rules, is allowed; the stored href stays raw."""
     c = with_known_canonical(links, "href", base, "_canon")
     if rules is not None:
-        c = with_allowed(c, rules, "_canon", crawl, "_ok").filter(F.col("_ok")).drop("_ok")
+        c = filter_allowed(c, rules, "_canon", crawl)
     return c.drop("_canon")
 
 
@@ -50,7 +50,7 @@ def outlinks(links: DataFrame, rules: DataFrame | None = None, src: str = "src_u
     w = Window.partitionBy("page_id", "dst_url").orderBy("pos")
     df = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
     if rules is not None:
-        df = with_allowed(df, rules, "dst_url", crawl, "_ok").filter(F.col("_ok")).drop("_ok")
+        df = filter_allowed(df, rules, "dst_url", crawl)
     return filter_media_links(df, "dst_url")
 
 

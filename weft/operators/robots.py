@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.functions.urls import parsed_against
+from weft.functions.urls import with_once, with_url_parts
 
 
 def _as_path(c):
@@ -71,12 +71,10 @@ def robots_allowed(urls: DataFrame, robots: DataFrame, url: str = "url", out: st
     that the origin's heads have, and those are looked up among the heads: an equi-join on (origin, head). Only the rules found
     there are matched further, so an origin with many rules costs its matches, not rules times URLs.
     """
-    def parts(u):
-        origin = F.concat(u["scheme"], F.lit("://"), u["host"], F.when(u["port"] != "", F.concat(F.lit(":"), u["port"])).otherwise(F.lit("")))
-        target = F.concat(u["path"], F.when(u["query"].isNotNull(), F.concat(F.lit("?"), u["query"])).otherwise(F.lit("")))
-        return F.struct(origin.alias("origin"), _as_path(target).alias("target"))
-
-    p = urls.withColumn("_o", parsed_against(url, None, parts)).withColumns({"_origin": F.col("_o.origin"), "_target": F.col("_o.target")}).drop("_o")
+    u = with_url_parts(urls, url, None, "_o")
+    origin = F.concat("_o.scheme", F.lit("://"), "_o.host", F.when(F.col("_o.port") != "", F.concat(F.lit(":"), "_o.port")).otherwise(F.lit("")))
+    target = F.concat("_o.path", F.when(F.col("_o.query").isNotNull(), F.concat(F.lit("?"), "_o.query")).otherwise(F.lit("")))
+    p = with_once(u, F.struct(F.when(F.col("_o.ok"), origin).alias("origin"), _as_path(target).alias("target")), "_at").withColumns({"_origin": F.col("_at.origin"), "_target": F.col("_at.target")}).drop("_o", "_at")
     rules = robots_rules(robots)
     lengths = rules.groupBy("origin").agg(F.collect_set(F.length("head")).alias("lengths"))
     asked = p.filter("_origin is not null").select(F.col("_origin").alias("origin"), F.col("_target").alias("target")).distinct().join(lengths, "origin")

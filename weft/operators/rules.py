@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.functions.urls import effective_domain, parsed_against, with_canonical
+from weft.functions.urls import effective_domain, with_canonical, with_known_parts, with_url_parts
 from weft.operators.jobs import DEFAULT_EXCLUDED_PATHS
 
 # Error codes in the order a page is checked.
@@ -53,19 +53,40 @@ def with_allowed(urls: DataFrame, rules: DataFrame, url: str = "url", crawl: str
     no_paths = F.array().cast("array<string>")
     r = rules.select(F.col("crawl_id").alias("_rc"), (F.size(F.coalesce("allowed_domains", no_paths)) > 0).alias("_bound"),
                      F.when(F.coalesce("ignore_paths", F.lit(False)), no_paths).otherwise(F.transform(F.coalesce("excluded_paths", no_paths), F.lower)).alias("_ep"))
-    parts = lambda u: F.struct(u["ok"].alias("ok"), effective_domain(u["host"]).alias("host"), F.lower(u["path"]).alias("path"))
-    p = urls.withColumn("_a", parsed_against(url, None, parts)).withColumns({"_host": F.col("_a.host"), "_c": F.col(crawl)})
-    found = _allowed_hosts(p.filter("_a.ok").select("_c", "_host").distinct(), rules).withColumn("_in", F.lit(True))
+    p = with_url_parts(urls, url, None, "_a").withColumns({"_host": effective_domain(F.col("_a.host")), "_path": F.lower("_a.path"), "_valid": F.col("_a.ok"), "_c": F.col(crawl)}).drop("_a")
+    found = _allowed_hosts(p.filter("_valid").select("_c", "_host").distinct(), rules).withColumn("_in", F.lit(True))
     p = p.join(r, p["_c"] == r["_rc"], "left").join(found, ["_c", "_host"], "left")
-    barred = F.exists(F.coalesce("_ep", no_paths), lambda e: F.col("_a.path").startswith(e))
+    barred = F.exists(F.coalesce("_ep", no_paths), lambda e: F.col("_path").startswith(e))
     bound = F.coalesce("_bound", F.lit(False))
-    flag = F.col("_a.ok") & (~bound | (F.coalesce("_in", F.lit(False)) & ~barred))
+    flag = F.col("_valid") & (~bound | (F.coalesce("_in", F.lit(False)) & ~barred))
     return p.withColumn(out, F.coalesce(flag, F.lit(False))).select(*urls.columns, out)
 
 
 def filter_allowed(urls: DataFrame, rules: DataFrame, url: str = "url", crawl: str = "crawl_id") -> DataFrame:
-    """Keep the URLs that the crawl's rules allow."""
-    return with_allowed(urls, rules, url, crawl, "_ok").filter(F.col("_ok")).drop("_ok")
+    """Keep the URLs that the crawl's rules allow.
+
+    As ``with_allowed``, but in one pass over ``urls``: a crawl's domains are first reduced to those that lie below no other
+    allowed one, so a host has at most one of them, and is looked up only by as many labels as the crawl's domains have.
+    """
+    own = rules.select(F.col("crawl_id").alias("_c"), F.col("allow_subdomains").alias("_below"), F.explode("allowed_domains").alias("_domain")).distinct()
+    labels = F.split("_domain", r"\.", -1)
+    above = own.filter("_below").select("_c", "_domain", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.size(labels), F.lit(2))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("_up"))
+    held = own.select("_c", F.col("_domain").alias("_up"))
+    inner = above.filter("contains(_domain, '.')").join(held, ["_c", "_up"], "left_semi").select("_c", "_domain").distinct()
+    domains = own.join(inner, ["_c", "_domain"], "left_anti").withColumn("_in", F.lit(True))
+    no_paths = F.array().cast("array<string>")
+    sizes = domains.groupBy("_c").agg(F.collect_set(F.size(F.split("_domain", r"\.", -1))).alias("_sizes"))
+    r = rules.select(F.col("crawl_id").alias("_c"), F.col("allow_subdomains").alias("_deep"),
+                     F.when(F.coalesce("ignore_paths", F.lit(False)), no_paths).otherwise(F.transform(F.coalesce("excluded_paths", no_paths), F.lower)).alias("_ep")).join(sizes, "_c")
+    p = with_known_parts(urls, url, None, "_a").withColumns({"_host": effective_domain(F.col("_a.host")), "_path": F.lower("_a.path"), "_c": F.col(crawl)}).drop("_a").join(r, "_c", "left")
+    host = F.split("_host", r"\.", -1)
+    n = F.size(host)
+    ends = F.transform(F.filter("_sizes", lambda k: (k == n) | ((k < n) & F.col("_deep"))), lambda k: F.array_join(F.slice(host, n - k + 1, k), "."))
+    # a crawl without domains asks for no look-up: its one row passes
+    asked = p.withColumn("_domain", F.explode(F.when(F.col("_sizes").isNull(), F.array(F.lit(None).cast("string"))).otherwise(ends)))
+    barred = F.exists("_ep", lambda e: F.col("_path").startswith(e))
+    found = asked.join(domains.select("_c", "_domain", "_in"), ["_c", "_domain"], "left")
+    return found.filter(F.col("_sizes").isNull() | (F.col("_in") & ~barred)).select(*urls.columns)
 
 
 def validate_requests(df: DataFrame, rules: DataFrame, url: str = "url", crawl: str = "crawl_id"):

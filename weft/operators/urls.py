@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.functions.urls import effective_domain, parsed_against, with_canonical, with_resolved, with_url_parts, with_validity
+from weft.functions.urls import effective_domain, with_canonical, with_resolved, with_url_parts, with_validity
 
 # File extensions that are never crawled (U4), and the frontier's media filter.
 NON_CRAWLABLE_EXT = ["jpg", "jpeg", "png", "gif", "ico", "pdf", "doc", "docx", "xls", "xlsx", "zip", "tar", "gz",
@@ -49,8 +49,8 @@ def filter_media_links(df: DataFrame, url: str = "url") -> DataFrame:
 
 def with_domain(df: DataFrame, url: str = "url", out: str = "domain") -> DataFrame:
     """Add ``out`` = effective domain of ``url`` (host, lower-case, one ``www.`` removed; NULL if invalid)."""
-    known = lambda u: F.nullif(F.when(u["ok"] & u["hasauth"], effective_domain(u["host"])), F.lit(""))
-    return df.withColumn(out, parsed_against(url, None, known))
+    known = F.when(F.col("_d.ok") & F.col("_d.hasauth"), effective_domain(F.col("_d.host")))
+    return with_url_parts(df, url, None, "_d").withColumn(out, F.nullif(known, F.lit(""))).drop("_d")
 
 
 def pages_by_domain(pages: DataFrame, url: str = "url") -> DataFrame:
