@@ -93,14 +93,17 @@ def update_jobs(jobs: DataFrame, changes: DataFrame) -> DataFrame:
     Only fields that a change gives (non-NULL) are set; of several changes the
     latest that gives a field wins, ties going to the larger value. A field that
     ``jobs`` lacks becomes a new column, NULL elsewhere. Changes are reduced to
-    one row per id before the join (partial aggregation).
+    one row per id before the join (partial aggregation). ``processing_stats``, JSON
+    text of any fields, becomes a VARIANT.
     """
     fields = [c for c in changes.columns if c not in ("id", "ts")]
     latest = changes.groupBy("id").agg(*[
         F.max(F.when(F.col(c).isNotNull(), F.struct("ts", F.col(c).alias("v"))))["v"].alias(f"_new_{c}") for c in fields])
     j = jobs.join(latest, "id", "left")
     kept = [F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in fields else F.col(c) for c in jobs.columns]
-    return j.select(*kept, *[F.col(f"_new_{c}").alias(c) for c in fields if c not in jobs.columns])
+    out = j.select(*kept, *[F.col(f"_new_{c}").alias(c) for c in fields if c not in jobs.columns])
+    stats = dict(out.dtypes).get("processing_stats")
+    return out.withColumn("processing_stats", F.try_parse_json("processing_stats")) if stats == "string" else out
 
 
 # ---- J4-J6, J8 -------------------------------------------------------------------------------
@@ -115,8 +118,19 @@ def latest_job_state(events: DataFrame) -> DataFrame:
 
 
 def active_jobs(events: DataFrame) -> DataFrame:
-    """Jobs whose latest state is still open (added, not yet removed): ``crawl_id, job_id, added_at``."""
-    return latest_job_state(events).filter(F.col("state").isin(*OPEN_STATES)).select("crawl_id", "job_id", "added_at")
+    """Jobs whose latest state is still open (added, not yet removed): ``crawl_id, job_id, added_at``.
+
+    Where events carry ``metadata`` (JSON text, of any fields), the job's last one is given as a VARIANT; its field ``addedAt``,
+    if any, stands for the time. Text that is no JSON counts as none.
+    """
+    if "metadata" not in events.columns:
+        return latest_job_state(events).filter(F.col("state").isin(*OPEN_STATES)).select("crawl_id", "job_id", "added_at")
+    when = F.struct("ts", "event_id")
+    g = events.groupBy("crawl_id", "job_id").agg(F.max_by("state", when).alias("state"), F.min("ts").alias("added_at"),
+                                                 F.max_by("metadata", F.when(F.col("metadata").isNotNull(), when)).alias("metadata"))
+    g = g.filter(F.col("state").isin(*OPEN_STATES)).withColumn("metadata", F.try_parse_json("metadata"))
+    own = F.try_variant_get("metadata", "$.addedAt", "timestamp")
+    return g.select("crawl_id", "job_id", F.coalesce(own, F.col("added_at")).alias("added_at"), "metadata")
 
 
 def active_job_counts(events: DataFrame) -> DataFrame:
@@ -149,8 +163,12 @@ def crawl_stats(jobs: DataFrame, queue: DataFrame, n: int = 10) -> DataFrame:
     """
     top = recent_jobs(jobs, n).select("id", "status", "created_at")
     q = queue.join(F.broadcast(top.select(F.col("id").alias("crawl_id"))), "crawl_id", "left_semi")
-    counts = queue_counts(q)
-    j = top.join(counts, top["id"] == counts["crawl_id"], "left")
+    return crawl_stats_of(top, queue_counts(q))
+
+
+def crawl_stats_of(top: DataFrame, counts: DataFrame) -> DataFrame:
+    """J5 of the crawls ``top`` (``id, status``) from counts by crawl (``queue_counts``)."""
+    j = top.join(counts.select("crawl_id", "total", "waiting", "active", "completed", "failed", "is_complete"), top["id"] == counts["crawl_id"], "left")
     none = F.col("crawl_id").isNull()
     z = F.lit(0).cast("bigint")
     return j.select(
@@ -346,7 +364,8 @@ def queue_health(queue: DataFrame) -> DataFrame:
 
 # ---- W3 ---------------------------------------------------------------------------------------
 
-def within_quota(page_events: DataFrame, quotas: DataFrame, salt_buckets: int = 16) -> DataFrame:
+def within_quota(page_events: DataFrame, quotas: DataFrame, salt_buckets: int = 16, used: DataFrame | None = None,
+                 keep: tuple[str, ...] = ()) -> DataFrame:
     """Monthly page quota per user.
 
     Rows: ``user_id, url, ts, month, n (running count, only within quota),
@@ -355,10 +374,14 @@ def within_quota(page_events: DataFrame, quotas: DataFrame, salt_buckets: int =
     has none left. A hot user is split into ``salt_buckets`` buckets: only the first
     ``quota`` rows of each bucket can be among the user's first ``quota`` rows, so
     only those candidates are ranked; all others are over the quota as they are.
+    ``used`` (``user_id, month, used``): pages charged to the month before; ``keep``: further columns.
     """
     q = quotas.select("user_id", F.col("monthly_quota").alias("quota"))
     pe = page_events.withColumn("month", F.date_trunc("month", "ts")).join(q, "user_id", "left")
-    pe = pe.withColumn("quota", F.coalesce("quota", F.lit(0))).withColumn("_salt", F.pmod(F.xxhash64("url", "ts"), F.lit(salt_buckets)))
+    pe = pe.withColumn("quota", F.coalesce("quota", F.lit(0)))
+    if used is not None:
+        pe = pe.join(used.select("user_id", "month", "used"), ["user_id", "month"], "left").withColumn("quota", F.greatest(F.col("quota") - F.coalesce("used", F.lit(0)), F.lit(0)))
+    pe = pe.withColumn("_salt", F.pmod(F.xxhash64("url", "ts"), F.lit(salt_buckets)))
     order = [F.col("ts").asc(), F.col("url").asc()]
     w_local = Window.partitionBy("user_id", "month", "_salt").orderBy(*order)
     local = pe.withColumn("_ln", F.row_number().over(w_local))
@@ -366,7 +389,7 @@ def within_quota(page_events: DataFrame, quotas: DataFrame, salt_buckets: int =
     ranked = local.filter(F.col("_ln") <= F.col("quota")).withColumn("n", F.row_number().over(w_user))
     both = ranked.withColumn("n", F.when(F.col("n") <= F.col("quota"), F.col("n"))).unionByName(
         local.filter(F.col("_ln") > F.col("quota")).withColumn("n", F.lit(None).cast("int")))
-    return both.select("user_id", "url", "ts", "month", F.col("n").cast("bigint").alias("n"),
+    return both.select("user_id", "url", "ts", *keep, "month", F.col("n").cast("bigint").alias("n"),
                        F.col("n").isNotNull().alias("within_quota"),
                        F.when(F.col("n").isNotNull(), F.col("quota") - F.col("n")).otherwise(F.lit(0)).cast("bigint")
                        .alias("remaining"))

@@ -39,7 +39,7 @@ def outlinks(links: DataFrame, rules: DataFrame | None = None, src: str = "src_u
 
     Only pages with depth < max_depth (when given) expand. The href is
     canonicalised against the *canonical* page URL; NULLs dropped; the first
-    occurrence per page is kept; then domain rules and the media filter.
+    occurrence per page (of a crawl, where links name it) is kept; then domain rules and the media filter.
     Adds ``dst_url``.
     """
     df = links
@@ -47,7 +47,7 @@ def outlinks(links: DataFrame, rules: DataFrame | None = None, src: str = "src_u
         df = df.filter(F.col(depth) < F.col(max_depth))
     df = with_canonical(df, src, None, "_page_canon")
     df = with_known_canonical(df, "href", "_page_canon", "dst_url").drop("_page_canon")
-    w = Window.partitionBy("page_id", "dst_url").orderBy("pos")
+    w = Window.partitionBy(*(c for c in (crawl,) if c in df.columns), "page_id", "dst_url").orderBy("pos")
     df = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
     if rules is not None:
         df = filter_allowed(df, rules, "dst_url", crawl)

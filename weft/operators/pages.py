@@ -66,18 +66,33 @@ def upsert_pages(target: DataFrame, new: DataFrame, key=("crawl_id", "url"), ord
                     F.col("_was").isNull().alias("inserted"))
 
 
-def upsert_outcomes(upserted: DataFrame, new: DataFrame, jobs: DataFrame, quotas: DataFrame, key=("crawl_id", "url")) -> DataFrame:
-    """S6 answers: for each row of ``new`` (``crawl_id, url, ts``): ``inserted, quota_exceeded, pages_remaining``.
+def latest_by_key(new: DataFrame, key: tuple[str, ...], order: str) -> DataFrame:
+    """The row of each key with the largest ``order`` (of equal ones any), by a partial aggregate."""
+    rest = [c for c in new.columns if c not in key]
+    return new.groupBy(*key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_r")).select(*key, "_r.*").select(*new.columns)
 
-    Pages count against the crawl's user by month (W3); a page over the quota is not charged.
+
+def upsert_outcomes(target: DataFrame, new: DataFrame, jobs: DataFrame, quotas: DataFrame, key=("crawl_id", "url")) -> DataFrame:
+    """S6 answers: one row for each key of ``new`` (``crawl_id, url, ts``): ``inserted, quota_exceeded, pages_remaining``.
+
+    target: the pages stored before, with ``ts``, the time at which each was charged. A page that is new is charged to the
+    crawl's user in the month of its ``ts`` (the latest one, if the key occurs repeatedly); pages charged earlier in the month
+    count, and a page over the quota is not inserted. A page that is stored already is updated: not inserted, not charged, and
+    ``pages_remaining`` is what was left before. Crawls without a job give no rows.
     """
     from weft.operators.jobs import within_quota
-    owned = new.join(jobs.select(F.col("id").alias("crawl_id"), "user_id"), "crawl_id")
-    charged = within_quota(owned.select("user_id", F.to_json(F.struct(*key)).alias("url"), "ts"), quotas)
-    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in new.select(*key).schema)
-    charged = charged.select(F.from_json("url", keys).alias("k"), "user_id", "ts", "within_quota", "remaining").select("k.*", "user_id", "ts", "within_quota", "remaining")
-    return charged.join(upserted.select(*key, "inserted"), list(key)).select(
-        *key, "user_id", "ts", "inserted", (~F.col("within_quota")).alias("quota_exceeded"), F.col("remaining").alias("pages_remaining"))
+    key = list(key)
+    owner = jobs.select(F.col("id").alias("crawl_id"), "user_id")
+    month = F.date_trunc("month", "ts").alias("month")
+    latest = latest_by_key(new.select(*key, "ts"), tuple(key), "ts").join(owner, "crawl_id")
+    used = target.join(owner, "crawl_id").groupBy("user_id", month).agg(F.count("*").alias("used"))
+    seen = latest.join(target.select(*key).withColumn("_seen", F.lit(True)).distinct(), key, "left")
+    fresh = within_quota(seen.filter(F.col("_seen").isNull()).drop("_seen"), quotas, used=used, keep=tuple(k for k in key if k != "url")).select(
+        *key, "user_id", "ts", F.col("within_quota").alias("inserted"), (~F.col("within_quota")).alias("quota_exceeded"), F.col("remaining").alias("pages_remaining"))
+    left = F.greatest(F.coalesce("monthly_quota", F.lit(0)) - F.coalesce("used", F.lit(0)), F.lit(0)).cast("bigint")
+    known = (seen.filter("_seen").withColumn("month", month).join(used, ["user_id", "month"], "left").join(quotas.select("user_id", "monthly_quota"), "user_id", "left")
+             .select(*key, "user_id", "ts", F.lit(False).alias("inserted"), F.lit(False).alias("quota_exceeded"), left.alias("pages_remaining")))
+    return fresh.unionByName(known)
 
 
 def write_versioned(df: DataFrame, root: str, version: int) -> str:
@@ -88,33 +103,37 @@ def write_versioned(df: DataFrame, root: str, version: int) -> str:
 
 
 def append_logs(logs: DataFrame, path: str) -> None:
-    """Append ``crawl_job_id, level, message, metadata, ts`` rows, partitioned by day."""
+    """Append ``crawl_job_id, level, message, metadata, ts`` rows (metadata: VARIANT), partitioned by day."""
     (logs.withColumn("date", F.to_date("ts")).write.mode("append").partitionBy("date").parquet(path))
 
 
 def rejects_to_logs(rejects: DataFrame, id_col: str = "crawl_id") -> DataFrame:
-    """S8 input from E1 rejects: level 'error', message = error message, metadata as JSON."""
+    """S8 input from E1 rejects: level 'error', message = error message, metadata (VARIANT) with the address and the code."""
     return rejects.select(F.col(id_col).cast("string").alias("crawl_job_id"), F.lit("error").alias("level"),
                           F.col("error_message").alias("message"),
-                          F.to_json(F.struct("url", "error_code")).alias("metadata"),
+                          F.parse_json(F.to_json(F.struct("url", "error_code"))).alias("metadata"),
                           F.current_timestamp().alias("ts"))
 
 
-def nest_documents(docs: DataFrame, pages: DataFrame | None = None) -> DataFrame:
-    """The stored page row: ``extracted = {raw_text, structured{title, headings, ...}}``.
+_STRUCTURED = ("struct<title: string, headings: array<struct<type: string, level: int, content: string>>, paragraphs: array<struct<type: string, content: string>>, "
+               "lists: array<struct<type: string, list_type: string, content: string, items: array<string>>>, "
+               "tables: array<struct<type: string, content: string, headers: array<string>, rows: array<array<string>>>>, "
+               "links: array<struct<type: string, content: string, href: string, text: string>>>")
+#: S10's stored page row.
+STORED_SCHEMA = (f"crawl_id string, url string, title string, content_text string, extracted struct<raw_text: string, structured: {_STRUCTURED}>, "
+                 "depth int, processing_status string")
 
-    With ``pages`` (``page_id, crawl_id, url, depth``) also the crawl, address, depth and status 'completed'.
-    """
-    out = docs.select(
-        "page_id", "title", F.col("raw_text").alias("content_text"),
-        F.struct(F.col("raw_text").alias("raw_text"),
-                 F.struct("title", "headings", "paragraphs", "lists", "tables", "links").alias("structured")).alias("extracted"))
-    if pages is None:
-        return out
-    where = pages.select("page_id", "crawl_id", "url", "depth")
-    return where.join(out, "page_id").select("crawl_id", "url", "title", "content_text", "extracted", "depth", F.lit("completed").alias("processing_status"))
+
+def nest_documents(docs: DataFrame) -> DataFrame:
+    """The stored page row: ``extracted = {raw_text, structured{title, headings, ...}}``; where the documents kept
+    ``crawl_id, url, depth``, with those and the status 'completed', else with ``page_id``."""
+    extracted = F.struct(F.col("raw_text").alias("raw_text"), F.struct("title", "headings", "paragraphs", "lists", "tables", "links").alias("structured"))
+    content = ["title", F.col("raw_text").alias("content_text"), extracted.alias("extracted")]
+    if "crawl_id" not in docs.columns:
+        return docs.select("page_id", *content)
+    return docs.select("crawl_id", "url", *content, "depth", F.lit("completed").alias("processing_status"))
 
 
-def write_documents(docs: DataFrame, path: str, pages: DataFrame | None = None, mode: str = "errorifexists") -> None:
+def write_documents(docs: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write nested documents as parquet."""
-    nest_documents(docs, pages).write.mode(mode).parquet(path)
+    nest_documents(docs).write.mode(mode).parquet(path)

@@ -23,7 +23,8 @@ from weft.operators import pages as PG
 from weft.operators import robots as RB
 from weft.operators import rules as RU
 from weft.operators import urls as U
-from weft.plans.oracle import (FX, BLOCK_CLOSE, BLOCK_OPEN, TOKENS, _decode, _enc_path, canon_cte, clean, element_text_cte, href_expr, wq)
+from weft.plans.oracle import (FX, BLOCK_CLOSE, BLOCK_OPEN, TOKENS, _decode, _enc_path, canon_cte, clean, element_text_cte, href_expr,
+                               raw_state_tokens, wq)
 from weft.sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +47,16 @@ def _pages(spark, sf):
 
 # ======================= sources =================================================================
 
+@query("read_pages_json", wq(["fx_responses"], [],
+                             "SELECT page_id, url, status, md5(html) AS html_md5 FROM fx_responses WHERE status = 200 AND strlen(html) <= 10485760"))
+def q_read_pages_json(spark, sf):
+    """S1 from JSON lines: the responses written as such (with a line that is no JSON), and read again."""
+    path = f"{checkpoint_dir(spark)}/weft-lines/{uuid.uuid4().hex}"
+    lines = T.responses(spark, sf).select(F.to_json(F.struct("page_id", "url", "status", "html")).alias("value"))
+    lines.unionByName(spark.range(1).select(F.lit("{broken").alias("value"))).write.text(path)
+    return T.read_pages(spark, path, "json").select("page_id", "url", "status", F.md5(F.col("html").cast("binary")).alias("html_md5"))
+
+
 @query("read_pages", wq(["fx_responses"], [],
                         "SELECT page_id, url, status FROM fx_responses WHERE status = 200 AND strlen(html) <= 10485760"))
 def q_read_pages(spark, sf):
@@ -104,6 +115,20 @@ def q_update_jobs(spark, sf):
     return J.update_jobs(T.crawl_jobs(spark, sf), fin.unionByName(later))
 
 
+@query("job_processing_stats", wq(["fx_crawl_jobs", "fx_queue"], ["""c AS (SELECT crawl_id, count(*) AS n FROM fx_queue WHERE state IN ('waiting','active','delayed','failed') GROUP BY crawl_id)"""], """
+    SELECT j.id, CASE WHEN c.n IS NULL THEN j.status ELSE 'stopped' END AS status, c.n AS cleared, CASE WHEN c.n IS NOT NULL THEN TIMESTAMP '2024-05-06 07:08:09' END AS cleared_at
+    FROM fx_crawl_jobs j LEFT JOIN c ON c.crawl_id = j.id"""))
+def q_job_processing_stats(spark, sf):
+    """S7 with the processing statistics of a clear (A3), read back from the job rows."""
+    at = F.lit("2024-05-06 07:08:09").cast("timestamp")
+    q = T.queue_jobs(spark, sf).filter(F.col("state").isin(*J.CLEARED_STATES)).groupBy("crawl_id").agg(F.count("*").alias("n"))
+    changes = q.select(F.col("crawl_id").alias("id"), at.alias("ts"), F.lit("stopped").alias("status"),
+                       F.to_json(F.struct(F.lit("2024-05-06 07:08:09").alias("cleared_at"), F.col("n").alias("cleared_job_count"))).alias("processing_stats"))
+    done = J.update_jobs(T.crawl_jobs(spark, sf), changes)
+    return done.select("id", "status", F.try_variant_get("processing_stats", "$.cleared_job_count", "bigint").alias("cleared"),
+                       F.try_variant_get("processing_stats", "$.cleared_at", "timestamp").alias("cleared_at"))
+
+
 # ======================= jobs, queue, events =====================================================
 
 @query("active_jobs", wq(["fx_job_events", "fx_latest"], [],
@@ -112,6 +137,19 @@ def q_active_jobs(spark, sf):
     return J.active_jobs(T.job_events(spark, sf))
 
 
+@query("active_job_metadata", wq(["fx_job_events"], ["""m AS (SELECT crawl_id, job_id, arg_max(state, (ts, event_id)) AS state, min(ts) AS first_ts, arg_max(event_id, (ts, event_id)) FILTER (WHERE event_id % 3 <> 0) AS e
+        FROM fx_job_events GROUP BY crawl_id, job_id)"""], """
+    SELECT crawl_id, job_id, CASE WHEN e % 5 = 0 THEN TIMESTAMP '2020-01-02 03:04:05' ELSE first_ts END AS added_at, CAST(e % 7 AS INTEGER) AS priority,
+        CASE WHEN e % 2 = 0 THEN job_id END AS url, e IS NOT NULL AS has_metadata FROM m WHERE state IN ('waiting','active','delayed')"""))
+def q_active_job_metadata(spark, sf):
+    """J4 with metadata of changing shape on two events of three, read back field by field."""
+    e = F.col("event_id")
+    fields = F.to_json(F.struct((e % 7).alias("priority"), F.when(e % 2 == 0, F.col("job_id")).alias("url"), F.when(e % 5 == 0, F.lit("2020-01-02 03:04:05")).alias("addedAt")))
+    a = J.active_jobs(T.job_events(spark, sf).withColumn("metadata", F.when(e % 3 != 0, fields)))
+    return a.select("crawl_id", "job_id", "added_at", F.try_variant_get("metadata", "$.priority", "int").alias("priority"),
+                    F.try_variant_get("metadata", "$.url", "string").alias("url"), F.col("metadata").isNotNull().alias("has_metadata"))
+
+
 @query("active_job_counts", wq(["fx_job_events", "fx_latest"], [], """
     SELECT crawl_id, count(*) FILTER (WHERE state IN ('waiting','active','delayed')) AS active
     FROM fx_latest GROUP BY crawl_id"""))
@@ -364,6 +402,20 @@ def q_crawl_frontier(spark, sf):
     return FR.crawl_frontier(seeds, e.filter((F.col("crawl_id") != "c1") | (F.col("pos") == 0)).select("crawl_id", "src_url", "dst_url"))
 
 
+_MAY = """CASE WHEN regexp_extract({u}, '://([^/?#]+)', 1) LIKE 'blog.%' THEN NOT starts_with(regexp_extract({u}, '://[^/?#]+([^#]*)', 1), '/fr/') OR starts_with(regexp_extract({u}, '://[^/?#]+([^#]*)', 1), '/fr/2')
+        WHEN regexp_extract({u}, '://([^/?#]+)', 1) LIKE 'm.%' THEN true
+        WHEN substr(regexp_extract({u}, '://([^/?#]+)', 1), 2, 1) = 'h' THEN NOT (regexp_extract({u}, '://[^/?#]+([^#]*)', 1) LIKE '/%e%') ELSE true END"""
+
+
+@query("visited_sketches", wq(["fx_job_events"], [], "SELECT crawl_id, true AS within_bound FROM fx_job_events GROUP BY crawl_id"))
+def q_visited_sketches(spark, sf):
+    """T4 by sketches of four rounds, merged: within 8 % (five standard errors) of the exact count, or one."""
+    v = T.job_events(spark, sf).select("crawl_id", F.col("job_id").alias("url"), (F.col("event_id") % 4).alias("round"))
+    merged = FR.merge_sketches(*(FR.visited_sketches(v.filter(F.col("round") == i)) for i in range(4)))
+    both = FR.approximate_visited_count(merged).join(FR.visited_count(v).withColumnRenamed("visited", "exact"), "crawl_id")
+    return both.select("crawl_id", (F.abs(F.col("visited") - F.col("exact")) <= F.greatest(F.lit(1), F.col("exact") * 0.08)).alias("within_bound"))
+
+
 @query("fetch_offsets", wq(["fx_edges"], [], """
     SELECT src, dst, pos, src_url, dst_url, (row_number() OVER (PARTITION BY src_url ORDER BY pos, dst_url) - 1) * 100 AS delay_ms,
         1 AS priority FROM fx_edges"""))
@@ -497,22 +549,23 @@ _OUTCOME_SQL = wq(["fx_rules", "fx_crawl_urls", "fx_responses"], [canon_cte("pag
     SELECT page_id, error_code, CASE error_code WHEN 'INVALID_URL_FORMAT' THEN 'INVALID_URL_FORMAT: no url ' || url
         WHEN 'DOMAIN_NOT_ALLOWED' THEN 'DOMAIN_NOT_ALLOWED: ' || url_canon WHEN 'DENIED_BY_ROBOTS_TXT' THEN 'DENIED_BY_ROBOTS_TXT: ' || url_canon
         WHEN 'HTTP_ERROR' THEN 'HTTP ' || status || ': ' || status_text
+        WHEN 'CONTENT_EXTRACTION_FAILED' THEN 'Content extraction failed'
         WHEN 'EXTRACTED_CONTENT_FAILED_VERIFICATION' THEN 'EXTRACTED_CONTENT_FAILED_VERIFICATION: ' END AS error_message FROM (
       SELECT h.page_id, h.url, c.url_canon, s.status, CASE s.status WHEN 404 THEN 'Not Found' ELSE 'Internal Server Error' END AS status_text,
         CASE WHEN h.page_id % 11 = 0 THEN 'INVALID_URL_FORMAT' WHEN NOT {_ALLOWED_SQL} THEN 'DOMAIN_NOT_ALLOWED'
-            WHEN h.page_id % 13 = 0 THEN 'DENIED_BY_ROBOTS_TXT' WHEN s.status <> 200 THEN 'HTTP_ERROR'
+            WHEN h.page_id % 13 = 0 THEN 'DENIED_BY_ROBOTS_TXT' WHEN s.status <> 200 THEN 'HTTP_ERROR' WHEN h.page_id % 17 = 0 THEN 'CONTENT_EXTRACTION_FAILED'
             WHEN s.html = '' THEN 'EXTRACTED_CONTENT_FAILED_VERIFICATION' END AS error_code
       FROM h JOIN fx_rules r ON r.crawl_id = h.crawl_id JOIN canon c ON c.page_id = h.page_id JOIN fx_responses s ON s.page_id = h.page_id)""")
 
 
 def _classified(spark, sf):
-    """E1's input: every eleventh URL invalid, every thirteenth page denied, statuses and bodies of fx_responses."""
+    """E1's input: every eleventh URL invalid, every thirteenth page denied, every seventeenth not extracted, statuses and bodies of fx_responses."""
     r = T.responses(spark, sf).withColumn("status_text", F.when(F.col("status") == 404, "Not Found").when(F.col("status") == 500, "Internal Server Error"))
     r = r.join(T.crawl_urls(spark, sf).select("page_id", "crawl_id"), "page_id").withColumn(
         "url", F.when(F.col("page_id") % 11 == 0, F.concat(F.lit("no url "), F.col("url"))).otherwise(F.col("url")))
     c = U.canonicalize_urls(r)
     c = RU.with_allowed(c, T.crawl_rules(spark), "url_canon")
-    return RU.classify_outcomes(c.withColumns({"robots_allowed": F.col("page_id") % 13 != 0, "extracted": F.lit(True), "has_content": F.col("html") != ""}))
+    return RU.classify_outcomes(c.withColumns({"robots_allowed": F.col("page_id") % 13 != 0, "extracted": F.col("page_id") % 17 != 0, "has_content": F.col("html") != ""}))
 
 
 @query("classify_outcomes", _OUTCOME_SQL)
@@ -520,13 +573,14 @@ def q_classify_outcomes(spark, sf):
     return _classified(spark, sf).select("page_id", "error_code", "error_message")
 
 
-@query("append_logs", _OUTCOME_SQL.replace("SELECT page_id, error_code, CASE", "SELECT crawl_job_id, level, message FROM (SELECT CAST(page_id AS VARCHAR) AS crawl_job_id, 'error' AS level, error_code, CASE", 1)
+@query("append_logs", _OUTCOME_SQL.replace("SELECT page_id, error_code, CASE", "SELECT crawl_job_id, level, message, error_code FROM (SELECT CAST(page_id AS VARCHAR) AS crawl_job_id, 'error' AS level, error_code, CASE", 1)
        .replace("END AS error_message FROM (", "END AS message FROM (", 1) + ") WHERE error_code IS NOT NULL")
 def q_append_logs(spark, sf):
     """The rejects' log rows, appended to a log table in the shared folder and read from it."""
     path = f"{checkpoint_dir(spark)}/weft-logs/{uuid.uuid4().hex}"
     PG.append_logs(PG.rejects_to_logs(_classified(spark, sf).filter(F.col("error_code").isNotNull()), "page_id"), path)
-    return spark.read.schema("crawl_job_id string, level string, message string, metadata string, ts timestamp, date date").parquet(path).select("crawl_job_id", "level", "message")
+    return spark.read.schema("crawl_job_id string, level string, message string, metadata variant, ts timestamp, date date").parquet(path).select(
+        "crawl_job_id", "level", "message", F.variant_get("metadata", "$.error_code", "string").alias("error_code"))
 
 
 # ======================= HTML =====================================================================
@@ -610,11 +664,63 @@ def q_tables(spark, sf):
     host = F.regexp_extract("url", "://([^/?#]*)", 1)
     made = F.concat(F.lit("</p><table><tr><th>Page</th><th>Host</th></tr><tr><td>"), F.col("page_id").cast("string"), F.lit("</td><td>"), host,
                     F.lit("</td></tr><tr></tr><tr><td>cell <table><tr><td>in</td></tr></table></td></tr></table></body></html>"))
-    t = H.tables(_pages(spark, sf).withColumn("html", F.concat(F.lit("<html><body><p>"), F.regexp_replace("html", "(?is)<[^>]*>|[<>]", " "), made)))
+    t = H.tables(_pages(spark, sf).withColumn("html", F.concat(F.regexp_replace("html", "</body>|</html>", ""), made)))
     return t.select("page_id", (F.row_number().over(Window.partitionBy("page_id").orderBy("pos")) - 1).alias("table_no"), F.array_join("headers", "|").alias("headers"),
                     F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), ";").alias("rows"))
 
 
+_ODD = """odd AS (SELECT page_id, url, CASE page_id % 6
+        WHEN 0 THEN replace(html, '</article>', '<p>before<textarea><p>a &amp; b</p></textarea></article>')
+        WHEN 1 THEN replace(html, '</article>', '<p>before<iframe><p>in &amp; out</p></iframe><xmp><b>x</xmp>after</article>')
+        WHEN 2 THEN html || '<script>var x = "<p>no</p>"' WHEN 3 THEN html || '<!-- open <p>no</p>'
+        WHEN 4 THEN replace(html, '</article>', '<noembed><a href="/x">no</a></noembed><noframes><p>n</p></noframes></article>')
+        ELSE html || '<textarea>rest <p>of it' END AS html FROM pages)"""
+
+
+@query("raw_text_states", wq([], [_ODD, raw_state_tokens("odd"), _RAW, element_text_cte("pa", "kind = 'open' AND tag = 'p'",
+       f"(kind = 'open' AND tag IN ({BLOCK_OPEN})) OR (kind = 'close' AND tag IN ({BLOCK_CLOSE})) OR (kind = 'text' AND tag = 'xmp')"), _ANCH, _ANCHORS], f"""
+    SELECT p.page_id, md5(r.raw_text) AS content_md5, (SELECT count(*) FROM pa WHERE pa.page_id = p.page_id AND {clean('pa.content_raw')} <> '') AS n_paragraphs,
+        (SELECT count(*) FROM anchors_ok a WHERE a.page_id = p.page_id) AS n_links, (SELECT count(*) FROM tk WHERE tk.page_id = p.page_id) AS n_tokens
+    FROM odd p JOIN raw r ON r.page_id = p.page_id"""))
+def q_raw_text_states(spark, sf):
+    """H1, H3, H6 on pages with text areas, raw elements, and scripts, comments and text areas that nothing ends."""
+    case, into = F.col("page_id") % 6, lambda more: F.replace("html", F.lit("</article>"), F.lit(more + "</article>"))
+    odd = (F.when(case == 0, into("<p>before<textarea><p>a &amp; b</p></textarea>"))
+           .when(case == 1, into("<p>before<iframe><p>in &amp; out</p></iframe><xmp><b>x</xmp>after"))
+           .when(case == 2, F.concat("html", F.lit('<script>var x = "<p>no</p>"'))).when(case == 3, F.concat("html", F.lit("<!-- open <p>no</p>")))
+           .when(case == 4, into('<noembed><a href="/x">no</a></noembed><noframes><p>n</p></noframes>')).otherwise(F.concat("html", F.lit("<textarea>rest <p>of it"))))
+    p = _pages(spark, sf).withColumn("html", odd)
+    d = H.documents(p).select("page_id", F.md5(F.col("raw_text").cast("binary")).alias("content_md5"), F.size("paragraphs").cast("bigint").alias("n_paragraphs"), F.size("links").cast("bigint").alias("n_links"))
+    return d.join(H.html_tokens(p).groupBy("page_id").agg(F.count("*").alias("n_tokens")), "page_id")
+
+
+@query("extractors", wq([], [TOKENS, _RAW], """
+    SELECT p.page_id, md5(r.raw_text) AS content_md5, (SELECT CAST(sum(len(string_split(text, ' '))) AS BIGINT) FROM tk WHERE tk.page_id = p.page_id AND kind = 'text') AS words,
+        nullif((SELECT count(*) FROM tk WHERE tk.page_id = p.page_id AND kind = 'open' AND tag = 'div'), 0) AS blocks
+    FROM pages p JOIN raw r ON r.page_id = p.page_id"""))
+def q_extractors(spark, sf):
+    """Documents with two extractors of the user's own, by name."""
+    own = {"words": lambda t: t.filter("kind = 'text'").groupBy("page_id").agg(F.sum(F.size(F.split("text", " "))).alias("n")),
+           "blocks": lambda t: t.filter("kind = 'open' AND tag = 'div'").groupBy("page_id").agg(F.count("*").alias("n"))}
+    d = H.documents(_pages(spark, sf), extractors=own)
+    return d.select("page_id", F.md5(F.col("raw_text").cast("binary")).alias("content_md5"), F.col("words.n").alias("words"), F.col("blocks.n").alias("blocks"))
+
+
+@query("write_documents", wq([], [TOKENS, _RAW, _HEADS, _ANCH, _ANCHORS], f"""
+    SELECT 'c' || CAST(p.page_id % 4 AS VARCHAR) AS crawl_id, p.url, CAST(p.page_id % 3 AS INTEGER) AS depth, 'completed' AS processing_status, md5(r.raw_text) AS content_md5,
+        nullif((SELECT arg_min({_TITLE_INNER}, pos) FROM tk WHERE tk.page_id = p.page_id AND kind = 'title'), '') AS title,
+        (SELECT count(*) FROM hd WHERE hd.page_id = p.page_id) AS n_headings, (SELECT count(*) FROM anchors_ok a WHERE a.page_id = p.page_id) AS n_links
+    FROM pages p JOIN raw r ON r.page_id = p.page_id"""))
+def q_write_documents(spark, sf):
+    """The stored page rows with crawl, address, depth and status, written and read again."""
+    path = f"{checkpoint_dir(spark)}/weft-documents/{uuid.uuid4().hex}"
+    p = _pages(spark, sf).withColumns({"crawl_id": F.concat(F.lit("c"), (F.col("page_id") % 4).cast("string")), "depth": (F.col("page_id") % 3).cast("int")})
+    PG.write_documents(H.documents(p, keep=("crawl_id", "url", "depth")), path)
+    return spark.read.schema(PG.STORED_SCHEMA).parquet(path).select(
+        "crawl_id", "url", "depth", "processing_status", F.md5(F.col("content_text").cast("binary")).alias("content_md5"), "title",
+        F.size("extracted.structured.headings").cast("bigint").alias("n_headings"), F.size("extracted.structured.links").cast("bigint").alias("n_links"))
+
+
 @query("documents", wq([], [TOKENS, _RAW, _HEADS, _PARAS, _ANCH, _ANCHORS], f"""
     SELECT p.page_id, t.title, CAST(length(r.raw_text) AS BIGINT) AS raw_text_length, md5(r.raw_text) AS content_md5,
         (SELECT count(*) FROM hd WHERE hd.page_id = p.page_id) AS n_headings,
@@ -738,6 +844,33 @@ def q_domain_link_summary(spark, sf):
                                      F.count_distinct("dst_url").cast("bigint").alias("targets"))
 
 
+_CRAWL_SQL = wq(["fx_edges"], [TOKENS, _ANCH, _ANCHORS, _PAGE_LINKS, *_OUTLINKS, f"""ce AS (SELECT src_url, dst_url FROM (
+        SELECT c.url_canon AS src_url, o.dst_url FROM outl o JOIN pc c ON c.page_id = o.page_id WHERE o.page_id % 10 NOT IN (3, 7, 9)
+        UNION SELECT s.url_canon, d.url_canon FROM fx_edges e JOIN pc s ON s.page_id = e.src JOIN pc d ON d.page_id = e.dst WHERE e.src % 10 NOT IN (3, 7, 9))
+        WHERE {_MAY.format(u='src_url')} AND {_MAY.format(u='dst_url')})""",
+    """seeds AS (SELECT 'c0' AS crawl_id, url_canon AS url, 2 AS max_depth FROM pc WHERE page_id % 5 = 0 UNION SELECT 'c1', url_canon, 4 FROM pc WHERE page_id % 50 = 1)""",
+    """walk(crawl_id, url, depth, parent_url, max_depth) AS (
+        SELECT crawl_id, url, 0, CAST(NULL AS VARCHAR), max_depth FROM seeds
+        UNION SELECT w.crawl_id, e.dst_url, w.depth + 1, w.url, w.max_depth FROM walk w JOIN ce e ON e.src_url = w.url WHERE w.depth < w.max_depth)"""], """
+    SELECT crawl_id, url, depth, parent_url FROM (
+        SELECT crawl_id, url, depth, min(parent_url) AS parent_url, rank() OVER (PARTITION BY crawl_id, url ORDER BY depth) AS r
+        FROM walk GROUP BY crawl_id, url, depth) WHERE r = 1""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("crawl_pages", _CRAWL_SQL)
+def q_crawl_pages(spark, sf):
+    """J1 over the links of fetched pages: L3's outlinks (two more anchors in each page lead to other pages) of the pages that pass
+    E1 and E2, where robots.txt allows them; two crawls."""
+    e = T.link_edges(spark, sf).groupBy("src").agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit('<a href="'), "dst_url", F.lit('">next</a>')))), " ").alias("more"))
+    p = T.responses(spark, sf).join(e.withColumnRenamed("src", "page_id"), "page_id")
+    p = p.withColumn("html", F.when(F.col("html") != "", F.concat("html", "more")).otherwise(F.lit("")))
+    p = p.withColumn("crawl_id", F.explode(F.array(F.lit("c0"), F.lit("c1"))))
+    u = U.canonicalize_urls(T.read_table(spark, sf, "pages").select("page_id", "url"), out="u")
+    seeds = u.filter("page_id % 5 = 0").select(F.lit("c0").alias("crawl_id"), F.col("u").alias("url"), F.lit(2).alias("max_depth")).unionByName(
+        u.filter("page_id % 50 = 1").select(F.lit("c1").alias("crawl_id"), F.col("u").alias("url"), F.lit(4).alias("max_depth")))
+    return FR.crawl_frontier(seeds, FR.crawl_edges(p, T.robots_files(spark, sf)))
+
+
 _LINK_RULES = [f"""lr AS (SELECT l.*, (['c_net', 'c_one', 'c_free', 'c_nopath'])[l.page_id % 4 + 1] AS crawl_id FROM page_links l)""",
                canon_cte("lr", "page_id, pos, crawl_id", "href", base="src_url", name="lc"),
                """h AS (SELECT crawl_id, page_id, pos, url_canon AS url,
@@ -773,6 +906,45 @@ def q_upsert_pages(spark, sf):
     return PG.upsert_pages(tgt, new, key=("crawl_id", "url"), order="page_id")
 
 
+@query("upsert_outcomes", wq(["fx_quota"], ["""o AS (SELECT o_orderkey AS k, o_custkey AS crawl_id, 'https://example.com/o/' || CAST(o_orderkey AS VARCHAR) AS url, o_orderdate AS ts FROM orders)""",
+    "tgt AS (SELECT crawl_id, url, ts FROM o WHERE k % 3 = 0)",
+    "new AS (SELECT crawl_id, url, CASE WHEN k % 4 = 0 THEN ts + INTERVAL 1 DAY ELSE ts END AS ts, k % 3 = 0 AS known FROM o WHERE k % 3 <> 0 OR k % 9 = 0)",
+    "used AS (SELECT crawl_id AS user_id, date_trunc('month', ts) AS m, count(*) AS used FROM tgt GROUP BY 1, 2)",
+    """x AS (SELECT n.crawl_id, n.url, n.crawl_id AS user_id, n.ts, known, greatest(coalesce(q.quota, 0) - coalesce(u.used, 0), 0) AS have,
+        row_number() OVER (PARTITION BY known, n.crawl_id, date_trunc('month', n.ts) ORDER BY n.ts, n.url) AS rn
+        FROM new n LEFT JOIN fx_quota q ON q.user_id = n.crawl_id LEFT JOIN used u ON u.user_id = n.crawl_id AND u.m = date_trunc('month', n.ts))"""], """
+    SELECT crawl_id, url, user_id, ts, NOT known AND rn <= have AS inserted, NOT known AND rn > have AS quota_exceeded,
+        CAST(CASE WHEN known THEN have WHEN rn <= have THEN have - rn ELSE 0 END AS BIGINT) AS pages_remaining FROM x"""))
+def q_upsert_outcomes(spark, sf):
+    """S6 answers for a batch of orders as pages: a third is stored and charged already, some of those come again, some pages come twice."""
+    o = T.read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("crawl_id"),
+                                                  F.concat(F.lit("https://example.com/o/"), F.col("o_orderkey").cast("string")).alias("url"), F.col("o_orderdate").alias("ts"))
+    new = o.filter((F.col("k") % 3 != 0) | (F.col("k") % 9 == 0))
+    new = new.unionByName(new.filter("k % 4 = 0").withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 DAY"))).drop("k")
+    jobs = T.read_table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("user_id"))
+    return PG.upsert_outcomes(o.filter("k % 3 = 0").drop("k"), new, jobs, T.quotas(spark, sf))
+
+
+@query("keyed_table", """
+    SELECT 'c0' AS crawl_id, o_orderkey % 500 AS page, count(*) AS versions, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS price FROM orders GROUP BY 2""")
+def q_keyed_table(spark, sf):
+    """S6 on files: three upserts of orders into a table keyed by (crawl, page); each rewrites only the buckets it touches."""
+    from weft.sources.keyed import KeyedTable
+    o = T.read_table(spark, sf, "orders").select(F.lit("c0").alias("crawl_id"), (F.col("o_orderkey") % 500).alias("page"), F.col("o_orderkey").alias("k"),
+                                                  F.col("o_orderdate").alias("ts"), F.col("o_totalprice").alias("price"))
+    t = KeyedTable(spark, f"{checkpoint_dir(spark)}/weft-keyed/{uuid.uuid4().hex}", "crawl_id string, page long, versions long, k long, ts timestamp, price double", ("crawl_id", "page"))
+
+    def later(old, new):
+        both = old.unionByName(new)
+        best = F.max_by(F.struct("k", "ts", "price"), F.struct("ts", "k")).alias("b")
+        return both.groupBy("crawl_id", "page").agg(F.sum("versions").alias("versions"), best).select("crawl_id", "page", "versions", "b.*")
+
+    for part in ("k % 7 < 3", "k % 7 between 3 and 5", "k % 7 = 6"):
+        rows = o.filter(part).withColumn("versions", F.lit(1).cast("bigint"))
+        t.upsert(later(rows, rows.limit(0)), later)
+    return t.read().select("crawl_id", "page", "versions", "price")
+
+
 # ======================= streaming ===================================================================
 
 @query("throughput", wq(["fx_job_events"], [], """
@@ -794,16 +966,17 @@ def q_dedupe_urls(spark, sf):
     SELECT count(*) FILTER (WHERE state = 'waiting') AS waiting_count, count(*) FILTER (WHERE state = 'active') AS active_count,
         count(*) FILTER (WHERE state = 'completed') AS completed_count, count(*) FILTER (WHERE state = 'failed') AS failed_count FROM fx_latest"""))
 def q_live_queue_stats(spark, sf):
-    from weft.streaming import live
-    return live.stream_stat_table(spark, "queue", lambda root, now: live.live_queue_stats(live.job_event_stream(spark, sf), root, now))
+    """R2 run as a stream over the events in four batches, from the totals that the changes keep."""
+    from weft.streaming.live import live_jobs_table
+    return live_jobs_table(spark, sf, "queue").queue_stats()
 
 
 @query("live_crawl_stats", ORACLE["crawl_stats"].replace("WITH fx_crawl_jobs AS", "WITH fx_job_events AS (" + FX["fx_job_events"] + "),\nfx_latest AS ("
                                                          + FX["fx_latest"] + "),\nfx_crawl_jobs AS", 1).replace("FROM fx_queue WHERE", "FROM fx_latest WHERE"))
 def q_live_crawl_stats(spark, sf):
-    from weft.streaming import live
-    jobs = T.crawl_jobs(spark, sf)
-    return live.stream_stat_table(spark, "crawls", lambda root, now: live.live_crawl_stats(live.job_event_stream(spark, sf), jobs, root, 200, now))
+    """R1 run as a stream over the events in four batches, from the counts of the newest crawls."""
+    from weft.streaming.live import live_jobs_table
+    return live_jobs_table(spark, sf, "crawls").crawl_stats(T.crawl_jobs(spark, sf), 200)
 
 
 @query("track_active", wq(["fx_job_events", "fx_latest", "fx_final"], [], """
@@ -811,18 +984,38 @@ def q_live_crawl_stats(spark, sf):
         SELECT crawl_id, count(*) FILTER (WHERE state IN ('waiting','active','delayed')) AS active FROM fx_latest GROUP BY crawl_id) a
     LEFT JOIN fx_final f ON f.crawl_id = a.crawl_id"""))
 def q_track_active(spark, sf):
-    from weft.streaming import live
-    return live.stream_stat_table(spark, "active", lambda root, now: live.track_active(live.job_event_stream(spark, sf), root, now))
+    """R4 run as a stream over the events in four batches."""
+    from weft.streaming.live import live_jobs_table
+    return live_jobs_table(spark, sf, "active").active()
+
+
+@query("publish_stats", wq(["fx_crawl_jobs", "fx_job_events", "fx_latest"], [], """
+    SELECT CASE WHEN j.id IS NULL THEN 'error' ELSE 'crawlUpdate' END AS type, CASE WHEN j.id IS NULL THEN 'Failed to update crawl ' || CAST(c.crawl_id AS VARCHAR) END AS message,
+        c.crawl_id, CASE WHEN j.id IS NOT NULL THEN c.total END AS total, CASE WHEN j.id IS NOT NULL THEN c.active END AS active, CASE WHEN j.id IS NOT NULL THEN c.failed END AS failed, j.status
+    FROM (SELECT crawl_id, count(*) AS total, count(*) FILTER (WHERE state = 'active') AS active, count(*) FILTER (WHERE state = 'failed') AS failed FROM fx_latest GROUP BY crawl_id) c
+    LEFT JOIN fx_crawl_jobs j ON j.id = c.crawl_id"""))
+def q_publish_stats(spark, sf):
+    """The last message on each crawl of the feed; crawls without a job row are errors."""
+    from weft.streaming.live import live_jobs_table
+    feed = live_jobs_table(spark, sf, "feed", T.crawl_jobs(spark, sf)).feed()
+    last = feed.groupBy("crawl_id").agg(F.max_by(F.struct("type", "message", "total", "active", "failed", "status"), "v").alias("m"))
+    return last.select("m.type", "m.message", "crawl_id", "m.total", "m.active", "m.failed", "m.status")
+
+
+_AGAIN = """again AS (SELECT page_id, url, CASE WHEN page_id % 5 = 0 THEN replace(html, '</article>', '<h2>Fetched again</h2></article>') ELSE html END AS html FROM pages)"""
 
 
-@query("stream_documents", wq([], [TOKENS, _RAW, _PARAS, _HEADS, _ANCH, _ANCHORS], f"""
-    SELECT p.page_id, CAST(length(r.raw_text) AS BIGINT) AS raw_text_length, md5(r.raw_text) AS content_md5,
+@query("stream_documents", wq([], [_AGAIN, TOKENS.replace("FROM pages)", "FROM again)", 1), _RAW.replace("FROM pages p", "FROM again p"), _PARAS, _HEADS, _ANCH, _ANCHORS], f"""
+    SELECT 'c0' AS crawl_id, p.url, CAST(length(r.raw_text) AS BIGINT) AS raw_text_length, md5(r.raw_text) AS content_md5,
         (SELECT count(*) FROM hd WHERE hd.page_id = p.page_id) AS n_headings, (SELECT count(*) FROM anchors_ok a WHERE a.page_id = p.page_id) AS n_links
     FROM pages p JOIN raw r ON r.page_id = p.page_id
     WHERE r.raw_text <> '' OR EXISTS (SELECT 1 FROM pa WHERE pa.page_id = p.page_id AND {clean('pa.content_raw')} <> '')"""))
 def q_stream_documents(spark, sf):
-    """R6 run as a stream over the pages table: the stored documents."""
+    """R6 run as a stream over the pages in four batches; every fifth page is fetched again, changed, an hour after the others."""
     from weft.streaming.live import stream_documents_table
-    return stream_documents_table(spark, sf).select(
-        "page_id", F.length("content_text").cast("bigint").alias("raw_text_length"), F.md5(F.col("content_text").cast("binary")).alias("content_md5"),
+    p = T.read_table(spark, sf, "pages").select(F.lit("c0").alias("crawl_id"), "page_id", "url", F.lit(0).alias("depth"), "html",
+                                                 F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id") % 3000).alias("fetched"))
+    again = p.filter("page_id % 5 = 0").withColumns({"html": F.replace("html", F.lit("</article>"), F.lit("<h2>Fetched again</h2></article>")), "fetched": F.col("fetched") + F.expr("INTERVAL 1 HOUR")})
+    return stream_documents_table(spark, p.unionByName(again)).select(
+        "crawl_id", "url", F.length("content_text").cast("bigint").alias("raw_text_length"), F.md5(F.col("content_text").cast("binary")).alias("content_md5"),
         F.size("extracted.structured.headings").cast("bigint").alias("n_headings"), F.size("extracted.structured.links").cast("bigint").alias("n_links"))

@@ -149,6 +149,24 @@ tk AS (SELECT page_id, pos, tok, kind, CASE WHEN kind IN ('open', 'close') THEN
         CASE WHEN kind = 'text' THEN {_decode('tok')} END AS text FROM tokens)"""
 
 
+# Elements whose content is not markup, and everything that the end of the page may leave open.
+_INNER = ("textarea", "iframe", "xmp", "noembed", "noframes")
+RAW_TOKEN_RE2 = ("(?is)<!--(?:-?>|.*?(?:--!?>|\\z))|" + "|".join(f"<{n}(?:[\\s/][^>]*)?>.*?(?:</{n}\\s*>|\\z)" for n in ("script", "style", "title", *_INNER))
+                 + "|<[!?][^>]*>|</?[a-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<")
+
+
+def raw_state_tokens(table: str) -> str:
+    """``TOKENS`` of the pages of ``table``, with the content of raw elements as text (``tag`` names the element)."""
+    inner = f"regexp_replace(regexp_replace(tok, '(?is)^<[^>]*>', ''), '(?is)</({'|'.join(_INNER)})\\s*>$', '')"
+    t = TOKENS.replace(TOKEN_RE2.replace("'", "''"), RAW_TOKEN_RE2.replace("'", "''")).replace("FROM pages)", f"FROM {table})", 1)
+    t = t.replace("'(?is)^<script\\b.*</script\\s*>$'", "'(?is)^<script[\\s>].*$'").replace(
+        "WHEN regexp_matches(tok, '^</[A-Za-z]')", f"WHEN regexp_matches(tok, '(?is)^<({'|'.join(_INNER)})[\\s>]') THEN 'inner' WHEN regexp_matches(tok, '^</[A-Za-z]')")
+    return t.replace("tk AS (SELECT page_id, pos, tok, kind, CASE WHEN kind IN ('open', 'close') THEN tag0 END AS tag,",
+                     f"""tk AS (SELECT page_id, pos, tok, CASE kind WHEN 'inner' THEN 'text' ELSE kind END AS kind, CASE WHEN kind IN ('open', 'close', 'inner') THEN tag0 END AS tag,
+        CASE WHEN kind = 'inner' AND tag0 = 'textarea' THEN {_decode(inner)} WHEN kind = 'inner' THEN {inner} ELSE""").replace(
+        "CASE WHEN kind = 'text' THEN " + _decode("tok") + " END AS text FROM tokens)", "CASE WHEN kind = 'text' THEN " + _decode("tok") + " END END AS text FROM tokens)")
+
+
 def element_text_cte(name: str, open_cond: str, closer: str) -> str:
     """CTE ``name(page_id, pos, tag, tok, content_raw)``: element opened by ``open_cond``, ended by the next ``closer`` token."""
     return f"""{name}_e AS (SELECT page_id, pos, tag, tok, open_flag, nxt FROM (

@@ -19,9 +19,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_pages(spark: SparkSession, source: str | DataFrame) -> DataFrame:
-    """Fetched pages that go on to extraction: status 200 (no column = 200) and body <= 10 MiB."""
-    df = spark.read.parquet(source) if isinstance(source, str) else source
+#: Columns of pages in JSON lines; those that a line lacks are NULL.
+PAGE_LINE_SCHEMA = "page_id BIGINT, url STRING, status INT, html STRING"
+
+
+def read_pages(spark: SparkSession, source: str | DataFrame, form: str = "parquet", schema: str = PAGE_LINE_SCHEMA) -> DataFrame:
+    """Fetched pages that go on to extraction: status 200 (no column = 200) and body <= 10 MiB.
+
+    source: a table, or the path of Parquet files or of JSON lines (``form='json'``, read by ``schema``; a line that is no
+    JSON object has no status and is left out).
+    """
+    if isinstance(source, str):
+        df = spark.read.parquet(source) if form == "parquet" else spark.read.schema(schema).option("mode", "PERMISSIVE").json(source)
+    else:
+        df = source
     status = F.col("status") if "status" in df.columns else F.lit(200)
     return df.filter((status == 200) & (F.octet_length("html") <= MAX_BODY_BYTES))
 

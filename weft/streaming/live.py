@@ -1,36 +1,227 @@
 """Structured Streaming operators.
 
 Job events arrive as a stream (``event_id, crawl_id, job_id, state, ts``). A job
-changes state, so counting events overcounts: every live statistic comes from the
-*latest* state per job, which a streaming aggregation keeps in Spark's own state
-store. A restart from the checkpoint goes on where the query stopped, and a replayed
-micro-batch overwrites its own output (``v=<epoch>``), so each counts once.
+changes state, so counting events overcounts. ``job_changes`` keeps the latest
+state of every job in Spark's keyed state and puts out, for what a micro-batch
+touched, by how much each count changed. Everything live is built from that:
+a table of counts per crawl of which a batch rewrites only the parts it
+touches, the queue's totals, and a feed of the crawls that changed. Work per
+batch follows the batch, not all jobs ever seen. A replayed batch finds its
+epoch committed and changes nothing.
 """
 
 from __future__ import annotations
 
+import logging
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from weft.operators import jobs as J
 from weft.session import checkpoint_dir
-from weft.sources.tables import job_event_columns
+from weft.sources.keyed import KeyedTable
+from weft.sources.tables import job_event_columns, read_pages, read_table
+
+PAGE_SCHEMA = "crawl_id STRING, page_id BIGINT, url STRING, depth INT, html STRING, fetched TIMESTAMP"
+STATES = ["waiting", "active", "delayed", "completed", "failed"]
+#: Events may be this late; a crawl's jobs are forgotten this long after its last job ended; parts of a crawl.
+LATE, GRACE_MS, SALTS = "1 hour", 24 * 3600 * 1000, 16
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+# ---- keyed state -----------------------------------------------------------------------------------
+
+class JobStates(StatefulProcessor):
+    """Latest state of each job of one part of a crawl; puts out how the counts changed.
+
+    State: the jobs (map), and (open jobs, time, id and state of the last job to end). An event older than what is known of its
+    job changes nothing. When no job is open, a timer clears the state ``grace_ms`` of event time after the last event; a crawl
+    that goes on later than that starts again with no jobs, and its counts go on from what was put out.
+    """
+
+    def __init__(self, grace_ms: int):
+        self.grace_ms = grace_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.jobs = handle.getMapState("jobs", "job_id string", "state string, us long, event_id long")
+        self.ended = handle.getValueState("ended", "open long, us long, job_id string, state string, latest long")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N803
+        open_jobs, us, job, state, latest = self.ended.get() if self.ended.exists() else (0, None, None, None, 0)
+        delta, rescan, before = dict.fromkeys(STATES, 0), False, (us, job, state)
+        for chunk in rows:
+            latest = max(latest, int(chunk["us"].max()))
+            for r in chunk.sort_values(["us", "event_id"]).drop_duplicates("job_id", keep="last").itertuples():
+                old = self.jobs.getValue((r.job_id,))
+                if old is not None and (old[1], old[2]) >= (r.us, r.event_id):
+                    continue
+                self.jobs.updateValue((r.job_id,), (r.state, int(r.us), int(r.event_id)))
+                if old is not None:
+                    delta[old[0]] -= 1
+                    open_jobs -= old[0] in J.OPEN_STATES
+                delta[r.state] += 1
+                open_jobs += r.state in J.OPEN_STATES
+                if r.state in J.TERMINAL_STATES:
+                    if us is None or (r.us, r.job_id) >= (us, job):
+                        us, job, state = int(r.us), r.job_id, r.state
+                elif r.job_id == job:
+                    rescan = True  # the last job to end goes on: another one is the last now
+        if rescan:
+            best = max(((v[1], k[0], v[0]) for k, v in self.jobs.iterator() if v[0] in J.TERMINAL_STATES), default=(None, None, None))
+            us, job, state = best
+        self.ended.update((open_jobs, us, job, state, latest))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t if isinstance(t, int) else t[0])
+        if open_jobs == 0:
+            self.handle.registerTimer(latest // 1000 + self.grace_ms)
+        if any(delta.values()) or (us, job, state) != before:
+            yield pd.DataFrame({"crawl_id": [key[0]], "salt": pd.array([key[1]], "int32"), **{f"d_{s}": [n] for s, n in delta.items()},
+                                "last_us": pd.array([us], "Int64"), "last_job": [job], "last_state": [state]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N803
+        self.jobs.clear()
+        self.ended.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+_CHANGE = "salt int, " + ", ".join(f"d_{s} long" for s in STATES) + ", last_us long, last_job string, last_state string"
+
+
+def job_changes(events: DataFrame, late: str = LATE, grace_ms: int = GRACE_MS, salts: int = SALTS) -> DataFrame:
+    """Stream of ``crawl_id, salt, d_<state>..., last_us, last_job, last_state``: for each part of a crawl that a micro-batch
+    touched, the change of its jobs by state, and its last job to end. A hot crawl is ``salts`` parts by job id."""
+    crawl = events.schema["crawl_id"].dataType.simpleString()
+    keyed = events.select("crawl_id", F.pmod(F.xxhash64("job_id"), F.lit(salts)).cast("int").alias("salt"), "job_id", "state",
+                          F.col("ts").cast("timestamp").alias("ts"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id")
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    return (keyed.withWatermark("ts", late).groupBy("crawl_id", "salt")
+            .transformWithStateInPandas(JobStates(grace_ms), f"crawl_id {crawl}, {_CHANGE}", "Update", "EventTime"))
+
+
+# ---- tables kept by a stream -------------------------------------------------------------------------
 
-EVENT_SCHEMA = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
-PAGE_SCHEMA = "page_id BIGINT, url STRING, html STRING"
+def _start(stream: DataFrame, root: str, write: Callable[[DataFrame, int], None], mode: str, trigger: dict | None):
+    def once(batch: DataFrame, epoch: int) -> None:
+        batch = batch.persist()
+        try:
+            write(batch, epoch)
+        finally:
+            batch.unpersist()
+
+    return (stream.writeStream.outputMode(mode).foreachBatch(once).option("checkpointLocation", f"{root}/_checkpoint")
+            .trigger(**(trigger or {"processingTime": "5 seconds"})).start())
+
+
+class LiveJobs:
+    """Counts by crawl, queue totals and the feed of a stream of job events, all under one folder."""
+
+    def __init__(self, spark: SparkSession, root: str, crawl_type: str = "long"):
+        self.spark, self.root = spark, root
+        counts = ", ".join(f"n_{s} long" for s in STATES)
+        self.counts = KeyedTable(spark, f"{root}/counts", f"crawl_id {crawl_type}, salt int, {counts}, last_us long, last_job string, last_state string", ("crawl_id",))
+
+    @staticmethod
+    def _merged(old: DataFrame, new: DataFrame) -> DataFrame:
+        joined = old.alias("o").join(new.alias("n"), ["crawl_id", "salt"], "full_outer")
+        counts = [(F.coalesce(f"o.n_{s}", F.lit(0)) + F.coalesce(f"n.d_{s}", F.lit(0))).alias(f"n_{s}") for s in STATES]
+        last = [F.when(F.col("n.d_active").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in ("last_us", "last_job", "last_state")]
+        return joined.select("crawl_id", "salt", *counts, *last)
+
+    def apply(self, changes: DataFrame, epoch: int) -> None:
+        """One micro-batch of ``job_changes``; a replayed epoch changes nothing."""
+        before = self._totals(epoch)
+        changed = changes.agg(*(F.coalesce(F.sum(f"d_{s}"), F.lit(0)).alias(s) for s in STATES))
+        now = changed.select(*((F.col(s) + F.lit(before[s])).alias(s) for s in STATES))
+        now.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/totals/v={epoch}")
+        self.counts.upsert(changes, self._merged, epoch)
+
+    def _totals(self, before: int | None = None) -> dict[str, int]:
+        try:
+            every = self.spark.read.schema(", ".join(f"{s} long" for s in STATES) + ", v long").parquet(f"{self.root}/totals")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return dict.fromkeys(STATES, 0)
+        row = (every if before is None else every.filter(F.col("v") < before)).orderBy(F.desc("v")).first()
+        return {s: row[s] if row else 0 for s in STATES}
+
+    def queue_stats(self) -> DataFrame:
+        """R2: A1 over the latest state of every job, from the totals alone."""
+        now = self._totals()
+        return self.spark.range(1).select(*(F.lit(now[s]).cast("bigint").alias(f"{s}_count") for s in J.REPORTED_STATES))
+
+    def by_crawl(self, crawls: DataFrame | None = None) -> DataFrame:
+        """Per crawl (of all, or of those in ``crawls``): ``total, waiting, active, completed, failed, open, is_complete, status,
+        completed_at``; the last two (A10) where no job is open."""
+        rows = self.counts.read() if crawls is None else self.counts.of(crawls)
+        g = rows.groupBy("crawl_id").agg(*(F.sum(f"n_{s}").alias(s) for s in STATES), F.max_by("last_state", F.struct("last_us", "last_job")).alias("last"),
+                                         F.max("last_us").alias("us"))
+        total, still = sum((F.col(s) for s in STATES[1:]), F.col(STATES[0])), sum((F.col(s) for s in J.OPEN_STATES[1:]), F.col(J.OPEN_STATES[0]))
+        over = (still == 0) & F.col("last").isNotNull()
+        return g.select("crawl_id", total.alias("total"), "waiting", "active", "completed", "failed", still.alias("open"), (still == 0).alias("is_complete"),
+                        F.when(over, F.when(F.col("last") == "completed", "crawled").otherwise("failed")).alias("status"),
+                        F.when(over, F.timestamp_micros("us")).alias("completed_at"))
+
+    def crawl_stats(self, jobs: DataFrame, n: int = 10) -> DataFrame:
+        """J5 of the ``n`` newest crawls; only their parts of the counts are read."""
+        top = J.recent_jobs(jobs, n).select("id", "status", "created_at")
+        return J.crawl_stats_of(top, self.by_crawl(top.select(F.col("id").cast(self.counts.read().schema["crawl_id"].dataType).alias("crawl_id"))))
+
+    def active(self) -> DataFrame:
+        """Open jobs per crawl, and for crawls without any the final status (A10)."""
+        return self.by_crawl().select("crawl_id", F.col("open").alias("active"), "status", "completed_at")
+
+    # -- S9 --
+
+    def publish(self, changes: DataFrame, jobs: DataFrame, epoch: int, sink: Callable[[DataFrame, int], None] | None = None) -> None:
+        """One message for each crawl that the batch touched, to ``sink(rows, epoch)`` or to the feed.
+
+        ``type`` is 'crawlUpdate' with the crawl's statistics (J5), or 'error' with a message: 'Failed to update crawl <id>' for a
+        crawl without a job row, 'Queue update failed' if the statistics could not be made; that does not stop the stream.
+        """
+        try:
+            touched = changes.select("crawl_id").distinct()
+            own = jobs.join(touched.withColumnRenamed("crawl_id", "id"), "id", "left_semi").select("id", "status", "created_at")
+            known = J.crawl_stats_of(own, self.by_crawl(touched)).select(F.lit("crawlUpdate").alias("type"), F.lit(None).cast("string").alias("message"), "*")
+            lost = touched.join(own.select(F.col("id").alias("crawl_id")), "crawl_id", "left_anti").select(
+                F.lit("error").alias("type"), F.concat(F.lit("Failed to update crawl "), F.col("crawl_id").cast("string")).alias("message"), "crawl_id")
+            self._send(known.unionByName(lost, allowMissingColumns=True), epoch, sink)
+        except Exception as e:  # the feed may fail, the counts are already committed
+            logging.getLogger(__name__).exception("feed of epoch %s", epoch)
+            failed = self.spark.createDataFrame([("error", "Queue update failed", str(e)[:500])], "type string, message string, detail string")
+            self._send(failed, epoch, sink)
+
+    def _send(self, rows: DataFrame, epoch: int, sink: Callable[[DataFrame, int], None] | None) -> None:
+        if sink is not None:
+            sink(rows, epoch)
+        else:
+            rows.write.mode("overwrite").parquet(f"{self.root}/feed/v={epoch}")
+
+    def feed(self) -> DataFrame:
+        """Every message so far: ``type, message, crawl_id, total, ..., status, v`` (the epoch)."""
+        return self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/feed")
 
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str, schema: str, max_files_per_trigger: int = 1) -> DataFrame:
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", max_files_per_trigger).parquet(sf_dir))
+def live_jobs(events: DataFrame, root: str, jobs: DataFrame | None = None, trigger: dict | None = None, sink: Callable[[DataFrame, int], None] | None = None,
+              late: str = LATE, grace_ms: int = GRACE_MS):
+    """Keep counts, totals and (with ``jobs``) the feed of a stream of job events under ``root``; returns (query, ``LiveJobs``)."""
+    live = LiveJobs(events.sparkSession, root, events.schema["crawl_id"].dataType.simpleString())
 
+    def write(changes: DataFrame, epoch: int) -> None:
+        live.apply(changes, epoch)
+        if jobs is not None:
+            live.publish(changes, jobs, epoch, sink)
 
-def job_event_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int = 1) -> DataFrame:
-    """The driver's ``events`` table read as a stream and mapped to job events (as ``sources.tables.job_events``)."""
-    return job_event_columns(table_stream(spark, sf_dir, "events", EVENT_SCHEMA, max_files_per_trigger))
+    return _start(job_changes(events, late, grace_ms), root, write, "update", trigger), live
 
 
 def throughput(events: DataFrame, width: str = "5 minutes", watermark: str = "10 minutes") -> DataFrame:
@@ -47,76 +238,58 @@ def dedupe_urls(urls: DataFrame, expiry: str | None = None) -> DataFrame:
     return urls.withWatermark("ts", expiry).dropDuplicatesWithinWatermark(["crawl_id", "url"])
 
 
-def _start(stream: DataFrame, root: str, write: Callable[[DataFrame, int], None], mode: str, trigger: dict | None):
-    return (stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{root}/_checkpoint")
-            .trigger(**(trigger or {"processingTime": "5 seconds"})).start())
-
-
-def publish_stats(events: DataFrame, root: str, stat: Callable[[DataFrame], DataFrame], trigger: dict | None = None,
-                  sink: Callable[[DataFrame, int], None] | None = None):
-    """``stat(latest job states)`` after every micro-batch, given to ``sink(rows, epoch)`` or written to ``root/stat``."""
-    def write(latest: DataFrame, epoch: int) -> None:
-        rows = stat(latest)
-        if sink is not None:
-            sink(rows, epoch)
-        else:
-            rows.write.mode("overwrite").parquet(f"{root}/stat/v={epoch}")
-
-    return _start(J.latest_job_state(events), root, write, "complete", trigger)
-
-
-def latest_stat(spark: SparkSession, root: str) -> DataFrame:
-    """The rows that ``publish_stats`` wrote last."""
-    every = spark.read.parquet(f"{root}/stat")
-    return every.filter(F.col("v") == every.select(F.max("v")).scalar()).drop("v")
-
-
-def live_queue_stats(events: DataFrame, root: str, trigger: dict | None = None):
-    """R2: A1 counts over the latest state of every job, refreshed per micro-batch."""
-    return publish_stats(events, root, J.queue_stats, trigger)
-
-
-def live_crawl_stats(events: DataFrame, jobs: DataFrame, root: str, n: int = 10, trigger: dict | None = None):
-    """J5 recomputed after every micro-batch from the latest job states."""
-    return publish_stats(events, root, lambda latest: J.crawl_stats(jobs, latest.select("crawl_id", "job_id", "state"), n), trigger)
-
-
-def track_active(events: DataFrame, root: str, trigger: dict | None = None):
-    """Open jobs per crawl, and for crawls without any the final status (A10)."""
-    def stat(latest: DataFrame) -> DataFrame:
-        as_events = latest.select(F.lit(0).alias("event_id"), "crawl_id", "job_id", "state", F.col("last_ts").alias("ts"))
-        return J.active_job_counts(as_events).join(J.final_status(as_events), "crawl_id", "left")
-
-    return publish_stats(events, root, stat, trigger)
+def document_table(spark: SparkSession, root: str) -> KeyedTable:
+    """S10's stored page rows, keyed by (crawl_id, url)."""
+    from weft.operators.pages import STORED_SCHEMA
+    return KeyedTable(spark, f"{root}/documents", STORED_SCHEMA, ("crawl_id", "url"))
 
 
 def stream_documents(pages: DataFrame, root: str, trigger: dict | None = None):
-    """Extract the documents of each micro-batch of pages (S1, H10, E2) and store them (S6 by batch: ``root/documents/v=<epoch>``)."""
+    """Extract the documents of each micro-batch of pages (S1, H10, E2) and upsert them (S6) into ``document_table(root)``:
+    a page fetched again takes the place of its earlier row."""
     from weft.operators.html import documents
-    from weft.operators.pages import nest_documents
+    from weft.operators.pages import latest_by_key, nest_documents
     from weft.operators.rules import drop_empty_documents
-    from weft.sources.tables import read_pages
+
+    table = document_table(pages.sparkSession, root)
 
     def write(batch: DataFrame, epoch: int) -> None:
-        nest_documents(drop_empty_documents(documents(read_pages(batch.sparkSession, batch)))).write.mode("overwrite").parquet(f"{root}/documents/v={epoch}")
+        latest = latest_by_key(read_pages(batch.sparkSession, batch), ("crawl_id", "url"), "fetched")
+        table.upsert(nest_documents(drop_empty_documents(documents(latest, keep=("crawl_id", "url", "depth")))), epoch=epoch)
 
     return _start(pages, root, write, "append", trigger)
 
 
-# ---- to completion (availableNow), as tables ------------------------------------------------------
+# ---- the driver tables as streams, to completion (availableNow) ----------------------------------------
+
+NOW = {"availableNow": True}
+
 
 def _root(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/weft-stream-{name}/{uuid.uuid4().hex}"
 
 
-NOW = {"availableNow": True}
+def in_order(df: DataFrame, by: str, root: str, n: int = 4) -> DataFrame:
+    """``df`` as a stream of ``n`` micro-batches in the order of ``by``: each slice is written after the one before."""
+    spark, cuts = df.sparkSession, [None, *df.select(F.percentile_approx(by, [i / n for i in range(1, n)])).first()[0], None]
+    for low, high in zip(cuts[:-1], cuts[1:]):
+        part = df if low is None else df.filter(F.col(by) >= F.lit(low))
+        part = part if high is None else part.filter(F.col(by) < F.lit(high))
+        part.coalesce(1).write.mode("append").parquet(f"{root}/input")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/input")
+
+
+def job_event_stream(spark: SparkSession, sf_dir: str, root: str, n: int = 4) -> DataFrame:
+    """The driver's ``events`` table mapped to job events (as ``sources.tables.job_events``), as a stream of ``n`` batches by time."""
+    return in_order(job_event_columns(read_table(spark, sf_dir, "events")).withColumn("ts", F.col("ts").cast("timestamp")), "ts", root, n)
 
 
-def stream_stat_table(spark: SparkSession, name: str, start: Callable) -> DataFrame:
-    """Run ``start(root, trigger)`` of a ``publish_stats`` query over all there is and return its last rows."""
+def live_jobs_table(spark: SparkSession, sf_dir: str, name: str, jobs: DataFrame | None = None) -> LiveJobs:
+    """``live_jobs`` run over all events; jobs are kept until the end, so that counts are those of the whole table."""
     root = _root(spark, name)
-    start(root, NOW).awaitTermination()
-    return latest_stat(spark, root)
+    query, live = live_jobs(job_event_stream(spark, sf_dir, root), root, jobs, NOW, grace_ms=3650 * GRACE_MS)
+    query.awaitTermination()
+    return live
 
 
 def stream_throughput_table(spark: SparkSession, sf_dir: str, width: str = "5 minutes") -> DataFrame:
@@ -127,21 +300,22 @@ def stream_throughput_table(spark: SparkSession, sf_dir: str, width: str = "5 mi
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/v={epoch}")
 
-    _start(throughput(job_event_stream(spark, sf_dir), width), root, write, "update", NOW).awaitTermination()
+    _start(throughput(job_event_stream(spark, sf_dir, root), width), root, write, "update", NOW).awaitTermination()
     every = spark.read.schema("window_start TIMESTAMP, state STRING, n BIGINT, v INT").parquet(f"{root}/out")
     return every.groupBy("window_start", "state").agg(F.max_by("n", "v").alias("n"))
 
 
-def stream_unique_urls_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R3 over the events stream, written by the file sink (exactly once)."""
+def stream_unique_urls_table(spark: SparkSession, sf_dir: str, expiry: str | None = "3650 days") -> DataFrame:
+    """R3 over the events stream, written by the file sink (exactly once); no key expires within ``expiry`` of event time."""
     root = _root(spark, "urls")
-    urls = job_event_stream(spark, sf_dir).select("crawl_id", F.col("job_id").alias("url"), "ts")
-    (dedupe_urls(urls).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/_checkpoint")
+    urls = job_event_stream(spark, sf_dir, root).select("crawl_id", F.col("job_id").alias("url"), "ts")
+    (dedupe_urls(urls, expiry).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/_checkpoint")
      .trigger(**NOW).start().awaitTermination())
     return spark.read.schema("crawl_id BIGINT, url STRING, ts TIMESTAMP").parquet(f"{root}/out").select("crawl_id", "url")
 
 
-def stream_documents_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_documents_table(spark: SparkSession, pages: DataFrame) -> DataFrame:
+    """R6 over page rows in the order of their fetch: the stored documents."""
     root = _root(spark, "documents")
-    stream_documents(table_stream(spark, sf_dir, "pages", PAGE_SCHEMA), root, NOW).awaitTermination()
-    return spark.read.parquet(f"{root}/documents").drop("v")
+    stream_documents(in_order(pages, "fetched", root), root, NOW).awaitTermination()
+    return document_table(spark, root).read()
