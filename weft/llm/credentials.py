@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ _CONTEXT = re.compile(
     r"""(?<![a-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|secret(?:[_-]?key)?|(?:auth|access|refresh)?[_-]?token|(?:api|access|private)[_-]?key"""
     r"""|credentials?|client[_-]?secret|authorization)["']?[ \t]*(?::=|=>|[:=]|\bis\b)[ \t]*(?:(?:bearer|basic)[ \t]+)?"""
     r"""(?:"([^"\n]{6,})"|'([^'\n]{6,})'|([^\s"'<>`]{6,}))""", re.ASCII | re.IGNORECASE)
-_USERINFO = re.compile(r"://[^\s/:@]{1,64}:([^\s/@]{6,})@", re.ASCII)
+_USERINFO = re.compile(r"://[^\s/:@]++:([^\s/@]{6,})@", re.ASCII)
 #: One of these is in every text that _ASSIGN, _CONTEXT or _USERINFO can match (lower case).
 _NEEDLES = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"authorization", b"://")
 
@@ -41,11 +42,10 @@ march april june july august october december hello world computer internet goog
 ginger silver golden purple yellow green blue black white tiger lion eagle falcon wolf bear horse money star moon
 angel happy lucky magic power rocket matrix ninja flower cheese coffee chocolate london paris berlin madrid america
 german france house home family friend mother father sister brother baby junior the and not you this that your""".split()
-_RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-_LENGTHS = sorted({len(w) for w in WORDS})
 _LEET = str.maketrans("4@310!5$7", "aaeloisst")
 _ASCII_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-_DATE = re.compile(r"(?:\d{4}([-/.]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/.]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d)", re.ASCII)
+#: Dates by year, by day, and years alone: each is offered for itself.
+_DATES = [re.compile(p, re.ASCII) for p in (r"\d{4}([-/.]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])", r"(?:0[1-9]|[12]\d|3[01])([-/.]?)(?:0[1-9]|1[0-2])\1(?:19|20)\d\d", r"(?:19|20)\d\d")]
 _KEYS = {c: (r, i) for r, row in enumerate(("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")) for i, c in enumerate(row)}
 _SEGMENT = math.log10(2)
 
@@ -54,61 +54,116 @@ def _alphabet(c: str) -> float:
     return math.log10(10 if "0" <= c <= "9" else 26 if "a" <= c <= "z" or "A" <= c <= "Z" else 33 if c < "\x80" else 1000)
 
 
-def _runs(flags: list[bool]) -> list[int]:
-    """For each position, how many flags in a row are set from there on."""
-    out = [0] * (len(flags) + 1)
-    for i in range(len(flags) - 1, -1, -1):
-        out[i] = out[i + 1] + 1 if flags[i] else 0
+class _Starts:
+    """Starts of spans of one kind that may be the best for some end, in one run.
+
+    A span from i to j costs cost(i) + steady(j) - steady(i) + log10((j - i) / unit) + a constant. Of two starts the later one
+    gains most at the nearest end; where it does not win there, it never does and is left out. In a long run that leaves few.
+    """
+
+    def __init__(self, unit: int, least: int):
+        self.unit, self.least, self.kept = unit, least, []
+
+    def add(self, i: int, base: float) -> None:
+        near = i + self.least
+        if all((i - k) % self.unit or b + math.log10(near - k) > base + math.log10(near - i) for k, b in self.kept):
+            self.kept.append((i, base))
+
+    def best(self, j: int) -> float:
+        return min((b + math.log10((j - i) / self.unit) for i, b in self.kept if j - i >= self.least and (j - i) % self.unit == 0), default=math.inf)
+
+
+def _period_runs(value: str) -> list[tuple[int, int, int]]:
+    """(unit, first, last) of every stretch in which each character equals the one ``unit`` places on, for at least two copies.
+    Units are primitive: a stretch inside one of a unit that divides its own is left out."""
+    n, out = len(value), []
+    code = np.frombuffer(value.encode("utf-32-le"), np.uint32)
+    for u in range(1, n // 2 + 1):
+        same = code[:-u] == code[u:]
+        if not same.any():
+            continue
+        edge = np.flatnonzero(np.diff(np.r_[False, same, False].astype(np.int8)))
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            if b - a >= u and not any(u % v == 0 and x <= a and b + u <= z for v, x, z in out):
+                out.append((u, a, b + u))
     return out
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses that the cheapest segmentation of ``value`` takes; linear in its length."""
+def guess_cost(value: str, words: tuple[str, ...] = tuple(WORDS)) -> float:
+    """log10 of the guesses that the cheapest segmentation of ``value`` takes, into words (the most common first), dates, copies
+    of a primitive unit of any length (priced at its own least cost), walks of any length and brute-force characters."""
+    return _guess_cost(value, _ranked(words))
+
+
+@lru_cache(maxsize=8)
+def _ranked(words: tuple[str, ...]):
+    ranks: dict[str, int] = {}
+    for w in words:
+        ranks.setdefault(w, len(ranks) + 1)
+    return ranks, sorted({len(w) for w in ranks})
+
+
+def _guess_cost(value: str, ranked, units: dict[str, float] | None = None) -> float:
+    ranks, lengths = ranked
+    units = {} if units is None else units
     n, lower = len(value), value.translate(_ASCII_LOWER)
     plain = lower.translate(_LEET)
-    brute = [0.0]
-    for c in value:
-        brute.append(brute[-1] + _alphabet(c))
     cost = [0.0] + [math.inf] * n
-    repeats = {u: _runs([value[i] == value[i + u] for i in range(n - u)]) for u in range(1, min(5, n))}
     step = []
     for a, b in zip(lower, lower[1:]):
         p, q = _KEYS.get(a), _KEYS.get(b)
         near = (q[0] - p[0], q[1] - p[1]) if p and q and max(abs(q[0] - p[0]), abs(q[1] - p[1])) == 1 else None
         order = ord(b) - ord(a)
         step.append(near or ((9, order) if abs(order) == 1 and a.isalnum() and b.isalnum() else None))
-    walk = _runs([s is not None for s in step])
-    turns = [0] * (len(step) + 1)
-    for i in range(len(step) - 2, -1, -1):
-        turns[i] = turns[i + 1] + (step[i] != step[i + 1]) if step[i] is not None and step[i + 1] is not None else 0
-
-    def offer(i: int, j: int, more: float) -> None:
-        if cost[i] + more < cost[j]:
-            cost[j] = cost[i] + more
-
-    for i in range(n):
-        offer(i, i + 1, brute[i + 1] - brute[i])
-        for size in _LENGTHS:
+    # turns[j]: turns among the steps before the character at j, counted over the whole value
+    turns = [0] * (n + 1)
+    for j in range(2, n):
+        turns[j] = turns[j - 1] + (step[j - 1] is not None and step[j - 2] is not None and step[j - 1] != step[j - 2])
+    runs: dict[int, list[tuple[int, int]]] = {}
+    for u, a, z in _period_runs(value):
+        runs.setdefault(a, []).append((u, z))
+    repeats: list[tuple[_Starts, int]] = []  # the stretches that hold the current place, with their ends
+    walk = _Starts(1, 4)
+
+    for i in range(n + 1):
+        # spans that end here
+        for starts, z in repeats:
+            if i <= z:
+                cost[i] = min(cost[i], starts.best(i) + _SEGMENT)
+        if i >= 4:
+            cost[i] = min(cost[i], walk.best(i) + math.log10(36) + turns[i - 1] * math.log10(8) + _SEGMENT)
+        if i == n:
+            break
+        # spans that begin here
+        cost[i + 1] = min(cost[i + 1], cost[i] + _alphabet(value[i]))
+        for size in lengths:
             if i + size > n:
                 break
             asis = lower[i : i + size]
-            rank = _RANK.get(asis) or _RANK.get(plain[i : i + size])
+            rank = ranks.get(asis) or ranks.get(plain[i : i + size])
             if rank:
-                part = value[i : i + size]
-                variants = 1 + (part != lower[i : i + size]) + sum(a != b for a, b in zip(asis, plain[i : i + size]) if asis not in _RANK)
-                offer(i, i + size, math.log10(rank + 1) + math.log10(variants) + _SEGMENT)
-        if m := _DATE.match(value, i):
-            offer(i, m.end(), math.log10(200) + (math.log10(365) if m.end() - i > 4 else 0) + _SEGMENT)
-        for u, run in repeats.items():
-            if i < len(run) and run[i] >= max(2, u):
-                copies = run[i] // u + 1
-                offer(i, i + copies * u, brute[i + u] - brute[i] + math.log10(copies) + _SEGMENT)
-        if i < len(walk) and walk[i] >= 3:
-            offer(i, i + walk[i] + 1, math.log10(36) + turns[i] * math.log10(8) + math.log10(walk[i] + 1) + _SEGMENT)
+                variants = 1 + (value[i : i + size] != asis) + sum(a != b for a, b in zip(asis, plain[i : i + size]) if asis not in ranks)
+                cost[i + size] = min(cost[i + size], cost[i] + math.log10(rank + 1) + math.log10(variants) + _SEGMENT)
+        for pattern in _DATES:
+            if m := pattern.match(value, i):
+                cost[m.end()] = min(cost[m.end()], cost[i] + math.log10(200) + (math.log10(365) if m.end() - i > 4 else 0) + _SEGMENT)
+        repeats = [(s, z) for s, z in repeats if i < z] + [(_Starts(u, 2 * u), z) for u, z in runs.get(i, ())]
+        for starts, z in repeats:
+            if z - i < 2 * starts.unit:
+                continue
+            unit = value[i : i + starts.unit]
+            if unit not in units:
+                units[unit] = _guess_cost(unit, ranked, units)
+            starts.add(i, cost[i] + units[unit])
+        if i == 0 or step[i - 1] is None:
+            walk = _Starts(1, 4)
+        if i < len(step) and step[i] is not None:
+            # a turn at the start itself does not belong to the walk
+            walk.add(i, cost[i] - turns[i + 1] * math.log10(8))
     return cost[n]
 
 
-def find(text: str, base: bool = True, least: float = LEAST_COST) -> list[tuple[str, int, int]]:
+def find(text: str, base: bool = True, least: float = LEAST_COST, words: tuple[str, ...] = tuple(WORDS)) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all spans, by start and then kind."""
     out = []
     if base:
@@ -120,7 +175,7 @@ def find(text: str, base: bool = True, least: float = LEAST_COST) -> list[tuple[
         for m in pattern.finditer(text):
             g = next(i for i in range(1, len(m.groups()) + 1) if m[i] is not None)
             value = m[g].rstrip(".,;:)]}") if pattern is _CONTEXT and g == 3 else m[g]
-            if len(value) >= 6 and guess_cost(value) >= least:
+            if len(value) >= 6 and guess_cost(value, words) >= least:
                 found.add(("guess", m.start(g), m.start(g) + len(value)))
     return sorted(out + list(found), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
@@ -145,12 +200,13 @@ def _suspects(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 OUT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long"
 
 
-def scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", least: float = LEAST_COST) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", least: float = LEAST_COST, words: tuple[str, ...] = tuple(WORDS)) -> DataFrame:
     """Secrets of every whole text: one row for each input row.
 
     base: ``assign`` spans cover the whole match (its value has 6 characters or more), ``access`` 20 or more, ``hex`` 24 or
-    more; ``guess`` spans cover the value alone. A null text counts as empty; ids may be null or repeated; other columns are
-    ignored. Text is only decoded and matched where a cheap look at its bytes leaves a match possible.
+    more; ``guess`` spans cover the value alone. ``words`` are the common words of passwords, the most common first. A null text
+    counts as empty; ids may be null or repeated; whole texts are read, however long; an empty table gives no rows; other columns
+    are ignored. Text is only decoded and matched where a cheap look at its bytes leaves a match possible.
     """
     nothing = hashlib.sha256(b"").hexdigest()
 
@@ -167,7 +223,7 @@ def scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", least: flo
                 for r in range(i, j):
                     a, z = off[r - i] - off[0], off[r - i + 1] - off[0]
                     if hexes[r - i] or raw.find(b"AKIA", a, z) >= 0 or any(low.find(w, a, z) >= 0 for w in _NEEDLES):
-                        if got := find(raw[a:z].decode("utf-8", "replace"), least=least):
+                        if got := find(raw[a:z].decode("utf-8", "replace"), least=least, words=words):
                             spans[r] = _joined(got)
                             digest[r] = hashlib.sha256(_joined(s for s in got if s[0] != "guess").encode()).hexdigest()
                             for kind, _, _ in got:
