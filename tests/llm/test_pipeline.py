@@ -55,7 +55,12 @@ def test_cases(spark):
     rows = [(1, "a b c d e f g", None, None, None, "x"), (1, "a b c d e f g", None, None, None, "x"), (2, "A b c d e f g", "en", "s", 3, "y"), (None, None, None, None, None, None), (None, "q", "en", "s", 1, "z"), (5, "", "en", "s", 0, "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, tokens string")
     kept = cp.one_of_each(spark, docs, SF)
-    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, ""), (0, "q"), (1, "a b c d e f g"), (5, "")] and kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, ""), (0, "q"), (2, "A b c d e f g"), (5, "")] and kept.columns == docs.columns
+    words = "the quick brown fox jumps over a lazy dog and runs on"
+    more = [(1, "first clean text of its own", "en", "s", 1, "x"), (1, "second and quite unrelated clean text", "en", "s", 2, "x"), (None, words, "en", "s", 3, "x"), (None, words, "en", "s", 4, "x"), (None, words + " .", "en", "s", 5, "x"),
+            (None, "another nameless text that nothing else resembles", "en", "s", 6, "x"), (7, words, "en", "s", 7, "x"), (8, "alone", None, None, None, None)]
+    kept = cp.one_of_each(spark, spark.createDataFrame(more, docs.schema), SF)
+    assert sorted((r.doc_id or 0, r.n_chars or 0) for r in kept.collect()) == [(0, 6), (1, 1), (1, 2), (7, 7), (8, 0)]
     for _, f in cp.STAGES:
         assert f(spark, docs, SF).count() <= 6 and f(spark, docs.limit(0), SF).count() == 0
     assert cp.target_mix(spark, docs, SF).columns == docs.columns

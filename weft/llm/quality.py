@@ -180,11 +180,13 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> AdditiveModel:
-    """Fit on at most ``most`` labelled documents. Of repeated labels of a document the highest counts; null labels and ids don't."""
+    """Fit on at most ``most`` labelled documents. Of repeated labels of a document the highest counts, and of repeated documents the
+    smallest text; null labels and ids don't. Without labels every text scores 0.5."""
     known = labels.filter(~held_out() & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     to = F.arrow_udf(lambda t: pa.array(list(features(t)), pa.list_(pa.float64())), "array<double>")
-    rows = docs.join(F.broadcast(some), "doc_id").select("doc_id", "quality", to("text").alias("x")).toArrow()  # bounded by ``most``, but for repeated ids
+    one = docs.join(F.broadcast(some), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # a repeated id counts once
+    rows = one.select("doc_id", "quality", to("text").alias("x")).toArrow()  # at most ``most`` rows
     rows = rows.sort_by("doc_id")
     x = np.array(rows.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     return fit(x, rows.column("quality").to_numpy().astype(float))

@@ -138,15 +138,16 @@ def assign(spark: SparkSession, docs: DataFrame, shards: int, text: str = "text"
     are one atomic group (equality by 64-bit hash: a collision would only join two groups). Shard loads are as equal as
     whole groups allow: no contiguous cut of the order has a smaller largest shard. Repeated rows, null ids and ties are
     rows like any other; an empty table gives no rows; other columns are ignored.
-    slot: rows of a shard are numbered from 0 without gaps. They are dealt to buckets by a hash of the row, so a shard that
-    consists of one hot group is still numbered by many tasks.
+    slot: rows of a shard are numbered from 0 without gaps. They are dealt to buckets by a hash of the row and of its place in
+    the table, so a shard of one hot group, or of one row that repeats, is still numbered by many tasks. Whole texts are read.
     """
     body = F.col(text)
     rows = written(spark, docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length(body), F.lit(0)).cast("long") + overhead).alias("size"),
         F.crc32(F.encode(F.coalesce(body, F.lit("")), "UTF-8")).alias("text_crc32"),
-        F.when(body.isNull(), F.lit(0)).otherwise(F.xxhash64(body)).alias("place")), "rows")
+        F.when(body.isNull(), F.lit(0)).otherwise(F.xxhash64(body)).alias("place"),
+        F.pmod(F.monotonically_increasing_id(), F.lit(1024)).alias("part")), "rows")
     groups = written(spark, rows.groupBy("place").agg(F.sum("size").alias("bytes")), "groups")
     keys, _ = cut_keys(groups, shards)
     # unsigned order of the signed key: flip the sign bit
@@ -155,7 +156,7 @@ def assign(spark: SparkSession, docs: DataFrame, shards: int, text: str = "text"
     n = rows.count()
     buckets = max(1, -(-n // (rows_per_bucket * shards)) * 8)
     placed = rows.select("doc_id", "size", "text_crc32", shard.cast("int").alias("shard"),
-                         F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)).alias("bucket"))
+                         F.pmod(F.xxhash64("doc_id", "text_crc32", "part"), F.lit(buckets)).alias("bucket"))
     return number(placed, ["shard"], "bucket", ["doc_id", "text_crc32"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
