@@ -73,3 +73,11 @@ def test_one_rare_cell_does_not_thin_the_others(spark):
         assert marginals(out).toPandas().error.max() < 0.01
         hot, other = (got[got.source == s].probability.mean() for s in ("hot", "s1"))
         assert other / hot == pytest.approx(10**0.2, rel=0.01) or other == pytest.approx(1)
+
+
+def test_columns_named_like_cells(spark):
+    rows = [(i, "ab"[i % 2], "en", "short", 10, f"x{i}", "y") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, topic string, tokens long, _source string, __lang string")
+    out = mix(spark, docs)
+    assert out.columns == [*docs.columns, "weight", "probability", "drawn"]
+    assert {(r.doc_id, r._source) for r in out.select("doc_id", "_source").collect()} == {(i, f"x{i}") for i in range(40)}

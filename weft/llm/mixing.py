@@ -20,8 +20,6 @@ from .common import table, written
 DIMS = ("source", "lang", "topic")
 #: The mix of the query: shares of the corpus to this power (1 keeps them, 0 makes them equal), and rounds of raking.
 TEMPER, ROUNDS = 0.8, 40
-#: Cells up to this many rows are broadcast to the documents; more are joined by shuffling the documents' keys.
-BROADCAST_CELLS = 50_000
 #: Least expected share of the tokens in the sample, how far a marginal may be off its target, the power of the factors where
 #: the targets contradict each other, and the relative change in a round at which bounded raking ends.
 LEAST_SHARE, MET, FIRM, STILL = 0.3, 0.01, 0.8, 1e-9
@@ -154,12 +152,13 @@ def mix(spark: SparkSession, docs: DataFrame, dims=DIMS, temper: float = TEMPER,
     """
     cells = docs.groupBy(*dims).agg(F.sum("tokens").alias("tokens"))
     cells = mixed(spark, written(spark, tempered(written(spark, cells, "margins").coalesce(1), dims, temper), "targets"), dims, rounds, share)
-    cells = written(spark, cells.coalesce(1).select(*(F.col(d).alias(f"_{d}") for d in dims), "weight", "probability"), "weights")
-    if cells.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS:
-        cells = F.broadcast(cells)
-    same = reduce(lambda a, b: a & b, (docs[d].eqNullSafe(cells[f"_{d}"]) for d in dims))
+    mark = "_"  # names of the cells' columns that no document column has
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    cells = written(spark, cells.coalesce(1).select(*(F.col(d).alias(mark + d) for d in dims), "weight", "probability"), "weights")
+    same = reduce(lambda a, b: a & b, (docs[d].eqNullSafe(cells[mark + d]) for d in dims))  # Spark's statistics choose the join
     draw = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary")), 1, 13), 16, 10).cast("double") / float(16**13)
-    return docs.drop("weight", "probability", "drawn").join(cells, same).drop(*(f"_{d}" for d in dims)).withColumn("drawn", draw < F.col("probability"))
+    return docs.drop("weight", "probability", "drawn").join(cells, same).drop(*(mark + d for d in dims)).withColumn("drawn", draw < F.col("probability"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
