@@ -3,13 +3,16 @@
 A score is the sum of ``lists`` local scores, one for each slice of the components. Phase 1 gathers the head of each local
 list; the k-th best score among the heads is a safe cutoff: the true k-th best is at least as high. A score that reaches the
 cutoff has a local score of at least cutoff / lists in some list. Phase 2 broadcasts the cutoffs and collects all such
-entries; phase 3 adds up their remaining local scores exactly and keeps what reaches the cutoff.
+entries; phase 3 adds up their remaining local scores exactly and keeps what reaches the cutoff. The lists of phase 2 are made
+one after the other, and only for entries that can still reach the cutoff.
 
 Vectors stay where they are. Queries go to all of them in blocks of bounded size, one pass for each block.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -79,6 +82,43 @@ def _batches(batches, dim: int, rows: int):
             yield ids, m
 
 
+def _sufficient(q: np.ndarray, x: np.ndarray, edges: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, score) of the entries that reach their query's cutoff.
+
+    List by list: what the lists to come can add is at most the product of the lengths of the components left, so an entry that
+    cannot reach the cutoff any more is not scored further; and an entry without a local score of cutoff / lists in any list
+    cannot have reached it.
+    """
+    if q.dtype == object:
+        total = q @ x.T
+        i, j = np.nonzero(total.astype(float) >= cut[:, None])
+        return i, j, total[i, j]
+    lists = len(edges) - 1
+    share = np.where(np.isfinite(cut), cut / lists, -np.inf)
+    share -= 1e-6 * np.abs(np.where(np.isfinite(share), share, 0))
+    left = [[np.sqrt(np.einsum("ij,ij->i", m[:, a:], m[:, a:])) for a in edges[1:]] for m in (q, x)]
+    rows = cols = None
+    part, collected = np.zeros((len(q), len(x))), np.zeros((len(q), len(x)), bool)
+    for n, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+        if rows is None:
+            local = q[:, a:b] @ x[:, a:b].T
+            part += local
+            collected |= local >= share[:, None]
+            alive = part + np.multiply.outer(left[0][n], left[1][n]) * (1 + 1e-9) >= cut[:, None]
+            if n + 1 < lists and 4 * alive.sum() > alive.size:
+                continue  # most are left: the next list is cheaper for all of them than picked one by one
+            rows, cols = np.nonzero(alive)
+            part, collected = part[rows, cols], collected[rows, cols]
+        else:
+            local = np.einsum("ij,ij->i", q[rows, a:b], x[cols, a:b])
+            part = part + local
+            collected = collected | (local >= share[rows])
+            alive = part + left[0][n][rows] * left[1][n][cols] * (1 + 1e-9) >= cut[rows]
+            rows, cols, part, collected = (z[alive] for z in (rows, cols, part, collected))
+    reach = collected & (part >= cut[rows])
+    return rows[reach], cols[reach], part[reach]
+
+
 _OUT = "query_id long, vec_id long, score long"
 
 
@@ -92,7 +132,7 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int,
     Components must be integral doubles. A query's own id is no candidate. Ties go to the smaller id; fewer candidates than k
     give all of them, none gives no rows. Vectors of unequal length are compared over their common components. A query id
     that occurs repeatedly is asked once, with its smallest vector; a repeated candidate row is a candidate each time. A
-    product beyond a long counts as the nearest long.
+    product beyond a long counts as the nearest long. Other columns are not looked at.
     """
     asked = queries.filter(F.col("id").isNotNull()).groupBy("id").agg(F.min("v").alias("v"))
     size = asked.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
@@ -101,7 +141,7 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int,
     per = max(1, block_bytes // (8 * dim))
     blocks = -(-n // per)
     asked = written(spark, asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, blocks)))), "queries")
-    found = None
+    found = []
     edges = np.linspace(0, dim, min(lists, dim) + 1).astype(int)
     for block in range(blocks):
         rows = asked.filter(F.col("block") == block).select("id", "v").toArrow()  # about block_bytes, by the split above
@@ -135,27 +175,21 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int,
 
         def entries(batches, sent=sent, cutoffs=cutoffs):
             (ids, q), cut = sent.value, cutoffs.value
-            share = np.where(np.isfinite(cut), cut / (len(edges) - 1), -np.inf)[:, None]
             kept = None
             for vec, x in _batches(batches, dim, step):
-                qx, x = _exact(q, x)
-                parts = [qx[:, a:b] @ x[:, a:b].T for a, b in zip(edges[:-1], edges[1:])]
-                sufficient = np.zeros((len(ids), len(vec)), bool)
-                for p in parts:
-                    sufficient |= p >= share - 1e-6 * np.abs(np.where(np.isfinite(share), share, 0))
-                i, j = np.nonzero(sufficient & (ids[:, None] != vec[None, :]))
-                total = sum(p[i, j] for p in parts)
-                reach = total.astype(float) >= cut[i]
-                kept = _merged(kept, (ids[i[reach]], vec[j[reach]], total[reach]), k)
+                i, j, total = _sufficient(*_exact(q, x), edges, cut)
+                other = ids[i] != vec[j]
+                kept = _merged(kept, (ids[i[other]], vec[j[other]], total[other]), k)
             if kept is not None and len(kept[0]):
                 yield _emit(*kept)
 
-        part = vectors.mapInArrow(entries, _OUT)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], _OUT)
+        found.append(written(spark, vectors.mapInArrow(entries, _OUT), "entries"))
+        sent.unpersist()
+        cutoffs.unpersist()
+    if not found:
+        found = [spark.createDataFrame([], _OUT)]
     ranked = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", column: str = "embedding", scale: int = 256) -> DataFrame:
