@@ -74,7 +74,7 @@ def test_short_items_and_scripts(spark):
                                (6, "กขค x"), (7, None), (8, "")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "forty two ok"), (2, "機械学習は楽しいですか"), (3, "école normale supérieure de lyon"), (4, "..."), (5, "ขค")], "item_id long, text string")
     got = sorted((r.doc_id, r.item_id, r.item_tokens, r.tiled_tokens) for r in tilings(spark, d, b).collect())
-    assert got == [(1, 1, 3, 3), (3, 2, 11, 11), (5, 3, 5, 5), (6, 5, 2, 2)] or [g[:2] for g in got] == [(1, 1), (3, 2), (4, 2), (5, 3), (6, 5)]
+    assert got == [(1, 1, 3, 3), (3, 2, 11, 11), (5, 3, 5, 5), (6, 5, 2, 2)]
     for doc, item, of, n in got:
         text, q = (x.filter(f"{c} = {i}").first().text for x, c, i in ((d, "doc_id", doc), (b, "item_id", item)))
         assert (n, of) == brute(q, text, 4)

@@ -10,7 +10,6 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -89,13 +88,12 @@ def _period_runs(value: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def guess_cost(value: str, words: tuple[str, ...] = tuple(WORDS)) -> float:
+def guess_cost(value: str, words: tuple[str, ...] = tuple(WORDS), ranked=None) -> float:
     """log10 of the guesses that the cheapest segmentation of ``value`` takes, into words (the most common first), dates, copies
     of a primitive unit of any length (priced at its own least cost), walks of any length and brute-force characters."""
-    return _guess_cost(value, _ranked(words))
+    return _guess_cost(value, ranked or _ranked(words))
 
 
-@lru_cache(maxsize=8)
 def _ranked(words: tuple[str, ...]):
     ranks: dict[str, int] = {}
     for w in words:
@@ -163,9 +161,9 @@ def _guess_cost(value: str, ranked, units: dict[str, float] | None = None) -> fl
     return cost[n]
 
 
-def find(text: str, base: bool = True, least: float = LEAST_COST, words: tuple[str, ...] = tuple(WORDS)) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of all spans, by start and then kind."""
-    out = []
+def find(text: str, base: bool = True, least: float = LEAST_COST, words: tuple[str, ...] = tuple(WORDS), ranked=None) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of all spans, by start and then kind. ranked: ``_ranked(words)``, if it is at hand."""
+    out, ranked = [], ranked or _ranked(words)
     if base:
         out += [("assign", m.start(), m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
         out += [("access", *m.span()) for m in _ACCESS.finditer(text)]
@@ -175,7 +173,7 @@ def find(text: str, base: bool = True, least: float = LEAST_COST, words: tuple[s
         for m in pattern.finditer(text):
             g = next(i for i in range(1, len(m.groups()) + 1) if m[i] is not None)
             value = m[g].rstrip(".,;:)]}") if pattern is _CONTEXT and g == 3 else m[g]
-            if len(value) >= 6 and guess_cost(value, words) >= least:
+            if len(value) >= 6 and guess_cost(value, words, ranked) >= least:
                 found.add(("guess", m.start(g), m.start(g) + len(value)))
     return sorted(out + list(found), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
@@ -211,6 +209,7 @@ def scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", least: flo
     nothing = hashlib.sha256(b"").hexdigest()
 
     def run(batches):
+        ranked = _ranked(words)
         for b in batches:
             data, offsets = utf8(b.column(1))
             n = [np.zeros(b.num_rows, np.int64) for _ in KINDS]
@@ -223,7 +222,7 @@ def scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", least: flo
                 for r in range(i, j):
                     a, z = off[r - i] - off[0], off[r - i + 1] - off[0]
                     if hexes[r - i] or raw.find(b"AKIA", a, z) >= 0 or any(low.find(w, a, z) >= 0 for w in _NEEDLES):
-                        if got := find(raw[a:z].decode("utf-8", "replace"), least=least, words=words):
+                        if got := find(raw[a:z].decode("utf-8", "replace"), least=least, ranked=ranked):
                             spans[r] = _joined(got)
                             digest[r] = hashlib.sha256(_joined(s for s in got if s[0] != "guess").encode()).hexdigest()
                             for kind, _, _ in got:
