@@ -8,7 +8,8 @@ from tools.check_oracle import TABLES, digest
 SF = "/root/testdata/sf0.001"
 NAMES = ["queue_stats", "queue_status", "crawl_stats", "reset_summary", "final_status", "within_quota", "retain",
          "fetch_plan", "crawl_frontier", "canonicalize_urls", "pages_by_domain", "filter_allowed", "paragraphs",
-         "headings", "anchors", "raw_text", "outlinks", "robots_allowed", "throughput"]
+         "headings", "anchors", "raw_text", "outlinks", "robots_allowed", "throughput",
+         "raw_text_states", "extractors", "write_documents", "crawl_pages", "upsert_outcomes", "job_processing_stats"]
 
 
 @pytest.fixture(scope="module")
