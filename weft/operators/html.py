@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import markup
 from weft.functions.text import decode_entities
+from weft.functions.urls import let
 
 _RAW = "|".join((*markup.DECODED_ELEMENTS, *markup.RAW_ELEMENTS, "plaintext"))
 
@@ -51,7 +52,9 @@ def html_tokens(pages: DataFrame) -> DataFrame:
     )
     t = t.withColumns({"kind": kind, "_name": name})
     inner = F.regexp_replace(F.regexp_replace("tok", markup.TAG_RE, ""), rf"(?is)</(?!plaintext)(?:{_RAW})(?=[ \t\n\f\r/>])[^>]*>?$", "")
-    text = F.when(F.col("kind") == "text", decode_entities(F.col("tok"))).when(F.col("kind") == "textarea", decode_entities(inner)).when(F.col("kind") == "raw", inner)
+    text = F.when(F.col("kind") == "text", F.col("tok")).when(F.col("kind").isin("textarea", "raw"), inner)
+    t = t.withColumn("_text", text)  # one decoder for both kinds of text
+    text = F.when(F.col("kind").isin("text", "textarea"), decode_entities(F.col("_text"))).otherwise(F.col("_text"))
     return t.select("page_id", "pos", "kind", F.when(F.col("kind").isin("open", "close", "textarea", "raw"), F.col("_name")).alias("tag"), "tok", text.alias("text"))
 
 
@@ -132,9 +135,12 @@ def raw_text(pages: DataFrame) -> DataFrame:
 
 def titles(pages: DataFrame) -> DataFrame:
     """H4: ``page_id, title`` (first title, not cleaned, NULL if empty or absent)."""
+    def inner(token: Column) -> Column:
+        text = F.regexp_replace(F.regexp_replace(token, markup.TAG_RE, ""), r"(?is)</title(?=[ \t\n\f\r/>])[^>]*>?$", "")
+        return F.when(token.rlike(markup.TAG_RE), text)
+
     token = F.get(F.filter(_token_array(F.col("html")), lambda x: x.rlike(r"(?i)^<title[ \t\n\f\r/>]")), F.lit(0))
-    inner = F.regexp_replace(F.regexp_replace(token, markup.TAG_RE, ""), r"(?is)</title(?=[ \t\n\f\r/>])[^>]*>?$", "")
-    return pages.select("page_id", F.nullif(decode_entities(F.when(token.rlike(markup.TAG_RE), inner)), F.lit("")).alias("title"))
+    return pages.select("page_id", let(let(let(token, inner), lambda t: decode_entities(t)), lambda t: F.nullif(t, F.lit(""))).alias("title"))
 
 
 def _rows(pages: DataFrame, kind: str, *columns: str, keep: tuple[str, ...] = ()) -> DataFrame:
