@@ -75,9 +75,10 @@ def filter_allowed(urls: DataFrame, rules: DataFrame, url: str = "url", crawl: s
     inner = above.filter("contains(_domain, '.')").join(held, ["_c", "_up"], "left_semi").select("_c", "_domain").distinct()
     domains = own.join(inner, ["_c", "_domain"], "left_anti").withColumn("_in", F.lit(True))
     no_paths = F.array().cast("array<string>")
-    sizes = domains.groupBy("_c").agg(F.collect_set(F.size(F.split("_domain", r"\.", -1))).alias("_sizes"))
+    sizes = F.array_distinct(F.transform("allowed_domains", lambda d: F.size(F.split(d, r"\.", -1))))
     r = rules.select(F.col("crawl_id").alias("_c"), F.col("allow_subdomains").alias("_deep"),
-                     F.when(F.coalesce("ignore_paths", F.lit(False)), no_paths).otherwise(F.transform(F.coalesce("excluded_paths", no_paths), F.lower)).alias("_ep")).join(sizes, "_c")
+                     F.when(F.coalesce("ignore_paths", F.lit(False)), no_paths).otherwise(F.transform(F.coalesce("excluded_paths", no_paths), F.lower)).alias("_ep"),
+                     F.when(F.size("allowed_domains") > 0, sizes).alias("_sizes"))
     p = with_known_parts(urls, url, None, "_a").withColumns({"_host": effective_domain(F.col("_a.host")), "_path": F.lower("_a.path"), "_c": F.col(crawl)}).drop("_a").join(r, "_c", "left")
     host = F.split("_host", r"\.", -1)
     n = F.size(host)

@@ -39,7 +39,7 @@ _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvid
 class JobStates(StatefulProcessor):
     """Latest state of each job of one part of a crawl; puts out how the counts changed.
 
-    State: the jobs (map), and (open jobs, time, id and state of the last job to end). An event older than what is known of its
+    State: the jobs (map), and (open jobs; time, id and state of the last job to end; latest event; timer). An event older than what is known of its
     job changes nothing. When no job is open, a timer clears the state ``grace_ms`` of event time after the last event; a crawl
     that goes on later than that starts again with no jobs, and its counts go on from what was put out.
     """
@@ -50,10 +50,10 @@ class JobStates(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.jobs = handle.getMapState("jobs", "job_id string", "state string, us long, event_id long")
-        self.ended = handle.getValueState("ended", "open long, us long, job_id string, state string, latest long")
+        self.ended = handle.getValueState("ended", "open long, us long, job_id string, state string, latest long, timer long")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N803
-        open_jobs, us, job, state, latest = self.ended.get() if self.ended.exists() else (0, None, None, None, 0)
+        open_jobs, us, job, state, latest, timer = self.ended.get() or (0, None, None, None, 0, None)
         delta, rescan, before = dict.fromkeys(STATES, 0), False, (us, job, state)
         for chunk in rows:
             latest = max(latest, int(chunk["us"].max()))
@@ -75,11 +75,12 @@ class JobStates(StatefulProcessor):
         if rescan:
             best = max(((v[1], k[0], v[0]) for k, v in self.jobs.iterator() if v[0] in J.TERMINAL_STATES), default=(None, None, None))
             us, job, state = best
-        self.ended.update((open_jobs, us, job, state, latest))
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t if isinstance(t, int) else t[0])
-        if open_jobs == 0:
-            self.handle.registerTimer(latest // 1000 + self.grace_ms)
+        due = latest // 1000 + self.grace_ms if open_jobs == 0 else None
+        if timer is not None and timer != due:
+            self.handle.deleteTimer(timer)
+        if due is not None and timer != due:
+            self.handle.registerTimer(due)
+        self.ended.update((open_jobs, us, job, state, latest, due))
         if any(delta.values()) or (us, job, state) != before:
             yield pd.DataFrame({"crawl_id": [key[0]], "salt": pd.array([key[1]], "int32"), **{f"d_{s}": [n] for s, n in delta.items()},
                                 "last_us": pd.array([us], "Int64"), "last_job": [job], "last_state": [state]})
