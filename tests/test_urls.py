@@ -102,3 +102,18 @@ def test_one_plan_copy(spark):
     df = spark.createDataFrame([("a", "b")], "u string, b string")
     plan = U.with_canonical(df, "u", "b", "c")._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan) < 100_000, len(plan)
+
+
+def test_ansi_mode_gives_the_same(spark):
+    """Spark 4's own default: no cast may fail on a URL without a port, whose port is '' ."""
+    ansi = spark.conf.get("spark.sql.ansi.enabled")
+    df = spark.createDataFrame([(i, u, b) for i, (u, b, _, _) in enumerate(CASES)], "i int, u string, b string")
+    spark.conf.set("spark.sql.ansi.enabled", "true")
+    try:
+        got = {r.i: r for r in U.with_validity(U.with_canonical(df, "u", "b", "c"), "u", "v").collect()}
+        ports = [r.p for r in spark.createDataFrame([("http://a.com:/",), ("http://a.com:080/",), ("http://a.com:x/",), ("http://a.com:12345678901234567890/",)], "u string")
+                 .select(U.canonical_url("u").alias("p")).collect()]
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+    assert [(got[i].v, got[i].c) for i in range(len(CASES))] == [(v, c) for _, _, v, c in CASES]
+    assert ports == ["http://a.com", "http://a.com", None, None]

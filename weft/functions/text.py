@@ -71,7 +71,7 @@ def decode_entities(c: Column, attribute: bool = False) -> Column:
     def one(r: Column) -> Column:
         digits = F.regexp_extract(r, "^&#[xX]?0*([0-9a-fA-F]*)", 1)
         big = F.length(digits) > 7
-        value = F.when(r.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+        value = F.when(r.rlike("^&#[xX]"), F.conv(F.left(digits, F.lit(7)), 16, 10)).otherwise(digits).try_cast("long")
         num = F.when(digits == "", F.lit(0)).when(big, F.lit(0x110000)).otherwise(value)
         body = F.regexp_extract(r, "^&([^;=]*)", 1)
         rest = F.when(r.endswith("="), F.lit("=")).otherwise(F.lit(""))
