@@ -130,3 +130,15 @@ def test_documents_are_upserted(spark, tmp_path):
     live.stream_documents(stream(spark, root, live.PAGE_SCHEMA), f"{root}/out", live.NOW).awaitTermination()
     got = sorted((r.url, r.title, r.content_text, r.depth) for r in live.document_table(spark, f"{root}/out").read().collect())
     assert got == [("u1", "new", "c", 1), ("u2", None, "b", 0)]
+
+
+def test_state_entries_do_not_grow_with_jobs(spark, tmp_path):
+    """A call to the state store costs many times what a job does: there is one for each page, not for each job or crawl."""
+    root, rows = str(tmp_path), [(i, i % 2500, f"j{i % 5000}", live.STATES[i * 7 % 5], T0 + dt.timedelta(seconds=i % 3000)) for i in range(10_000)]
+    for n in range(2):
+        put(spark, root, n, rows[n::2])
+    query, tables = live.live_jobs(stream(spark, root), f"{root}/out", None, live.NOW)
+    query.awaitTermination()
+    updated = [p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress if p["stateOperators"]]
+    assert 1000 < max(updated) <= live.PARTS * (live.PAGES + 3), updated
+    same_as_batch(spark, tables, rows)

@@ -15,6 +15,7 @@ from __future__ import annotations
 import logging
 import uuid
 from collections.abc import Callable
+from itertools import groupby
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -29,19 +30,23 @@ from weft.sources.tables import job_event_columns, read_pages, read_table
 
 PAGE_SCHEMA = "crawl_id STRING, page_id BIGINT, url STRING, depth INT, html STRING, fetched TIMESTAMP"
 STATES = ["waiting", "active", "delayed", "completed", "failed"]
-#: Events may be this late; a crawl's jobs are forgotten this long after its last job ended; parts of a crawl.
-LATE, GRACE_MS, SALTS = "1 hour", 24 * 3600 * 1000, 16
+#: Events may be this late; a crawl's jobs are forgotten this long after its last job ended; pieces of a crawl; keys of the state and pages of each.
+LATE, GRACE_MS, SALTS, PARTS, PAGES = "1 hour", 24 * 3600 * 1000, 32, 256, 16
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 # ---- keyed state -----------------------------------------------------------------------------------
 
 class JobStates(StatefulProcessor):
-    """Latest state of each job of one part of a crawl; puts out how the counts changed.
+    """Latest state of the jobs of one part of the key space; puts out how the counts of each piece of a crawl in it changed.
 
-    State: the jobs (map), and (open jobs; time, id and state of the last job to end; latest event; timer). An event older than what is known of its
-    job changes nothing. When no job is open, a timer clears the state ``grace_ms`` of event time after the last event; a crawl
-    that goes on later than that starts again with no jobs, and its counts go on from what was put out.
+    A call of this function, or one to the state store, costs many times what a job does. So a part holds many pieces (crawl,
+    salt), and its state is pages (map) of whole pieces, each page the columns of its jobs; a batch reads and writes a page that
+    it touches once for each Arrow batch of rows. An event older than what is known of its job changes nothing.
+
+    A timer clears the pieces without open job that had no event for ``grace_ms`` of event time. A part has one timer at a time,
+    so that happens after ``grace_ms`` to twice that; a crawl that goes on later starts again with no jobs, and its counts go on
+    from what was put out.
     """
 
     def __init__(self, grace_ms: int):
@@ -49,45 +54,77 @@ class JobStates(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.jobs = handle.getMapState("jobs", "job_id string", "state string, us long, event_id long")
-        self.ended = handle.getValueState("ended", "open long, us long, job_id string, state string, latest long, timer long")
+        self.pages = handle.getMapState("pages", "page int", "crawl array<string>, salt array<int>, job_id array<string>, state array<string>, us array<long>, event_id array<long>")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def _load(self, page: int) -> dict[tuple, dict[str, tuple]]:
+        """A page as piece -> job -> (state, time, event id)."""
+        pieces = {}
+        for crawl, salt, job, *known in zip(*(self.pages.getValue((page,)) or ())):
+            pieces.setdefault((crawl, salt), {})[job] = tuple(known)
+        return pieces
+
+    def _store(self, page: int, pieces: dict[tuple, dict[str, tuple]]) -> None:
+        rows = [(*piece, job, *known) for piece, jobs in pieces.items() for job, known in jobs.items()]
+        if rows:
+            self.pages.updateValue((page,), tuple(map(list, zip(*rows))))
+        else:
+            self.pages.removeKey((page,))
+
+    @staticmethod
+    def _last(jobs: dict[str, tuple]) -> tuple:
+        """Time, id and state of the last job to end."""
+        return max(((us, job, state) for job, (state, us, _) in jobs.items() if state in J.TERMINAL_STATES), default=(None, None, None))
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N803
-        open_jobs, us, job, state, latest, timer = self.ended.get() or (0, None, None, None, 0, None)
-        delta, rescan, before = dict.fromkeys(STATES, 0), False, (us, job, state)
+        before, after, deltas, latest = {}, {}, {}, 0
         for chunk in rows:
             latest = max(latest, int(chunk["us"].max()))
-            for r in chunk.sort_values(["us", "event_id"]).drop_duplicates("job_id", keep="last").itertuples():
-                old = self.jobs.getValue((r.job_id,))
-                if old is not None and (old[1], old[2]) >= (r.us, r.event_id):
-                    continue
-                self.jobs.updateValue((r.job_id,), (r.state, int(r.us), int(r.event_id)))
-                if old is not None:
-                    delta[old[0]] -= 1
-                    open_jobs -= old[0] in J.OPEN_STATES
-                delta[r.state] += 1
-                open_jobs += r.state in J.OPEN_STATES
-                if r.state in J.TERMINAL_STATES:
-                    if us is None or (r.us, r.job_id) >= (us, job):
-                        us, job, state = int(r.us), r.job_id, r.state
-                elif r.job_id == job:
-                    rescan = True  # the last job to end goes on: another one is the last now
-        if rescan:
-            best = max(((v[1], k[0], v[0]) for k, v in self.jobs.iterator() if v[0] in J.TERMINAL_STATES), default=(None, None, None))
-            us, job, state = best
-        due = latest // 1000 + self.grace_ms if open_jobs == 0 else None
-        if timer is not None and timer != due:
-            self.handle.deleteTimer(timer)
-        if due is not None and timer != due:
-            self.handle.registerTimer(due)
-        self.ended.update((open_jobs, us, job, state, latest, due))
-        if any(delta.values()) or (us, job, state) != before:
-            yield pd.DataFrame({"crawl_id": [key[0]], "salt": pd.array([key[1]], "int32"), **{f"d_{s}": [n] for s, n in delta.items()},
-                                "last_us": pd.array([us], "Int64"), "last_job": [job], "last_state": [state]})
+            newest = chunk.sort_values(["page", "us", "event_id"]).drop_duplicates(["crawl", "salt", "job_id"], keep="last")
+            events = zip(*(newest[c].tolist() for c in ("page", "crawl", "salt", "job_id", "state", "us", "event_id")))
+            for page, here in groupby(events, key=lambda e: e[0]):
+                pieces, touched = self._load(page), set()
+                for _, crawl, salt, job, state, us, event_id in here:
+                    piece = (crawl, salt)
+                    jobs = pieces.setdefault(piece, {})
+                    if piece not in before:
+                        before[piece], deltas[piece] = self._last(jobs), dict.fromkeys(STATES, 0)
+                    old = jobs.get(job)
+                    if old is not None and (old[1], old[2]) >= (us, event_id):
+                        continue
+                    jobs[job] = (state, us, event_id)
+                    if old is not None:
+                        deltas[piece][old[0]] -= 1
+                    deltas[piece][state] += 1
+                    touched.add(piece)
+                if touched:
+                    after.update((piece, self._last(pieces[piece])) for piece in touched)
+                    self._store(page, pieces)
+        if not self.timer.exists():
+            self._set_timer(latest // 1000 + self.grace_ms)
+        out = sorted((p for p in after if any(deltas[p].values()) or after[p] != before[p]), key=str)
+        if out:
+            us, job, state = zip(*(after[p] for p in out))
+            yield pd.DataFrame({"crawl": [p[0] for p in out], "salt": pd.array([p[1] for p in out], "int32"), **{f"d_{s}": [deltas[p][s] for p in out] for s in STATES},
+                                "last_us": pd.array(us, "Int64"), "last_job": list(job), "last_state": list(state)})
+
+    def _set_timer(self, at: int) -> None:
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N803
-        self.jobs.clear()
-        self.ended.clear()
+        now, due = timerValues.getCurrentWatermarkInMs(), []
+        for (page,) in list(self.pages.keys()):
+            pieces = self._load(page)
+            ends = {p: None if any(k[0] in J.OPEN_STATES for k in jobs.values()) else max(k[1] for k in jobs.values()) // 1000 + self.grace_ms for p, jobs in pieces.items()}
+            left = {p: jobs for p, jobs in pieces.items() if ends[p] is None or ends[p] > now}
+            if len(left) < len(pieces):
+                self._store(page, left)
+            due += [ends[p] or now + self.grace_ms for p in left]
+        if due:
+            self._set_timer(min(due))
+        else:
+            self.timer.clear()
         return iter(())
 
     def close(self) -> None:
@@ -97,15 +134,20 @@ class JobStates(StatefulProcessor):
 _CHANGE = "salt int, " + ", ".join(f"d_{s} long" for s in STATES) + ", last_us long, last_job string, last_state string"
 
 
-def job_changes(events: DataFrame, late: str = LATE, grace_ms: int = GRACE_MS, salts: int = SALTS) -> DataFrame:
-    """Stream of ``crawl_id, salt, d_<state>..., last_us, last_job, last_state``: for each part of a crawl that a micro-batch
-    touched, the change of its jobs by state, and its last job to end. A hot crawl is ``salts`` parts by job id."""
+def job_changes(events: DataFrame, late: str = LATE, grace_ms: int = GRACE_MS, salts: int = SALTS, parts: int = PARTS, pages: int = PAGES) -> DataFrame:
+    """Stream of ``crawl_id, salt, d_<state>..., last_us, last_job, last_state``: for each piece of a crawl that a micro-batch
+    touched, the change of its jobs by state, and its last job to end. A crawl is ``salts`` pieces by job id, so that a hot one
+    spreads; the pieces of all crawls are dealt to ``parts`` keys of the state with ``pages`` pages each (like the number of
+    shuffle partitions fixed for the life of a checkpoint; more pages where many millions of jobs are kept)."""
     crawl = events.schema["crawl_id"].dataType.simpleString()
-    keyed = events.select("crawl_id", F.pmod(F.xxhash64("job_id"), F.lit(salts)).cast("int").alias("salt"), "job_id", "state",
+    keyed = events.select(F.col("crawl_id").cast("string").alias("crawl"), F.pmod(F.xxhash64("job_id"), F.lit(salts)).cast("int").alias("salt"), "job_id", "state",
                           F.col("ts").cast("timestamp").alias("ts"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id")
+    place = F.pmod(F.xxhash64("crawl", "salt"), F.lit(parts * pages)).cast("int")
+    keyed = keyed.withColumn("page", place).withColumn("part", F.pmod("page", F.lit(parts)))
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
-    return (keyed.withWatermark("ts", late).groupBy("crawl_id", "salt")
-            .transformWithStateInPandas(JobStates(grace_ms), f"crawl_id {crawl}, {_CHANGE}", "Update", "EventTime"))
+    changes = (keyed.withWatermark("ts", late).groupBy("part")
+               .transformWithStateInPandas(JobStates(grace_ms), f"crawl string, {_CHANGE}", "Update", "EventTime"))
+    return changes.select(F.col("crawl").cast(crawl).alias("crawl_id"), *changes.columns[1:])
 
 
 # ---- tables kept by a stream -------------------------------------------------------------------------
