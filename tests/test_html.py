@@ -138,3 +138,31 @@ def test_golden_page(spark):
                      ("definition", ["term", "def"]), ("unordered", [])]
     assert [(t["headers"], t["rows"]) for t in d.tables] == [(["H1", "H2"], [["a", "bn1", "n1"], ["n1"]]), ([], [["n1"]])]
     assert [(a["href"], a["text"]) for a in d.links] == [("x.pdf?a=1", "pdf"), ("/a?f=x.pdf", "q"), ("a", "rel")]
+
+
+def test_a_fold_holds_one_page(monkeypatch):
+    """A folded page is many times its text: the fold of an Arrow batch holds one at a time, and gives what single pages give."""
+    import pyarrow as pa
+    from weft.operators import html as H
+
+    alive, most, folds = [0], [0], []
+
+    class Counted(H.markup.Page):
+        def __init__(self, html):
+            alive[0] += 1
+            most[0] = max(most[0], alive[0])
+            super().__init__(html)
+
+        def __del__(self):
+            alive[0] -= 1
+
+    monkeypatch.setattr(H.F, "arrow_udf", lambda fold, schema: folds.append(fold) or (lambda c: c))
+    monkeypatch.setattr(H.F, "col", lambda c: c)
+    monkeypatch.setattr(H.markup, "Page", Counted)
+    H.page_elements("html")
+    pages = ["<title>t</title><h2>b</h2><p>x<ul><li>i</ul>" + f"<a href='/{i}'>l</a>" * (i % 400) for i in range(60)] + [None, ""]
+    monkeypatch.setattr(H, "_BUILT", 50, raising=False)
+    got = folds[0](pa.array(pages, pa.string())).to_pylist()
+    assert most[0] <= 2, most
+    assert got == [folds[0](pa.array([p], pa.string())).to_pylist()[0] for p in pages]
+    assert got[-2] is None and [len(g["links"]) for g in got[:60]] == [i % 400 for i in range(60)]

@@ -70,6 +70,7 @@ _FIELDS = {
 }
 _SQL = {pa.int32(): "int", pa.string(): "string", pa.list_(pa.string()): "array<string>", pa.list_(pa.list_(pa.string())): "array<array<string>>"}
 KINDS = ("title", "raw_text", *_FIELDS)
+_BUILT = 4096  # elements kept as Python objects before they become Arrow
 
 
 def page_elements(html: str | Column, kinds: tuple[str, ...] = KINDS) -> Column:
@@ -82,22 +83,32 @@ def page_elements(html: str | Column, kinds: tuple[str, ...] = KINDS) -> Column:
     nested = {k: f for k, f in _FIELDS.items() if k in kinds}
 
     def fold(column: pa.Array) -> pa.Array:
-        pages = [None if html is None else markup.Page(html) for html in column.to_pylist()]
-        arrays, names = [], []
-        for k in plain:
-            arrays.append(pa.array([None if p is None else p.title or None if k == "title" else p.raw_text() for p in pages], pa.string()))
-            names.append(k)
-        for name, method, *fields in nested.values():
-            ends, flat = [0], []
-            for p in pages:
-                if p is not None:
-                    flat.extend(getattr(p, method)())
-                ends.append(len(flat))
-            columns = list(zip(*flat)) if flat else [()] * (len(fields) + 1)
-            parts = [pa.array(c, t) for c, t in zip(columns, [pa.int32(), *(t for _, t in fields)])]
-            arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, ["pos", *(n for n, _ in fields)])))
+        missing, texts, flat, ends, built = [], {k: [] for k in plain}, {k: [] for k in nested}, {k: [0] for k in nested}, {k: [] for k in nested}
+
+        def build(k: str) -> None:
+            _, _, *fields = nested[k]
+            columns = list(zip(*flat[k])) if flat[k] else [()] * (len(fields) + 1)
+            built[k].append(pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32(), *(t for _, t in fields)])], ["pos", *(n for n, _ in fields)]))
+            flat[k].clear()
+
+        for value in column:  # one page at a time: a page folded is many times its text
+            html = value.as_py()
+            page = None if html is None else markup.Page(html)
+            missing.append(page is None)
+            for k in plain:
+                texts[k].append(None if page is None else page.title or None if k == "title" else page.raw_text())
+            for k, (_, method, *_) in nested.items():
+                rows = [] if page is None else getattr(page, method)()
+                flat[k].extend(rows)
+                ends[k].append(ends[k][-1] + len(rows))
+                if len(flat[k]) >= _BUILT:
+                    build(k)
+        arrays, names = [pa.array(texts[k], pa.string()) for k in plain], list(plain)
+        for k, (name, *_) in nested.items():
+            build(k)
+            arrays.append(pa.ListArray.from_arrays(pa.array(ends[k], pa.int32()), pa.concat_arrays(built[k])))
             names.append(name)
-        return pa.StructArray.from_arrays(arrays, names, mask=pa.array([p is None for p in pages]))
+        return pa.StructArray.from_arrays(arrays, names, mask=pa.array(missing, pa.bool_()))
 
     structs = [f"{name}: array<struct<pos: int, {', '.join(f'{n}: {_SQL[t]}' for n, t in fields)}>>" for name, _, *fields in nested.values()]
     schema = f"struct<{', '.join([f'{k}: string' for k in plain] + structs)}>"
