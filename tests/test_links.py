@@ -25,3 +25,18 @@ def test_link_summary_reads_the_pages_once(spark):
     plan = queries()["domain_link_summary"](spark, SF)._jdf.queryExecution().optimizedPlan()
     leaves = plan.collectLeaves()
     assert sum("html" in leaves.apply(i).toString() for i in range(leaves.size())) == 1
+
+
+def test_crawl_edges_parse_the_address_for_the_page(spark, monkeypatch):
+    from weft.operators import frontier as FR
+    pages = spark.createDataFrame([(i, "c", u, f"<p>text</p>{ANCHORS}", 200) for i, u in enumerate(URLS) if u], "page_id long, crawl_id string, url string, html string, status int")
+    robots = spark.createDataFrame([], "origin string, body string")
+    bases, outlinks = [], L.outlinks
+    monkeypatch.setattr(L, "outlinks", lambda links, *args, **named: bases.append(named.get("base")) or outlinks(links, *args, **named))
+    monkeypatch.setattr("weft.operators.robots.robots_allowed", lambda urls, _: urls.selectExpr("*", "true AS robots_allowed"))
+    got = {tuple(r) for r in FR.crawl_edges(pages, robots).collect()}
+    links = outlinks(L.page_links(pages.filter("html <> ''")))
+    known = L.with_canonical(links, "src_url", None, "src").filter("src IS NOT NULL")
+    assert got == {("c", r.src, r.dst_url) for r in known.select("src", "dst_url").collect()}
+    assert ("c", "http://site.org/dir/page?z=1#top", "http://site.org/c") in got
+    assert bases == ["base"]

@@ -25,7 +25,7 @@ def crawl_edges(fetched: DataFrame, robots: DataFrame, rules: DataFrame | None =
     (E2), or whose own address robots.txt or the crawl's rules deny (E1), give no links; links are L3's, of the pages that are
     left, without those that robots.txt denies.
     """
-    from weft.functions.urls import with_known_canonical
+    from weft.functions.urls import with_canonical, with_url_parts
     from weft.operators.html import documents
     from weft.operators.links import outlinks
     from weft.operators.robots import robots_allowed
@@ -33,9 +33,10 @@ def crawl_edges(fetched: DataFrame, robots: DataFrame, rules: DataFrame | None =
     from weft.sources.tables import read_pages
 
     docs = drop_empty_documents(documents(read_pages(fetched.sparkSession, fetched), keep=("crawl_id", "url")))
-    links = docs.select("page_id", "crawl_id", F.col("url").alias("src_raw"), F.posexplode("links").alias("pos", "l")).select(
-        "page_id", "crawl_id", "src_raw", "pos", F.col("l.href").alias("href"))
-    out = with_known_canonical(outlinks(links, rules, "src_raw"), "src_raw", None, "src_url").select("crawl_id", "src_url", "dst_url")
+    docs = with_url_parts(with_canonical(docs, "url", None, "src_url"), "src_url", None, "base")  # parsed for the page, not for each link
+    links = docs.select("page_id", "crawl_id", "src_url", "base", F.posexplode("links").alias("pos", "l")).select(
+        "page_id", "crawl_id", "src_url", "base", "pos", F.col("l.href").alias("href"))
+    out = outlinks(links, rules, base="base").filter("src_url IS NOT NULL").select("crawl_id", "src_url", "dst_url")
     if rules is not None:
         out = filter_allowed(out, rules, "src_url")
     out = written(out, "links")
