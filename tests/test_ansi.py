@@ -37,3 +37,21 @@ def test_matches_oracle_in_ansi_mode(ansi, con, name):
     ocols = [d[0] for d in cur.description]
     assert rows and sorted(df.columns) == sorted(ocols) and len(rows) == len(orows)
     assert digest(df.columns, rows)[0] == digest(ocols, orows)[0]
+
+
+@pytest.mark.parametrize("mode", ["true", "false"])
+def test_null_domain_in_either_mode(spark, mode):
+    """A NULL among a crawl's domains (a page whose address has no host) matches no host and fails no row."""
+    from weft.operators.rules import filter_allowed, make_rules, with_allowed
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", mode)
+    try:
+        rules = make_rules(spark.createDataFrame([("none", [None]), ("some", [None, "a.com"]), ("free", [])], "crawl_id string, allowed_domains array<string>"))
+        urls = spark.createDataFrame([(c, u) for c in ("none", "some", "free", "other") for u in ("http://a.com/x", "http://b.a.com/", "http://c.com/", "not a url", None)],
+                                     "crawl_id string, url string")
+        got = sorted(map(tuple, filter_allowed(urls, rules).collect()))
+        flagged = sorted((r.crawl_id, r.url) for r in with_allowed(urls, rules).filter("allowed").collect())
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+    all_three = ["http://a.com/x", "http://b.a.com/", "http://c.com/"]
+    assert got == flagged == [(c, u) for c in ("free", "other") for u in all_three] + [("some", u) for u in all_three[:2]]
