@@ -55,3 +55,25 @@ def test_null_domain_in_either_mode(spark, mode):
         spark.conf.set("spark.sql.ansi.enabled", before)
     all_three = ["http://a.com/x", "http://b.a.com/", "http://c.com/"]
     assert got == flagged == [(c, u) for c in ("free", "other") for u in all_three] + [("some", u) for u in all_three[:2]]
+
+
+@pytest.mark.parametrize("mode", ["true", "false"])
+@pytest.mark.parametrize("name", ["classify_outcomes", "filter_allowed", "filter_valid_links", "validate_requests"])
+def test_matches_oracle_on_odd_page_ids(spark, tmp_path, name, mode):
+    """Pages without an id or with a negative one, which belong to no rule set or to one from the end of the list."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from __spark_entry__ import oracle_sql, queries
+    pages = pq.read_table(f"{SF}/pages.parquet")
+    ids = [None if i == 17 else i if i < 30 else 17 - i for i in range(pages.num_rows)]
+    pq.write_table(pages.set_column(0, "page_id", pa.array(ids, pa.int64())), tmp_path / "pages.parquet")
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", mode)
+    try:
+        df = queries()[name](spark, str(tmp_path))
+        rows = df.collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+    cur = duckdb.connect().execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet')").execute(oracle_sql()[name])
+    orows, ocols = cur.fetchall(), [d[0] for d in cur.description]
+    assert rows and len(rows) == len(orows) and digest(df.columns, rows)[0] == digest(ocols, orows)[0]
